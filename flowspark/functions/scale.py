@@ -57,6 +57,15 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """Keep `df` out of broadcasts: sort-merge, which also splits skewed keys.
+
+    For rows made by exploding or by building long texts, whose size Spark
+    estimates from the narrow columns they came from.
+    """
+    return df.hint("merge")
+
+
 def hash_bucket(col: Column | str, width: int = 3) -> Column:
     """Even, engine-independent bucket of a name: the first hex digits of its md5."""
     return F.substring(F.md5(F.col(col) if isinstance(col, str) else col), 1, width)

@@ -19,7 +19,8 @@ def extract_ips(text: Column) -> Column:
 
 def stem(name: Column) -> Column:
     """File name without its last extension."""
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+    extension = F.length(F.substring_index(name, ".", -1))
+    return F.when(name.contains("."), F.substring(name, F.lit(1), F.length(name) - extension - 1)).otherwise(name)
 
 
 def similarity_of(distance: Column) -> Column:
@@ -27,9 +28,14 @@ def similarity_of(distance: Column) -> Column:
     return 1.0 - distance / 2.0
 
 
+def all_tokens(text: Column) -> Column:
+    """Lower-case word and number tokens in order, repeats kept; dotted addresses stay whole."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*"), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Distinct lower-case word and number tokens; dotted addresses stay whole."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*"), F.lit(0)))
+    """The distinct tokens."""
+    return F.array_distinct(all_tokens(text))
 
 
 def cap_text(text: Column, max_chars: int = 2500) -> Column:

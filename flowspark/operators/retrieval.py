@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from flowspark.functions.scale import top_per_group
+from flowspark.functions.scale import never_broadcast, top_per_group
 from flowspark.operators.filters import metadata_filter
 
 # Passages per address, over-fetch factor, diversity weight and the evidence threshold.
@@ -27,7 +28,7 @@ SCORE_DIGITS = 6
 _HITS = "query_id string, doc_id string, similarity double"
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: Iterable) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -35,6 +36,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 def _block_top_k(k: int):
     """Top k of one block of documents for each query of one block of queries."""
+    none = pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []}).astype({"query_id": str, "doc_id": str})
 
     def search(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -55,7 +57,7 @@ def _block_top_k(k: int):
                         }
                     )
                 )
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
+        return pd.concat(found) if found else none
 
     return search
 
@@ -103,24 +105,33 @@ def vector_topk_filtered(
     return vector_topk(queries, metadata_filter(kb, wanted), k, rows_per_block)
 
 
+def _pick_diverse(relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[int]:
+    """Greedy choice among candidates sorted by relevance, ids breaking ties."""
+    between = np.round(vectors @ vectors.T, SCORE_DIGITS)
+    nearest = np.full(len(relevance), -np.inf)
+    picked: list[int] = []
+    while len(picked) < min(k, len(relevance)):
+        # The first pick is the most relevant one; there is nothing to differ from yet.
+        gain = weight * relevance - (1 - weight) * nearest if picked else relevance.copy()
+        gain = np.round(gain, SCORE_DIGITS + 3)
+        gain[picked] = -np.inf
+        picked.append(int(np.argmax(gain)))
+        nearest = np.maximum(nearest, between[picked[-1]])
+    return picked
+
+
 def _spread_out(k: int, weight: float):
-    """Greedy choice among one query's candidates (at most the over-fetch)."""
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["similarity", "doc_id"], ascending=[False, True]).reset_index(drop=True)
-        between = np.round(_unit(group["vector"]) @ _unit(group["vector"]).T, SCORE_DIGITS)
-        relevance = group["similarity"].to_numpy()
-        nearest = np.full(len(group), -np.inf)
-        picked: list[int] = []
-        while len(picked) < min(k, len(group)):
-            # The first pick is the most relevant one; there is nothing to differ from yet.
-            gain = relevance if not picked else weight * relevance - (1 - weight) * nearest
-            gain = np.round(gain, SCORE_DIGITS + 3)
-            gain[picked] = -np.inf
-            picked.append(int(np.argmax(gain)))
-            nearest = np.maximum(nearest, between[picked[-1]])
-        out = group.loc[picked, ["query_id", "doc_id", "similarity"]]
-        return out.assign(position=np.arange(1, len(picked) + 1))
+    """Choose for a batch of queries, each with its few candidates in one row."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query_id, candidates in zip(batch["query_id"], batch["candidates"]):
+                found = sorted(candidates, key=lambda c: (-c["similarity"], c["doc_id"]))
+                relevance = np.array([c["similarity"] for c in found])
+                picked = _pick_diverse(relevance, _unit([c["vector"] for c in found]), k, weight)
+                rows += [(query_id, found[i]["doc_id"], relevance[i], at) for at, i in enumerate(picked, 1)]
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "similarity", "position"])
 
     return choose
 
@@ -135,42 +146,68 @@ def vector_mmr(
 ) -> DataFrame:
     """k of the `fetch_k` nearest documents, each as unlike the ones before as it is relevant."""
     fetch_k = fetch_k or FETCH_FACTOR * k
-    candidates = vector_topk(queries, kb, fetch_k, rows_per_block)
+    nearest = vector_topk(queries, kb, fetch_k, rows_per_block)
     vectors = kb.select(F.col("doc_id").cast("string"), "vector")
-    return (
-        candidates.join(vectors, "doc_id")
+    # At most `fetch_k` candidates per query, so its list is short.
+    candidates = (
+        nearest.join(vectors, "doc_id")
         .groupBy("query_id")
-        .applyInPandas(_spread_out(k, weight), _HITS + ", position int")
+        .agg(F.collect_list(F.struct("doc_id", "similarity", "vector")).alias("candidates"))
     )
+    return candidates.mapInPandas(_spread_out(k, weight), _HITS + ", position int")
 
 
-def lexical_rerank(pairs: DataFrame, doc_terms: DataFrame, top_k: int) -> DataFrame:
+def lexical_rerank(pairs: DataFrame, queries: DataFrame, doc_terms: DataFrame, top_k: int) -> DataFrame:
     """Best documents of each query by the summed weight of shared words.
 
-    Takes (query_id, doc_id, query_tokens) and `term_weights`; a document's few
-    words are looked up in the query's, so scoring adds no shuffle to the pairs.
+    Takes (query_id, doc_id), (query_id, query_tokens) and `term_weights`. The
+    long side, the query's words, comes in last and is gone again once a pair
+    is scored, within the task; ranking then needs no further shuffle.
     """
-    shared = F.filter("terms", lambda t: F.array_contains("query_tokens", t["token"]))
-    score = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + t["weight"])
-    scored = pairs.join(doc_terms, "doc_id").withColumn("score", F.round(score, SCORE_DIGITS))
-    return top_per_group(scored.drop("terms", "query_tokens"), ["query_id"], [F.desc("score"), "doc_id"], top_k)
+    with_terms = pairs.join(doc_terms, "doc_id").join(never_broadcast(queries), "query_id")
+    shared = F.array_intersect(F.map_keys("terms"), "query_tokens")
+    score = F.aggregate(shared, F.lit(0.0), lambda acc, token: acc + F.col("terms")[token])
+    scored = with_terms.select(*pairs.columns, F.round(score, SCORE_DIGITS).alias("score"))
+    return top_per_group(scored, ["query_id"], [F.desc("score"), "doc_id"], top_k)
 
 
-def term_weights(docs: DataFrame, doc_tokens: Column) -> DataFrame:
-    """(doc_id, terms): each document's distinct words with their inverse document frequency."""
-    words = docs.select("doc_id", F.explode(doc_tokens).alias("token"))
+def _word_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(doc_id, token, _tf), one row per document and word."""
+    words = docs.select("doc_id", F.explode(tokens).alias("token"))
+    return words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("_tf"))
+
+
+def _with_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Word counts with `weight`: ln((documents + 1) / (documents with the word + 1)).
+
+    Counting by `_tf` keeps that column in both branches, so the texts are
+    split into words once and both read the same shuffle.
+    """
     total = docs.agg(F.count(F.lit(1)).alias("_docs"))
-    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    weights = frequency.join(F.broadcast(total)).select(  # one row
+    frequency = counts.groupBy("token").agg(F.count_if(F.col("_tf") > 0).alias("_df"))
+    weights = frequency.join(F.broadcast(total)).select(  # `total` is one row
         "token", F.ln((F.col("_docs") + 1) / (F.col("_df") + 1)).alias("weight")
     )
-    return (
-        words.join(weights, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "weight")).alias("terms"))
-    )
+    return never_broadcast(counts).join(weights, "token")
+
+
+def term_weights(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(doc_id, terms): each document's distinct words with their inverse document frequency."""
+    terms = F.map_from_entries(F.collect_list(F.struct("token", "weight")))
+    return _with_idf(_word_counts(docs, tokens), docs).groupBy("doc_id").agg(terms.alias("terms"))
+
+
+def tfidf_terms(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(doc_id, token, weight): TF-IDF vectors of unit length in long form, exact and free of collisions."""
+    raw = F.col("_tf") * F.col("weight")
+    # A window per document: its words, not the corpus.
+    length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy("doc_id")))
+    weighted = _with_idf(_word_counts(docs, tokens), docs).withColumn("_length", length)
+    return weighted.select("doc_id", "token", F.coalesce(F.try_divide(raw, F.col("_length")), F.lit(0.0)).alias("weight"))
 
 
 def tfidf_vectors(docs: DataFrame, text: str = "text", features: int = 1 << 18) -> DataFrame:
-    """Documents with a unit-length TF-IDF vector in column `vector`."""
+    """The same as hashed ML vectors in column `vector`, as `approximate_topk` takes them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 

@@ -633,6 +633,14 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     "lexical_rerank": _with(
         "SELECT log_name, doc_id, score FROM best", "flows", "anomalies", **_EVIDENCE_PARTS, alerts=_ALERTS, best=_ranked("adocs", "evidence", 6)
     ),
+    "tfidf_vectors": _with(
+        "SELECT doc_id, count(*) AS n_terms, round(max(w / nullif(length, 0)), 6) AS max_weight, round(sum(w / nullif(length, 0)), 4) AS sum_weight "
+        "FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length FROM weighted) l GROUP BY doc_id",
+        tf="SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), "
+        "'[a-z0-9_]+(?:\\.[a-z0-9_]+)*')) AS token FROM documents) t GROUP BY ALL",
+        df="SELECT token, ln(((SELECT count(*) FROM documents) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS idf FROM tf GROUP BY token",
+        weighted="SELECT tf.doc_id, tf.tf * df.idf AS w FROM tf JOIN df ON tf.token = df.token",
+    ),
     "case_prompts": _with(
         _prompt_sql(), "flows", "anomalies",
         **_EVIDENCE_PARTS, alerts=_ALERTS, tcp_ips="SELECT DISTINCT log_name, unnest([src_ip, dst_ip]) AS ip FROM flows WHERE proto = 'tcp' "

@@ -53,8 +53,8 @@ def ranked_anomalies(alerts: DataFrame, found: DataFrame, anomaly_docs: DataFram
     """Best anomaly documents of each case by shared words."""
     weights = retrieval.term_weights(anomaly_docs, tokens(F.col("text")))
     queries = alerts.select(F.col("log_name").alias("query_id"), tokens(F.col("alerts")).alias("query_tokens"))
-    pairs = found.withColumnRenamed("log_name", "query_id").join(queries, "query_id")
-    best = retrieval.lexical_rerank(pairs, weights, top_k)
+    pairs = found.withColumnRenamed("log_name", "query_id")
+    best = retrieval.lexical_rerank(pairs, queries, weights, top_k)
     return best.join(anomaly_docs.select("doc_id", "text"), "doc_id").select(
         F.col("query_id").alias("log_name"), "doc_id", "text", "score"
     )
@@ -65,8 +65,8 @@ def ranked_context(alerts: DataFrame, context: DataFrame, top_k: int = evidence.
     docs = context.select(F.col("text").alias("doc_id")).distinct()
     weights = retrieval.term_weights(docs, tokens(F.col("doc_id")))
     queries = alerts.select(F.col("log_name").alias("query_id"), tokens(F.col("alerts")).alias("query_tokens"))
-    pairs = context.select(F.col("log_name").alias("query_id"), F.col("text").alias("doc_id")).join(queries, "query_id")
-    best = retrieval.lexical_rerank(pairs, weights, top_k)
+    pairs = context.select(F.col("log_name").alias("query_id"), F.col("text").alias("doc_id"))
+    best = retrieval.lexical_rerank(pairs, queries, weights, top_k)
     return best.select(F.col("query_id").alias("log_name"), F.col("doc_id").alias("text"), "score")
 
 

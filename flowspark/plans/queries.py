@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions import alert_text, taxonomy
-from flowspark.functions.text import cap_text, extract_ips, tokens
+from flowspark.functions.text import all_tokens, cap_text, extract_ips
 from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores, verdicts
@@ -516,14 +516,12 @@ def lexical_rerank(spark, sf):
 
 @query
 def tfidf_vectors(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = retrieval.tfidf_vectors(tables.table(spark, sf, "documents").select("doc_id", "text"), features=1 << 12)
-    weights = vector_to_array("vector")
-    return vectors.select(
-        "doc_id",
-        F.size(F.filter(weights, lambda w: w > 0)).alias("n_terms"),
-        F.round(F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w * w)), 6).alias("norm"),
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    terms = retrieval.tfidf_terms(docs, all_tokens(F.col("text")))
+    return terms.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.round(F.max("weight"), 6).alias("max_weight"),
+        F.round(F.sum("weight"), 4).alias("sum_weight"),
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from flowspark.functions.text import stem
 
+# Characters taken off both ends of a line.
+WHITE_SPACE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
 MIN_FIELDS = 22
 MIN_FIELDS_LENIENT = 12
 
@@ -53,7 +56,7 @@ def is_comment() -> Column:
 
 
 def _trimmed() -> Column:
-    return F.regexp_replace("value", r"^\s+|\s+$", "")
+    return F.trim("value", F.lit(WHITE_SPACE))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -72,49 +75,50 @@ def _micros(field: Column) -> Column:
     return (field.try_cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
-def _with_fields(lines: DataFrame, min_fields: int) -> DataFrame:
-    # Exploding the one-element array makes each line split once: filters on a
-    # plain column would be pushed below it, with a copy of the split in each.
-    split = data_lines(lines).withColumn("_f", F.explode(F.array(F.split(_trimmed(), "\t"))))
-    return split.filter(F.size("_f") >= min_fields)
+def _at(place: int) -> Column:
+    return F.get("_f", F.lit(place))
+
+
+def _once(column: Column) -> Column:
+    """Compute `column` once per row.
+
+    Filters on a plain column are pushed below it, with a copy of its
+    expression for every use; exploding a one-element array keeps them above.
+    """
+    return F.explode(F.array(column))
 
 
-def _problem() -> Column:
-    """First field of a line that is neither missing nor a number."""
-    bad_time = F.when(_micros(F.col("_f")[0]).isNull(), "ts")
+def _with_fields(lines: DataFrame, min_fields: int) -> DataFrame:
+    """Lines with their fields `_f`, the typed ones `_t`, and the first bad field as `problem`."""
+    split = data_lines(lines).withColumn("_f", _once(F.split(_trimmed(), "\t"))).filter(F.size("_f") >= min_fields)
+    typed = [_number(_at(place), kind).alias(name) for name, (place, kind) in NUMBER_FIELDS.items()]
+    rows = split.withColumn("_t", _once(F.struct(_micros(_at(0)).alias("ts_us"), *typed)))
     bad = [
-        F.when(_known(F.get("_f", F.lit(at))).isNotNull() & _number(F.get("_f", F.lit(at)), kind).isNull(), name)
-        for name, (at, kind) in NUMBER_FIELDS.items()
+        F.when(F.col(f"_t.{name}").isNull() & (_at(place) != "-"), name) for name, (place, _) in NUMBER_FIELDS.items()
     ]
-    return F.coalesce(bad_time, *bad)
+    return rows.withColumn("problem", F.coalesce(F.when(F.col("_t.ts_us").isNull(), "ts"), *bad))
 
 
 def parse_lines(lines: DataFrame, min_fields: int = MIN_FIELDS) -> DataFrame:
     """Flows from (log_name, line_no, value); short and malformed lines are left out."""
-    rows = _with_fields(lines, min_fields).filter(_problem().isNull())
-    ts_us = _micros(F.col("_f")[0])
-
-    def at(place: int) -> Column:
-        return F.get("_f", F.lit(place))
-
-    text = {name: _known(at(place)) for name, place in TEXT_FIELDS.items()}
-    numbers = {name: _number(at(place), kind) for name, (place, kind) in NUMBER_FIELDS.items()}
-    parsed = {"ts_us": ts_us, "ts": F.timestamp_micros(ts_us), **text, **numbers, "raw": _trimmed()}
+    rows = _with_fields(lines, min_fields).filter(F.col("problem").isNull())
+    columns = {
+        **{name: _known(_at(place)) for name, place in TEXT_FIELDS.items()},
+        **{name: F.col(f"_t.{name}") for name in ("ts_us", *NUMBER_FIELDS)},
+        "ts": F.timestamp_micros("_t.ts_us"),
+        "raw": _trimmed(),
+    }
     order = (
         "ts_us ts uid src_ip src_port dst_ip dst_port proto service duration "
         "orig_bytes resp_bytes conn_state orig_pkts resp_pkts raw"
     ).split()
-    return rows.select("log_name", "line_no", *[parsed[c].alias(c) for c in order])
+    return rows.select("log_name", "line_no", *[columns[c].alias(c) for c in order])
 
 
 def rejected_lines(lines: DataFrame, min_fields: int = MIN_FIELDS) -> DataFrame:
     """Lines with enough fields but a bad number: (log_name, line_no, value, problem)."""
-    return (
-        _with_fields(lines, min_fields)
-        .withColumn("problem", _problem())
-        .filter(F.col("problem").isNotNull())
-        .select("log_name", "line_no", "value", "problem")
-    )
+    rows = _with_fields(lines, min_fields).filter(F.col("problem").isNotNull())
+    return rows.select("log_name", "line_no", "value", "problem")
 
 
 def read_conn_log(spark: SparkSession, path: str | list[str], min_fields: int = MIN_FIELDS) -> DataFrame:

@@ -83,7 +83,7 @@ SELECT log_name,
          WHEN 2 THEN concat('⚠️ **UNDECIDABLE** - Insufficient evidence for ', src_ip, '.', chr(10),
                             '**Reason:** Maximum similarity score (0.29) is below threshold (0.3).')
          WHEN 3 THEN concat('There is no SYN flood from ', src_ip, ' to ', dst_ip, '. Normal traffic.')
-         WHEN 4 THEN concat('- SYN flood alert: raw row ', dst_ip, ' tcp - 0.1 0 0 ', conn_state, ' F F seen.', chr(10),
+         WHEN 4 THEN concat('- SYN flood alert: raw row ', dst_ip, ' tcp - - 0 0 ', conn_state, ' F F seen.', chr(10),
                             '  Justified by anomaly: anomaly_', CAST(n AS {text}), '.', chr(10), '  → Action: Drop.')
          WHEN 5 THEN concat('TCP SYN flood detected against ', dst_ip, ' on port ', CAST(dst_port AS {text}), '. State unclear.')
          WHEN 6 THEN concat('Traffic to ', dst_ip, ' ended with reset received. Attack ruled out.')

@@ -6,50 +6,57 @@ from flowspark.operators import bursts
 from tests import flows as gen
 
 
-@pytest.mark.parametrize("seed", range(12))
-@pytest.mark.parametrize("window", [0, 7, 40])
-def test_ping_burst(spark, seed, window):
-    rows = gen.random_rows(seed, 60, proto="icmp", src_port=0, dst_port=8)
-    threshold = 3 + seed % 3
+SEEDS = range(40)
+
+
+def _cases(n, logs=1, **fixed):
+    """Many random cases in one table, told apart by log_name."""
+    rows = []
+    for seed in SEEDS:
+        for r in gen.random_rows(seed, n, logs=logs, **fixed):
+            r["log_name"] = f"{seed}-{r['log_name']}"
+            rows.append(r)
+    return rows
+
+
+@pytest.mark.parametrize("window,threshold", [(1, 2), (7, 3), (40, 5), (90, 9)])
+def test_ping_burst(spark, window, threshold):
+    rows = _cases(60, proto="icmp", src_port=0, dst_port=8)
     want = set()
-    for (dst,), group in gen.groups(rows, "dst_ip").items():
+    for key, group in gen.groups(rows, "log_name", "dst_ip").items():
         hit = gen.trailing_hit(group, window, lambda seen: len(seen) >= threshold)
         if hit:
-            want.add((dst, hit[0]["ts_us"], hit[-1]["ts_us"], len(hit)))
-    if window == 0:
-        pytest.skip("a window needs a width")
-    got = bursts.ping_burst(gen.make(spark, rows), threshold, window)
-    assert {tuple(r) for r in got.collect()} == want
+            want.add((*key, hit[0]["ts_us"], hit[-1]["ts_us"], len(hit)))
+    got = bursts.ping_burst(gen.make(spark, rows), threshold, window, keys=("log_name", "dst_ip"))
+    assert {tuple(r) for r in got.collect()} == want and want
 
 
-@pytest.mark.parametrize("seed", range(10))
-@pytest.mark.parametrize("window", [5, 33])
-def test_syn_many_to_one(spark, seed, window):
-    rows = gen.random_rows(seed, 70, proto="tcp", src_port=1, dst_port=80, conn_state="S0")
+@pytest.mark.parametrize("window,threshold", [(2, 2), (5, 4), (33, 4), (80, 12)])
+def test_syn_many_to_one(spark, window, threshold):
+    rows = _cases(70, proto="tcp", src_port=1, dst_port=80, conn_state="S0")
     for r in rows[::3]:
         r["conn_state"] = "REJ"
     for r in rows[::5]:
         r["conn_state"] = "SF"  # not a flood state
     half_open = [r for r in rows if r["conn_state"] != "SF"]
     want = set()
-    for (dst,), group in gen.groups(half_open, "dst_ip").items():
-        hit = gen.forward_hit(group, window, 4)
+    for key, group in gen.groups(half_open, "log_name", "dst_ip").items():
+        hit = gen.forward_hit(group, window, threshold)
         if hit:
             sources = sorted({r["src_ip"] for r in hit})
             states = sorted({r["conn_state"] for r in hit})
-            want.add((dst, tuple(sources[:10]), len(sources), len(hit), tuple(states), hit[0]["ts_us"], hit[-1]["ts_us"]))
-    got = bursts.syn_many_to_one(gen.make(spark, rows), 4, window)
+            want.add((*key, tuple(sources[:10]), len(sources), len(hit), tuple(states), hit[0]["ts_us"], hit[-1]["ts_us"]))
+    got = bursts.syn_many_to_one(gen.make(spark, rows), threshold, window, keys=("log_name", "dst_ip"))
     assert {
-        (r.dst_ip, tuple(r.source_ips), r.source_count, r.syn_count, tuple(r.conn_states), r.start_us, r.end_us)
+        (r.log_name, r.dst_ip, tuple(r.source_ips), r.source_count, r.syn_count, tuple(r.conn_states), r.start_us, r.end_us)
         for r in got.collect()
-    } == want
+    } == want and want
 
 
 @pytest.mark.parametrize("pattern,hub,peer", [("many_to_one", "dst_ip", "src_ip"), ("one_to_many", "src_ip", "dst_ip")])
-@pytest.mark.parametrize("seed", range(14))
-def test_labelled_floods(spark, seed, pattern, hub, peer):
-    rows = gen.random_rows(seed, 90, logs=2, hubs=3, peers=4)
-    window, threshold, peers = (6, 18, 45)[seed % 3], 2 + seed % 5, 2 + seed % 2
+@pytest.mark.parametrize("window,threshold,peers", [(6, 2, 2), (18, 4, 3), (45, 6, 3), (45, 3, 4), (90, 12, 3)])
+def test_labelled_floods(spark, pattern, hub, peer, window, threshold, peers):
+    rows = _cases(90, logs=2, hubs=4, peers=4)
     want = set()
     for key, group in gen.groups(rows, "log_name", hub).items():
         hit = gen.trailing_hit(group, window, lambda s: len(s) >= threshold and len({r[peer] for r in s}) >= peers)
@@ -57,7 +64,7 @@ def test_labelled_floods(spark, seed, pattern, hub, peer):
             found = sorted({r[peer] for r in hit})
             want.add((*key, tuple(found), len(found), len(hit), hit[0]["ts_us"], hit[-1]["ts_us"]))
     got = bursts.labelled_floods(gen.make(spark, rows), pattern, threshold, peers, window)
-    assert {(r[0], r[1], tuple(r[2]), *r[3:]) for r in got.collect()} == want
+    assert {(r[0], r[1], tuple(r[2]), *r[3:]) for r in got.collect()} == want and want
 
 
 def test_window_border_counts(spark):
@@ -98,13 +105,12 @@ def test_one_peer_flood_then_third_peer(spark):
     assert [(r.src_ip_count, r.packet_count, r.end_us) for r in got] == [(3, 2002, 31)]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_syn_one_to_many(spark, seed):
-    rows = gen.random_rows(seed, 60, hubs=5, peers=5, proto="tcp", src_port=1, dst_port=80, conn_state="S0")
+def test_syn_one_to_many(spark):
+    rows = _cases(60, hubs=5, peers=5, proto="tcp", src_port=1, dst_port=80, conn_state="S0")
     want = set()
-    for (src,), group in gen.groups(rows, "src_ip").items():
+    for key, group in gen.groups(rows, "log_name", "src_ip").items():
         targets = {r["dst_ip"] for r in group}
         if len(group) >= 10 and len(targets) >= 3:
-            want.add((src, tuple(sorted(targets)), len(targets), len(group), group[0]["ts_us"], group[-1]["ts_us"]))
-    got = bursts.syn_one_to_many(gen.make(spark, rows)).collect()
-    assert {(r.src_ip, tuple(r.target_ips), r.target_count, r.syn_count, r.start_us, r.end_us) for r in got} == want
+            want.add((*key, tuple(sorted(targets)), len(targets), len(group), group[0]["ts_us"], group[-1]["ts_us"]))
+    got = bursts.syn_one_to_many(gen.make(spark, rows), keys=("log_name", "src_ip")).collect()
+    assert {(r.log_name, r.src_ip, tuple(r.target_ips), r.target_count, r.syn_count, r.start_us, r.end_us) for r in got} == want

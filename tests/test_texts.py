@@ -32,7 +32,7 @@ def test_strict(spark):
 @pytest.mark.parametrize(
     "text,state,want",
     [
-        ("", "S0", None), ("anything", "S0", True), ("S0 flag", "SF", False), ("tcp - 0.1 0 0 S0 F F", None, True),
+        ("", "S0", None), ("anything", "S0", True), ("S0 flag", "SF", False), ("tcp - - 0 0 S0 F F", None, True), ("tcp - 0.1 0 0 S0 F F", None, False),
         ("x tcp http 0.1 0 0 SH F F", None, False), ("x tcp - - - - S1 F F with s0", None, True), ("SH flag and S0 flag", None, False),
         ("not a SYN flood, (S0)", None, False), ("showing S0", None, True), ("TCP SYN flood detected", None, True),
         ("SYN flood and SYN packets", None, False), ("quiet", None, False), ("connection reset received", None, False),
@@ -70,9 +70,9 @@ def test_ips_and_filters(spark):
 
 def test_gate(spark):
     cases = spark.createDataFrame(
-        [("a", ["1.1.1.1"], None), ("b", [], {"dstPort": "443"}), ("c", ["2.2.2.2", "2.2.2.2"], {"taxonomy": "DoS", "label": "suspicious"}), ("d", ["3.3.3.3"], None)],
-        "case_id string, ips array<string>, filters map<string,string>",
-    )
+        [("a", ["1.1.1.1"], "nothing"), ("b", [], "port 443"), ("c", ["2.2.2.2", "2.2.2.2"], "suspicious DoS"), ("d", ["3.3.3.3"], "")],
+        "case_id string, ips array<string>, query string",
+    ).select("case_id", "ips", filters.query_filter_map(F.col("query")).alias("filters"))
     scored = spark.createDataFrame(
         [("a", 0.31, False), ("b", 0.9, True), ("c", 0.29, True), ("d", 0.5, True)], "case_id string, similarity double, names_ip boolean"
     )
