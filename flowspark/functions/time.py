@@ -19,3 +19,9 @@ def display_time(ts_us: Column) -> Column:
 def cell_of(column: str, width: int) -> Column:
     """Number of the half-open cell of `width` holding an integer, exact for negatives too."""
     return F.expr(f"({column} - pmod({column}, {int(width)}L)) div {int(width)}L")
+
+
+def time_order() -> Column:
+    """(ts_us, line_no) as one number of fixed width, so that `min_by` can aggregate by hash."""
+    shifted = F.col("ts_us").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (shifted + F.col("line_no").cast("decimal(19,0)")).cast("decimal(38,0)")

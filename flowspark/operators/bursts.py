@@ -11,8 +11,12 @@ window ever runs over a whole key. Time is cut into cells as wide as the window.
 Inside a cell all rows fit in one window, so a cell's first `threshold` rows
 already decide whether its first hit lies there; the rows behind them cannot
 start or end an earlier one. Cells are thinned to those rows before the shuffle
-and the windows then run over a few rows per cell. The rows of the reported
-window are aggregated afterwards, by (key, cell) with partial aggregation.
+and the windows then run over a few rows per cell.
+
+To describe a window in full, the hits (at most one per key) are written to the
+shared folder first. Their size is then known: a small table is broadcast, so
+the flows are filtered where they are read; a large one is joined by (key,
+cell), where a skewed cell is split. What is left is aggregated partially.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql.window import Window
 from flowspark.functions.scale import top_per_group
 from flowspark.functions.time import SECOND, cell_of
 from flowspark.operators import filters
+from flowspark.session import cut_lineage
 
 # Cells are joined into spans so that only one cell in this many is held twice.
 CELLS_PER_SPAN = 64
@@ -75,34 +80,34 @@ def ping_burst(
     return runs.select(*keys, "start_us", "end_us", F.lit(threshold).cast("bigint").alias("count"))
 
 
-def _state_flags(states: Iterable[str]) -> list[Column]:
-    return [F.max(F.when(F.col("conn_state") == s, F.lit(s))).alias(f"_state_{s}") for s in states]
-
-
-def _merged_states(states: Iterable[str]) -> Column:
-    return F.array_compact(F.array(*[F.max(f"_state_{s}") for s in states])).alias("conn_states")
-
-
-def _describe(rows: DataFrame, keys: Sequence[str], peer: str, states: Iterable[str], prefix: str) -> DataFrame:
+def _describe(
+    rows: DataFrame, keys: Sequence[str], peer: str, states: Iterable[str], prefix: str, *first: Column
+) -> DataFrame:
     """Counts, states, times and the first peers of each key's rows.
 
     Rows are first aggregated per (key, peer), which spreads a hot key over all
     tasks; the peer sample then needs at most ten rows per key and task. The
     sample carries whole rows, so that both branches read the same shuffle.
+    Everything but `first` (aggregates of a key's first row) is of fixed width,
+    so Spark aggregates by hash instead of sorting all rows.
     """
     states = sorted(states)
     per_peer = rows.groupBy(*keys, peer).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("ts_us", "line_no", "dst_port")).alias("_first"),
-        F.max("ts_us").alias("_last"),
-        *_state_flags(states),
+        F.min("ts_us").alias("_from"),
+        F.max("ts_us").alias("_to"),
+        *[F.max(F.col("conn_state") == s).alias(f"_is_{s}") for s in states],
+        *first,
     )
+    first_names = [c for c in per_peer.columns if c.startswith("_first")]
+    seen = F.array_compact(F.array(*[F.when(F.max(f"_is_{s}"), F.lit(s)) for s in states]))
     totals = per_peer.groupBy(*keys).agg(
         F.sum("_n").alias("syn_count"),
         F.count(F.lit(1)).alias(f"{prefix}_count"),
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("end_us"),
-        _merged_states(states),
+        F.min("_from").alias("start_us"),
+        F.max("_to").alias("end_us"),
+        seen.alias("conn_states"),
+        *[F.min(c).alias(c) for c in first_names],
     )
     sample = (
         top_per_group(per_peer, keys, [peer], SAMPLE_SIZE)
@@ -112,14 +117,14 @@ def _describe(rows: DataFrame, keys: Sequence[str], peer: str, states: Iterable[
     )
     return totals.join(sample, list(keys)).select(
         *keys,
-        F.col("_first.dst_port").alias("first_port"),
+        *first_names,
         f"{prefix}_ips",
         f"{prefix}_count",
         "syn_count",
         "conn_states",
-        F.col("_first.ts_us").alias("start_us"),
+        "start_us",
         "end_us",
-        ((F.col("end_us") - F.col("_first.ts_us")) / SECOND).alias("duration_seconds"),
+        ((F.col("end_us") - F.col("start_us")) / SECOND).alias("duration_seconds"),
     )
 
 
@@ -139,12 +144,14 @@ def syn_many_to_one(
     wanted = runs.select(
         *keys, F.col("start_us").alias("_from"), F.explode(F.array(first_cell, first_cell + 1)).alias("_cell")
     )
-    inside = rows.join(wanted, [*keys, "_cell"]).filter(
+    inside = rows.join(cut_lineage(wanted, "syn-windows"), [*keys, "_cell"]).filter(
         F.col("ts_us").between(F.col("_from"), F.col("_from") + window_us)
     )
-    return _describe(inside, keys, "src_ip", states, "source").withColumn(
-        "attack_type", filters.syn_alert_type(F.col("source_count"))
-    )
+    first_row = F.min(F.struct("ts_us", "line_no", "dst_port")).alias("_first")
+    found = _describe(inside, keys, "src_ip", states, "source", first_row)
+    return found.withColumns(
+        {"first_port": F.col("_first.dst_port"), "attack_type": filters.syn_alert_type(F.col("source_count"))}
+    ).drop("_first")
 
 
 def syn_one_to_many(
@@ -166,7 +173,7 @@ def syn_alerts(flows: DataFrame, threshold: int = 10, window_us: int = 20 * SECO
     flood = syn_many_to_one(flows, threshold, window_us).withColumnsRenamed(
         {"dst_ip": "target_ip", "first_port": "target_port"}
     )
-    scan = syn_one_to_many(flows, threshold).withColumnRenamed("src_ip", "source_ip").drop("first_port")
+    scan = syn_one_to_many(flows, threshold).withColumnRenamed("src_ip", "source_ip")
     return flood.withColumn("type", F.lit("many_to_one")).unionByName(
         scan.withColumn("type", F.lit("one_to_many")), allowMissingColumns=True
     )
@@ -244,7 +251,7 @@ def labelled_floods(
     hits = first_spread_window(rows, by, peer, threshold, peers, window_us)
     last_cell = cell_of("_hit.ts_us", window_us)
     wanted = hits.select(*by, "_hit", F.explode(F.array(last_cell - 1, last_cell)).alias("_cell"))
-    inside = rows.join(wanted, [*by, "_cell"]).filter(
+    inside = rows.join(cut_lineage(wanted, "ping-windows"), [*by, "_cell"]).filter(
         (F.col("ts_us") >= F.col("_hit.ts_us") - window_us) & (F.struct("ts_us", "line_no") <= F.col("_hit"))
     )
     per_peer = inside.groupBy(*by, peer).agg(

@@ -72,10 +72,9 @@ def protocol_or_all(flows: DataFrame, proto: str) -> DataFrame:
     Only rows of other protocols meet the list of logs, so lines that are kept
     anyway are never shuffled, and a huge log is split by the skew join.
     """
-    wanted = F.lower("proto") == proto
-    with_proto = flows.filter(wanted).select("log_name").distinct()
-    rest = flows.filter(~F.coalesce(wanted, F.lit(False)))
-    return flows.filter(wanted).unionByName(rest.join(with_proto, "log_name", "left_anti"))
+    wanted = F.coalesce(F.lower("proto") == proto, F.lit(False))
+    without = flows.groupBy("log_name").agg(F.max(wanted).alias("_has")).filter(~F.col("_has")).select("log_name")
+    return flows.filter(wanted).unionByName(flows.filter(~wanted).join(without, "log_name", "left_semi"))
 
 
 def metadata_filter(kb: DataFrame, wanted: Mapping[str, str] | None) -> DataFrame:

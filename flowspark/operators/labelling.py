@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.time import SECOND, display_time
+from flowspark.functions.time import SECOND, display_time, time_order
 from flowspark.operators import bursts, rule_match
 
 
@@ -77,8 +77,8 @@ def flood_details(flows: DataFrame, threshold: int = 10, peers: int = 3, window_
 
 def state_label(flows: DataFrame, attack_state: str = "S0") -> DataFrame:
     """Attack if the first record of the log has the attack state."""
-    first = F.min_by("conn_state", F.struct("ts_us", "line_no"))
-    return flows.groupBy("log_name").agg(F.coalesce(first == attack_state, F.lit(False)).alias("label"))
+    attacked = F.min_by(F.col("conn_state") == attack_state, time_order())
+    return flows.groupBy("log_name").agg(F.coalesce(attacked, F.lit(False)).alias("label"))
 
 
 def pending_cases(cases: DataFrame, done: DataFrame) -> DataFrame:

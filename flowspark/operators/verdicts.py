@@ -70,10 +70,14 @@ def first_sentence_verdict(text: Column) -> Column:
 def decisive_states(flows: DataFrame) -> DataFrame:
     """Per log the first state, in line order, that settles the verdict."""
     state = F.upper("conn_state")
+    known = F.array(*[F.lit(s) for s in (ATTACK_STATE, *LOG_NORMAL_STATES)])
+    # States go through the aggregation as numbers: of fixed width, so by hash.
+    first = F.min_by(F.array_position(known, state), "line_no")
     return (
         flows.filter(state.isin(ATTACK_STATE, *LOG_NORMAL_STATES))
         .groupBy("log_name")
-        .agg(F.min_by(state, "line_no").alias("decisive_state"))
+        .agg(first.cast("int").alias("_state"))
+        .select("log_name", F.element_at(known, F.col("_state")).alias("decisive_state"))
     )
 
 

@@ -89,6 +89,11 @@ def read_metrics(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "confusion_matrix"], *counts)
 
 
+def read_flows(spark: SparkSession, path: str) -> DataFrame:
+    """Flows landed by `write_flows`; a filter on `day` reads only those folders."""
+    return spark.read.parquet(path)
+
+
 def read_knowledge(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """The knowledge table, or one collection of it (only that folder is read)."""
     kb = spark.read.parquet(path)

@@ -54,7 +54,7 @@ def test_syn_many_to_one(spark, window, threshold):
 
 
 @pytest.mark.parametrize("pattern,hub,peer", [("many_to_one", "dst_ip", "src_ip"), ("one_to_many", "src_ip", "dst_ip")])
-@pytest.mark.parametrize("window,threshold,peers", [(6, 2, 2), (18, 4, 3), (45, 6, 3), (45, 3, 4), (90, 12, 3)])
+@pytest.mark.parametrize("window,threshold,peers", [(6, 2, 2), (18, 4, 3), (45, 6, 3), (45, 3, 4), (250, 12, 3)])
 def test_labelled_floods(spark, pattern, hub, peer, window, threshold, peers):
     rows = _cases(90, logs=2, hubs=4, peers=4)
     want = set()

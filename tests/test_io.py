@@ -53,6 +53,15 @@ def test_conn_log(spark, logs):
     assert lenient.count() == 4
 
 
+def test_landed_flows(spark, logs, tmp_path):
+    sinks.write_flows(conn_log.read_conn_log(spark, logs + "/*.log"), str(tmp_path / "flows"))
+    flows = tables.read_flows(spark, str(tmp_path / "flows"))
+    assert flows.count() == 3
+    plan = filters.echo_by_type(flows.filter("day = '2024-01-01'")).select("dst_ip")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(proto), IsNotNull(dst_port), EqualTo(proto,icmp), EqualTo(dst_port,8)]" in plan
+    assert "ReadSchema: struct<dst_ip:string,dst_port:int,proto:string>" in plan and "day#" in plan.split("PartitionFilters")[1]
+
+
 def test_line_numbers_follow_the_file_when_it_is_split(spark, tmp_path):
     n = 3000
     (tmp_path / "big.log").write_text("\n".join(line(ts=f"{1704067200 + i}.0") for i in range(n)) + "\n")
