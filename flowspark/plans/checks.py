@@ -569,7 +569,8 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     ),
     "ping_burst": _with(_BURSTS, "flows"),
     "syn_many_to_one": _with("SELECT * FROM floods", "flows", **_SYN),
-    "syn_one_to_many": _with("SELECT * FROM scans", "flows", **_SYN),
+    # A scan has many ports; only floods report the port of their first row.
+    "syn_one_to_many": _with("SELECT * EXCLUDE (first_port) FROM scans", "flows", **_SYN),
     "ping_many_to_one": _with(_trailing_floods("", "dst_ip", "src_ip", 10, WINDOW), "flows", echoes=_ECHOES),
     "ping_one_to_many": _with(_trailing_floods("", "src_ip", "dst_ip", LOG_THRESHOLD, 20 * WINDOW), "flows", echoes=_ECHOES),
     "protocol_profile": _with(_profile("log_name"), "flows"),
