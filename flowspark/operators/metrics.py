@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,14 +142,11 @@ def evaluate(rows: DataFrame, keys: Sequence[str] = (), score: str | None = "sco
     return joined.select(*quality.columns, F.coalesce("auc", F.lit(0.0)).alias("auc"))
 
 
-def compare_models(per_model: Sequence[DataFrame], model: str = "model") -> DataFrame:
-    """(metric, model, value, is_best): result sets of several models side by side."""
-    stacked = reduce(DataFrame.unionByName, per_model)
-    long = stacked.unpivot([model], [*METRICS, "auc"], "metric", "value")
-    best = long.groupBy("metric").agg(F.max("value").alias("_best"))
-    return long.join(best, "metric").select(
-        "metric", model, F.round("value", 4).alias("value"), (F.col("value") == F.col("_best")).alias("is_best")
-    )
+def compare_models(quality: DataFrame, model: str = "model") -> DataFrame:
+    """(metric, model, value, is_best) from one metric row per model."""
+    long = quality.unpivot([model], [*METRICS, "auc"], "metric", "value")
+    best = F.max("value").over(Window.partitionBy("metric"))  # as many rows as models
+    return long.select("metric", model, F.round("value", 4).alias("value"), (F.col("value") == best).alias("is_best"))
 
 
 def scenario_matrix(rows: DataFrame, sources: Sequence[str], attack: str = "attack", source: str = "label_source") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -624,8 +625,8 @@ def model_comparison(spark, sf):
         "rule_ping": _rule_rows(spark, sf, "ping", labels).select("label", "prediction", "score"),
         "rule_syn": _rule_rows(spark, sf, "syn", labels).select("label", "prediction", "score"),
     }
-    scored = [metrics.evaluate(rows.withColumn("model", F.lit(m)), ["model"]) for m, rows in models.items()]
-    return metrics.compare_models(scored)
+    rows = reduce(DataFrame.unionByName, [r.withColumn("model", F.lit(m)) for m, r in models.items()])
+    return metrics.compare_models(metrics.evaluate(rows, ["model"]))
 
 
 @query
