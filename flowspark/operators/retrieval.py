@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,10 @@ from pyspark.sql.window import Window
 from flowspark.functions.scale import never_broadcast, top_per_group
 from flowspark.operators.filters import metadata_filter
 
+# The few functions that run in Python workers travel with the job, so that the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Passages per address, over-fetch factor, diversity weight and the evidence threshold.
 TOP_K = 6
 FETCH_FACTOR = 3
