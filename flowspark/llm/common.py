@@ -109,3 +109,12 @@ def ranked(df: DataFrame, order: Sequence[Column | str], name: str, label: str)
         .select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
     )
 
+
+
+def file_system(place: str):
+    """The pyarrow file system of a path or URI of the shared folder, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in place or place.startswith("file:"):
+        return fs.FileSystem.from_uri(place)
+    return fs.LocalFileSystem(), place
