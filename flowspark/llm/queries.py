@@ -8,6 +8,7 @@ _MODULES = {
     "op5_quality_lines": ("quality_lines", "OP5_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op6_token_files": ("token_files", None),
+    "op8_warc": ("warc", "OP8_SQL"),
     "op9_decontaminate": ("decontaminate", "OP9_SQL"),
     "op10_pii": ("pii", None),
 }

@@ -207,7 +207,7 @@ class FileWriter:
         self.place, self.lengths, self.codes, self.id_type = place, lengths, canonical(lengths), id_type
         fs, path = file_system(place)
         fs.create_dir(os.path.dirname(path), recursive=True)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         table_bytes = zlib.compress(lengths.tobytes())
         self.written = 0
         self._put(MAGIC + len(table_bytes).to_bytes(8, "little") + table_bytes)
