@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,14 @@ def _shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return np.where(whole, value | np.uint64(1), np.uint64(0))
 
 
+def _known(numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index in the sorted keys, place) of each number that is a key."""
+    places = np.flatnonzero(numbers)
+    first = np.minimum(np.searchsorted(keys, numbers[places]), len(keys) - 1)
+    same = keys[first] == numbers[places]
+    return first[same], places[same]
+
+
 class Index:
     """Windows of a slice of items, each under its rarest shingle.
 
@@ -91,16 +100,14 @@ class Index:
                 )
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def present(self, words: list[bytes]) -> list[int]:
         """The distinct benchmark shingles of a document."""
         ids, found = self.ids(words), []
         for width, keys in self.all_keys.items():
-            numbers = np.unique(_shingles(ids, width))
-            numbers = numbers[numbers > 0]
-            if len(numbers):
-                found.extend(numbers[np.isin(numbers, keys)].tolist())
+            numbers, _ = _known(_shingles(ids, width), keys)
+            found.extend(set(keys[numbers].tolist()))
         return found
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -108,15 +115,11 @@ class Index:
         ids = self.ids(words)
         ranges, items = [], set()
         for width, (keys, rows, offsets) in self.tables.items():
-            numbers = _shingles(ids, width)
-            places = np.flatnonzero(numbers)
+            first, places = _known(_shingles(ids, width), keys)
             if not len(places):
                 continue
-            first = np.searchsorted(keys, numbers[places], "left")
-            counts = np.searchsorted(keys, numbers[places], "right") - first
+            counts = np.searchsorted(keys, keys[first], "right") - first
             total = int(counts.sum())
-            if not total:
-                continue
             # Each place with each entry of its key.
             at = np.repeat(places, counts)
             entry = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)

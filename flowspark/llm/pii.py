@@ -139,6 +139,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` {dict(docs.dtypes)[id_col]}, spans {shape}")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def joined(spans_col: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans_col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -148,7 +152,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [
-        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        count_of("spans", kind).alias(f"n_{kind}")
         for kind in BASE_KINDS
     ]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

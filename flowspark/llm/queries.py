@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op5_quality_lines": ("quality_lines", "OP5_SQL"),
+    "op1_secrets": ("secret_scan", "OP1_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op6_token_files": ("token_files", None),
     "op8_warc": ("warc", "OP8_SQL"),
