@@ -17,10 +17,9 @@ if __name__ == "__main__":
     for name, run in queries().items():
         if names and name not in names:
             continue
-        start = time.time()
+        start, sql, n = time.time(), oracle_sql().get(name), 0
         try:
             df = run(spark, sf_dir)
-            sql = oracle_sql().get(name)
             n = "" if sql else df.count()
             found = differences(df, con, sql) if sql else []
         except Exception as error:  # report and go on with the next query
