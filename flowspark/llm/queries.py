@@ -9,6 +9,7 @@ _MODULES = {
     "op1_secrets": ("secret_scan", "OP1_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op6_token_files": ("token_files", None),
+    "op7_url_filter": ("url_filter", None),
     "op8_warc": ("warc", "OP8_SQL"),
     "op9_decontaminate": ("decontaminate", "OP9_SQL"),
     "op10_pii": ("pii", None),
