@@ -8,6 +8,7 @@ _MODULES = {
     "op5_quality_lines": ("quality_lines", "OP5_SQL"),
     "op1_secrets": ("secret_scan", "OP1_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
+    "op4_html": ("html_blocks", None),
     "op6_token_files": ("token_files", None),
     "op7_url_filter": ("url_filter", None),
     "op8_warc": ("warc", "OP8_SQL"),
