@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op5_quality_lines": ("quality_lines", "OP5_SQL"),
     "op1_secrets": ("secret_scan", "OP1_SQL"),
+    "op2_near_copies": ("near_copies", "OP2_SQL"),
     "op3_mixing": ("mixing", "OP3_SQL"),
     "op4_html": ("html_blocks", None),
     "op6_token_files": ("token_files", None),
