@@ -69,6 +69,12 @@ def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return _arrow_schema(df.sparkSession, schema)
 
 
+def arrow_schema_of(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
+
+
 def batch_of(rows: Sequence[tuple], fields: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     arrays = [pa.array(column, type=field.type) for column, field in zip(columns, fields)]

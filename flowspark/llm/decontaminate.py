@@ -194,6 +194,18 @@ def _rarity(docs: DataFrame, text_col: str, items: list, window: int) -> dict[in
     return {int(np.int64(r["shingle"]).astype(np.uint64)): r["n"] for r in counts.toLocalIterator()}
 
 
+def _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes) -> list:
+    """An index of each slice of the items, broadcast."""
+    prepared(docs.sparkSession)
+    source = items.select(F.col(item_col).cast("string").alias("_id"), F.col(item_text).alias("_text")).filter(
+        F.col("_text").isNotNull()
+    )
+    return [
+        docs.sparkSession.sparkContext.broadcast(Index(part, window, _rarity(docs, text_col, part, window)))
+        for part in _slices(source, slice_bytes)
+    ]
+
+
 def find_passages(
     docs: DataFrame,
     items: DataFrame,
@@ -220,15 +232,8 @@ def find_passages(
     under several ids count under each; an item with a NULL id is hit but not
     listed. Repeated documents each give a row. With no items nothing is hit.
     """
-    prepared(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
-    source = items.select(F.col(item_col).cast("string").alias("_id"), F.col(item_text).alias("_text")).filter(
-        F.col("_text").isNotNull()
-    )
-    broadcasts = [
-        docs.sparkSession.sparkContext.broadcast(Index(part, window, _rarity(docs, text_col, part, window)))
-        for part in _slices(source, slice_bytes)
-    ]
+    broadcasts = _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes)
     measures = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
     def result(key, n_words, ranges, found):
@@ -290,6 +295,28 @@ def _in_slices(docs, id_col, text_col, broadcasts, result, measures) -> DataFram
     )
 
 
+def without_passages(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of an item."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = pc.cast(batch.column(at), pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not index.value.hits(words_of(t))[0] for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_passages(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import sys
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm.common import map_rows, table
+from flowspark.llm.common import arrow_schema_of, map_rows, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,6 +147,28 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(docs, [id_col, text_col], rows, f"`{id_col}` {id_type}, {FIELDS}")
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of `docs` that are kept, all columns, with the cleaned text and its size in `size_col` if there is one.
+
+    Rejected rows go; the texts of the others lose their failing lines.
+    """
+    fields = pa.schema([(f.name, f.type) for f in arrow_schema_of(docs)])
+    at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = [judge(text) for text in batch.column(at).to_pylist()]
+            stays = pa.array([j[6] for j in judged], pa.bool_())
+            columns = list(batch.columns)
+            columns[at] = pa.array([j[-1] for j in judged], fields.field(at).type)
+            if size_at is not None:
+                changed = pa.array([len(j[-1]) if j[8] else None for j in judged], fields.field(size_at).type)
+                columns[size_at] = pc.coalesce(changed, columns[size_at])
+            yield pa.RecordBatch.from_arrays(columns, schema=fields).filter(stays)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 RESULT = [
     "doc_id",
     "n_words",
