@@ -9,6 +9,7 @@ import re
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,10 @@ FILE_BYTES = 64 << 20
 LONGEST_CODE = 18
 MAGIC = b"FLOWTOK1"
 # Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
-# Fixed by the vocabulary file: how it parts words. Only for text matching _SIMPLE.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Fixed by the vocabulary file: how it parts words of printable ASCII and Latin-1 letters.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,7 +67,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         state = json.loads(self.tokenizer.to_str())
         steps = [s["type"] for s in (state["normalizer"] or {}).get("normalizers", [])]
@@ -80,19 +80,22 @@ class WordIds(dict):
         if len(self.pieces) >= CACHED_WORDS:
             self.pieces.clear()
         text = word.decode()
-        if self.by_piece and _SIMPLE.match(text) and "<|" not in text:
-            ids = [i for piece in _PIECES.findall(text.lower()) for i in self._piece(piece)]
+        small = text.lower()
+        pieces = _PIECES.findall(small) if self.by_piece and "<|" not in text else ()
+        # Pieces that leave something out, or a letter that became two: no plain Latin word.
+        if len("".join(pieces)) == len(small) == len(text):
+            found = b"".join(map(self._piece, pieces))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[word] = found = np.array(ids, self.dtype).tobytes()
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[word] = found
         return found
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            raw = piece.encode()
-            mapped = piece if raw.isascii() else raw.decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            found = self.pieces[piece] = array(self.dtype.char, ids).tobytes()
         return found
 
     def encode(self, text: bytes | None) -> bytes:
