@@ -140,10 +140,10 @@ def rarity_table(docs: DataFrame, text_col: str, width: int) -> bytes:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, text_md5, n, class, prefix, bitmap) per document; documents with equal sets have equal classes."""
+    """(id, text_md5, n, set, prefix, bitmap) per document; equal sets have equal fingerprints `set`."""
     levels = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, text_col, width))
     id_type = dict(docs.dtypes)[id_col]
-    schema = f"id {id_type}, text_md5 string, n bigint, class binary, prefix array<bigint>, bitmap array<bigint>"
+    schema = f"id {id_type}, text_md5 string, n bigint, set binary, prefix array<bigint>, bitmap array<bigint>"
     fields = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,32 +187,59 @@ def common_bits(a: Column, b: Column) -> Column:
 # --- verification -------------------------------------------------------------------
 
 
-def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold, compared shingle by shingle.
+def document_slot(id_: Column, text_md5: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_, text_md5), 64 - RARITY_BITS)
 
-    Sets are made again from the texts of one document per class; each set
-    moves once per pair, its partner's not at all.
-    """
-    spark = docs.sparkSession
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(members, "class"), "wanted")
-    texts = (
-        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-        .join(wanted, F.equal_null(F.col("_id"), F.col("id")) & (F.md5("_text") == F.col("text_md5")))
-        .select("class", "_text")
+
+def slot_table(slots: DataFrame) -> bytes:
+    """A bit per slot, set for those of the column `slot`; 2 MB whatever their number."""
+    filled = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")
     )
-    fields = arrow_schema(docs, "class binary, shingles binary")
+    table_ = bytearray(1 << RARITY_BITS - 3)
+    for row in filled.toLocalIterator():
+        at = (row["bucket"] - 1) * 4096
+        table_[at : at + 4096] = row["bits"]
+    return bytes(table_)
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, shingles) of the documents in `wanted` (class, id, text_md5), made again from their texts.
+
+    Texts are not shuffled: a table of bits, of fixed size, tells each task
+    which of its documents may be wanted, and the join drops the few others.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(slot_table(wanted.select(document_slot(F.col("id"), F.col("text_md5")).alias("slot"))))
+    schema = f"_id {dict(docs.dtypes)[id_col]}, _md5 string, shingles binary"
+    fields = arrow_schema(docs, schema)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table_ = _WordHashes(), np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            texts_in = pc.cast(batch.column(1), pa.binary()).to_pylist()
-            rows = [(c, shingle_set(t, width, hashes).tobytes()) for c, t in zip(batch.column(0).to_pylist(), texts_in)]
-            yield batch_of(rows, fields)
+            slots = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((table_[slots >> 3] >> (slots & 7) & 1).astype(bool)))
+            texts = pc.cast(batch.column(3), pa.binary()).to_pylist()
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)
+            yield batch_of([(k, m, shingle_set(t, width, hashes).tobytes()) for k, m, t in keys], fields)
+
+    text = F.coalesce(text_col, F.lit(""))
+    named = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_md5"), text.alias("_text"))
+    slot = document_slot(F.col("_id"), F.col("_md5")).alias("_slot")
+    found = named.select("_id", "_md5", slot, "_text").mapInArrow(run, schema)
+    sets = written(
+        found.join(wanted, F.equal_null(F.col("_id"), F.col("id")) & (F.col("_md5") == F.col("text_md5"))).select("class", "shingles"), "sets"
+    )
+    # Only repeated rows can give a class twice.
+    return sets if sets.count() == wanted.count() else written(sets.dropDuplicates(["class"]), "sets")
+
 
-    sets = written(texts.mapInArrow(sets_of, "class binary, shingles binary"), "sets")
+def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, compared shingle by shingle."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(members, "class"), "wanted")
+    sets = sets_of(docs, id_col, text_col, wanted, width)
     left = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "left"}), "a")
     both = left.join(sets.withColumnsRenamed({"class": "b", "shingles": "right"}), "b")
-    found = arrow_schema(docs, "a binary, b binary")
+    found = arrow_schema(docs, "a bigint, b bigint")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +251,7 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, member
                     rows.append((a, b))
             yield batch_of(rows, found)
 
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a binary, b binary").distinct()
+    return both.select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,7 +261,8 @@ def components(links: DataFrame) -> DataFrame:
     chains halve each round; every round is written, which cuts the lineage.
     """
     both = written(links.union(links.select("b", "a")).toDF("class", "other").distinct(), "links")
-    labels = written(both.select("class").distinct().withColumn("component", F.col("class")), "labels")
+    labels = both.groupBy("class").agg(F.min("other").alias("least")).select("class", F.least("class", "least").alias("component"))
+    labels = written(labels, "labels")
     while True:
         near = (
             both.join(labels.withColumnsRenamed({"class": "other", "component": "theirs"}), "other")
@@ -256,54 +284,68 @@ def components(links: DataFrame) -> DataFrame:
 # --- the join -----------------------------------------------------------------------
 
 
-def first_pairs(postings: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def first_pairs(held: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Each class with the first class of each shingle that it shares: as many pairs as postings, not their square."""
-    return (
-        postings.join(shared.select("shingle", "first"), "shingle")
-        .filter((F.col("class") != F.col("first.class")) & similar_sizes(F.col("n"), F.col("first.n"), percent))
-        .select(F.col("class").alias("a"), F.col("first.class").alias("b"))
-        .distinct()
-    )
+    first = held.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("first"))
+    apart = (F.col("class") != F.col("first.class")) & similar_sizes(F.col("n"), F.col("first.n"), percent)
+    pairs = held.join(first, "shingle").filter(apart).select(F.col("class").alias("a"), F.col("first.class").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(bitmaps.select(*[F.col(c).alias(side if c == "class" else f"{side}_{c}") for c in bitmaps.columns]), side)
+    return pairs.filter(_pair_may_reach(percent)).select("a", "b")
+
+
+def _pair_may_reach(percent: int) -> Column:
+    col = F.col
+    bits = common_bits(col("a_bitmap"), col("b_bitmap"))
+    reach = may_reach(bits, col("a_slack"), col("b_slack"), col("a_n"), col("b_n"), percent)
+    return similar_sizes(col("a_n"), col("b_n"), percent) & reach
 
 
 def tree_pairs(postings: DataFrame, groups: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes from different groups that the signature trees cannot rule out.
 
-    Root: a shingle whose classes lie in several groups. Below it: size ranges,
-    each as wide as the threshold, so that partners lie in one range or the
-    next. Below that: leaves of about LEAF classes, those of a large group
-    apart. A node has the OR of its bitmaps, its size range, its largest slack
-    and its group if it is a single one. Pairs of ranges, then of leaves, then
+    Root: a shingle. Below it: size ranges as wide as the threshold, each with
+    the next smaller one, so that partners meet in one; a range stays if it has
+    classes of several groups. Below that: leaves of about LEAF classes, those
+    of a large group apart. A node has the OR of its bitmaps, its size range,
+    its largest slack and its group if it is a single one. Pairs of leaves, then
     of classes are followed down as long as both are not of one group, their
     sizes fit and their possible overlap is enough.
     """
     grouped = postings.join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    ranges = grouped.withColumn("band", band).withColumn("range", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    # Near copies share many shingles: of ranges above the same classes one is enough.
+    prints = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"print{k}") for k in (1, 2)]
     apart = (
-        grouped.groupBy("shingle")
-        .agg(F.min("group").alias("low"), F.max("group").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-        .select("shingle")
+        ranges.groupBy("shingle", "range")
+        .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("band").alias("top"), F.count(F.lit(1)).alias("size"), *prints)
+        .filter((F.col("low") != F.col("high")) & (F.col("top") == F.col("range")))
+        .groupBy("range", "size", "print1", "print2")
+        .agg(F.min("shingle").alias("shingle"))
+        .select("shingle", "range")
     )
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    members = written(grouped.join(apart, "shingle").withColumn("band", band), "members")
-    in_group = members.groupBy("shingle", "band", "group").agg(F.count(F.lit(1)).alias("of_group"))
-    in_band = in_group.groupBy("shingle", "band").agg(F.sum("of_group").alias("of_band"))
+    root = ["shingle", "range"]
+    members = written(ranges.join(written(apart, "ranges"), root), "members")
+    in_group = members.groupBy(*root, "group").agg(F.count(F.lit(1)).alias("of_group"))
+    in_range = in_group.groupBy(*root).agg(F.sum("of_group").alias("of_range"))
     # A group that fills leaves of its own is parted by class, the others share leaves by group.
     leaf = F.when(
         F.col("of_group") >= LEAF,
-        F.concat_ws(":", F.hex("group"), F.pmod(F.xxhash64("class"), F.ceil(F.col("of_group") / LEAF))),
-    ).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("of_band") / LEAF)).cast("string"))
+        F.concat_ws(":", F.col("group").cast("string"), F.pmod(F.xxhash64("class"), F.ceil(F.col("of_group") / LEAF))),
+    ).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("of_range") / LEAF)).cast("string"))
     placed = written(
-        members.join(in_group, ["shingle", "band", "group"])
-        .join(in_band, ["shingle", "band"])
+        members.join(in_group, [*root, "group"])
+        .join(in_range, root)
         .withColumn("leaf", leaf)
-        .select("shingle", "band", "leaf", "group", "class", "n")
-        .join(bitmaps, "class"),
+        .select(*root, "band", "leaf", "group", "class", "n")
+        .join(bitmaps.drop("n"), "class"),
         "leaves",
     )
     bits = [F.bit_or(F.col("bitmap")[k]).alias(f"w{k}") for k in range(BITMAP_WORDS)]
+    node = ["leaf", "least", "most", "slack", "low", "high"]
     leaves = written(
-        placed.groupBy("shingle", "band", "leaf")
+        placed.groupBy(*root, "leaf")
         .agg(
             F.min("n").alias("least"),
             F.max("n").alias("most"),
@@ -312,72 +354,74 @@ def tree_pairs(postings: DataFrame, groups: DataFrame, bitmaps: DataFrame, perce
             F.max("group").alias("high"),
             *bits,
         )
-        .select("shingle", "band", "leaf", "least", "most", "slack", "low", "high", F.array(*[f"w{k}" for k in range(BITMAP_WORDS)]).alias("bits")),
+        .select(*root, *node, F.array(*[f"w{k}" for k in range(BITMAP_WORDS)]).alias("bits")),
         "nodes",
     )
-    one = leaves.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("next"), *[F.col(c).alias(f"a_{c}") for c in leaves.columns[1:]])
-    two = leaves.select("shingle", F.col("band").alias("next"), *[F.col(c).alias(f"b_{c}") for c in leaves.columns[1:]])
-    one_group = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
-    sizes_fit = (100 * F.col("a_most") >= percent * F.col("b_least")) & (100 * F.col("b_most") >= percent * F.col("a_least"))
-    node_pairs = one.join(
-        two,
-        (one["shingle"] == two["shingle"])
-        & (one["next"] == two["next"])
-        & ((F.col("a_band") < F.col("b_band")) | (F.col("a_leaf") <= F.col("b_leaf")))
-        & ~one_group
-        & sizes_fit
-        & may_reach(common_bits(F.col("a_bits"), F.col("b_bits")), F.col("a_slack"), F.col("b_slack"), F.col("a_least"), F.col("b_least"), percent),
-    ).select(one["shingle"], "a_band", "a_leaf", "b_band", "b_leaf")
-
-    def side(name: str) -> DataFrame:
-        return placed.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in placed.columns if c != "shingle"])
-
-    same_leaf = (F.col("a_band") == F.col("b_band")) & (F.col("a_leaf") == F.col("b_leaf"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*root, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in root])
+
+    col = F.col
+    one_group = (col("a_low") == col("a_high")) & (col("b_low") == col("b_high")) & (col("a_low") == col("b_low"))
+    sizes_fit = (100 * col("a_most") >= percent * col("b_least")) & (100 * col("b_most") >= percent * col("a_least"))
+    bits_fit = may_reach(common_bits(col("a_bits"), col("b_bits")), col("a_slack"), col("b_slack"), col("a_least"), col("b_least"), percent)
+    node_pairs = (
+        side(leaves, "a")
+        .join(side(leaves, "b"), root)
+        .filter((col("a_leaf") <= col("b_leaf")) & ~one_group & sizes_fit & bits_fit)
+        .select(*root, "a_leaf", "b_leaf")
+    )
+    # Two classes meet in the range of the larger one; those of one leaf are a pair once.
+    meets = (col("a_band") == col("range")) | (col("b_band") == col("range"))
+    once = (col("a_leaf") != col("b_leaf")) | (col("a_class") < col("b_class"))
     return (
         written(node_pairs, "node-pairs")
-        .join(side("a"), ["shingle", "a_band", "a_leaf"])
-        .join(side("b"), ["shingle", "b_band", "b_leaf"])
-        .filter(
-            (F.col("a_group") != F.col("b_group"))
-            & (~same_leaf | (F.col("a_class") < F.col("b_class")))
-            & similar_sizes(F.col("a_n"), F.col("b_n"), percent)
-            & may_reach(common_bits(F.col("a_bitmap"), F.col("b_bitmap")), F.col("a_slack"), F.col("b_slack"), F.col("a_n"), F.col("b_n"), percent)
-        )
+        .join(side(placed, "a"), [*root, "a_leaf"])
+        .join(side(placed, "b"), [*root, "b_leaf"])
+        .filter((col("a_group") != col("b_group")) & once & meets & _pair_may_reach(percent))
         .select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
         .distinct()
     )
 
 
 def group_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, text_md5, n, class, component) per document; component is that of linked classes, NULL without words."""
+    """(id, text_md5, n, component) per document; NULL without words."""
     prepared(docs.sparkSession)
-    rows = written(features(docs, id_col, text_col, width, percent), "features")
+    rows = written(
+        features(docs, id_col, text_col, width, percent).withColumn("row", F.monotonically_increasing_id()), "features"
+    )
     sets = rows.filter("n > 0")
-    # One document stands for all that have its set.
+    # One document stands for all that have its set; from here on a class is a number.
+    least = F.min(F.struct("id", "text_md5", "row")).alias("_one")
     members = written(
-        sets.groupBy("class").agg(F.min(F.struct("id", "text_md5")).alias("_one")).select("class", "_one.id", "_one.text_md5"), "classes"
+        sets.groupBy("set").agg(least).select("set", "_one.*").withColumn("class", F.monotonically_increasing_id()), "classes"
     )
-    shown = sets.join(members, (sets["class"] == members["class"]) & sets["id"].eqNullSafe(members["id"]) & (sets["text_md5"] == members["text_md5"]))
-    shown = shown.select(sets["class"], "n", "prefix")
-    postings = shown.select("class", "n", F.explode("prefix").alias("shingle"))
+    slack = F.col("n") - F.aggregate("bitmap", F.lit(0), lambda s, x: s + F.bit_count(x))
+    shown = written(
+        sets.select("row", "n", "prefix", "bitmap").join(members.select("row", "class"), "row").select(
+            "class", "n", "prefix", "bitmap", slack.alias("slack")
+        ),
+        "prefixes",
+    )
+    classes, members = members.select("set", "class"), members.select("class", "id", "text_md5")
+    bitmaps = shown.select("class", "n", "bitmap", "slack")
+    postings = shown.select(F.explode("prefix").alias("shingle"), "class", "n")
     shared = written(
         postings.groupBy("shingle")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("class", "n")).alias("first"))
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
         .filter(F.col("low") != F.col("high"))
-        .select("shingle", "first"),
+        .select("shingle"),
         "shared",
     )
-    held = written(postings.join(shared.select("shingle"), "shingle").select("shingle", "class", "n"), "postings")
-    links = written(linked(written(first_pairs(held, shared, percent), "pairs"), docs, id_col, text_col, members, width, percent), "found")
+    held = written(postings.join(shared, "shingle").select("shingle", "class", "n"), "postings")
+    links = written(linked(written(first_pairs(held, bitmaps, percent), "pairs"), docs, id_col, text_col, members, width, percent), "found")
     groups = components(links)
-    slack = F.col("n") - F.aggregate("bitmap", F.lit(0), lambda s, x: s + F.bit_count(x))
-    bitmaps = sets.select("class", "bitmap", slack.alias("slack")).join(held.select("class").distinct(), "class").dropDuplicates(["class"])
     more = written(tree_pairs(held, groups, bitmaps, percent), "pairs")
     if not more.isEmpty():
         found = written(linked(more, docs, id_col, text_col, members, width, percent), "found")
         groups = components(links.unionByName(found))
-    named = rows.select("id", "text_md5", "n", "class").join(groups, "class", "left")
-    return named.withColumn("component", F.coalesce("component", "class"))
+    named = rows.select("id", "text_md5", "n", "set").join(written(classes.join(groups, "class", "left"), "named"), "set", "left")
+    return named.select("id", "text_md5", "n", F.coalesce("component", "class").alias("component"))
 
 
 def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
