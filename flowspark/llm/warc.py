@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import os
@@ -11,11 +12,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowspark.llm.common import (
     arrow_schema,
@@ -31,7 +34,10 @@ from flowspark.llm.common import (
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
+KEY = ("page_id", "url", "_sha1")
+# A range holds so much html at least; so many ranges are named to all tasks at most.
+RANGE_BYTES, MOST_RANGES = 1 << 20, 10_000
 MIN_PAYLOAD = 0
 # Pages carry no fetch time, and reruns must agree.
 DATE = "1970-01-01T00:00:00Z"
@@ -121,6 +127,49 @@ def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pa
     )
 
 
+def sort_key(page_id: str | None, url: str | None, sha1: str) -> tuple:
+    """Orders as Spark does: NULL first, numbers by value, text by code point."""
+    number = page_id is not None and page_id.lstrip("-").isdigit()
+    return page_id is not None, (int(page_id), "") if number else (0, page_id or ""), url is not None, url or "", sha1
+
+
+def range_begins(keys: DataFrame, range_bytes: int) -> list[tuple]:
+    """The first key of each range but the first, from (page_id, url, _sha1, size); at most MOST_RANGES of them."""
+    parts = written(range_sorted(keys, KEY), "keys")
+    before = sizes_before(parts, "_part", "size", "_before")
+    inside = F.sum("size").over(Window.partitionBy("_part").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1))
+    # One row per range of the sort, so at most as many as there are shuffle partitions.
+    placed = parts.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.coalesce(inside, F.lit(0)))
+    whole = placed.agg(F.sum("size")).first()[0] or 0
+    width = max(range_bytes, -(-whole // MOST_RANGES))
+    named = [F.col("page_id").cast("string").alias("id"), "url", "_sha1"]
+    firsts = placed.groupBy(F.floor(F.col("_at") / width).alias("range")).agg(F.min_by(F.struct(*named), F.col("_at")).alias("key"))
+    return sorted(sort_key(*r["key"]) for r in firsts.filter("range > 0").collect())
+
+
+class ArchiveFile:
+    """A file under a temporary name, and what its manifest row says of it."""
+
+    def __init__(self, folder: str, part: int, number: int):
+        self.file = f"{folder}/pages-{part:06d}-{number:05d}.warc.gz"
+        self.temporary = f"{folder}/.{part:06d}-{number:05d}-{uuid.uuid4().hex}.tmp"
+        fs, path = file_system(self.temporary)
+        fs.create_dir(os.path.dirname(path), recursive=True)
+        self.out = fs.open_output_stream(path, compression=None)
+        self.records = self.bytes = 0
+        self.digest = hashlib.sha256()
+
+    def add(self, member: bytes) -> None:
+        self.out.write(member)
+        self.digest.update(member)
+        self.records += 1
+        self.bytes += len(member)
+
+    def close(self) -> tuple[str, str, int, int, str]:
+        self.out.close()
+        return self.temporary, self.file, self.records, self.bytes, self.digest.hexdigest()
+
+
 def write_warc(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -128,34 +177,44 @@ def write_warc(
     html_col: str = "html",
     file_bytes: int = FILE_BYTES,
     min_payload: int = MIN_PAYLOAD,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Write every row as a record and return the manifest: file, records, bytes, sha256.
 
-    Records are sorted by id, url and payload. A record's place in the
-    compressed whole decides its file, so files, names and bytes do not depend
-    on partitions or reruns. Each is written under a temporary name; the
-    manifest row of the attempt that Spark kept names it, and a second job
-    renames it; readers go by the manifest.
+    Records are sorted by id, url and payload and cut into ranges of about
+    `range_bytes` of html, more where they would be too many; within a range a new file begins once `file_bytes`
+    are written. Ranges follow from exact sums over the sorted pages, so files,
+    names and bytes do not depend on partitions or reruns. Each file is written
+    under a temporary name; the manifest row of the attempt that Spark kept
+    names it, and a second job renames it; readers go by the manifest.
 
     Rows with equal payloads of at least `min_payload` bytes: that with the
     largest (id, url), NULL smallest, is the response, also the first of fully
     equal rows; the others revisit it. NULL html is an empty payload, NULL ids
     and urls are left out of the headers. An empty table gives no file.
     """
-    prepared(pages.sparkSession)
+    spark = prepared(pages.sparkSession)
     first = written(responses(pages, id_col, url_col, html_col, min_payload), "responses")
     payload = F.coalesce(html_col, F.lit(""))
-    plain = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"), F.sha1(payload).alias("_sha1")
-    ).join(first, "_sha1", "left")
-    ordered = range_sorted(plain.select("page_id", "url", "_sha1", "html", "_first"), ["page_id", "url", "_sha1"])
-    schema = "part int, record_end bigint, size bigint, member binary"
-    fields = arrow_schema(pages, schema)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, repeat, end = None, 0, 0
+    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha1(payload).alias("_sha1"), payload.alias("html"))
+    begins = spark.sparkContext.broadcast(range_begins(named.select(*KEY, F.octet_length("html").alias("size")), range_bytes))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series, urls: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(begins.value, sort_key(*key)) for key in zip(ids, urls, digests)], dtype="int32")
+
+    # A whole number would become a float, and so lose digits, where ids are missing.
+    ranges = range_of(F.col("page_id").cast("string"), "url", "_sha1").alias("range")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = named.join(first, "_sha1", "left").select(*KEY, "html", "_first", ranges)
+    ordered = placed.repartition(spread, "range").sortWithinPartitions("range", *KEY)
+    folder = new_folder(spark, "warc")
+    listed = "range int, number int, temporary string, file string, records bigint, bytes bigint, sha256 string"
+    list_fields = arrow_schema(pages, listed)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, before, repeat, place = None, None, 0, (None, 0)
         for batch in batches:
-            rows, held = [], 0
             columns = [c.to_pylist() for c in batch.columns[:3]]
             htmls = pc.cast(batch.column(3), pa.binary()).to_pylist()
             for page_id, url, sha1, html, chosen, part in zip(*columns, htmls, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
@@ -165,56 +224,17 @@ def write_warc(
                 revisited = None
                 if chosen and ((chosen["page_id"], chosen["url"]) != (page_id, url) or repeat):
                     revisited = (chosen["page_id"], chosen["url"])
-                member = record(page_id, url, html, repeat, revisited)
-                end += len(member)
-                held += len(member)
-                rows.append((part, end, len(member), member))
-                if held > 8 << 20:
-                    yield batch_of(rows, fields)
-                    rows, held = [], 0
-            yield batch_of(rows, fields)
-
-    members = written(ordered.mapInArrow(build, schema), "records")
-    before = sizes_before(members, "part", "size", "_before")
-    # One row per range of the sort, so at most as many as there are shuffle partitions.
-    placed = members.join(F.broadcast(before), "part").withColumn("_end", F.col("_before") + F.col("record_end"))
-    placed = placed.withColumn("_file", F.floor((F.col("_end") - F.col("size")) / file_bytes).cast("bigint"))
-    folder = new_folder(pages.sparkSession, "warc")
-    listed = "number bigint, temporary string, file string, records bigint, bytes bigint, sha256 string"
-    list_fields = arrow_schema(pages, listed)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, out = None, None
-        for batch in batches:
-            for file, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if file != number:
-                    if out:
-                        yield batch_of([finish()], list_fields)
-                    number, count, size, digest = file, 0, 0, hashlib.sha256()
-                    temporary = f"{folder}/.{number:09d}-{uuid.uuid4().hex}.tmp"
-                    fs, path = file_system(temporary)
-                    fs.create_dir(os.path.dirname(path), recursive=True)
-                    out = fs.open_output_stream(path, compression=None)
-
-                    def finish():
-                        out.close()
-                        return number, temporary, f"{folder}/pages-{number:09d}.warc.gz", count, size, digest.hexdigest()
-
-                out.write(member)
-                digest.update(member)
-                count, size = count + 1, size + len(member)
+                if out and (part != place[0] or out.bytes >= file_bytes):
+                    yield batch_of([(*place, *out.close())], list_fields)
+                    out = None
+                if not out:
+                    place = (part, place[1] + 1 if part == place[0] else 0)
+                    out = ArchiveFile(folder, *place)
+                out.add(record(page_id, url, html, repeat, revisited))
         if out:
-            yield batch_of([finish()], list_fields)
-
-    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = written(
-        placed.select("_file", "_end", "member")
-        .repartition(spread, "_file")
-        .sortWithinPartitions("_file", "_end")
-        .select("_file", "member")
-        .mapInArrow(write, listed),
-        "attempts",
-    )
+            yield batch_of([(*place, *out.close())], list_fields)
+
+    files = written(ordered.mapInArrow(write, listed), "attempts")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +245,10 @@ def write_warc(
                     fs.move(temporary, final)
                 if fs.get_file_info(final).size != row["bytes"]:
                     raise ValueError(f"{final} is not the file of its manifest row")
-            yield batch.select(["number", "file", "records", "bytes", "sha256"])
+            yield batch.select(["range", "number", "file", "records", "bytes", "sha256"])
 
-    return written(files.repartition(spread, "number").mapInArrow(commit, "number bigint, file string, records bigint, bytes bigint, sha256 string"), "archive")
+    kept = "range int, number int, file string, records bigint, bytes bigint, sha256 string"
+    return written(files.repartition(spread, "range", "number").mapInArrow(commit, kept), "archive")
 
 
 def read_warc(manifest: DataFrame, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:

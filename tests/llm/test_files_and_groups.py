@@ -169,12 +169,12 @@ def _pages():
 @pytest.mark.parametrize("least", [0, 12])
 def test_archives_against_plain(spark, least):
     pages = spark.createDataFrame(_pages(), "page_id bigint, url string, html string").withColumn("part", common.F.lit(1)).repartition(4)
-    archive = write_warc(pages, file_bytes=4_000, min_payload=least)
-    assert archive.count() > 3
+    archive = write_warc(pages, file_bytes=4_000, min_payload=least, range_bytes=30_000)
+    assert archive.count() > 3 and archive.select("range").distinct().count() > 2
     found = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_warc(archive).collect()}
     assert found == plain.archive([(k, h) for k, _, h in _pages()], least)
-    again = write_warc(pages.repartition(2), file_bytes=4_000, min_payload=least)
-    assert of(again, ["number", "records", "bytes", "sha256"]) == of(archive, ["number", "records", "bytes", "sha256"])
+    again = write_warc(pages.repartition(2), file_bytes=4_000, min_payload=least, range_bytes=30_000)
+    assert of(again, ["range", "number", "records", "bytes", "sha256"]) == of(archive, ["range", "number", "records", "bytes", "sha256"])
     texts = {r.page_id: r.payload for r in read_warc(archive, with_payload=True).filter("record_type = 'response'").collect()}
     assert texts[202] == b"z" * 300_000
 
