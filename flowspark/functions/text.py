@@ -10,6 +10,7 @@ from flowspark.functions.scale import top_per_group
 
 # Fixed value: an IPv4-shaped token; octets are not range-checked.
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+WORD = r"[\p{L}\p{M}\p{N}_]+(?:\.[\p{L}\p{M}\p{N}_]+)*"
 
 
 def extract_ips(text: Column) -> Column:
@@ -29,8 +30,8 @@ def similarity_of(distance: Column) -> Column:
 
 
 def all_tokens(text: Column) -> Column:
-    """Lower-case word and number tokens in order, repeats kept; dotted addresses stay whole."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*"), F.lit(0))
+    """Lower-case words and numbers of any language in order, repeats kept; dotted addresses stay whole."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

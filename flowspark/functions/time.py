@@ -1,5 +1,7 @@
 """Microsecond time helpers."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,13 @@ def cell_of(column: str, width: int) -> Column:
     return F.expr(f"({column} - pmod({column}, {int(width)}L)) div {int(width)}L")
 
 
-def time_order() -> Column:
-    """(ts_us, line_no) as one number of fixed width, so that `min_by` can aggregate by hash."""
-    shifted = F.col("ts_us").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
-    return (shifted + F.col("line_no").cast("decimal(19,0)")).cast("decimal(38,0)")
+def record_order(columns: Sequence[str]) -> Column:
+    """Place of a record in its log: its line, or (time, uid) behind all lines where it has none.
+
+    Line and time are one number of fixed width, so that `min_by` can aggregate
+    by hash where there is no uid to tell equal times apart.
+    """
+    line = F.col("line_no") if "line_no" in columns else F.lit(None).cast("bigint")
+    behind = F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("ts_us").cast("decimal(19,0)")
+    place = F.coalesce(line.cast("decimal(38,0)"), behind.cast("decimal(38,0)"))
+    return F.struct(place.alias("place"), F.when(line.isNull(), F.col("uid")).alias("uid")) if "uid" in columns else place

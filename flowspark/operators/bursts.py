@@ -34,6 +34,7 @@ from flowspark.session import cut_lineage
 
 # Cells are joined into spans so that only one cell in this many is held twice.
 CELLS_PER_SPAN = 64
+# Peers named in an alert; None names all.
 SAMPLE_SIZE = 10
 
 
@@ -81,12 +82,18 @@ def ping_burst(
 
 
 def _describe(
-    rows: DataFrame, keys: Sequence[str], peer: str, states: Iterable[str], prefix: str, *first: Column
+    rows: DataFrame,
+    keys: Sequence[str],
+    peer: str,
+    states: Iterable[str],
+    prefix: str,
+    *first: Column,
+    sample_size: int | None = SAMPLE_SIZE,
 ) -> DataFrame:
     """Counts, states, times and the first peers of each key's rows.
 
     Rows are first aggregated per (key, peer), which spreads a hot key over all
-    tasks; the peer sample then needs at most ten rows per key and task. The
+    tasks; the peer sample then needs at most `sample_size` rows per key and task. The
     sample carries whole rows, so that both branches read the same shuffle.
     Everything but `first` (aggregates of a key's first row) is of fixed width,
     so Spark aggregates by hash instead of sorting all rows.
@@ -110,7 +117,7 @@ def _describe(
         *[F.min(c).alias(c) for c in first_names],
     )
     sample = (
-        top_per_group(per_peer, keys, [peer], SAMPLE_SIZE)
+        (per_peer if sample_size is None else top_per_group(per_peer, keys, [peer], sample_size))
         .groupBy(*keys)
         .agg(F.collect_list(F.struct(peer, *[c for c in per_peer.columns if c.startswith("_")])).alias("_rows"))
         .select(*keys, F.array_sort(F.transform("_rows", lambda r: r[peer])).alias(f"{prefix}_ips"))
@@ -134,8 +141,9 @@ def syn_many_to_one(
     window_us: int = 20 * SECOND,
     keys: Sequence[str] = ("dst_ip",),
     states: Iterable[str] = filters.FLOOD_STATES,
+    sample_size: int | None = SAMPLE_SIZE,
 ) -> DataFrame:
-    """First dense forward window per target, described in full."""
+    """First dense forward window per target, with its first `sample_size` sources (None: all)."""
     rows = filters.half_open(flows, states).select(
         *keys, "src_ip", "dst_port", "conn_state", "ts_us", "line_no", cell_of("ts_us", window_us).alias("_cell")
     )
@@ -148,7 +156,7 @@ def syn_many_to_one(
         F.col("ts_us").between(F.col("_from"), F.col("_from") + window_us)
     )
     first_row = F.min(F.struct("ts_us", "line_no", "dst_port")).alias("_first")
-    found = _describe(inside, keys, "src_ip", states, "source", first_row)
+    found = _describe(inside, keys, "src_ip", states, "source", first_row, sample_size=sample_size)
     return found.withColumns(
         {"first_port": F.col("_first.dst_port"), "attack_type": filters.syn_alert_type(F.col("source_count"))}
     ).drop("_first")
@@ -160,9 +168,10 @@ def syn_one_to_many(
     spread: int = 3,
     keys: Sequence[str] = ("src_ip",),
     states: Iterable[str] = filters.FLOOD_STATES,
+    sample_size: int | None = SAMPLE_SIZE,
 ) -> DataFrame:
     """Sources with many half-open rows to at least `spread` targets; no time window."""
-    found = _describe(filters.half_open(flows, states), keys, "dst_ip", states, "target")
+    found = _describe(filters.half_open(flows, states), keys, "dst_ip", states, "target", sample_size=sample_size)
     return found.filter((F.col("syn_count") >= threshold) & (F.col("target_count") >= spread)).withColumn(
         "attack_type", F.lit(filters.SCAN_ALERT)
     )
@@ -232,6 +241,31 @@ def first_spread_window(
     return seen.filter(hit).groupBy(*keys).agg(F.min(F.struct("ts_us", "line_no")).alias("_hit"))
 
 
+def _spread_rows(flows: DataFrame, pattern: str, window_us: int, keys: Sequence[str]) -> tuple[DataFrame, list[str], str]:
+    """Echo rows of a pattern in cells, what they are grouped by, and the peer column.
+
+    Rows without a line number are told apart by their time alone.
+    """
+    hub, peer = {"many_to_one": ("dst_ip", "src_ip"), "one_to_many": ("src_ip", "dst_ip")}[pattern]
+    by = [*keys, hub]
+    line = F.coalesce("line_no", "ts_us").alias("line_no")
+    return filters.echo_by_pair(flows).select(*by, peer, "ts_us", line, cell_of("ts_us", window_us).alias("_cell")), by, peer
+
+
+def flood_counts(
+    flows: DataFrame,
+    pattern: str,
+    threshold: int = 10,
+    peers: int = 3,
+    window_us: int = 20 * SECOND,
+    keys: Sequence[str] = ("log_name",),
+) -> DataFrame:
+    """How many ping floods `labelled_floods` finds per log, without describing them."""
+    rows, by, peer = _spread_rows(flows, pattern, window_us, keys)
+    hits = first_spread_window(rows, by, peer, threshold, peers, window_us)
+    return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias(pattern))
+
+
 def labelled_floods(
     flows: DataFrame,
     pattern: str,
@@ -245,9 +279,7 @@ def labelled_floods(
     The address list is whole: at its first hit a window has at most
     `max(threshold, peers)` peers. Pass `keys=()` to look across log borders.
     """
-    hub, peer = {"many_to_one": ("dst_ip", "src_ip"), "one_to_many": ("src_ip", "dst_ip")}[pattern]
-    by = [*keys, hub]
-    rows = filters.echo_by_pair(flows).select(*by, peer, "ts_us", "line_no", cell_of("ts_us", window_us).alias("_cell"))
+    rows, by, peer = _spread_rows(flows, pattern, window_us, keys)
     hits = first_spread_window(rows, by, peer, threshold, peers, window_us)
     last_cell = cell_of("_hit.ts_us", window_us)
     wanted = hits.select(*by, "_hit", F.explode(F.array(last_cell - 1, last_cell)).alias("_cell"))

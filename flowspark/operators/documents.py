@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowspark.functions import alert_text
-from flowspark.functions.scale import bucketed_row_number, hash_bucket
+from flowspark.functions.scale import bucketed_row_number, hash_bucket, top_per_group
 from flowspark.functions.time import SECOND, display_time
 from flowspark.operators import bursts, profile
 
@@ -74,59 +77,70 @@ def taxonomy_docs(groups: DataFrame) -> DataFrame:
 
 
 def unique_doc_ids(
-    new: DataFrame, existing: DataFrame, base: str = "doc_id", order: str = "row_no", bucket_width: int = 1 << 20
+    new: DataFrame,
+    existing: DataFrame,
+    base: str = "doc_id",
+    order: str | Sequence[str] = "row_no",
+    bucket_width: int = 1 << 20,
 ) -> DataFrame:
     """Collision-free ids: the k-th repeat of a base id takes its k-th free suffix.
 
     No suffix comes first, then `_1`, `_2` ... Suffixes used by `existing` are
-    skipped. With taken suffixes t0 < t1 < ..., the k-th free one is k plus the
-    number of j with t_j - j <= k, so sorted runs of the two meet in one join.
+    skipped, and those that make another base id of `new`. With taken suffixes
+    t0 < t1 < ..., the k-th free one is k plus the number of j with t_j - j <= k.
+    Rows and runs of taken suffixes meet in buckets of numbers, so a base with
+    any number of rows and runs is spread over tasks. `order` begins with a
+    number where one base id may have many rows.
     """
-    numbered = bucketed_row_number(
-        new, "_k", F.floor(F.col(order) / bucket_width).cast("bigint"), [order], [base]
-    ).withColumn("_k", F.col("_k") - 1)
+    order = [order] if isinstance(order, str) else list(order)
+    cell = F.floor(F.col(order[0]) / bucket_width).cast("bigint") if dict(new.dtypes)[order[0]] != "string" else F.lit(0)
+    numbered = bucketed_row_number(new, "_k", cell, order, [base]).withColumn("_k", F.col("_k") - 1)
     bases = new.select(F.col(base).alias("_base")).distinct()
     # Numbers without leading zeros only: "x_01" is nobody's suffix form.
-    parts = existing.select(
-        F.col("doc_id").alias("_own"),
-        F.regexp_extract("doc_id", r"^(.*)_([1-9]\d*)$", 1).alias("_stem"),
-        F.expr("try_cast(regexp_extract(doc_id, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT)").alias("_n"),
-    )
     taken = (
-        parts.select(F.col("_own").alias("_base"), F.lit(0).cast("bigint").alias("_n"))
-        .unionByName(parts.filter(F.col("_n").isNotNull()).select(F.col("_stem").alias("_base"), "_n"))
+        existing.select(F.col("doc_id").alias("_base"), F.lit(0).cast("bigint").alias("_n"))
+        .unionByName(_suffixes(existing.select("doc_id")))
+        .unionByName(_suffixes(bases.select(F.col("_base").alias("doc_id"))))
         .distinct()
         .join(bases, "_base", "left_semi")
     )
     # Runs of consecutive suffixes share t_j - j, so one row per run is left.
-    cell = F.floor(F.col("_n") / bucket_width).cast("bigint")
-    ranked = bucketed_row_number(taken, "_j", cell, ["_n"], ["_base"]).withColumn("_j", F.col("_j") - 1)
+    ranked = bucketed_row_number(taken, "_j", F.floor(F.col("_n") / bucket_width).cast("bigint"), ["_n"], ["_base"])
     runs = (
-        ranked.groupBy("_base", (F.col("_n") - F.col("_j")).alias("_from"))
-        .agg(F.max("_j").alias("_last"))
-        .groupBy("_base")
-        .agg(F.array_sort(F.collect_list(F.struct("_from", "_last"))).alias("_runs"))
-    )
-    skipped = F.coalesce(
-        F.array_max(F.transform(F.filter("_runs", lambda r: r["_from"] <= F.col("_k")), lambda r: r["_last"] + 1)),
-        F.lit(0),
-    )
-    suffix = F.col("_k") + skipped
-    unique = F.when(suffix == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), suffix.cast("string")))
-    return (
-        numbered.join(runs, numbered[base] == runs["_base"], "left")
-        .withColumn("unique_id", unique)
-        .select(*new.columns, "unique_id")
+        ranked.withColumn("_j", F.col("_j") - 1)
+        .groupBy("_base", (F.col("_n") - F.col("_j")).alias("_at"))
+        .agg((F.max("_j") + 1).alias("_skip"))
     )
+    bucket = F.floor(F.col("_at") / bucket_width).cast("bigint").alias("_bucket")
+    rows = numbered.select(F.col(base).alias("_base"), F.col("_k").alias("_at"), F.struct(*new.columns).alias("_row"))
+    events = (
+        rows.select("_base", "_at", bucket, F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_skip"), "_row")
+    ).unionByName(runs.select("_base", "_at", bucket, F.lit(0).alias("_kind"), "_skip"), allowMissingColumns=True)
+    # More runs skip more, so the largest so far is the last one.
+    inside = Window.partitionBy("_base", "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_base").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = events.groupBy("_base", "_bucket").agg(F.max("_skip").alias("_most"))
+    before = before.select(F.col("_base").alias("_b"), F.col("_bucket").alias("_c"), F.max("_most").over(earlier).alias("_before"))
+    found = events.withColumn("_skip", F.max("_skip").over(inside)).filter("_kind = 1")
+    same = F.equal_null(F.col("_base"), F.col("_b")) & (F.col("_bucket") == F.col("_c"))
+    suffix = F.col("_at") + F.coalesce("_skip", "_before", F.lit(0))
+    unique = F.when(suffix == 0, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("_"), suffix.cast("string")))
+    return found.join(before, same).select("_row.*", unique.alias("unique_id"))
+
+
+def _suffixes(ids: DataFrame) -> DataFrame:
+    """(_base, _n) of the ids that end in a number after a base."""
+    number = F.expr("try_cast(regexp_extract(doc_id, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT)").alias("_n")
+    return ids.select(F.regexp_extract("doc_id", r"^(.*)_([1-9]\d*)$", 1).alias("_base"), number).filter("_n is not null")
 
 
 def anomaly_docs(anomalies: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One document per anomaly row; `row_no` is the row's position in its file."""
+    """One document per anomaly row; `row_no` is the row's position in its file, `file_name` tells files apart."""
     base = anomalies.withColumn("doc_id", F.concat(F.lit("anomaly_"), F.col("row_no").cast("string")))
     if existing is None:
-        named = base.withColumn("unique_id", F.col("doc_id"))
-    else:
-        named = unique_doc_ids(base, existing)
+        existing = base.select("doc_id").limit(0)
+    # A base id has one row per file.
+    named = unique_doc_ids(base, existing, order=["file_name", "row_no"] if "file_name" in anomalies.columns else "row_no")
     fields = ("srcIP", "srcPort", "dstIP", "dstPort", "taxonomy", "heuristic", "label")
     meta = _meta(**{c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in fields})
     return _rows(named, ANOMALIES, F.col("unique_id"), alert_text.anomaly_text(F.col("unique_id")), meta)
@@ -183,7 +197,13 @@ def syn_alert_docs(alerts: DataFrame) -> DataFrame:
     return _rows(numbered, SYN_ALERTS, doc_id, alert_text.syn_alert_text(), meta)
 
 
-def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """`existing` with the rows of `new` put in place of those with the same id."""
+def upserted(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """`existing` with the rows of `new` put in place of those with the same id.
+
+    Of several new rows with one id the last one wins: by `order`, or by its
+    place in `new`.
+    """
     key = ["collection", "doc_id"]
-    return existing.join(new.select(*key), key, "left_anti").unionByName(new)
+    placed = new.withColumn("_order", F.monotonically_increasing_id() if order is None else F.col(order))
+    last = top_per_group(placed, key, [F.desc("_order")], 1).select(*existing.columns)
+    return existing.join(new.select(*key).distinct(), key, "left_anti").unionByName(last)

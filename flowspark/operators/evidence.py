@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.scale import top_per_group
-from flowspark.functions.text import cap_lines, extract_ips
+from flowspark.functions.text import cap_lines, extract_ips, tokens
 from flowspark.operators.retrieval import THRESHOLD
 
-# Passages per address and after reranking, and the length of the alert section.
-DOCS_PER_IP = 7
+# Passages after reranking, and the length of the alert section.
 ANOMALY_DOCS = 6
 HEURISTIC_DOCS = 5
 ALERT_CHARS = 2500
@@ -40,18 +39,23 @@ def text_ips(cases: DataFrame, key: str = "case_id", text: str = "text") -> Data
     return cases.select(key, F.explode(extract_ips(F.col(text))).alias("ip")).distinct()
 
 
-def ip_evidence(ips: DataFrame, anomaly_docs: DataFrame, k: int | None = DOCS_PER_IP) -> DataFrame:
+def ip_evidence(ips: DataFrame, anomaly_docs: DataFrame, k: int | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Anomaly documents that name one of a case's addresses, whole tokens only.
 
-    `ips` is (case columns..., ip). Each address brings its first `k` documents;
-    `k=None` brings all of them.
+    `ips` is (case columns..., ip). By default an address brings all its
+    documents. With `k` and `scores` (case columns..., doc_id, similarity) it
+    brings the `k` most similar ones to the case.
     """
     named = F.explode(F.array(F.col("meta.srcIP"), F.col("meta.dstIP")))
     index = anomaly_docs.select("doc_id", named.alias("ip")).filter(F.col("ip") != "unknown").distinct()
-    if k is not None:
-        index = top_per_group(index, ["ip"], ["doc_id"], k)
     case = [c for c in ips.columns if c != "ip"]
-    return ips.join(index, "ip").select(*case, "doc_id").distinct()
+    found = ips.join(index, "ip")
+    if k is not None:
+        if scores is None:
+            raise ValueError("the best k documents of an address need scores")
+        ranked = found.join(scores, [*case, "doc_id"])
+        found = top_per_group(ranked, [*case, "ip"], [F.desc("similarity"), "doc_id"], k)
+    return found.select(*case, "doc_id").distinct()
 
 
 def heuristic_evidence(evidence: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, by_token: bool = False) -> DataFrame:
@@ -130,6 +134,12 @@ def evidence_gate(cases: DataFrame, scored: DataFrame, threshold: float = THRESH
     )
 
 
+def case_words(lines: DataFrame) -> DataFrame:
+    """(log_name, words): the distinct words of all lines of each log."""
+    words = lines.select("log_name", F.explode(tokens(F.col("raw"))).alias("word")).distinct()
+    return words.groupBy("log_name").agg(F.collect_list("word").alias("words"))
+
+
 def alert_sections(lines: DataFrame, max_chars: int = ALERT_CHARS) -> DataFrame:
     """(log_name, alerts): the first whole lines of each log that fit; at most `max_chars` of them."""
     capped = cap_lines(lines.select("log_name", "line_no", "raw"), max_chars)
@@ -138,8 +148,11 @@ def alert_sections(lines: DataFrame, max_chars: int = ALERT_CHARS) -> DataFrame:
 
 
 def _section(evidence: DataFrame, text: str, name: str) -> DataFrame:
-    """Reranked texts of a case as one section; top-k keeps it short."""
-    return evidence.groupBy("log_name").agg(F.array_join(F.array_sort(F.collect_set(text)), "\n").alias(name))
+    """Texts of a case as one section, best first where they have a score, else by their alphabet."""
+    score = -F.col("score") if "score" in evidence.columns else F.lit(0.0)
+    best = evidence.groupBy("log_name", text).agg(F.min(score).alias("_order"))
+    parts = F.array_sort(F.collect_list(F.struct("_order", text)))
+    return best.groupBy("log_name").agg(F.array_join(F.transform(parts, lambda p: p[text]), "\n").alias(name))
 
 
 def case_prompts(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowspark.functions.scale import never_broadcast, top_per_group
+from flowspark.functions.text import WORD
 from flowspark.operators.filters import metadata_filter
 
 # The few functions that run in Python workers travel with the job, so that the
@@ -27,9 +28,13 @@ DIVERSITY = 0.5
 THRESHOLD = 0.3
 
 ROWS_PER_BLOCK = 50_000
+# Queries that are sent to all tasks; with 1,000 numbers each that is 160 MB at most.
+FEW_QUERIES = 20_000
 QUERIES_PER_STEP = 256
-# Scores are compared at this precision, ties go to the smaller id.
-SCORE_DIGITS = 6
+# Scores are compared at this precision, ties go to the smaller id; shown ones are rounded by the caller.
+SCORE_DIGITS = 12
+# Sums of many weights differ in their last digits with the order of the terms.
+SUM_DIGITS = 9
 
 _HITS = "query_id string, doc_id string, similarity double"
 
@@ -40,30 +45,73 @@ def _unit(vectors: Iterable) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _merged(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """The k best of those so far and of new scores; equal scores by smaller id."""
+    if best[0] is not None:
+        scores = np.concatenate([best[0], scores], axis=1)
+        ids = np.concatenate([best[1], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
+    else:
+        ids = np.broadcast_to(ids, scores.shape)
+    if scores.shape[1] > k:
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+    return scores, ids
+
+
+def _fitting(wanted: list, metas) -> np.ndarray | None:
+    """Which document meets which query's filter; None if no query has one."""
+    if not any(wanted):
+        return None
+    plain = [dict(m) if m is not None else {} for m in metas]
+    return np.array([[all(m.get(a) == b for a, b in (dict(w) if w else {}).items()) for m in plain] for w in wanted])
+
+
+def _hits(best: tuple, queries: np.ndarray) -> pd.DataFrame:
+    scores, ids = best
+    if scores is None:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []}).astype({"query_id": str, "doc_id": str})
+    found = pd.DataFrame(
+        {"query_id": np.repeat(queries, scores.shape[1]), "doc_id": ids.ravel(), "similarity": scores.ravel()}
+    )
+    return found[found["similarity"] > -np.inf]
+
+
 def _block_top_k(k: int):
     """Top k of one block of documents for each query of one block of queries."""
-    none = pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []}).astype({"query_id": str, "doc_id": str})
 
     def search(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [_hits((None, None), np.zeros(0))]
         if len(queries) and len(docs):
-            docs = docs.sort_values("doc_id", kind="stable")
-            ids, matrix = docs["doc_id"].to_numpy(), _unit(docs["vector"])
+            ids, matrix = docs["doc_id"].to_numpy(dtype=object), _unit(docs["vector"])
             for at in range(0, len(queries), QUERIES_PER_STEP):
                 part = queries.iloc[at : at + QUERIES_PER_STEP]
-                scores = np.round(_unit(part["vector"]) @ matrix.T, SCORE_DIGITS)
-                # Stable sort keeps the smaller id first among equal scores.
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]),
-                            "doc_id": ids[best].ravel(),
-                            "similarity": np.take_along_axis(scores, best, axis=1).ravel(),
-                        }
-                    )
-                )
-        return pd.concat(found) if found else none
+                scores = _scores(part, matrix, docs)
+                found.append(_hits(_merged((None, None), scores, ids, k), part["query_id"].to_numpy()))
+        return pd.concat(found)
+
+    return search
+
+
+def _scores(queries: pd.DataFrame, matrix: np.ndarray, docs: pd.DataFrame) -> np.ndarray:
+    scores = np.round(_unit(queries["vector"]) @ matrix.T, SCORE_DIGITS)
+    fits = _fitting(list(queries["wanted"]), docs["meta"])
+    return scores if fits is None else np.where(fits, scores, -np.inf)
+
+
+def _top_k_in_place(queries, k: int):
+    """Top k of the documents of one task for a few queries that every task has."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = queries.value
+        steps = range(0, len(asked), QUERIES_PER_STEP)
+        best = [(None, None) for _ in steps]
+        for docs in batches:
+            if len(docs):
+                ids, matrix = docs["doc_id"].to_numpy(dtype=object), _unit(docs["vector"])
+                for n, at in enumerate(steps):
+                    best[n] = _merged(best[n], _scores(asked.iloc[at : at + QUERIES_PER_STEP], matrix, docs), ids, k)
+        for n, at in enumerate(steps):
+            yield _hits(best[n], asked["query_id"].iloc[at : at + QUERIES_PER_STEP].to_numpy())
 
     return search
 
@@ -81,19 +129,36 @@ def _to_all_blocks(df: DataFrame, name: str, blocks: int) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
 
+def _sides(queries: DataFrame, kb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries with their filters and documents with their metadata, where they have any."""
+    none = F.lit(None).cast("map<string,string>")
+    wanted = F.col("wanted") if "wanted" in queries.columns else none
+    meta = F.col("meta") if "wanted" in queries.columns and "meta" in kb.columns else none
+    return (
+        queries.select(F.col("query_id").cast("string"), "vector", wanted.alias("wanted")),
+        kb.select(F.col("doc_id").cast("string"), "vector", meta.alias("meta")),
+    )
+
+
 def vector_topk(
-    queries: DataFrame, kb: DataFrame, k: int = TOP_K, rows_per_block: int = ROWS_PER_BLOCK
+    queries: DataFrame, kb: DataFrame, k: int = TOP_K, rows_per_block: int = ROWS_PER_BLOCK, few: int = FEW_QUERIES
 ) -> DataFrame:
     """Exact k nearest documents of each query by cosine.
 
-    Takes (query_id, vector) and (doc_id, vector). Both sides are cut into blocks
-    of a bounded size and every pair of blocks meets in one task, as one matrix
-    product; a task passes on k rows per query, so the pairs are never rows.
+    Takes (query_id, vector) and (doc_id, vector). A query with a map `wanted`
+    is only answered by documents whose `meta` has all its values. Up to `few`
+    queries are counted and broadcast: documents stay in place and a task passes
+    on k rows per query. Of more queries, both sides are cut into blocks of a
+    bounded size and every pair of blocks meets in one task. Rows are the same.
     """
-    query_blocks = _blocks(queries.count(), rows_per_block)
-    doc_blocks = _blocks(kb.count(), rows_per_block)
-    left = _into_blocks(queries.select(F.col("query_id").cast("string"), "vector"), "_q", "query_id", query_blocks)
-    right = _into_blocks(kb.select(F.col("doc_id").cast("string"), "vector"), "_d", "doc_id", doc_blocks)
+    asked, docs = _sides(queries, kb)
+    count = queries.count()
+    if count <= few:
+        held = queries.sparkSession.sparkContext.broadcast(asked.toPandas())
+        per_task = docs.mapInPandas(_top_k_in_place(held, k), _HITS)
+        return top_per_group(per_task, ["query_id"], [F.desc("similarity"), "doc_id"], k)
+    query_blocks, doc_blocks = _blocks(count, rows_per_block), _blocks(kb.count(), rows_per_block)
+    left, right = _into_blocks(asked, "_q", "query_id", query_blocks), _into_blocks(docs, "_d", "doc_id", doc_blocks)
     cell = ["_q", "_d"]
     per_block = (
         _to_all_blocks(left, "_d", doc_blocks)
@@ -119,7 +184,7 @@ def _pick_diverse(relevance: np.ndarray, vectors: np.ndarray, k: int, weight: fl
     while len(picked) < min(k, len(relevance)):
         # The first pick is the most relevant one; there is nothing to differ from yet.
         gain = weight * relevance - (1 - weight) * nearest if picked else relevance.copy()
-        gain = np.round(gain, SCORE_DIGITS + 3)
+        gain = np.round(gain, SCORE_DIGITS)
         gain[picked] = -np.inf
         picked.append(int(np.argmax(gain)))
         nearest = np.maximum(nearest, between[picked[-1]])
@@ -173,7 +238,7 @@ def lexical_rerank(pairs: DataFrame, queries: DataFrame, doc_terms: DataFrame, t
     with_terms = pairs.join(doc_terms, "doc_id").join(never_broadcast(queries), "query_id")
     shared = F.array_intersect(F.map_keys("terms"), "query_tokens")
     score = F.aggregate(shared, F.lit(0.0), lambda acc, token: acc + F.col("terms")[token])
-    scored = with_terms.select(*pairs.columns, F.round(score, SCORE_DIGITS).alias("score"))
+    scored = with_terms.select(*pairs.columns, F.round(score, SUM_DIGITS).alias("score"))
     return top_per_group(scored, ["query_id"], [F.desc("score"), "doc_id"], top_k)
 
 
@@ -218,7 +283,7 @@ def tfidf_vectors(docs: DataFrame, text: str = "text", features: int = 1 << 18)
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_.]+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD, gaps=False),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="vector"),

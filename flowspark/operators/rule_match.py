@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.scale import within_size
 from flowspark.operators import filters
 from flowspark.schema import RULE_FIELDS
+from flowspark.session import cut_lineage
 
 # Flow column behind each rule field; ports compare as text, as rules store them.
 FLOW_FIELDS = dict(zip(RULE_FIELDS, ("src_ip", "src_port", "dst_ip", "dst_port"), strict=True))
@@ -27,9 +28,9 @@ def matches_any_rule(flows: DataFrame, rules: DataFrame, broadcast_rows: int = B
     """Flows that satisfy at least one rule; a NULL rule field matches anything.
 
     Rules fall into at most sixteen NULL patterns, and within one pattern the
-    match is plain equality. Up to `broadcast_rows` rules, each pattern is a hash
-    lookup and flows do not move. Beyond that, flows meet the rules on one text
-    key per pattern.
+    match is plain equality: one lookup per pattern, on the flow's own columns.
+    Up to `broadcast_rows` rules the lookups are broadcast and flows do not move;
+    beyond that Spark picks the joins. The rows are the same.
     """
     rules = rules.select(*[F.col(c).cast("string").alias(c) for c in RULE_FIELDS]).withColumn("_mask", _mask())
     sizes = {r["_mask"]: r["count"] for r in rules.groupBy("_mask").count().collect()}  # at most 16 rows
@@ -37,13 +38,7 @@ def matches_any_rule(flows: DataFrame, rules: DataFrame, broadcast_rows: int = B
         return flows.limit(0)
     if 0 in sizes:
         return flows
-    masks = sorted(sizes)
-    if sum(sizes.values()) <= broadcast_rows:
-        return _by_lookup(flows, rules, masks)
-    return _by_key(flows, rules, masks)
-
-
-def _by_lookup(flows: DataFrame, rules: DataFrame, masks: list[int]) -> DataFrame:
+    masks, small = sorted(sizes), sum(sizes.values()) <= broadcast_rows
     found = flows
     for mask in masks:
         fields = _set_fields(mask)
@@ -54,27 +49,11 @@ def _by_lookup(flows: DataFrame, rules: DataFrame, masks: list[int]) -> DataFram
             .withColumn(f"_hit_{mask}", F.lit(True))
         )
         same = [F.col(FLOW_FIELDS[c]).cast("string") == F.col(f"_{mask}_{c}") for c in fields]
-        found = found.join(F.broadcast(wanted), same, "left")
+        found = found.join(F.broadcast(wanted) if small else wanted, same, "left")
     hit = F.coalesce(*[F.col(f"_hit_{mask}") for mask in masks], F.lit(False))
     return found.filter(hit).select(*flows.columns)
 
 
-def _by_key(flows: DataFrame, rules: DataFrame, masks: list[int]) -> DataFrame:
-    def key(mask: int, column: dict[str, str]) -> Column:
-        parts = [F.col(column[c]).cast("string") if c in _set_fields(mask) else F.lit("*") for c in RULE_FIELDS]
-        # A flow without one of the fields cannot match this pattern: NULL, never equal.
-        return F.concat(F.lit(f"{mask}~"), *[x for p in parts for x in (p, F.lit("~"))])
-
-    rule_key = F.coalesce(
-        *[F.when(F.col("_mask") == mask, key(mask, dict(zip(RULE_FIELDS, RULE_FIELDS)))) for mask in masks]
-    )
-    rule_keys = rules.select(rule_key.alias("_key")).distinct()
-    row_id = ["log_name", "line_no"]
-    flow_keys = flows.select(*row_id, F.explode(F.array(*[key(mask, FLOW_FIELDS) for mask in masks])).alias("_key"))
-    matched = flow_keys.join(rule_keys, "_key", "left_semi").select(*row_id).distinct()
-    return flows.join(matched, row_id, "left_semi")
-
-
 def anomaly_ip_set(anomalies: DataFrame, heuristic: int = 20) -> DataFrame:
     """Distinct addresses of the anomalies with one heuristic code.
 
@@ -101,6 +80,8 @@ def anomaly_ip_matches(flows: DataFrame, ips: DataFrame, broadcast_rows: int = B
         .groupBy("log_name", "src_ip", "dst_ip")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Read by the count and by both joins.
+    ips = cut_lineage(ips, "addresses")
     small = within_size(ips, broadcast_rows)
     for side in ("src", "dst"):
         listed = ips.select(F.col("ip").alias(f"{side}_ip"), F.lit(True).alias(f"_{side}_listed"))

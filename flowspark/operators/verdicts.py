@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.text import extract_ips
+from flowspark.functions.time import record_order
 
 # States that settle a verdict when found in the log, and in a raw row quoted by the report.
 ATTACK_STATE = "S0"
@@ -33,11 +34,11 @@ CONFIRMATION_PHRASES = (
 ABSTENTION = "UNDECIDABLE"
 
 # White space at either end of a text, Unicode spaces and separator characters included.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+_EDGES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(_EDGES))
 
 
 def report_fields(text: Column) -> dict[str, Column]:
@@ -68,11 +69,11 @@ def first_sentence_verdict(text: Column) -> Column:
 
 
 def decisive_states(flows: DataFrame) -> DataFrame:
-    """Per log the first state, in line order, that settles the verdict."""
+    """Per log the first state, in record order, that settles the verdict."""
     state = F.upper("conn_state")
     known = F.array(*[F.lit(s) for s in (ATTACK_STATE, *LOG_NORMAL_STATES)])
     # States go through the aggregation as numbers: of fixed width, so by hash.
-    first = F.min_by(F.array_position(known, state), "line_no")
+    first = F.min_by(F.array_position(known, state), record_order(flows.columns))
     return (
         flows.filter(state.isin(ATTACK_STATE, *LOG_NORMAL_STATES))
         .groupBy("log_name")

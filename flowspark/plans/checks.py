@@ -1,13 +1,62 @@
-"""The same results in plain SQL over the same tables, written independently of the operators."""
+"""The same results in plain SQL over the same tables, written independently of the operators: no list is shared."""
 
 from __future__ import annotations
 
-from flowspark.functions.taxonomy import TAXONOMY_GROUPS
-from flowspark.operators import evidence, verdicts
-from flowspark.operators.profile import FEATURES
 from flowspark.plans.queries import LOG_THRESHOLD, WINDOW
 from flowspark.sources import driver_tables as tables
 
+# Fixed values, written out here so that a slip in the operators' lists shows.
+_FEATURES = (
+    "icmp_ratio", "tcp_ratio", "udp_ratio", "s0_ratio", "sf_ratio", "failed_conn_ratio", "time_span", "flow_rate",
+    "avg_orig_bytes", "avg_resp_bytes", "total_orig_bytes", "total_resp_bytes", "byte_ratio", "avg_orig_pkts",
+    "avg_resp_pkts", "total_orig_pkts", "total_resp_pkts", "pkt_ratio", "unique_src_ips", "unique_dst_ips",
+    "src_ip_diversity", "dst_ip_diversity", "unique_src_ports", "unique_dst_ports", "avg_src_port", "avg_dst_port",
+    "avg_duration", "max_duration", "min_duration", "total_flows",
+)
+_TAXONOMY_GROUPS = {
+    "Unknown": "unk empty",
+    "Other": "ttl_error hostout netout icmp_error",
+    "HTTP": "alphflHTTP ptmpHTTP mptpHTTP ptmplaHTTP mptplaHTTP",
+    "MultiPoints": "ptmp mptp mptmp",
+    "AlphaFlow": "alphfl malphfl salphfl point_to_point heavy_hitter",
+    "IPv6Tunneling": "ipv4gretun ipv46tun",
+    "PortScan": "posca ptpposca",
+    "NetworkScanICMP": "ntscIC dntscIC",
+    "NetworkScanUDP": "ntscUDP ptpposcaUDP",
+    "NetworkScanTCP": "ntscACK ntscSYN sntscSYN ntscTCP ntscnull ntscXmas ntscFIN dntscSYN",
+    "DoS": "DoS distributed_dos ptpDoS sptpDoS DDoS rflat",
+}
+_NORMAL_PHRASES = (
+    "sh flag", "sh flags", " sh f ", "sf flag", "sf flags", "rstr", "rsto", "reset received", "oth flag", "oth flags",
+    "showing oth", "rej flag",
+)
+_DENIAL_PHRASES = (
+    "do not treat as", "not a syn flood", "no syn flood", "inconsistent with", "not icmp ping traffic",
+    "cannot be classified as a ping flood", "this cannot be confirmed as a ping flood",
+)
+_ATTACK_STATE_PHRASES = (
+    "s0 flag", "s0 state", "flag s0", "s0)", "(s0", "showing s0", "with s0", "state s0",
+)
+_CONFIRMATION_PHRASES = (
+    "tcp syn flood detected", "syn flood attack confirmed", "classic indicators of a syn flood",
+)
+_QUOTED_ROW = r"tcp\s+[-\w]+\s+[-\w]+\s+[-\w]+\s+[-\w]+\s+(\w+)\s+F\s+F"
+_NO_ANOMALIES = "No anomaly data found."
+_NO_HEURISTICS = "No heuristic context available."
+_PROMPT = (
+    "Decide whether the log below shows a %s attack. Use only the evidence given.\n"
+    "Name the alert, the anomaly records and heuristics that justify it, and one action.\n"
+    "\n"
+    "Alerts:\n"
+    "%s\n"
+    "\n"
+    "Anomaly records:\n"
+    "%s\n"
+    "\n"
+    "Heuristics and taxonomy:\n"
+    "%s\n"
+)
+
 _SOURCES = {
     "flows": tables.flows_sql("duckdb"),
     "anomalies": tables.anomalies_sql("duckdb"),
@@ -160,6 +209,11 @@ SELECT 'anomaly_' || CAST(row_no AS VARCHAR) AS doc_id,
 FROM anomalies"""
 
 
+_META = " || ';' || ".join(
+    f"'{c}=' || coalesce(CAST({c} AS VARCHAR), 'unknown')" for c in ("dstIP", "dst_port", "heuristic", "label", "srcIP", "srcPort", "taxonomy")
+).replace("'dst_port='", "'dstPort='")
+
+
 def _features() -> str:
     mean = {f"avg_{c}": f"sum(coalesce({c}, 0)) / CAST(count(*) AS DOUBLE)" for c in
             ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "src_port", "dst_port")}
@@ -182,7 +236,7 @@ def _features() -> str:
         "min_duration": "min(duration)",
         "total_flows": "count(*)",
     }
-    columns = ", ".join(f"CAST({exprs[c]} AS DOUBLE) AS {c}" for c in FEATURES)
+    columns = ", ".join(f"CAST({exprs[c]} AS DOUBLE) AS {c}" for c in _FEATURES)
     return f"SELECT log_name, {columns} FROM flows GROUP BY log_name"
 
 
@@ -190,7 +244,12 @@ def _rounded(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
-_STATE_LABEL = "SELECT log_name, min_by(conn_state, (ts_us, line_no)) = 'S0' AS label FROM flows GROUP BY log_name"
+_STATE_LABEL = "SELECT log_name, min_by(conn_state, line_no) = 'S0' AS label FROM flows GROUP BY log_name"
+# Lines against time, and without line numbers in every third log.
+_RECORDS = """
+SELECT log_name, conn_state, row_number() OVER (
+         PARTITION BY log_name ORDER BY CASE WHEN (line_no // 108) % 3 <> 0 THEN -line_no END NULLS LAST, ts_us, 'C' || CAST(line_no AS VARCHAR)) AS place
+FROM flows"""
 _EXPERT = "SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name, quality = 1 AS label FROM labels"
 
 _FLOOD_PARTS = {
@@ -215,15 +274,13 @@ FROM (SELECT l.log_name, coalesce(x.matching_anomaly_rows, 0) AS n, CASE WHEN co
 
 _CASE_IPS = "SELECT DISTINCT log_name, unnest([src_ip, dst_ip]) AS ip FROM flows"
 _EVIDENCE = """
-SELECT DISTINCT c.log_name, i.doc_id FROM case_ips c JOIN (
-  SELECT ip, doc_id, row_number() OVER (PARTITION BY ip ORDER BY doc_id) AS place
-  FROM (SELECT DISTINCT unnest([srcIP, dstIP]) AS ip, doc_id FROM adocs) u WHERE ip IS NOT NULL) i
-ON c.ip = i.ip WHERE i.place <= 7"""
+SELECT DISTINCT c.log_name, i.doc_id
+FROM case_ips c JOIN (SELECT DISTINCT unnest([srcIP, dstIP]) AS ip, doc_id FROM adocs) i ON c.ip = i.ip"""
 _HEURISTICS = f"""
 SELECT code, 'Heuristic ID: ' || code || chr(10) || 'Label: ' || label || chr(10) || 'Category: ' || {_category('CAST(code AS INT)')} AS text
 FROM (SELECT CAST(p_partkey % 1000 AS VARCHAR) AS code, min(p_name) AS label FROM part GROUP BY 1) p"""
 _PREFIXES = "SELECT * FROM (VALUES {}) v(taxonomy, category)".format(
-    ", ".join(f"('{p}', '{c}')" for c, prefixes in TAXONOMY_GROUPS.items() for p in prefixes)
+    ", ".join(f"('{p}', '{c}')" for c, prefixes in _TAXONOMY_GROUPS.items() for p in prefixes.split())
 )
 _TAXONOMY = """
 SELECT DISTINCT e.log_name, a.taxonomy, p.category, 'Category: ' || p.category || chr(10) || 'Prefix: ' || a.taxonomy AS entry
@@ -251,8 +308,11 @@ FROM (SELECT log_name, line_no, raw, sum(length(raw) + 1) OVER (PARTITION BY log
 WHERE upto <= 2500 OR whole <= 2500 GROUP BY log_name"""
 
 
+_WHOLE_LOGS = f"SELECT log_name, string_agg(raw, chr(10)) AS whole FROM (SELECT log_name, {_RAW} AS raw FROM flows) r GROUP BY log_name"
+
+
 def _words(text: str) -> str:
-    return f"list_distinct(regexp_extract_all(lower({text}), '[a-z0-9_]+(?:\\.[a-z0-9_]+)*'))"
+    return f"list_distinct(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{M}}\\p{{N}}_]+)*'))"
 
 
 def _ranked(docs: str, pairs: str, k: int) -> str:
@@ -260,8 +320,8 @@ def _ranked(docs: str, pairs: str, k: int) -> str:
     return f"""
 SELECT * FROM (
   SELECT log_name, doc_id, score, row_number() OVER (PARTITION BY log_name ORDER BY score DESC, doc_id) AS place
-  FROM (SELECT p.log_name, p.doc_id, round(coalesce(sum(CASE WHEN list_contains(q.words, w.word) THEN i.weight END), 0), 6) AS score
-        FROM {pairs} p JOIN (SELECT log_name, {_words('alerts')} AS words FROM alerts) q ON p.log_name = q.log_name
+  FROM (SELECT p.log_name, p.doc_id, round(coalesce(sum(CASE WHEN list_contains(q.words, w.word) THEN i.weight END), 0), 9) AS score
+        FROM {pairs} p JOIN (SELECT log_name, {_words('whole')} AS words FROM whole_logs) q ON p.log_name = q.log_name
         JOIN (SELECT doc_id, unnest({_words('text')}) AS word FROM {docs}) w ON p.doc_id = w.doc_id
         JOIN (SELECT word, ln(((SELECT count(*) FROM {docs}) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS weight
               FROM (SELECT unnest({_words('text')}) AS word FROM {docs}) x GROUP BY word) i ON w.word = i.word
@@ -270,21 +330,21 @@ WHERE place <= {k}"""
 
 
 def _prompt_sql() -> str:
-    head, *rest = evidence.PROMPT.split("%s")
+    head, *rest = _PROMPT.split("%s")
     literal = [f"'{part}'" for part in (head + "SYN flood" + rest[0], *rest[1:])]
     return (
-        f"SELECT a.log_name, {literal[0]} || a.alerts || {literal[1]} || coalesce(x.t, '{evidence.NO_ANOMALIES}') || {literal[2]} "
-        f"|| coalesce(h.t, '{evidence.NO_HEURISTICS}') || {literal[3]} AS prompt FROM alerts a "
-        "LEFT JOIN (SELECT log_name, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM best b JOIN adocs d ON b.doc_id = d.doc_id GROUP BY log_name) x "
+        f"SELECT a.log_name, {literal[0]} || a.alerts || {literal[1]} || coalesce(x.t, '{_NO_ANOMALIES}') || {literal[2]} "
+        f"|| coalesce(h.t, '{_NO_HEURISTICS}') || {literal[3]} AS prompt FROM alerts a "
+        "LEFT JOIN (SELECT log_name, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM found b JOIN adocs d ON b.doc_id = d.doc_id GROUP BY log_name) x "
         "ON a.log_name = x.log_name "
-        "LEFT JOIN (SELECT log_name, string_agg(DISTINCT doc_id, chr(10) ORDER BY doc_id) AS t FROM context_best GROUP BY log_name) h "
+        "LEFT JOIN (SELECT log_name, string_agg(DISTINCT doc_id, chr(10) ORDER BY doc_id) AS t FROM context_pairs GROUP BY log_name) h "
         "ON a.log_name = h.log_name"
     )
 
 
 _COSINE = """
 SELECT a.vec_id AS qid, b.vec_id AS did, b.label,
-       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS s
 FROM embeddings a, embeddings b"""
 
 
@@ -295,6 +355,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, CAST(did AS
 WHERE place <= {k}"""
 
 
+def _shown_nearest(k: int, where: str = "true") -> str:
+    return f"SELECT query_id, doc_id, round(similarity, 6) AS similarity FROM ({_nearest(k, where)}) n"
+
+
 def _diverse(k: int) -> str:
     """Greedy picks one after the other: each CTE adds the best candidate given the earlier ones."""
     ctes = {"cosine": _COSINE, "candidates": _nearest(3 * k), "pick1": """
@@ -306,12 +370,12 @@ SELECT * FROM pick{i - 1} UNION ALL
 SELECT query_id, doc_id, similarity, {i} AS position FROM (
   SELECT c.query_id, c.doc_id, c.similarity,
          row_number() OVER (PARTITION BY c.query_id
-                            ORDER BY round(0.5 * c.similarity - 0.5 * max(m.s), 9) DESC, c.similarity DESC, c.doc_id) AS r
+                            ORDER BY round(0.5 * c.similarity - 0.5 * max(m.s), 12) DESC, c.similarity DESC, c.doc_id) AS r
   FROM candidates c JOIN pick{i - 1} p ON c.query_id = p.query_id
   JOIN cosine m ON CAST(m.qid AS VARCHAR) = p.doc_id AND CAST(m.did AS VARCHAR) = c.doc_id
   WHERE NOT EXISTS (SELECT 1 FROM pick{i - 1} t WHERE t.query_id = c.query_id AND t.doc_id = c.doc_id)
   GROUP BY c.query_id, c.doc_id, c.similarity) x WHERE r = 1"""
-    return _with(f"SELECT query_id, doc_id, similarity, position FROM pick{k}", **ctes)
+    return _with(f"SELECT query_id, doc_id, round(similarity, 6) AS similarity, position FROM pick{k}", **ctes)
 
 
 def _contains_any(text: str, phrases) -> str:
@@ -335,14 +399,14 @@ WHERE conn_state IN ('S0', 'SH', 'SF', 'RSTR', 'RSTO', 'OTH', 'REJ', 'RSTOS0', '
 
 def _cascade(state: str) -> str:
     low = f"lower({_STRIPPED})"
-    quoted = f"upper(regexp_extract(text, '{verdicts.QUOTED_ROW}', 1))"
+    quoted = f"upper(regexp_extract(text, '{_QUOTED_ROW}', 1))"
     return f"""
 CASE WHEN {_STRIPPED} = '' THEN NULL WHEN {state} = 'S0' THEN true WHEN {state} IS NOT NULL THEN false
      WHEN {quoted} = 'S0' THEN true WHEN {quoted} IN ('SH', 'SF', 'RSTR', 'RSTO', 'OTH', 'REJ') THEN false
-     WHEN {_contains_any(low, verdicts.NORMAL_PHRASES)} THEN false
-     WHEN {_contains_any(low, verdicts.DENIAL_PHRASES)} THEN false
-     WHEN {_contains_any(low, verdicts.ATTACK_STATE_PHRASES)} THEN true
-     WHEN {_contains_any(low, verdicts.CONFIRMATION_PHRASES)} THEN true ELSE false END AS verdict"""
+     WHEN {_contains_any(low, _NORMAL_PHRASES)} THEN false
+     WHEN {_contains_any(low, _DENIAL_PHRASES)} THEN false
+     WHEN {_contains_any(low, _ATTACK_STATE_PHRASES)} THEN true
+     WHEN {_contains_any(low, _CONFIRMATION_PHRASES)} THEN true ELSE false END AS verdict"""
 
 
 _OUTCOMES = f"""
@@ -508,13 +572,16 @@ WITH existing AS (
               WHEN c_nationkey < 16 THEN 'anomaly_' || CAST(c_custkey AS VARCHAR) || '_2'
               ELSE 'anomaly_' || CAST(c_custkey AS VARCHAR) || '_1' END AS doc_id FROM customer
   UNION ALL SELECT 'anomaly_' || CAST(c_custkey AS VARCHAR) || '_1' FROM customer WHERE c_acctbal < 2000),
-fresh AS (SELECT 'anomaly_' || CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS row_no,
-                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
-bases AS (SELECT doc_id AS base, count(*) AS n FROM fresh GROUP BY doc_id),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS place
+          FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'anomaly_hot' WHEN 1 THEN 'anomaly_hot_' || CAST(o_custkey * 2 AS VARCHAR)
+                       ELSE 'anomaly_' || CAST(o_custkey AS VARCHAR) END AS doc_id, o_orderkey AS row_no FROM orders) o),
+given AS (SELECT doc_id FROM existing UNION SELECT doc_id FROM fresh),
+forms AS (SELECT regexp_extract(doc_id, '^(.*)_([1-9][0-9]*)$', 1) AS base, count(*) AS t FROM given GROUP BY 1),
+bases AS (SELECT f.base, n, coalesce(t, 0) AS t FROM (SELECT doc_id AS base, count(*) AS n FROM fresh GROUP BY doc_id) f LEFT JOIN forms g ON f.base = g.base),
 free AS (SELECT base, name, row_number() OVER (PARTITION BY base ORDER BY i) AS place
          FROM (SELECT base, i, CASE WHEN i = 0 THEN base ELSE base || '_' || CAST(i AS VARCHAR) END AS name
-               FROM (SELECT base, unnest(range(0, n + 4)) AS i FROM bases) g) c
-         WHERE name NOT IN (SELECT doc_id FROM existing))
+               FROM (SELECT base, unnest(range(0, n + t + 2)) AS i FROM bases) g) c
+         WHERE name NOT IN (SELECT doc_id FROM existing) AND (i = 0 OR name NOT IN (SELECT doc_id FROM fresh)))
 SELECT f.doc_id, f.row_no, x.name AS unique_id FROM fresh f JOIN free x ON f.doc_id = x.base AND f.place = x.place"""
 
 _CAPPED = """
@@ -540,13 +607,28 @@ CHECKS: dict[str, str] = {
 SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name, quality = 1 AS label, CAST(NULL AS VARCHAR) AS error FROM labels
 UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable' FROM labels""",
     "split_log_parts": _with(
-        "SELECT part, 'conn_log_part_' || CAST(part AS VARCHAR) AS part_name, count(*) AS n, min(ts_us) AS min_ts_us, max(ts_us) AS max_ts_us "
-        "FROM (SELECT ts_us, (row_number() OVER (ORDER BY line_no) - 1) // 108 + 1 AS part FROM flows) r GROUP BY part", "flows",
+        "SELECT log_name, part, 'conn_log_part_' || CAST(part AS VARCHAR) AS part_name, count(*) AS n, min(ts_us) AS min_ts_us, "
+        "max(ts_us) AS max_ts_us FROM (SELECT log_name, ts_us, (row_number() OVER (PARTITION BY log_name ORDER BY line_no) - 1) // 108 + 1 AS part "
+        "FROM (SELECT 'capture_' || CAST((line_no // 1000) % 3 AS VARCHAR) AS log_name, line_no, ts_us FROM flows) l) r "
+        "GROUP BY log_name, part", "flows",
     ),
     "kb_upsert": _with(
-        "SELECT 'anomaly_csv_logsc01' AS collection, doc_id, text FROM adocs WHERE doc_id NOT IN (SELECT doc_id FROM fresh) "
-        "UNION ALL SELECT 'anomaly_csv_logsc01', doc_id, text FROM fresh", "anomalies", adocs=_ANOMALY_DOCS,
-        fresh="SELECT 'anomaly_' || CAST(s_suppkey * 20 AS VARCHAR) AS doc_id, s_name AS text FROM supplier",
+        "SELECT 'anomaly_csv_logsc01' AS collection, doc_id, text, meta FROM adocs WHERE doc_id NOT IN (SELECT doc_id FROM fresh) "
+        "UNION ALL SELECT 'anomaly_csv_logsc01', doc_id, text, meta FROM fresh", "anomalies",
+        adocs=f"SELECT a.*, {_META} AS meta FROM ({_ANOMALY_DOCS.replace('dst_port,', 'dst_port, srcPort,')}) a",
+        fresh="SELECT 'anomaly_' || CAST(s_suppkey - s_suppkey % 3 AS VARCHAR) AS doc_id, max_by(s_name, s_suppkey) AS text, "
+        "'no=' || CAST(max(s_suppkey) AS VARCHAR) AS meta FROM supplier GROUP BY 1",
+    ),
+    "header_scan": _with(
+        "SELECT line_no, src_ip AS orig_h, dst_ip AS resp_h, CASE WHEN (line_no // 108) % 2 = 0 THEN proto END AS proto FROM flows", "flows"
+    ),
+    "label_file_round_trip": _with(
+        "SELECT f.log_name, NOT broken AND ping_flood_detected AS label, CASE WHEN NOT broken THEN CAST(num_floods AS INT) END AS num_floods, "
+        "CASE WHEN NOT broken THEN CAST(many_to_one AS INT) END AS n_many, CASE WHEN NOT broken THEN CAST(one_to_many AS INT) END AS n_scans, "
+        "CASE WHEN NOT broken THEN CAST(matching_anomaly_rows AS INT) END AS matching_anomaly_rows, "
+        "CASE WHEN NOT broken THEN detection_reason END AS detection_reason, CASE WHEN broken THEN 'unreadable' END AS error "
+        "FROM (SELECT *, CAST(regexp_extract(log_name, '([0-9]+)$', 1) AS INT) % 7 = 0 AS broken FROM flood_labels) f",
+        "flows", "anomalies", **_FLOOD_PARTS,
     ),
     "icmp_echo_v1": _with(f"SELECT {_ID} FROM flows WHERE {_ECHO_TYPE}", "flows"),
     "icmp_echo_v2": _with(f"SELECT {_ID} FROM flows WHERE proto = 'icmp' AND {_ECHO_PAIR}", "flows"),
@@ -581,14 +663,14 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         "flows", c=f"SELECT {_CLASS} AS class, conn_state FROM flows",
     ),
     "echo_count_by_dst": _with(f"SELECT dst_ip, count(*) AS echo_requests FROM flows WHERE {_ECHO_TYPE} GROUP BY dst_ip", "flows"),
-    "flow_features": _with(f"SELECT log_name, {_rounded(*FEATURES)} FROM features", "flows", features=_features()),
+    "flow_features": _with(f"SELECT log_name, {_rounded(*_FEATURES)} FROM features", "flows", features=_features()),
     "flow_features_default": _with(
-        "SELECT c.log_name, " + ", ".join(f"round(coalesce({x}, 0), 6) AS {x}" for x in ("icmp_ratio", "flow_rate", "byte_ratio", "unique_src_ips", "total_flows"))
+        "SELECT c.log_name, " + ", ".join(f"round(coalesce({x}, 0), 6) AS {x}" for x in _FEATURES)
         + " FROM (SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name FROM documents) c LEFT JOIN features f ON c.log_name = f.log_name",
         "flows", features=_features(),
     ),
     "feature_dataset": _with(
-        f"SELECT f.log_name, CAST(l.label AS INT) AS label, {_rounded('s0_ratio', 'tcp_ratio', 'src_ip_diversity', 'avg_duration')} "
+        f"SELECT f.log_name, CAST(l.label AS INT) AS label, {_rounded(*_FEATURES)} "
         "FROM features f JOIN state_labels l ON f.log_name = l.log_name", "flows", features=_features(), state_labels=_STATE_LABEL,
     ),
     "label_counts": _with(
@@ -605,6 +687,13 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         f"src_ip, unique_dst_ips, CAST(dst_ip_count AS INT) FROM scan", "flows", "anomalies", **_FLOOD_PARTS,
     ),
     "state_label": _with(_STATE_LABEL, "flows"),
+    "state_label_record_order": _with(
+        "SELECT log_name, arg_min(conn_state, place) = 'S0' AS label FROM records GROUP BY log_name", "flows", records=_RECORDS
+    ),
+    "decisive_state_record_order": _with(
+        "SELECT log_name, arg_min(conn_state, place) AS decisive_state FROM records "
+        "WHERE conn_state IN ('S0', 'SH', 'SF', 'RSTR', 'RSTO', 'OTH', 'REJ', 'RSTOS0', 'RSTRH') GROUP BY log_name", "flows", records=_RECORDS,
+    ),
     "eval_join_report": _with(_OUTCOMES, "flows", "reports", state_labels=_STATE_LABEL),
     "eval_join_baseline": _with(f"SELECT log_name, label, prediction, round(score, 6) AS score FROM ({_rule_rows(_EXPERT, _PING_DEFAULT)}) r", "flows"),
     "pending_cases": _with("SELECT DISTINCT log_name FROM flows WHERE log_name NOT IN (SELECT log_name FROM reports)", "flows", "reports"),
@@ -627,18 +716,19 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         codes=r"SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{3,4}\b')) AS code FROM adocs",
     ),
     "taxonomy_category_join": _with(_TAXONOMY, "flows", "anomalies", **_EVIDENCE_PARTS),
-    "vector_topk": _with(_nearest(6), cosine=_COSINE),
-    "vector_topk_filtered": _with(_nearest(6, "label = 3"), cosine=_COSINE),
+    "vector_topk": _with(_shown_nearest(6), cosine=_COSINE),
+    "vector_topk_filtered": _with(_shown_nearest(6, "label = 3"), cosine=_COSINE),
+    "vector_topk_query_filter": _with(_shown_nearest(6, "qid % 2 = 1 OR label = qid % 5"), cosine=_COSINE),
     "vector_mmr": _diverse(4),
     "evidence_gate": _GATE,
     "lexical_rerank": _with(
-        "SELECT log_name, doc_id, score FROM best", "flows", "anomalies", **_EVIDENCE_PARTS, alerts=_ALERTS, best=_ranked("adocs", "evidence", 6)
+        "SELECT log_name, doc_id, round(score, 6) AS score FROM best", "flows", "anomalies", **_EVIDENCE_PARTS, whole_logs=_WHOLE_LOGS, best=_ranked("adocs", "evidence", 6)
     ),
     "tfidf_vectors": _with(
         "SELECT doc_id, count(*) AS n_terms, round(max(w / nullif(length, 0)), 6) AS max_weight, round(sum(w / nullif(length, 0)), 4) AS sum_weight "
         "FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length FROM weighted) l GROUP BY doc_id",
         tf="SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), "
-        "'[a-z0-9_]+(?:\\.[a-z0-9_]+)*')) AS token FROM documents) t GROUP BY ALL",
+        "'[\\p{L}\\p{M}\\p{N}_]+(?:\\.[\\p{L}\\p{M}\\p{N}_]+)*')) AS token FROM documents) t GROUP BY ALL",
         df="SELECT token, ln(((SELECT count(*) FROM documents) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS idf FROM tf GROUP BY token",
         weighted="SELECT tf.doc_id, tf.tf * df.idf AS w FROM tf JOIN df ON tf.token = df.token",
     ),
@@ -646,10 +736,9 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         _prompt_sql(), "flows", "anomalies",
         **_EVIDENCE_PARTS, alerts=_ALERTS, tcp_ips="SELECT DISTINCT log_name, unnest([src_ip, dst_ip]) AS ip FROM flows WHERE proto = 'tcp' "
         "OR log_name NOT IN (SELECT log_name FROM flows WHERE proto = 'tcp')",
-        found=_EVIDENCE.replace("case_ips", "tcp_ips"), best=_ranked("adocs", "found", 6),
+        found=_EVIDENCE.replace("case_ips", "tcp_ips"),
         context_pairs=f"SELECT log_name, heuristic_text AS doc_id FROM ({_BY_CODE.replace('evidence e', 'found e')}) a "
         f"UNION ALL SELECT log_name, entry FROM ({_TAXONOMY.replace('evidence e', 'found e')}) b",
-        context_docs="SELECT DISTINCT doc_id, doc_id AS text FROM context_pairs", context_best=_ranked("context_docs", "context_pairs", 5),
     ),
     "kb_alert_rows": _with(
         "SELECT 'ping_flood_alerts2' AS collection, doc_id, text, CAST(5 AS BIGINT) AS n_meta FROM pings "
@@ -707,7 +796,7 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     "scaled_features": _with(
         "SELECT log_name, " + ", ".join(
             f"round(CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0 END, 4) AS {c}"
-            for c in ("icmp_ratio", "time_span", "byte_ratio", "total_flows")
+            for c in _FEATURES
         ) + " FROM features", "flows", features=_features(),
     ),
     "flood_window_counts": _with(

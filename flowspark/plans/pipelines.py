@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.scale import bucketed_row_number, hash_bucket
-from flowspark.functions.text import tokens
+from flowspark.functions.text import cap_text, extract_ips, tokens
 from flowspark.functions.time import SECOND
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores
+from flowspark.session import cut_lineage
 
 # Fixed value: cases per batch.
 BATCH_SIZE = 500
@@ -32,27 +33,70 @@ def knowledge_rows(anomalies: DataFrame, heuristics: DataFrame, groups: DataFram
 
 
 def prompts(flows: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, prefixes: DataFrame, proto: str = "tcp") -> DataFrame:
-    """Log to prompt: one prompt per case with its lines and its best evidence.
+    """Log to prompt: one prompt per case with its lines and all its evidence.
 
-    `flows` needs `raw`; `heuristics` is (code, text).
+    `flows` needs `raw`; `heuristics` is (code, text). Evidence is found once
+    and carried as ids and codes; texts come in last.
     """
-    lines = filters.protocol_or_all(flows, proto)
-    alerts = evidence.alert_sections(lines)
-    found = evidence.ip_evidence(evidence.case_ips(lines), anomaly_docs)
-    best = ranked_anomalies(alerts, found, anomaly_docs)
+    lines = cut_lineage(filters.protocol_or_all(flows, proto).select("log_name", "line_no", "raw", "src_ip", "dst_ip"), "lines")
+    anomaly_docs = cut_lineage(anomaly_docs.select("doc_id", "text", "meta"), "anomalies")
+    found = cut_lineage(evidence.ip_evidence(evidence.case_ips(lines), anomaly_docs), "evidence")
+    records = found.join(anomaly_docs.select("doc_id", "text"), "doc_id").select("log_name", "text")
     context = evidence.heuristic_evidence(found, anomaly_docs, heuristics).select(
         "log_name", F.col("heuristic_text").alias("text")
     )
     taxonomy = evidence.taxonomy_evidence(found, anomaly_docs, prefixes).select("log_name", F.col("entry").alias("text"))
-    ranked = ranked_context(alerts, context.unionByName(taxonomy))
     attack = "SYN flood" if proto == "tcp" else "ping flood"
-    return evidence.case_prompts(alerts, best, ranked, attack)
+    return evidence.case_prompts(evidence.alert_sections(lines), records, context.unionByName(taxonomy), attack)
+
+
+def query_prompts(
+    cases: DataFrame,
+    anomaly_docs: DataFrame,
+    heuristics: DataFrame,
+    k: int = retrieval.TOP_K,
+    fetch_k: int | None = None,
+    threshold: float = retrieval.THRESHOLD,
+    attack: str = "SYN flood",
+) -> DataFrame:
+    """Question to prompt or abstention: (case_id, abstain, prompt) of (case_id, text, vector).
+
+    Addresses and filters come from the text. For each case the filter is
+    applied before the search among `anomaly_docs` (doc_id, text, meta, vector);
+    of the `fetch_k` nearest, k diverse ones stay, and of these the documents
+    that name an address and are similar enough. The gate decides; heuristics
+    are those of the documents' codes; both sections are in rank order.
+    """
+    cases = cut_lineage(cases.select("case_id", "text", "vector"), "cases")
+    asked = cases.select(
+        "case_id", extract_ips(F.col("text")).alias("ips"), filters.query_filter_map(F.col("text")).alias("filters")
+    )
+    queries = cases.join(asked, "case_id").filter(F.size("ips") > 0)
+    near = retrieval.vector_mmr(
+        queries.select(F.col("case_id").alias("query_id"), "vector", F.col("filters").alias("wanted")), anomaly_docs, k, fetch_k
+    )
+    docs = anomaly_docs.select(F.col("doc_id").cast("string"), "text", "meta")
+    named = F.arrays_overlap("ips", F.array(F.col("meta.srcIP"), F.col("meta.dstIP")))
+    hits = near.withColumnRenamed("query_id", "case_id").join(docs, "doc_id").join(asked, "case_id")
+    scored = cut_lineage(hits.select("case_id", "doc_id", "similarity", named.alias("names_ip"), "text", "meta"), "scored")
+    gate = evidence.evidence_gate(asked, scored, threshold)
+    kept = scored.filter(F.col("names_ip") & (F.col("similarity") >= threshold))
+    records = kept.select(F.col("case_id").alias("log_name"), "text", F.col("similarity").alias("score"))
+    known = heuristics.select(F.col("code").cast("string").alias("code"), F.col("text").alias("heuristic_text"))
+    context = kept.join(known, F.col("meta.heuristic") == F.col("code")).select(
+        F.col("case_id").alias("log_name"), F.col("heuristic_text").alias("text"), F.col("similarity").alias("score")
+    )
+    alerts = cases.select(F.col("case_id").alias("log_name"), cap_text(F.col("text"), evidence.ALERT_CHARS).alias("alerts"))
+    made = evidence.case_prompts(alerts, records, context, attack).withColumnRenamed("log_name", "case_id")
+    return gate.join(made, "case_id").select(
+        "case_id", "abstain", F.when(F.col("abstain"), F.col("message")).otherwise(F.col("prompt")).alias("prompt")
+    )
 
 
-def ranked_anomalies(alerts: DataFrame, found: DataFrame, anomaly_docs: DataFrame, top_k: int = evidence.ANOMALY_DOCS) -> DataFrame:
-    """Best anomaly documents of each case by shared words."""
+def ranked_anomalies(words: DataFrame, found: DataFrame, anomaly_docs: DataFrame, top_k: int = evidence.ANOMALY_DOCS) -> DataFrame:
+    """Best anomaly documents of each case by shared words; `words` is (log_name, words) over the case's whole text."""
     weights = retrieval.term_weights(anomaly_docs, tokens(F.col("text")))
-    queries = alerts.select(F.col("log_name").alias("query_id"), tokens(F.col("alerts")).alias("query_tokens"))
+    queries = words.select(F.col("log_name").alias("query_id"), F.col("words").alias("query_tokens"))
     pairs = found.withColumnRenamed("log_name", "query_id")
     best = retrieval.lexical_rerank(pairs, queries, weights, top_k)
     return best.join(anomaly_docs.select("doc_id", "text"), "doc_id").select(
@@ -60,16 +104,6 @@ def ranked_anomalies(alerts: DataFrame, found: DataFrame, anomaly_docs: DataFram
     )
 
 
-def ranked_context(alerts: DataFrame, context: DataFrame, top_k: int = evidence.HEURISTIC_DOCS) -> DataFrame:
-    """Best heuristic and taxonomy texts of each case; the text itself is the id."""
-    docs = context.select(F.col("text").alias("doc_id")).distinct()
-    weights = retrieval.term_weights(docs, tokens(F.col("doc_id")))
-    queries = alerts.select(F.col("log_name").alias("query_id"), tokens(F.col("alerts")).alias("query_tokens"))
-    pairs = context.select(F.col("log_name").alias("query_id"), F.col("text").alias("doc_id"))
-    best = retrieval.lexical_rerank(pairs, queries, weights, top_k)
-    return best.select(F.col("query_id").alias("log_name"), F.col("doc_id").alias("text"), "score")
-
-
 def case_batches(cases: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """(log_name, batch): cases in batches of `size`, numbered from 1, in a fixed even order."""
     numbered = bucketed_row_number(cases.select("log_name"), "_rn", hash_bucket("log_name"), ["log_name"])

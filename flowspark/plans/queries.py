@@ -14,7 +14,8 @@ from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores, verdicts
 from flowspark.plans import pipelines
-from flowspark.sinks.tables import with_parts
+from flowspark.session import cut_lineage
+from flowspark.sinks.tables import label_file_lines, with_parts
 from flowspark.sources import conn_log, driver_tables as tables
 from flowspark.sources import tables as readers
 from flowspark.streaming.flows import flood_window_counts
@@ -118,21 +119,68 @@ def label_map_parse(spark, sf):
 
 @query
 def split_log_parts(spark, sf):
-    parts = with_parts(tables.flows(spark, sf).select("line_no", "ts_us"))
-    return parts.groupBy("part", "part_name").agg(
+    log = F.concat(F.lit("capture_"), F.pmod(F.floor(F.col("line_no") / 1000), F.lit(3)).cast("string"))
+    lines = tables.flows(spark, sf).select(log.alias("log_name"), "line_no", "ts_us")
+    return with_parts(lines, keys=("log_name",)).groupBy("log_name", "part", "part_name").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("min_ts_us"), F.max("ts_us").alias("max_ts_us")
     )
 
 
 @query
 def kb_upsert(spark, sf):
-    existing = documents.anomaly_docs(tables.anomalies(spark, sf)).select("collection", "doc_id", "text")
+    existing = documents.anomaly_docs(tables.anomalies(spark, sf)).select("collection", "doc_id", "text", "meta")
     new = tables.table(spark, sf, "supplier").select(
         F.lit(documents.ANOMALIES).alias("collection"),
-        F.concat(F.lit("anomaly_"), (F.col("s_suppkey") * 20).cast("string")).alias("doc_id"),
+        F.concat(F.lit("anomaly_"), F.expr("s_suppkey - pmod(s_suppkey, 3)").cast("string")).alias("doc_id"),
         F.col("s_name").alias("text"),
+        F.create_map(F.lit("no"), F.col("s_suppkey").cast("string")).alias("meta"),
+        "s_suppkey",
+    )
+    rows = documents.upserted(existing, new, order="s_suppkey")
+    return rows.select("collection", "doc_id", "text", _shown_map("meta"))
+
+
+def _shown_map(name: str):
+    entries = F.array_sort(F.map_entries(name))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias(name)
+
+
+@query
+def header_scan(spark, sf):
+    """Two kinds of logs with swapped columns, each read by its own header."""
+    swapped = F.pmod(F.floor(F.col("line_no") / 108), F.lit(2)) == 1
+    flows = tables.flows(spark, sf)
+    first = flows.groupBy("log_name").agg(F.min("line_no").alias("line_no"))
+    header = F.when(swapped, "#fields\tts\tid.resp_h\tid.orig_h").otherwise("#fields\tts\tid.orig_h\tid.resp_h\tproto")
+    ends = F.when(swapped, F.concat_ws("\t", "dst_ip", "src_ip")).otherwise(F.concat_ws("\t", "src_ip", "dst_ip", "proto"))
+    value = F.concat_ws("\t", F.col("line_no").cast("string"), ends)
+    lines = flows.select("log_name", "line_no", value.alias("value")).unionByName(
+        first.select("log_name", (F.col("line_no") - 1).alias("line_no"), header.alias("value"))
+    )
+    rows = conn_log.rows_by_header(lines)
+    return rows.select(F.col("ts").cast("bigint").alias("line_no"), F.col("`id.orig_h`").alias("orig_h"), F.col("`id.resp_h`").alias("resp_h"), "proto")
+
+
+@query
+def label_file_round_trip(spark, sf):
+    """Labels and floods written in the label file's shape and parsed back; every seventh log is unreadable."""
+    flows = tables.flows(spark, sf)
+    labels = cut_lineage(_labels(spark, sf), "labels")
+    number = F.regexp_extract("log_name", r"(\d+)$", 1).cast("int")
+    errors = labels.filter(number % 7 == 0).select("log_name", F.lit("unreadable").alias("error"))
+    details = labelling.flood_details(flows, threshold=LOG_THRESHOLD, window_us=WINDOW)
+    lines = label_file_lines(labelling.label_entries(labels, details, errors))
+    entries = readers.parse_label_map(lines)
+    return entries.select(
+        "log_name",
+        readers.label_of(F.col("entry"), "ping_flood").alias("label"),
+        "entry.num_floods",
+        F.size("entry.flood_details.many_to_one").alias("n_many"),
+        F.size("entry.flood_details.one_to_many").alias("n_scans"),
+        "entry.matching_anomaly_rows",
+        F.array_join("entry.detection_reason", "; ").alias("detection_reason"),
+        "entry.error",
     )
-    return documents.upserted(existing, new)
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -268,7 +316,7 @@ def flow_features_default(spark, sf):
         F.concat(F.lit("conn_log_part_"), F.col("doc_id").cast("string")).alias("log_name")
     )
     found = profile.features_or_zero(cases, profile.flow_features(tables.flows(spark, sf)))
-    return found.select("log_name", *_six("icmp_ratio", "flow_rate", "byte_ratio", "unique_src_ips", "total_flows"))
+    return found.select("log_name", *_six(*profile.FEATURES))
 
 
 def _dataset(spark, sf):
@@ -278,7 +326,7 @@ def _dataset(spark, sf):
 
 @query
 def feature_dataset(spark, sf):
-    return _dataset(spark, sf).select("log_name", "label", *_six("s0_ratio", "tcp_ratio", "src_ip_diversity", "avg_duration"))
+    return _dataset(spark, sf).select("log_name", "label", *_six(*profile.FEATURES))
 
 
 def _labels(spark, sf):
@@ -322,6 +370,23 @@ def state_label(spark, sf):
     return labelling.state_label(tables.flows(spark, sf))
 
 
+def _unordered_flows(spark, sf):
+    """Logs whose lines run against time, and every third log without line numbers."""
+    number = F.floor(F.col("line_no") / 108)
+    flows = tables.flows(spark, sf).withColumn("uid", F.concat(F.lit("C"), F.col("line_no").cast("string")))
+    return flows.withColumn("line_no", F.when(number % 3 != 0, -F.col("line_no")))
+
+
+@query
+def state_label_record_order(spark, sf):
+    return labelling.state_label(_unordered_flows(spark, sf))
+
+
+@query
+def decisive_state_record_order(spark, sf):
+    return verdicts.decisive_states(_unordered_flows(spark, sf))
+
+
 def _first_sentence(spark, sf):
     reports = tables.reports(spark, sf)
     return reports.select("log_name", verdicts.first_sentence_verdict(F.col("text")).alias("verdict"))
@@ -393,7 +458,12 @@ def anomaly_docs(spark, sf):
 @query
 def unique_doc_ids(spark, sf):
     new = tables.table(spark, sf, "orders").select(
-        F.concat(F.lit("anomaly_"), F.col("o_custkey").cast("string")).alias("doc_id"), F.col("o_orderkey").alias("row_no")
+        # Bases that are other bases' suffix forms, and one with a third of all rows.
+        F.when(F.col("o_orderkey") % 3 == 0, "anomaly_hot")
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("anomaly_hot_"), F.expr("o_custkey * 2").cast("string")))
+        .otherwise(F.concat(F.lit("anomaly_"), F.col("o_custkey").cast("string")))
+        .alias("doc_id"),
+        F.col("o_orderkey").alias("row_no"),
     )
     customers = tables.table(spark, sf, "customer").withColumn("_id", F.concat(F.lit("anomaly_"), F.col("c_custkey").cast("string")))
     existing = customers.select(
@@ -478,17 +548,30 @@ def _vectors(spark, sf):
 
 @query
 def vector_topk(spark, sf):
-    return retrieval.vector_topk(*_vectors(spark, sf), k=6)
+    return _shown(retrieval.vector_topk(*_vectors(spark, sf), k=6))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def vector_topk_query_filter(spark, sf):
+    """Every other query has a filter of its own."""
+    queries, kb = _vectors(spark, sf)
+    number = F.col("query_id").cast("bigint")
+    wanted = F.when(number % 2 == 0, F.create_map(F.lit("label"), (number % 5).cast("string")))
+    return _shown(retrieval.vector_topk(queries.withColumn("wanted", wanted), kb, k=6))
 
 
 @query
 def vector_topk_filtered(spark, sf):
-    return retrieval.vector_topk_filtered(*_vectors(spark, sf), {"label": "3"}, k=6)
+    return _shown(retrieval.vector_topk_filtered(*_vectors(spark, sf), {"label": "3"}, k=6))
 
 
 @query
 def vector_mmr(spark, sf):
-    return retrieval.vector_mmr(*_vectors(spark, sf), k=4)
+    return _shown(retrieval.vector_mmr(*_vectors(spark, sf), k=4))
 
 
 @query
@@ -511,8 +594,9 @@ def evidence_gate(spark, sf):
 
 @query
 def lexical_rerank(spark, sf):
-    ranked = pipelines.ranked_anomalies(_alerts(spark, sf), _evidence(spark, sf), _anomaly_docs(spark, sf))
-    return ranked.drop("text")
+    words = evidence.case_words(_raw_flows(spark, sf))
+    ranked = pipelines.ranked_anomalies(words, _evidence(spark, sf), _anomaly_docs(spark, sf))
+    return ranked.select("log_name", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -661,7 +745,7 @@ def rule_syn_score(spark, sf):
 @query
 def scaled_features(spark, sf):
     scaled = ml.scaled_features(profile.flow_features(tables.flows(spark, sf)))
-    return scaled.select("log_name", *[F.round(c, 4).alias(c) for c in ("icmp_ratio", "time_span", "byte_ratio", "total_flows")])
+    return scaled.select("log_name", *[F.round(c, 4).alias(c) for c in profile.FEATURES])
 
 
 def _model_rows(spark, sf, model: str) -> DataFrame:

@@ -31,27 +31,35 @@ def with_parts(
 
 
 def split_log_lines(lines: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """(part_name, place, value): data lines in parts, the log's header lines in front of each."""
+    """(log_name, part, part_name, block, line_no, value): data lines in parts, the log's header lines in front of each."""
     parts = with_parts(data_lines(lines), rows_per_part, keys=("log_name",))
     headers = lines.filter(is_comment()).select("log_name", "line_no", "value")
-    copied = parts.select("log_name", "part_name").distinct().join(headers, "log_name")
-    return parts.select("part_name", F.lit(1).alias("block"), "line_no", "value").unionByName(
-        copied.select("part_name", F.lit(0).alias("block"), "line_no", "value")
+    name = ["log_name", "part", "part_name"]
+    copied = parts.select(*name).distinct().join(headers, "log_name")
+    return parts.select(*name, F.lit(1).alias("block"), "line_no", "value").unionByName(
+        copied.select(*name, F.lit(0).alias("block"), "line_no", "value")
     )
 
 
 def write_parts(lines: DataFrame, path: str, rows_per_part: int = ROWS_PER_PART) -> None:
-    """One folder of text per part, header first."""
+    """Text export: one folder per log and part, header first. For many parts `write_part_table` is the form."""
     split = split_log_lines(lines, rows_per_part)
+    name = ["log_name", "part_name"]
     (
-        split.repartition("part_name")
-        .sortWithinPartitions("part_name", "block", "line_no")
-        .select("part_name", "value")
-        .write.partitionBy("part_name")
+        split.repartition(*name)
+        .sortWithinPartitions(*name, "block", "line_no")
+        .select(*name, "value")
+        .write.partitionBy(*name)
         .text(path)
     )
 
 
+def write_part_table(lines: DataFrame, path: str, rows_per_part: int = ROWS_PER_PART) -> None:
+    """All parts as one Parquet table, sorted by log, part and line: a part is a filter that skips row groups."""
+    order = ["log_name", "part", "block", "line_no"]
+    split_log_lines(lines, rows_per_part).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
 def write_flows(flows: DataFrame, path: str) -> None:
     """Land parsed flows once as Parquet by day, for scans that read few columns and days."""
     flows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
@@ -69,9 +77,15 @@ def append_knowledge(docs: DataFrame, path: str) -> None:
 def upsert_knowledge(docs: DataFrame, path: str) -> None:
     """Replace documents of the same id; only the collections of `docs` are rewritten.
 
-    The new state is complete in the shared folder before the old one is touched.
+    The new state is complete in the shared folder before the old one is
+    touched. A store that is not there yet is begun.
     """
-    existing = docs.sparkSession.read.parquet(path).select(*docs.columns)
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        existing = spark.read.parquet(path).select(*docs.columns)
+    else:
+        existing = docs.limit(0)
     touched = docs.select("collection").distinct()
     merged = cut_lineage(upserted(existing.join(touched, "collection", "left_semi"), docs), "upsert")
     (
@@ -87,6 +101,17 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.write.mode("overwrite").json(path)
 
 
+def label_file_lines(entries: DataFrame) -> DataFrame:
+    """(value): each log's entry as one JSON object {file: entry}; together they read as one label file."""
+    named = F.create_map(F.concat("log_name", F.lit(".log")), "entry")
+    return entries.select(F.to_json(named).alias("value"))
+
+
+def write_label_file(entries: DataFrame, path: str) -> None:
+    """Label entries in the label file's own shape, a log per line, as `read_label_map` reads them."""
+    label_file_lines(entries).write.mode("overwrite").text(path)
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     reports.select("log_name", "text").write.mode("overwrite").parquet(path)
 

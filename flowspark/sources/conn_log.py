@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowspark.functions.text import stem
+from flowspark.session import cut_lineage
 
 # Characters taken off both ends of a line.
 WHITE_SPACE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
@@ -126,19 +126,34 @@ def read_conn_log(spark: SparkSession, path: str | list[str], min_fields: int =
     return parse_lines(read_lines(spark, path), min_fields)
 
 
-def header_names(lines: DataFrame) -> list[str]:
-    """Column names from the first `#fields` line (one short line is read on the driver)."""
-    found = lines.filter(F.col("value").startswith("#fields")).select("value").head(1)
-    if not found:
+def header_lines(lines: DataFrame) -> DataFrame:
+    """(log_name, names): column names of each log, from its own `#fields` line."""
+    names = F.slice(F.split(_trimmed(), "\t"), 2, 10_000)
+    found = lines.filter(F.col("value").startswith("#fields"))
+    return found.groupBy("log_name").agg(F.min_by(names, F.col("line_no")).alias("names"))
+
+
+def rows_by_header(lines: DataFrame) -> DataFrame:
+    """All columns of all logs as text, named by each log's own header; a column that a log lacks is NULL.
+
+    Column names, a few dozen, come from all headers. A log without a header is an error.
+    """
+    headers = cut_lineage(header_lines(lines), "headers")
+    data = data_lines(lines)
+    missing = data.select("log_name").distinct().join(headers, "log_name", "left_anti").head(1)
+    columns = headers.select(F.posexplode("names")).groupBy("col").agg(F.min("pos").alias("pos")).orderBy("pos", "col")
+    names = [r["col"] for r in columns.collect()]
+    if missing or not names:
         raise ValueError("no #fields header in the connection log")
-    return found[0]["value"].strip().split("\t")[1:]
+    values = F.split("value", "\t")
+    fields = F.map_from_arrays("names", F.transform("names", lambda _, k: F.get(values, k)))
+    rows = data.join(headers, "log_name").withColumn("_fields", fields)
+    return rows.select(*[F.nullif(F.col("_fields")[name], F.lit("")).alias(name) for name in names])
 
 
-def read_by_header(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the log, named by its `#fields` line, as text."""
-    names = header_names(spark.read.text(path))
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return spark.read.csv(path, sep="\t", comment="#", schema=schema, quote="")
+def read_by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All columns of the logs under `path`, each file by its own `#fields` line, as text."""
+    return rows_by_header(read_lines(spark, path))
 
 
 def flows_by_header(rows: DataFrame) -> DataFrame:

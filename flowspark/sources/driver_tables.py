@@ -37,14 +37,17 @@ SELECT event_id AS line_no,
 FROM events
 """
 
-# Anomaly records: one per customer; addresses overlap those of the flows.
+# Anomaly records: one per customer; addresses of both ends overlap those of the
+# flows, and some addresses have many records.
 _ANOMALIES = """
 SELECT c_custkey AS row_no,
        CASE WHEN c_custkey % 11 = 3 THEN NULL
+            WHEN c_custkey % 5 = 1 THEN concat('10.0.0.', CAST(c_custkey % 7 AS {text}))
             ELSE concat('10.0.', CAST(CAST(floor(c_custkey / 256) AS BIGINT) AS {text}), '.',
                         CAST(c_custkey % 256 AS {text})) END AS srcIP,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1024 + c_custkey % 50000 AS INT) END AS srcPort,
-       CASE WHEN c_custkey % 7 = 2 THEN NULL ELSE concat('198.51.100.', CAST(c_custkey % 200 AS {text})) END AS dstIP,
+       CASE WHEN c_custkey % 7 = 2 THEN NULL
+            WHEN c_custkey % 13 = 5 THEN concat('192.0.2.', CAST(c_custkey % 64 AS {text})) ELSE concat('198.51.100.', CAST(c_custkey % 200 AS {text})) END AS dstIP,
        CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 443 WHEN 'MACHINERY' THEN 80 WHEN 'BUILDING' THEN 22
             WHEN 'AUTOMOBILE' THEN 53 ELSE NULL END AS dstPort,
        CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'ntscSYN' WHEN 'MACHINERY' THEN 'alphflHTTP' WHEN 'BUILDING' THEN 'ptpDoS'

@@ -37,8 +37,13 @@ def read_anomaly_ips(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Wildcard rules as text; an empty field stays NULL and matches anything."""
-    return spark.read.csv(path, header=True, schema=RULES)
+    """Wildcard rules as text; an empty field stays NULL and matches anything.
+
+    A port written with gaps ("80.0") is the whole number, as in `read_anomalies`.
+    """
+    rules = spark.read.csv(path, header=True, schema=RULES)
+    port = {c: F.coalesce(F.col(c).try_cast("double").cast("int").cast("string"), F.col(c)) for c in ("srcPort", "dstPort")}
+    return rules.withColumns(port)
 
 
 def read_heuristic_text(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +75,17 @@ def parse_label_map(texts: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_label_map(spark: SparkSession, path: str, attack: str = "ping_flood") -> DataFrame:
-    entries = parse_label_map(spark.read.text(path, wholetext=True))
+def read_label_entries(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(log_name, entry) of label files.
+
+    A file is one JSON object, on as many lines as it likes; `per_line=True` is
+    for files with one object per line, which many tasks read.
+    """
+    return parse_label_map(spark.read.text(path, wholetext=not per_line))
+
+
+def read_label_map(spark: SparkSession, path: str, attack: str = "ping_flood", per_line: bool = False) -> DataFrame:
+    entries = read_label_entries(spark, path, per_line)
     return entries.select("log_name", label_of(F.col("entry"), attack).alias("label"))
 
 

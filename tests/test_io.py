@@ -11,6 +11,7 @@ from flowspark.operators import documents, filters, labelling, rule_match
 from flowspark.sinks import tables as sinks
 from flowspark.sources import conn_log, tables
 from flowspark.streaming import flows as streaming
+from tests import flows as gen
 
 NAMES = (
     "ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto service duration orig_bytes resp_bytes conn_state "
@@ -95,7 +96,7 @@ def test_header_driven_scan_and_filter_sink(spark, logs, tmp_path):
     # The header of a filtered file has no "#"; it is not a flow.
     assert conn_log.parse_lines(back).count() == 1
     with pytest.raises(ValueError):
-        conn_log.header_names(spark.createDataFrame([("x",)], "value string"))
+        conn_log.rows_by_header(spark.createDataFrame([("a", 0, "x")], "log_name string, line_no bigint, value string"))
 
 
 def test_anomalies_and_rules(spark, tmp_path):
@@ -113,7 +114,7 @@ def test_anomalies_and_rules(spark, tmp_path):
     (tmp_path / "ips.txt").write_text("ip,heuristic\n7.7.7.7,20\n8.8.8.8,10\n")
     assert [r.ip for r in rule_match.anomaly_ip_set(tables.read_anomaly_ips(spark, str(tmp_path / "ips.txt"))).collect()] == ["7.7.7.7"]
     rules = tables.read_rules(spark, str(tmp_path / "one.csv"))
-    assert [tuple(r) for r in rules.collect()][0] == ("1.2.3.4", "80.0", None, None)
+    assert [tuple(r) for r in rules.collect()][0] == ("1.2.3.4", "80", None, None)
 
 
 def test_heuristic_text(spark, tmp_path):
@@ -168,11 +169,36 @@ def test_metrics_files(spark, tmp_path):
 def test_parts_on_disk(spark, logs, tmp_path):
     out = str(tmp_path / "parts")
     sinks.write_parts(conn_log.read_lines(spark, logs + "/a.b.log"), out, rows_per_part=3)
-    assert sorted(d for d in os.listdir(out) if d.startswith("part_name")) == [f"part_name=conn_log_part_{i}" for i in (1, 2, 3)]
-    rows = spark.read.text(out + "/part_name=conn_log_part_1").collect()
+    log = out + "/log_name=a.b"
+    assert sorted(d for d in os.listdir(log) if d.startswith("part_name")) == [f"part_name=conn_log_part_{i}" for i in (1, 2, 3)]
+    rows = spark.read.text(log + "/part_name=conn_log_part_1").collect()
     assert rows[0].value.startswith("#separator") and rows[1].value.startswith("#fields") and len(rows) == 3 + 3
 
 
+def test_parts_of_several_logs_stay_apart(spark, tmp_path):
+    lines = spark.createDataFrame(
+        [(log, i, text) for log in ("a", "b") for i, text in enumerate(["#h " + log, "x" + log, "y" + log, "z" + log])],
+        "log_name string, line_no bigint, value string",
+    )
+    sinks.write_part_table(lines, str(tmp_path / "table"), rows_per_part=2)
+    rows = spark.read.parquet(str(tmp_path / "table")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.log_name, r.part, r.block, r.line_no)):
+        got.setdefault((r.log_name, r.part_name), []).append(r.value)
+    assert got == {(log, f"conn_log_part_{k}"): ["#h " + log, *[x + log for x in part]] for log in "ab" for k, part in ((1, "xy"), (2, "z"))}
+
+
+def test_each_file_has_its_own_header(spark):
+    lines = [("a", 0, "#fields\tts\tid.orig_h\tid.resp_h"), ("a", 1, "1.5\t1.1.1.1\t2.2.2.2")]
+    lines += [("b", 0, "#fields\tts\tid.resp_h\tid.orig_h\textra"), ("b", 1, "2.5\t4.4.4.4\t3.3.3.3\t")]
+    rows = conn_log.rows_by_header(spark.createDataFrame(lines, "log_name string, line_no bigint, value string"))
+    assert set(rows.columns) == {"ts", "id.orig_h", "id.resp_h", "extra"}
+    got = {(r["ts"], r["id.orig_h"], r["id.resp_h"], r["extra"]) for r in rows.collect()}
+    assert got == {("1.5", "1.1.1.1", "2.2.2.2", None), ("2.5", "3.3.3.3", "4.4.4.4", None)}
+    with pytest.raises(ValueError):
+        conn_log.rows_by_header(spark.createDataFrame([*lines, ("c", 0, "1.5\tx")], "log_name string, line_no bigint, value string"))
+
+
 def test_knowledge_table(spark, tmp_path):
     path = str(tmp_path / "kb")
 
@@ -180,7 +206,7 @@ def test_knowledge_table(spark, tmp_path):
         table = spark.createDataFrame(rows, "doc_id string, text string")
         return table.select(F.lit(collection).alias("collection"), "doc_id", "text", F.create_map(F.lit("k"), "text").alias("meta"))
 
-    sinks.append_knowledge(docs("x", [("1", "a"), ("2", "b")]), path)
+    sinks.upsert_knowledge(docs("x", [("1", "old"), ("1", "a"), ("2", "b")]), path)
     sinks.append_knowledge(docs("y", [("1", "c")]), path)
     sinks.upsert_knowledge(docs("x", [("2", "B"), ("3", "d")]), path)
     got = {(r.collection, r.doc_id): r.text for r in tables.read_knowledge(spark, path).collect()}
@@ -196,6 +222,21 @@ def test_label_sink_round_trip(spark, tmp_path):
     assert back == rows.collect()
 
 
+def test_label_file_round_trip(spark, tmp_path):
+    flows = gen.make(spark, [dict(log_name="flood", ts_us=i * 1000, src_ip=f"10.0.0.{i % 4}") for i in range(12)])
+    cases = spark.createDataFrame([("flood",), ("quiet",)], "log_name string")
+    ips = spark.createDataFrame([], "ip string")
+    labels = labelling.ping_flood_labels(flows, ips, cases=cases)
+    errors = spark.createDataFrame([("broken", "unreadable")], "log_name string, error string")
+    sinks.write_label_file(labelling.label_entries(labels, labelling.flood_details(flows), errors), str(tmp_path / "labels"))
+    back = {r.log_name: r.entry for r in tables.read_label_entries(spark, str(tmp_path / "labels"), per_line=True).collect()}
+    assert set(back) == {"flood", "quiet", "broken"} and back["broken"].error == "unreadable"
+    assert back["flood"].ping_flood_detected and back["flood"].num_floods == len(back["flood"].flood_details.many_to_one) == 1
+    assert back["flood"].flood_details.many_to_one[0].packet_count >= 10 and not back["quiet"].ping_flood_detected
+    flags = {r.log_name: r.label for r in tables.read_label_map(spark, str(tmp_path / "labels"), per_line=True).collect()}
+    assert flags == {"flood": True, "quiet": False, "broken": False}
+
+
 def test_stream_resumes(spark, tmp_path):
     folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()

@@ -60,11 +60,28 @@ def test_cap_text_and_lines(spark):
         assert {i: by_line.get(i, "") for i in got} == got
 
 
+def test_unique_ids_within_one_batch(spark):
+    new = spark.createDataFrame([("a", 0), ("a", 1), ("a_1", 2), ("a_1_1", 3), ("a_1", 4)] + [("hot", i) for i in range(5, 3000)], "doc_id string, row_no bigint")
+    existing = spark.createDataFrame([(f"hot_{2 * i}",) for i in range(1, 1500)] + [("a_3",)], "doc_id string")
+    ids = [r.unique_id for r in documents.unique_doc_ids(new, existing, bucket_width=64).collect()]
+    assert len(ids) == len(set(ids)) == new.count() and not set(ids) & {r.doc_id for r in existing.collect()}
+    by_row = {r.row_no: r.unique_id for r in documents.unique_doc_ids(new, existing, bucket_width=64).collect()}
+    assert [by_row[i] for i in range(5)] == ["a", "a_2", "a_1", "a_1_1", "a_1_2"] and by_row[7] == "hot_3"
+
+
+def test_same_row_of_two_files(spark):
+    rows = spark.createDataFrame(
+        [(f, 0, None, None, None, None, None, 20, None) for f in ("x", "y")],
+        "file_name string, row_no bigint, srcIP string, srcPort int, dstIP string, dstPort int, taxonomy string, heuristic int, label string",
+    )
+    assert sorted(r.doc_id for r in documents.anomaly_docs(rows).collect()) == ["anomaly_0", "anomaly_0_1"]
+
+
 def test_unique_ids_fill_gaps(spark):
     new = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), ("c", 1), ("c", 2)], "doc_id string, row_no bigint")
     existing = spark.createDataFrame([("a",), ("a_2",), ("a_3",), ("c_1",), ("a_05",), ("zz",)], "doc_id string")
     got = {(r.doc_id, r.row_no): r.unique_id for r in documents.unique_doc_ids(new, existing, bucket_width=2).collect()}
-    want, taken = {}, {"a", "a_2", "a_3", "c_1", "a_05", "zz"}
+    want, taken = {}, {"a", "a_2", "a_3", "c_1", "a_05", "zz"}  # no base here is another one's suffix form
     for base, no in sorted(got):
         n = 0
         while (name := base if n == 0 else f"{base}_{n}") in taken:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.operators import evidence, filters, metrics, profile, rule_scores, verdicts
+from flowspark.operators import evidence, filters, labelling, metrics, profile, rule_scores, verdicts
 from flowspark.functions.text import extract_ips
 from tests import flows as gen
 
@@ -49,6 +49,18 @@ def test_decisive_state_skips_undecided_ones(spark):
     assert [(r.log_name, r.decisive_state) for r in got] == [("log", "SF")]
 
 
+def test_first_record_not_first_time(spark):
+    rows = [dict(log_name="l", ts_us=9, conn_state="S0"), dict(log_name="l", ts_us=1, conn_state="SF")]
+    rows += [dict(log_name="n", line_no=None, ts_us=t, conn_state=s) for t, s in ((5, "SF"), (5, "SF"), (2, "S0"))]
+    flows = gen.make(spark, rows)
+    assert {r.log_name: r.decisive_state for r in verdicts.decisive_states(flows).collect()} == {"l": "S0", "n": "S0"}
+    assert {r.log_name: r.label for r in labelling.state_label(flows).collect()} == {"l": True, "n": True}
+    tied = gen.make(spark, [dict(line_no=None, ts_us=1, conn_state=s) for s in ("SF", "S0")]).withColumn(
+        "uid", F.when(F.col("conn_state") == "S0", "Ca").otherwise("Cb")
+    )
+    assert [r.decisive_state for r in verdicts.decisive_states(tied).collect()] == ["S0"]
+
+
 def test_report_fields(spark):
     text = (
         "- SYN flood alert: attempt from 1.2.3.4 to 5.6.7.8 on port 23.\n"
@@ -88,8 +100,10 @@ def test_evidence_is_whole_tokens_and_may_be_whole(spark):
         [(f"anomaly_{i}", {"srcIP": "1.2.3.4", "dstIP": "11.2.3.45"}) for i in range(20)], "doc_id string, meta map<string,string>"
     )
     ips = spark.createDataFrame([("log", "1.2.3.4"), ("other", "1.2.3")], "log_name string, ip string")
-    assert evidence.ip_evidence(ips, docs).count() == evidence.DOCS_PER_IP
-    assert evidence.ip_evidence(ips, docs, k=None).count() == 20
+    assert evidence.ip_evidence(ips, docs).count() == 20
+    scores = docs.select(F.lit("log").alias("log_name"), "doc_id", (F.xxhash64("doc_id") % 1000 / 1000).alias("similarity"))
+    best = [r.doc_id for r in scores.orderBy(F.desc("similarity"), "doc_id").limit(3).collect()]
+    assert sorted(r.doc_id for r in evidence.ip_evidence(ips, docs, 3, scores).collect()) == sorted(best)
 
 
 # Published confusion counts and the quality they imply, in percent.
