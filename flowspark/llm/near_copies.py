@@ -25,11 +25,11 @@ from flowspark.llm.common import arrow_schema, batch_of, prepared, table, writte
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH, PERCENT = 3, 90
-# A bitmap's 64-bit words; documents per leaf.
-BITMAP_WORDS, LEAF = 64, 16
+# A bitmap's 64-bit words; classes per leaf, of one group and of several.
+BITMAP_WORDS, LEAF, MIXED_LEAF = 64, 16, 2
 # Shingles that a task counts at a time; a table of 2^RARITY_BITS bytes says how common a shingle is.
 COUNTED_AT_ONCE, RARITY_BITS, SLICE_BITS = 4_000_000, 24, 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -90,13 +90,11 @@ def rarity_table(docs: DataFrame, text_col: str, width: int) -> bytes:
         hashes, seen, held, size = _WordHashes(), set(), [], 0
 
         def repeated():
-            values = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            times = np.diff(np.r_[first, len(values)])
-            often = times > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(values[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "n"]
-            )
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            again, times = np.unique(values[1:][values[1:] == values[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(times.astype(np.int64) + 1)], ["shingle", "n"])
 
         for batch in batches:
             for text in pc.cast(batch.column(0), pa.binary()).to_pylist():
@@ -109,7 +107,7 @@ def rarity_table(docs: DataFrame, text_col: str, width: int) -> bytes:
                 size += len(found)
                 if size >= COUNTED_AT_ONCE:
                     yield repeated()
-                    seen, held, size = set(), [], 0
+                    seen, size = set(), 0
         if held:
             yield repeated()
 
@@ -284,104 +282,133 @@ def components(links: DataFrame) -> DataFrame:
 # --- the join -----------------------------------------------------------------------
 
 
-def first_pairs(held: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Each class with the first class of each shingle that it shares: as many pairs as postings, not their square."""
-    first = held.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("first"))
-    apart = (F.col("class") != F.col("first.class")) & similar_sizes(F.col("n"), F.col("first.n"), percent)
-    pairs = held.join(first, "shingle").filter(apart).select(F.col("class").alias("a"), F.col("first.class").alias("b")).distinct()
+def _with_bitmaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave enough overlap possible."""
     for side in ("a", "b"):
         pairs = pairs.join(bitmaps.select(*[F.col(c).alias(side if c == "class" else f"{side}_{c}") for c in bitmaps.columns]), side)
-    return pairs.filter(_pair_may_reach(percent)).select("a", "b")
-
-
-def _pair_may_reach(percent: int) -> Column:
     col = F.col
     bits = common_bits(col("a_bitmap"), col("b_bitmap"))
-    reach = may_reach(bits, col("a_slack"), col("b_slack"), col("a_n"), col("b_n"), percent)
-    return similar_sizes(col("a_n"), col("b_n"), percent) & reach
+    return pairs.filter(may_reach(bits, col("a_slack"), col("b_slack"), col("a_n"), col("b_n"), percent)).select("a", "b")
 
 
-def tree_pairs(postings: DataFrame, groups: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes from different groups that the signature trees cannot rule out.
+def first_pairs(held: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Each class with one class of each shingle that it shares: as many pairs as postings, not their square.
 
-    Root: a shingle. Below it: size ranges as wide as the threshold, each with
-    the next smaller one, so that partners meet in one; a range stays if it has
-    classes of several groups. Below that: leaves of about LEAF classes, those
-    of a large group apart. A node has the OR of its bitmaps, its size range,
-    its largest slack and its group if it is a single one. Pairs of leaves, then
-    of classes are followed down as long as both are not of one group, their
-    sizes fit and their possible overlap is enough.
+    That one is the class whose shingles are shared most: of near copies, the
+    one with the fewest changes, which most others link to.
+    """
+    shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("shared"))
+    known = held.join(shared, "shingle").groupBy("class").agg((F.sum("shared") / F.first("n")).alias("known"))
+    ranked = held.join(written(known, "known"), "class")
+    first = ranked.groupBy("shingle").agg(F.max(F.struct("known", "class", "n")).alias("first"))
+    apart = (F.col("class") != F.col("first.class")) & similar_sizes(F.col("n"), F.col("first.n"), percent)
+    pairs = held.join(first, "shingle").filter(apart).select(F.col("class").alias("a"), F.col("first.class").alias("b"))
+    return _with_bitmaps(pairs.distinct(), bitmaps, percent)
+
+
+def _ranges(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Postings by (shingle, range), of the ranges whose classes lie in several groups.
+
+    A range is as wide as the threshold and holds the next smaller one as well,
+    so partners meet in one. Of ranges above the same classes the one under the
+    rarest shingle is enough: it comes first in all their prefixes.
     """
     grouped = postings.join(groups, "class", "left").withColumn("group", F.coalesce("component", "class")).drop("component")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     ranges = grouped.withColumn("band", band).withColumn("range", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    # Near copies share many shingles: of ranges above the same classes one is enough.
     prints = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"print{k}") for k in (1, 2)]
     apart = (
         ranges.groupBy("shingle", "range")
-        .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("band").alias("top"), F.count(F.lit(1)).alias("size"), *prints)
+        .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("band").alias("top"), F.count(F.lit(1)).alias("size"), F.sum("place").alias("places"), *prints)
         .filter((F.col("low") != F.col("high")) & (F.col("top") == F.col("range")))
         .groupBy("range", "size", "print1", "print2")
-        .agg(F.min("shingle").alias("shingle"))
+        .agg(F.min_by("shingle", "places").alias("shingle"))
         .select("shingle", "range")
     )
+    return ranges.join(written(apart, "ranges"), ["shingle", "range"])
+
+
+def _leaf_pairs(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaves of one range that their nodes cannot rule out: (shingle, range, a_leaf, b_leaf).
+
+    A range of one leaf has nothing to rule out, so only the others get nodes.
+    """
     root = ["shingle", "range"]
-    members = written(ranges.join(written(apart, "ranges"), root), "members")
-    in_group = members.groupBy(*root, "group").agg(F.count(F.lit(1)).alias("of_group"))
-    in_range = in_group.groupBy(*root).agg(F.sum("of_group").alias("of_range"))
-    # A group that fills leaves of its own is parted by class, the others share leaves by group.
-    leaf = F.when(
-        F.col("of_group") >= LEAF,
-        F.concat_ws(":", F.col("group").cast("string"), F.pmod(F.xxhash64("class"), F.ceil(F.col("of_group") / LEAF))),
-    ).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("of_range") / LEAF)).cast("string"))
-    placed = written(
-        members.join(in_group, [*root, "group"])
-        .join(in_range, root)
-        .withColumn("leaf", leaf)
-        .select(*root, "band", "leaf", "group", "class", "n")
-        .join(bitmaps.drop("n"), "class"),
-        "leaves",
-    )
+    single = placed.filter(F.col("of_range") <= LEAF).select(*root, F.col("leaf").alias("a_leaf"), F.col("leaf").alias("b_leaf")).distinct()
     bits = [F.bit_or(F.col("bitmap")[k]).alias(f"w{k}") for k in range(BITMAP_WORDS)]
-    node = ["leaf", "least", "most", "slack", "low", "high"]
-    leaves = written(
-        placed.groupBy(*root, "leaf")
+    nodes = written(
+        placed.filter(F.col("of_range") > LEAF)
+        .join(bitmaps.drop("n"), "class")
+        .groupBy(*root, "leaf")
         .agg(
             F.min("n").alias("least"),
             F.max("n").alias("most"),
             F.max("slack").alias("slack"),
+            F.max(F.col("n") - F.col("place")).alias("behind"),
             F.min("group").alias("low"),
             F.max("group").alias("high"),
             *bits,
         )
-        .select(*root, *node, F.array(*[f"w{k}" for k in range(BITMAP_WORDS)]).alias("bits")),
+        .select(*root, "leaf", "least", "most", "slack", "behind", "low", "high", F.array(*[f"w{k}" for k in range(BITMAP_WORDS)]).alias("bits")),
         "nodes",
     )
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*root, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in root])
-
+    one, two = _side(nodes, root, "a"), _side(nodes, root, "b")
     col = F.col
     one_group = (col("a_low") == col("a_high")) & (col("b_low") == col("b_high")) & (col("a_low") == col("b_low"))
     sizes_fit = (100 * col("a_most") >= percent * col("b_least")) & (100 * col("b_most") >= percent * col("a_least"))
     bits_fit = may_reach(common_bits(col("a_bits"), col("b_bits")), col("a_slack"), col("b_slack"), col("a_least"), col("b_least"), percent)
-    node_pairs = (
-        side(leaves, "a")
-        .join(side(leaves, "b"), root)
-        .filter((col("a_leaf") <= col("b_leaf")) & ~one_group & sizes_fit & bits_fit)
-        .select(*root, "a_leaf", "b_leaf")
+    behind_fits = (100 + percent) * F.least("a_behind", "b_behind") >= percent * (col("a_least") + col("b_least"))
+    several = one.join(two, root).filter((col("a_leaf") <= col("b_leaf")) & ~one_group & sizes_fit & behind_fits & bits_fit)
+    return several.select(*root, "a_leaf", "b_leaf").unionByName(single)
+
+
+def _side(df: DataFrame, root: list[str], name: str) -> DataFrame:
+    return df.select(*root, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in root])
+
+
+def tree_pairs(postings: DataFrame, groups: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes from different groups that the signature trees cannot rule out.
+
+    Root: a shingle. Below it: size ranges. Below that: leaves, those of a
+    large group apart: its classes are much alike, so that sixteen have little
+    more shingles than one, while unlike ones are held in twos. A node has the OR
+    of its bitmaps, its size range, its largest slack, what can be common behind
+    the shingle at most, and its group if it is a single one. Pairs of
+    leaves, then of classes are followed down as long as both are not of one
+    group, their sizes fit and their possible overlap is enough. Of classes the
+    place of the shared shingle counts first: what can still be common behind it.
+    """
+    root = ["shingle", "range"]
+    members = written(_ranges(postings, groups, percent), "members")
+    in_group = members.groupBy(*root, "group").agg(F.count(F.lit(1)).alias("of_group"))
+    in_range = in_group.groupBy(*root).agg(F.sum("of_group").alias("of_range"))
+    # A group that fills leaves of its own is parted by class, the others share leaves by group.
+    leaf = F.when(
+        F.col("of_group") >= LEAF,
+        F.concat_ws(":", F.col("group").cast("string"), F.pmod(F.xxhash64("class"), F.ceil(F.col("of_group") / LEAF))),
+    ).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("of_range") / MIXED_LEAF)).cast("string"))
+    leaf = F.when(F.col("of_range") <= LEAF, "0").otherwise(leaf)
+    placed = written(
+        members.join(in_group, [*root, "group"])
+        .join(in_range, root)
+        .select(*root, "band", leaf.alias("leaf"), "group", "class", "n", "place", "of_range"),
+        "leaves",
     )
+    col = F.col
     # Two classes meet in the range of the larger one; those of one leaf are a pair once.
     meets = (col("a_band") == col("range")) | (col("b_band") == col("range"))
     once = (col("a_leaf") != col("b_leaf")) | (col("a_class") < col("b_class"))
-    return (
-        written(node_pairs, "node-pairs")
-        .join(side(placed, "a"), [*root, "a_leaf"])
-        .join(side(placed, "b"), [*root, "b_leaf"])
-        .filter((col("a_group") != col("b_group")) & once & meets & _pair_may_reach(percent))
+    behind = F.least(col("a_n") - col("a_place"), col("b_n") - col("b_place"))
+    enough = (100 + percent) * behind >= percent * (col("a_n") + col("b_n"))
+    narrow = placed.drop("of_range")
+    found = (
+        written(_leaf_pairs(placed, bitmaps, percent), "leaf-pairs")
+        .join(_side(narrow, root, "a"), [*root, "a_leaf"])
+        .join(_side(narrow, root, "b"), [*root, "b_leaf"])
+        .filter((col("a_group") != col("b_group")) & once & meets & similar_sizes(col("a_n"), col("b_n"), percent) & enough)
         .select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
-        .distinct()
     )
+    return _with_bitmaps(found.distinct(), bitmaps, percent)
 
 
 def group_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -405,7 +432,7 @@ def group_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     )
     classes, members = members.select("set", "class"), members.select("class", "id", "text_md5")
     bitmaps = shown.select("class", "n", "bitmap", "slack")
-    postings = shown.select(F.explode("prefix").alias("shingle"), "class", "n")
+    postings = shown.select(F.posexplode("prefix").alias("place", "shingle"), "class", "n")
     shared = written(
         postings.groupBy("shingle")
         .agg(F.min("class").alias("low"), F.max("class").alias("high"))
@@ -413,7 +440,7 @@ def group_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         .select("shingle"),
         "shared",
     )
-    held = written(postings.join(shared, "shingle").select("shingle", "class", "n"), "postings")
+    held = written(postings.join(shared, "shingle").select("shingle", "class", "n", "place"), "postings")
     links = written(linked(written(first_pairs(held, bitmaps, percent), "pairs"), docs, id_col, text_col, members, width, percent), "found")
     groups = components(links)
     more = written(tree_pairs(held, groups, bitmaps, percent), "pairs")
