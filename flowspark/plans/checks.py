@@ -799,6 +799,11 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
             for c in _FEATURES
         ) + " FROM features", "flows", features=_features(),
     ),
+    "ml_held_out": _with(
+        "SELECT model, count(*) AS n, CAST(sum(CASE WHEN label THEN 1 ELSE 0 END) AS BIGINT) AS n_attacks, min(log_name) AS first_log, true AS valid "
+        "FROM state_labels, (VALUES ('svm'), ('random_forest'), ('mlp')) m(model) "
+        "WHERE CAST('0x' || substr(md5(log_name), 1, 4) AS BIGINT) % 10 >= 8 GROUP BY model", "flows", state_labels=_STATE_LABEL,
+    ),
     "flood_window_counts": _with(
         "SELECT dst_ip, start_us, start_us + 43200000000 AS end_us, count(*) AS n FROM "
         "(SELECT dst_ip, (ts_us // 10800000000 - unnest(range(0, 4))) * 10800000000 AS start_us "

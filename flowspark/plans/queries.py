@@ -703,7 +703,7 @@ def _rule_rows(spark, sf, attack: str, labels: DataFrame) -> DataFrame:
 
 @query
 def model_comparison(spark, sf):
-    labels = labelling.state_label(tables.flows(spark, sf))
+    labels = cut_lineage(labelling.state_label(tables.flows(spark, sf)), "labels")
     models = {
         "report": _report_predictions(spark, sf).select("label", "prediction", F.col("prediction").cast("double").alias("score")),
         "rule_ping": _rule_rows(spark, sf, "ping", labels).select("label", "prediction", "score"),
@@ -715,8 +715,8 @@ def model_comparison(spark, sf):
 
 @query
 def scenario_matrix(spark, sf):
-    flood = _labels(spark, sf).select("log_name", F.col("ping_flood_detected").alias("label"))
-    automatic = {"ping": flood, "syn": labelling.state_label(tables.flows(spark, sf))}
+    flood = cut_lineage(_labels(spark, sf).select("log_name", F.col("ping_flood_detected").alias("label")), "labels")
+    automatic = {"ping": flood, "syn": cut_lineage(labelling.state_label(tables.flows(spark, sf)), "labels")}
     rows = None
     for attack, labels in automatic.items():
         for source, chosen in (("automatic", labels), ("expert", _expert_labels(spark, sf))):
@@ -749,7 +749,7 @@ def scaled_features(spark, sf):
 
 
 def _model_rows(spark, sf, model: str) -> DataFrame:
-    return ml.train_and_score(_dataset(spark, sf), model).withColumn("score", F.round("score", 6))
+    return ml.train_and_score(cut_lineage(_dataset(spark, sf), "dataset"), model).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -773,6 +773,20 @@ def ml_comparison(spark, sf):
     return _rounded_quality(pipelines.baselines(flows, labelling.state_label(flows)), "auc")
 
 
+@query
+def ml_held_out(spark, sf):
+    """What is sure of each model: the held-out logs and their labels, predictions that are labels, scores in their range."""
+    dataset = cut_lineage(_dataset(spark, sf), "dataset")
+    rows = [ml.train_and_score(dataset, m).withColumn("model", F.lit(m)) for m in ml.MODELS]
+    in_range = (F.col("model") == "svm") | F.col("score").between(0, 1)
+    return reduce(DataFrame.unionByName, rows).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("label").cast("bigint")).alias("n_attacks"),
+        F.min("log_name").alias("first_log"),
+        F.every(F.col("prediction").isin(0, 1) & in_range).alias("valid"),
+    )
+
+
 # --- streaming twin ----------------------------------------------------------------------------
 
 

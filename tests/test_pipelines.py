@@ -64,3 +64,25 @@ def test_text_vectors_find_near_texts(spark):
     assert all(abs(r.similarity - 1) < 1e-6 for r in near if r.query_id == r.doc_id)
     lengths = retrieval.tfidf_terms(docs, all_tokens(F.col("text"))).groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("l"))
     assert all(abs(r.l - 1) < 1e-9 for r in lengths.collect())
+
+
+def test_question_to_prompt_or_abstention(spark):
+    docs = spark.createDataFrame(
+        [
+            ("a1", "first record", {"srcIP": "1.1.1.1", "dstPort": "443", "heuristic": "10"}, [1.0, 0.0]),
+            ("a2", "second record", {"srcIP": "1.1.1.1", "dstPort": "443", "heuristic": "20"}, [0.9, 0.1]),
+            ("a3", "other port", {"srcIP": "1.1.1.1", "dstPort": "80", "heuristic": "10"}, [1.0, 0.0]),
+            ("a4", "far", {"srcIP": "9.9.9.9", "dstPort": "443", "heuristic": "10"}, [0.0, 1.0]),
+        ],
+        "doc_id string, text string, meta map<string,string>, vector array<double>",
+    )
+    heuristics = spark.createDataFrame([(10, "ten"), (20, "twenty")], "code int, text string")
+    cases = spark.createDataFrame(
+        [("q1", "Is 1.1.1.1 attacking port 443?", [1.0, 0.0]), ("q2", "What is going on?", [1.0, 0.0]), ("q3", "Is 2.2.2.2 on port 443 bad?", [-1.0, -1.0])],
+        "case_id string, text string, vector array<double>",
+    )
+    got = {r.case_id: r for r in pipelines.query_prompts(cases, docs, heuristics).collect()}
+    assert [got[k].abstain for k in ("q1", "q2", "q3")] == [False, True, True]
+    prompt = got["q1"].prompt
+    assert prompt.index("first record") < prompt.index("second record") and "other port" not in prompt and "far" not in prompt
+    assert prompt.index("ten") < prompt.index("twenty") and "UNDECIDABLE" in got["q2"].prompt and "2.2.2.2" in got["q3"].prompt
