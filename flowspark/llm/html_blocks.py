@@ -28,8 +28,17 @@ EMPTY_TAGS = frozenset("area base br col embed hr img input link meta source tra
 UNSEEN_TAGS = frozenset(
     "script style head title template noscript iframe object svg math textarea select option button canvas audio video datalist".split()
 )
+# What may stand in `head`: any other start tag, or text, ends it, since `</head>` may be left out.
+_HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+# Foreign elements, the start tags that end them, and their elements that hold html themselves.
+_FOREIGN = frozenset(("svg", "math"))
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 # A start tag of the group ends an open element of the group.
-_CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}}
 # Those that may not be closed across them.
 _SCOPES = frozenset("table ul ol dl div article section main aside nav header footer form body html".split())
 _CLOSES_P = BLOCK_TAGS - {"br", "html", "body", "title", "li", "td", "th", "tr", "caption", "legend", "summary", "dd", "dt", "tbody", "tfoot", "thead", "figcaption"}
@@ -65,7 +74,9 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self.flush()
-        if tag in EMPTY_TAGS:
+        if self.unseen:
+            self._close_unseen(tag)
+        if tag in EMPTY_TAGS or (tag == "head" and any(name == "head" for name, _ in self.open)):
             return
         self._close_before(tag)
         if tag in UNSEEN_TAGS:
@@ -80,6 +91,21 @@ class _Blocks(HTMLParser):
                 words.append("hidden")
         self.open.append((tag, tuple(words)))
 
+    def _close_unseen(self, tag: str) -> None:
+        """Ends an open `head`, `svg` or `math` in which the start tag cannot stand; `body` ends `head` whatever is open in it."""
+        ended, held = None, False
+        for depth in range(len(self.open) - 1, -1, -1):
+            name = self.open[depth][0]
+            if name == "head":
+                if tag == "body" or (tag not in _HEAD_TAGS and (ended or len(self.open)) == depth + 1):
+                    ended = depth
+                break
+            if name in _FOREIGN and tag in _ENDS_FOREIGN and not held:
+                ended = depth
+            held = held or name in _HOLDS_HTML
+        if ended is not None:
+            self._pop_to(ended)
+
     def _close_before(self, tag: str) -> None:
         ends = _CLOSED_BY_NEXT.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
         for depth in range(len(self.open) - 1, -1, -1):
@@ -97,7 +123,15 @@ class _Blocks(HTMLParser):
         del self.open[depth:]
 
     def handle_startendtag(self, tag, attrs):
+        before = len(self.open)
+        if self.unseen:
+            self._close_unseen(tag)
+            before = len(self.open)
+        # Elsewhere in html the slash means nothing.
+        empty = tag in UNSEEN_TAGS or any(name in _FOREIGN for name, _ in self.open)
         self.handle_starttag(tag, attrs)
+        if empty and len(self.open) > before:
+            self._pop_to(before)
 
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
@@ -106,11 +140,13 @@ class _Blocks(HTMLParser):
             if self.open[depth][0] == tag:
                 self._pop_to(depth)
                 return
-            # An inline end tag does not close the blocks around it.
-            if tag not in BLOCK_TAGS and self.open[depth][0] in BLOCK_TAGS:
+            # An inline end tag does not close the blocks around it; what shows no text ends with all that is open in it.
+            if tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS and self.open[depth][0] in BLOCK_TAGS:
                 return
 
     def handle_data(self, data):
+        if self.unseen and self.open[-1][0] == "head" and data.strip():
+            self._pop_to(len(self.open) - 1)
         if not self.unseen:
             self.parts.append(data)
             if self.links:

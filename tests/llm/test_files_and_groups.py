@@ -259,6 +259,32 @@ def test_broken_and_empty_pages(spark, model):
     assert extract_text(pages, model).count() == 7 and extract_text(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>t</title><body><article><p>text", ["text"]),
+        ("<head><title>t</title><meta charset=utf-8><p>text", ["text"]),
+        ("<head><title>t</title><style>p{}</style><script>x</script><noscript><p>no</noscript> loose<p>text", ["loose", "text"]),
+        ("<head><noscript><p>no<body><p>text", ["text"]),
+        ("<head><title>t <b>u</b></title></head><head><p>text", ["text"]),
+        ("<head/><p>text", ["text"]),
+        ("<p>a <svg class=\"x\"/>b <math/>c <object data=\"y\" />d", ["a b c d"]),
+        ("<p>a <svg><path d=\"z\"/><g/><text>no</text></svg>b<p>c", ["a b", "c"]),
+        ("<div>a <svg><path><div>b</div>c</div>", ["a", "b", "c"]),
+        ("<div>a <svg><foreignObject><p>no</p></foreignObject></svg>b</div>", ["a", "b"]),
+        ("<div>a <object><p>no</object> b <noscript><div>no</noscript>c <button>no<button>no</button> d</div>", ["a", "b", "c d"]),
+    ],
+)
+def test_unseen_elements_end_where_html_ends_them(html, want):
+    assert [b.text for b in blocks_of(html)] == want
+
+
+def test_pages_without_an_end_of_head(spark, model):
+    page = "<!DOCTYPE html><html><head><title>t</title>{}<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A title</h1><p>Many words <svg/>in here, again.</article>"
+    pages = spark.createDataFrame([(1, "u", page.format("")), (2, "u", page.format("</head>"))], "page_id bigint, url string, html string")
+    assert {r.text for r in extract_text(pages, model).collect()} == {"A title\nMany words in here, again."}
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 
