@@ -15,7 +15,8 @@ from flowspark.llm.common import table, written
 # (verdict, host and the begin of the path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-DAMPING, MOST_ROUNDS, SMALL_CHANGE = 0.85, 30, 1e-6
+# Rounds end by SMALL_CHANGE: what still moves shrinks by DAMPING a round, so 1e9 seeds need about 220. MOST_ROUNDS only guards that.
+DAMPING, MOST_ROUNDS, SMALL_CHANGE = 0.85, 1_000, 1e-6
 # A host is blocked from this much of the distrust that a wholly blocked host without links has.
 THRESHOLD = 0.5
 
@@ -74,12 +75,15 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, most_rounds: int,
 
     Seeds are not scaled to one, so a score keeps its meaning however many
     seeds there are. Each round is written to the shared folder, which also
-    cuts the lineage; it ends when no score changes by more than `small_change`.
+    cuts the lineage. What all scores together changed by bounds what any one
+    of them, a hub as well, can still change by; it ends when that is at most
+    `small_change`, and fails if `most_rounds` do not get there.
     """
     if edges.isEmpty():
         return seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("base"))
     scores = written(start.withColumn("score", F.col("base")).withColumn("change", F.col("base")), "rank")
+    moved = None
     for _ in range(most_rounds):
         flow = (
             scores.join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
@@ -93,9 +97,10 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, most_rounds: int,
             ),
             "rank",
         )
-        if (scores.agg(F.max("change").alias("most")).first()["most"] or 0.0) <= small_change:
-            break
-    return scores.select("kind", "host", "score")
+        moved = scores.groupBy("kind").agg(F.sum("change").alias("moved")).agg(F.max("moved")).first()[0] or 0.0
+        if moved * damping <= small_change * (1 - damping):
+            return scores.select("kind", "host", "score")
+    raise RuntimeError(f"scores still move by {moved} after {most_rounds} rounds")
 
 
 def judge_hosts(

@@ -217,6 +217,22 @@ def test_urls_against_plain(spark):
     assert filter_urls(frame, rules=()).filter("verdict = 'block' or rule is not null").count() == 0
 
 
+def test_scores_converge_by_default(spark):
+    """Hosts up to 45 links from a blocked host, which is in a cycle, and from an allowed one."""
+    link = lambda *names: "".join(f"<a href=//{n}>" for n in names)
+    pages = [("http://bad.net/", link("h0.io")), ("http://x.example.net/en/", link("g0.io"))]
+    pages += [(f"http://h{k}.io/", link(f"h{k - 1}.io" if k else "bad.net")) for k in range(45)]
+    pages += [(f"http://g{k}.io/", link(f"g{k + 1}.io")) for k in range(45)]
+    rows = [(k, *p) for k, p in enumerate(pages)]
+    found = filter_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    scores = plain.host_scores(pages, RULES, rounds=300)
+    assert 1e-6 < scores["h40.io"][1] < 1e-3 and 1e-6 < scores["g40.io"][0] < 1e-3
+    for row in found.collect():
+        assert math.isclose(row.trust, scores[row.host][0], abs_tol=1e-6) and math.isclose(row.distrust, scores[row.host][1], abs_tol=1e-6)
+    with pytest.raises(RuntimeError, match="after 3 rounds"):
+        filter_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string"), most_rounds=3)
+
+
 # --- main text ----------------------------------------------------------------------------
 
 
