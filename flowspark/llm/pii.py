@@ -105,9 +105,9 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
 _PROPOSE = {"email": emails, "ip": addresses, "card": cards, "phone": phones, "iban": accounts, "ssn": ssns}
 
 
-def score(text: str, kind: str, start: int) -> float:
-    before = text[max(0, start - CONTEXT_CHARS) : start].lower()
-    return round(SCORES[kind] + CONTEXT_BONUS * any(word in before for word in CONTEXT[kind]), 2)
+def score(text: str, kind: str, start: int, end: int) -> float:
+    before, behind = text[max(0, start - CONTEXT_CHARS) : start].lower(), text[end : end + CONTEXT_CHARS].lower()
+    return round(SCORES[kind] + CONTEXT_BONUS * any(word in before or word in behind for word in CONTEXT[kind]), 2)
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -118,7 +118,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found = []
     for order, kind in enumerate(KINDS if text else ()):
         for start, end in _PROPOSE[kind](text):
-            points = score(text, kind, start)
+            points = score(text, kind, start, end)
             if kind in BASE_KINDS or points >= MIN_SCORE:
                 found.append((start, order, kind, end, points))
     return [(kind, start, end, points) for start, _, kind, end, points in sorted(found)]

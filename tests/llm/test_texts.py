@@ -134,6 +134,13 @@ def test_added_kinds_are_confirmed():
     assert list(emails("x" * 50_000 + "@" * 1000)) == []
 
 
+def test_context_counts_on_both_sides():
+    for text in ("078-05-1120 (SSN)", "078-05-1120 is my social security number", "SSN 078-05-1120"):
+        assert [(k, points) for k, _, _, points in spans(text)] == [("ssn", 0.5)]
+    assert [s[3] for s in spans("1.2.3.4 is the server")] == [0.8] and [s[3] for s in spans("1.2.3.4 is it")] == [0.6]
+    assert spans("078-05-1120" + " " * 37 + "ssn") and not spans("078-05-1120" + " " * 38 + "ssn")
+
+
 def test_personal_data_query(spark):
     rows = op10_pii(spark, SMALL).collect()
     texts = dict(map(tuple, spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()))
