@@ -165,11 +165,17 @@ def _each(docs: DataFrame, columns: list[Column], row, schema: str) -> DataFrame
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in slices of bounded size, one after the other."""
-    bytes_in = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    count = max(1, -(-bytes_in // slice_bytes))
-    dealt = items.withColumn("_slice", F.pmod(F.xxhash64("_text"), F.lit(count)))
+def _source(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return items.select(F.col(item_col).cast("string").alias("_id"), F.col(item_text).alias("_text")).filter(F.col("_text").isNotNull())
+
+
+def _slice_count(source: DataFrame, slice_bytes: int) -> int:
+    return max(1, -(-(source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // slice_bytes))
+
+
+def _slices(source: DataFrame, count: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in `count` slices, one after the other."""
+    dealt = source.withColumn("_slice", F.pmod(F.xxhash64("_text"), F.lit(count)))
     for number in range(count):
         rows = dealt.filter(F.col("_slice") == number).select("_id", "_text").collect()
         yield [(r["_id"], r["_text"].encode()) for r in rows]
@@ -191,19 +197,14 @@ def _rarity(docs: DataFrame, text_col: str, items: list, window: int) -> dict[in
 
     counts = docs.select(text_col).mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     # One row per shingle of this slice at most, so its size is that of the slice.
-    return {int(np.int64(r["shingle"]).astype(np.uint64)): r["n"] for r in counts.toLocalIterator()}
+    rarity = {int(np.int64(r["shingle"]).astype(np.uint64)): r["n"] for r in counts.toLocalIterator()}
+    index.destroy()
+    return rarity
 
 
-def _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes) -> list:
-    """An index of each slice of the items, broadcast."""
-    prepared(docs.sparkSession)
-    source = items.select(F.col(item_col).cast("string").alias("_id"), F.col(item_text).alias("_text")).filter(
-        F.col("_text").isNotNull()
-    )
-    return [
-        docs.sparkSession.sparkContext.broadcast(Index(part, window, _rarity(docs, text_col, part, window)))
-        for part in _slices(source, slice_bytes)
-    ]
+def _index(docs: DataFrame, text_col: str, part: list, window: int):
+    """The index of a slice of the items, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(Index(part, window, _rarity(docs, text_col, part, window)))
 
 
 def find_passages(
@@ -226,33 +227,40 @@ def find_passages(
     both ends must lie inside the document (length bound), and all words are
     compared.
 
-    Items are taken in slices of bounded size, each broadcast in turn, so a
-    benchmark of any size gives the same rows. NULL or wordless documents have
+    Items are taken in slices of bounded size; of several, each is collected,
+    broadcast, its hits written, and dropped before the next, so a benchmark of
+    any size gives the same rows. NULL or wordless documents have
     no words and no hits; NULL or wordless items have no windows; equal items
     under several ids count under each; an item with a NULL id is hit but not
     listed. Repeated documents each give a row. With no items nothing is hit.
     """
     id_type = dict(docs.dtypes)[id_col]
-    broadcasts = _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes)
+    prepared(docs.sparkSession)
+    source = _source(items, item_col, item_text)
+    count = _slice_count(source, slice_bytes)
     measures = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
     def result(key, n_words, ranges, found):
         n_hit = covered(ranges)
         return (key, n_words, n_hit, *_listed(found), n_hit > 0)
 
-    if len(broadcasts) == 1:
-        index = broadcasts[0]
+    if count == 1:
+        index = _index(docs, text_col, next(_slices(source, 1)), window)
 
         def whole(key, words):
             yield result(key, len(words), *index.value.hits(words))
 
         return _each(docs, [F.col(id_col), F.col(text_col)], whole, f"`{id_col}` {id_type}, {measures}")
-    return _in_slices(docs, id_col, text_col, broadcasts, result, measures)
+    return _in_slices(docs, id_col, text_col, _slices(source, count), window, result, measures)
 
 
-def _in_slices(docs, id_col, text_col, broadcasts, result, measures) -> DataFrame:
-    """The same for several slices: hits of each slice, merged per text."""
-    key = F.sha1(F.coalesce(text_col, F.lit("")))
+def _text_key(text_col: str) -> Column:
+    return F.sha1(F.coalesce(text_col, F.lit("")))
+
+
+def _hits(docs: DataFrame, text_col: str, slices: Iterator[list], window: int) -> DataFrame:
+    """(_key, begins, ends, items) of the texts that each slice hits; a slice's index is gone before the next is built."""
+    key = _text_key(text_col)
     shape = "_key string, begins array<int>, ends array<int>, items array<string>"
 
     def in_slice(index):
@@ -263,13 +271,20 @@ def _in_slices(docs, id_col, text_col, broadcasts, result, measures) -> DataFram
 
         return row
 
-    distinct = docs.select(key.alias("_key"), F.col(text_col)).dropDuplicates(["_key"])
-    parts = [_each(distinct, [F.col("_key"), F.col(text_col)], in_slice(index), shape) for index in broadcasts]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    found = None
+    for part in slices:
+        index = _index(docs, text_col, part, window)
+        hits = written(_each(docs, [key, F.col(text_col)], in_slice(index), shape).dropDuplicates(["_key"]), "hits")
+        index.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _in_slices(docs, id_col, text_col, slices, window, result, measures) -> DataFrame:
+    """The same for several slices: hits of each slice, merged per text."""
+    key = _text_key(text_col)
     merged = written(
-        found.groupBy("_key").agg(
+        _hits(docs, text_col, slices, window).groupBy("_key").agg(
             F.flatten(F.collect_list("begins")).alias("_begins"),
             F.flatten(F.collect_list("ends")).alias("_ends"),
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"),
@@ -305,16 +320,20 @@ def without_passages(
     slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of an item."""
-    at = docs.columns.index(text_col)
-    for index in _indexes(docs, items, text_col, item_col, item_text, window, slice_bytes):
-
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = pc.cast(batch.column(at), pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not index.value.hits(words_of(t))[0] for t in texts], pa.bool_()))
+    prepared(docs.sparkSession)
+    source = _source(items, item_col, item_text)
+    count = _slice_count(source, slice_bytes)
+    if count > 1:
+        hit = written(_hits(docs, text_col, _slices(source, count), window).select(F.col("_key").alias("_hit_text")).distinct(), "hit-texts")
+        return docs.join(hit, _text_key(text_col) == F.col("_hit_text"), "left_anti")
+    at, index = docs.columns.index(text_col), _index(docs, text_col, next(_slices(source, 1)), window)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.cast(batch.column(at), pa.binary()).to_pylist()
+            yield batch.filter(pa.array([not index.value.hits(words_of(t))[0] for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,25 @@ def test_passages_against_plain(spark, slice_bytes):
     assert clean == sorted([(k, t) for k, t in docs if not plain.passages(t, items)[-1]], key=repr)
 
 
+def test_one_slice_is_held_at_a_time(spark, monkeypatch):
+    """Indexes of several slices are gone before the next one is built."""
+    context, held, most = spark.sparkContext, set(), []
+
+    def broadcast(value, of=type(context).broadcast):
+        made = of(context, value)
+        held.add(made)
+        most.append(len(held))
+        monkeypatch.setattr(made, "destroy", lambda *a, of=made.destroy: (held.discard(made), of(*a)), raising=False)
+        return made
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    items = spark.createDataFrame([(k, f"some words of item number {k}") for k in range(3)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "here are some words of item number 1"), (2, "none"), (3, None)], "doc_id bigint, text string")
+    assert of(without_passages(docs, items, slice_bytes=40), ["doc_id"]) == [(2,), (3,)]
+    assert of(find_passages(docs, items, slice_bytes=40), ["doc_id", "n_hit"]) == [(1, 6), (2, 0), (3, 0)]
+    assert len(most) > 4 and max(most) == 1 and not held
+
+
 def test_passages_of_nothing(docs, nothing, spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     none = hashlib.sha256(b"").hexdigest()
