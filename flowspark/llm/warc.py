@@ -6,6 +6,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import itertools
 import os
 import sys
 import uuid
@@ -148,26 +149,38 @@ def range_begins(keys: DataFrame, range_bytes: int) -> list[tuple]:
 
 
 class ArchiveFile:
-    """A file under a temporary name, and what its manifest row says of it."""
+    """A file under a temporary name, and what a table says of it."""
 
-    def __init__(self, folder: str, part: int, number: int):
-        self.file = f"{folder}/pages-{part:06d}-{number:05d}.warc.gz"
-        self.temporary = f"{folder}/.{part:06d}-{number:05d}-{uuid.uuid4().hex}.tmp"
+    def __init__(self, folder: str, name: str):
+        self.file = f"{folder}/{name}.warc.gz"
+        self.temporary = f"{folder}/.{name}-{uuid.uuid4().hex}.tmp"
         fs, path = file_system(self.temporary)
         fs.create_dir(os.path.dirname(path), recursive=True)
         self.out = fs.open_output_stream(path, compression=None)
         self.records = self.bytes = 0
+        self.sizes: list[int] = []
         self.digest = hashlib.sha256()
 
     def add(self, member: bytes) -> None:
         self.out.write(member)
-        self.digest.update(member)
         self.records += 1
         self.bytes += len(member)
-
-    def close(self) -> tuple[str, str, int, int, str]:
-        self.out.close()
-        return self.temporary, self.file, self.records, self.bytes, self.digest.hexdigest()
+        self.sizes.append(len(member))
+
+    def copy(self, source: str, begin: int, size: int, records: int) -> None:
+        fs, path = file_system(source)
+        with fs.open_input_file(path) as data:
+            data.seek(begin)
+            left = size
+            while left:
+                part = data.read(min(left, 1 << 20))
+                if not part:
+                    raise ValueError(f"{source} ends too early")
+                self.out.write(part)
+                self.digest.update(part)
+                left -= len(part)
+        self.records += records
+        self.bytes += size
 
 
 def write_warc(
@@ -182,9 +195,13 @@ def write_warc(
     """Write every row as a record and return the manifest: file, records, bytes, sha256.
 
     Records are sorted by id, url and payload and cut into ranges of about
-    `range_bytes` of html, more where they would be too many; within a range a new file begins once `file_bytes`
-    are written. Ranges follow from exact sums over the sorted pages, so files,
-    names and bytes do not depend on partitions or reruns. Each file is written
+    `range_bytes` of html, more where they would be too many. Ranges are
+    compressed apart, into segments; their compressed sizes, summed up exactly,
+    then roll the files: a record is of the file in whose `file_bytes` of the
+    whole archive it begins, so files span ranges and all but the last have
+    `file_bytes`, give or take a record. `range` and `number` name a file's
+    first segment. Files, names and bytes do not depend on partitions or
+    reruns. Segments are deleted once the files are there. Each file is written
     under a temporary name; the manifest row of the attempt that Spark kept
     names it, and a second job renames it; readers go by the manifest.
 
@@ -209,11 +226,12 @@ def write_warc(
     placed = named.join(first, "_sha1", "left").select(*KEY, "html", "_first", ranges)
     ordered = placed.repartition(spread, "range").sortWithinPartitions("range", *KEY)
     folder = new_folder(spark, "warc")
-    listed = "range int, number int, temporary string, file string, records bigint, bytes bigint, sha256 string"
-    list_fields = arrow_schema(pages, listed)
+    segment = "range int, number int, temporary string, bytes bigint, sizes array<bigint>"
+    segment_fields = arrow_schema(pages, segment)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, before, repeat, place = None, None, 0, (None, 0)
+        done = lambda: (out.out.close(), batch_of([(*place, out.temporary, out.bytes, out.sizes)], segment_fields))[1]
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:3]]
             htmls = pc.cast(batch.column(3), pa.binary()).to_pylist()
@@ -225,16 +243,53 @@ def write_warc(
                 if chosen and ((chosen["page_id"], chosen["url"]) != (page_id, url) or repeat):
                     revisited = (chosen["page_id"], chosen["url"])
                 if out and (part != place[0] or out.bytes >= file_bytes):
-                    yield batch_of([(*place, *out.close())], list_fields)
+                    yield done()
                     out = None
                 if not out:
                     place = (part, place[1] + 1 if part == place[0] else 0)
-                    out = ArchiveFile(folder, *place)
+                    out = ArchiveFile(f"{folder}/segments", f"{part:06d}-{place[1]:05d}")
                 out.add(record(page_id, url, html, repeat, revisited))
         if out:
-            yield batch_of([(*place, *out.close())], list_fields)
+            yield done()
+
+    segments = written(ordered.mapInArrow(write, segment), "segments")
+    # A row per segment: ranges are bounded, and further segments are as large as a file.
+    sums = segments.withColumn("_at", F.struct("range", "number"))
+    starts = sums.join(F.broadcast(sizes_before(sums, "_at", "bytes", "_before")), "_at").select("range", "number", "temporary", "_before", "sizes")
+    piece = "file bigint, range int, number int, temporary string, begin bigint, bytes bigint, records bigint"
+    piece_fields = arrow_schema(pages, piece)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for range_, number, temporary, before, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 0
+                for file, members in itertools.groupby(zip(itertools.accumulate(sizes, initial=before), sizes), lambda m: m[0] // file_bytes):
+                    members = [size for _, size in members]
+                    rows.append((file, range_, number, temporary, at, sum(members), len(members)))
+                    at += sum(members)
+            yield batch_of(rows, piece_fields)
+
+    listed = "range int, number int, temporary string, file string, records bigint, bytes bigint, sha256 string"
+    list_fields = arrow_schema(pages, listed)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, place, current = None, None, None
+        done = lambda: (out.out.close(), batch_of([(*place, out.temporary, out.file, out.records, out.bytes, out.digest.hexdigest())], list_fields))[1]
+        for batch in batches:
+            for file, range_, number, source, begin, size, records in zip(*(c.to_pylist() for c in batch.columns)):
+                if out and file != current:
+                    yield done()
+                    out = None
+                if not out:
+                    current, place = file, (range_, number)
+                    out = ArchiveFile(folder, f"pages-{file:09d}")
+                out.copy(source, begin, size, records)
+        if out:
+            yield done()
 
-    files = written(ordered.mapInArrow(write, listed), "attempts")
+    pieces = starts.mapInArrow(cut, piece).repartition(spread, "file").sortWithinPartitions("file", "range", "number", "begin")
+    files = written(pieces.mapInArrow(join, listed), "attempts")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +303,11 @@ def write_warc(
             yield batch.select(["range", "number", "file", "records", "bytes", "sha256"])
 
     kept = "range int, number int, file string, records bigint, bytes bigint, sha256 string"
-    return written(files.repartition(spread, "range", "number").mapInArrow(commit, kept), "archive")
+    archive = written(files.repartition(spread, "file").mapInArrow(commit, kept), "archive")
+    fs, path = file_system(f"{folder}/segments")
+    if fs.get_file_info(path).type.name != "NotFound":
+        fs.delete_dir(path)
+    return archive
 
 
 def read_warc(manifest: DataFrame, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near copies, mixing, token files, archives, URL filter, main text, and the pipeline."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -188,6 +189,17 @@ def test_archives_of_repeated_rows_and_of_nothing(spark):
     assert none.count() == 0 and read_warc(none).count() == 0
 
 
+def test_archives_roll_by_compressed_size_by_default(spark):
+    """Files of about 16 MiB though ranges hold 1 MiB of html; nothing else is left in the folder."""
+    pages = spark.range(0, 400, 1, 8).selectExpr("id page_id", "'u' url", "array_join(transform(sequence(1, 2500), k -> sha2(concat(id, '-', k), 256)), '') html")
+    archive = write_warc(pages)
+    sizes = [r.bytes for r in archive.orderBy("file").collect()]
+    assert len(sizes) == 3 and all(abs(size - (16 << 20)) < 100_000 for size in sizes[:-1])
+    assert read_warc(archive).select("page_id").distinct().count() == 400
+    folder = archive.first().file.rpartition("/")[0]
+    assert len(os.listdir(common.file_system(folder)[1])) == 3
+
+
 # --- URL filter -------------------------------------------------------------------------
 
 
