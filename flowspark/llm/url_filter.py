@@ -15,7 +15,7 @@ from flowspark.llm.common import table, written
 # (verdict, host and the begin of the path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-# Rounds end by SMALL_CHANGE: what still moves shrinks by DAMPING a round, so 1e9 seeds need about 220. MOST_ROUNDS only guards that.
+# Rounds end by SMALL_CHANGE: what still moves shrinks by DAMPING a round, so 1e9 seeds need 212 at most. MOST_ROUNDS only guards that.
 DAMPING, MOST_ROUNDS, SMALL_CHANGE = 0.85, 1_000, 1e-6
 # A host is blocked from this much of the distrust that a wholly blocked host without links has.
 THRESHOLD = 0.5
