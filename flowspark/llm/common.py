@@ -6,7 +6,9 @@ import os
 import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,37 @@ def batch_of(rows: Sequence[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=fields)
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in the same order, in batches of about `size` bytes of the text column."""
+    held, have = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        at = before = 0
+        while at < len(ends):
+            upto = max(at + 1, int(np.searchsorted(ends, before + size - have, "right")))
+            held.append(batch.slice(at, upto - at))
+            have += int(ends[upto - 1]) - before
+            at, before = upto, int(ends[upto - 1])
+            if have >= size or at < len(ends):
+                yield pa.concat_batches(held)
+                held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def row_chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in the same order, in batches of at least `least` narrow rows; none is empty."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += len(batch)
+        if have >= least:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+    if have:
+        yield pa.concat_batches(held)
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words, 0 for NULL."""
     text = F.col(text) if isinstance(text, str) else text

@@ -10,7 +10,8 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from flowspark.llm.common import (
     range_sorted,
     sizes_before,
     table,
+    text_chunks,
     written,
 )
 
@@ -39,11 +41,15 @@ ROW_TOKENS, BLOCK_TOKENS, STEP = 1 << 16, 1 << 16, 64
 FILE_BYTES = 64 << 20
 LONGEST_CODE = 18
 MAGIC = b"FLOWTOK1"
-# Words whose ids a worker remembers.
-CACHED_WORDS = 500_000
+# Bytes of text that are encoded at a time.
+CHUNK_BYTES = 8 << 20
+# What a worker process remembers of words, at most, between two chunks.
+REMEMBERED_BYTES = 64 << 20
 
 # Fixed by the vocabulary file: how it parts words of printable ASCII and Latin-1 letters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+# Words of which they leave out nothing, and which have as many small letters as letters.
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,57 +59,102 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class WordIds(dict):
-    """Word (UTF-8) to its ids, as bytes of little-endian numbers.
+class WordIds:
+    """Texts (UTF-8) to their ids, as arrays of little-endian numbers.
 
     White space never lies inside a token of the vocabulary, so a text's ids
-    are those of its words in a row. Plain Latin words go to the model piece by
-    piece, all others through the whole tokenizer.
+    are those of its words in a row, and a word that comes often in a chunk of
+    texts is looked at once. Plain Latin words go to the model piece by piece,
+    all others through the whole tokenizer. Pieces and words of any length are
+    encoded; `keys` and `ids` (of key i those up to `ends[i]`) remember them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         state = json.loads(self.tokenizer.to_str())
         steps = [s["type"] for s in (state["normalizer"] or {}).get("normalizers", [])]
         # The piecewise way holds for this chain of steps only.
         self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and state["model"].get("end_of_word_suffix") == "</w>"
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        if len(self.pieces) >= CACHED_WORDS:
-            self.pieces.clear()
-        text = word.decode()
-        small = text.lower()
-        pieces = _PIECES.findall(small) if self.by_piece and "<|" not in text else ()
-        # Pieces that leave something out, or a letter that became two: no plain Latin word.
-        if len("".join(pieces)) == len(small) == len(text):
-            found = b"".join(map(self._piece, pieces))
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[word] = found
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-            found = self.pieces[piece] = array(self.dtype.char, ids).tobytes()
-        return found
-
-    def encode(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    @staticmethod
+    def of_process(path: str) -> WordIds:
+        """One per worker process and vocabulary, kept from task to task.
+
+        This module reaches workers by value, anew with each task, so the place
+        to keep it is a module that the process has imported itself.
+        """
+        kept = vars(sys).setdefault("_flowspark_word_ids", {})
+        if path not in kept:
+            kept[path] = WordIds(path)
+        return kept[path]
+
+    def _piece(self, piece: str) -> list[int]:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.tokenizer.model.tokenize(mapped)]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _places(self, keys: pa.Array, find: Callable[[str], list[int]]) -> np.ndarray:
+        """Where each of the distinct keys is remembered, new ones after `find`."""
+        places = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(places.is_null())
+        found = [find(key) for key in new.to_pylist()]
+        places = places.fill_null(0).to_numpy().astype(np.int64)
+        if found:
+            places[~np.asarray(pc.is_in(keys, value_set=self.keys))] = len(self.keys) + np.arange(len(found))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype, sizes.sum())])
+            self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(sizes)])
+            self.keys = pa.concat_arrays([self.keys, new])
+        return places
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many are of each text; none of a NULL."""
+        texts = pc.fill_null(texts, "")
         if not self.by_piece:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+            each = [np.array(self._whole(text), self.dtype) for text in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(ids) for ids in each], np.int64)
+        if self.keys.nbytes + self.ids.nbytes + self.ends.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        words = pc.ascii_split_whitespace(texts)
+        until = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        # Of each distinct word the places of its keys: its pieces, or itself.
+        plain = pc.and_not(pc.match_substring_regex(coded.dictionary, _PLAIN), pc.match_substring(coded.dictionary, "<|"))
+        pieces = [_PIECES(word) for word in pc.utf8_lower(coded.dictionary.filter(plain)).to_pylist()]
+        parts = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+        others = self._places(coded.dictionary.filter(pc.invert(plain)), self._whole)
+        places = self._places(parts.dictionary, self._piece)[parts.indices.to_numpy()]
+        plain = np.asarray(plain)
+        counts = np.ones(len(plain), np.int64)
+        counts[plain] = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        of_words = np.empty(len(places) + len(others), np.int64)
+        is_piece = np.repeat(plain, counts)
+        of_words[is_piece], of_words[~is_piece] = places, others
+        # Words in a row, their keys in a row, the keys' ids in a row.
+        keys, key_ends = _rows_of(of_words, np.cumsum(counts), coded.indices.to_numpy())
+        ids, id_ends = _rows_of(self.ids, self.ends, keys)
+        stops = np.r_[0, id_ends][np.r_[0, key_ends][until]]
+        return ids, np.diff(stops, prepend=0)
+
+
+def _rows_of(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the given rows in a row, and where each ends; row i has the values up to ends[i]."""
+    begins = np.r_[0, ends[:-1]]
+    sizes = (ends - begins)[rows] if len(rows) else np.zeros(0, np.int64)
+    stops = np.cumsum(sizes)
+    if not len(stops):
+        return values[:0], stops
+    return values[np.repeat(begins[rows] - stops + sizes, sizes) + np.arange(stops[-1])], stops
 
 
 # --- the code ---------------------------------------------------------------
@@ -282,16 +333,17 @@ def token_rows(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_
     fields = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = WordIds.of_process(tokenizer)
         end = np.array([end_id], words.dtype).tobytes()
         part, seq, keys, sizes, parts, total = None, 0, [], [], [], 0
-        for batch in batches:
-            for key, text, part in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                ids = words.encode(text) + end
+        for chunk in text_chunks(batches, 1, CHUNK_BYTES):
+            ids, counts = words.encode(chunk.column(1))
+            stops = np.cumsum(counts).tolist()
+            for key, part, size, stop in zip(chunk.column(0).to_pylist(), chunk.column(2).to_pylist(), counts.tolist(), stops):
                 keys.append(key)
-                sizes.append(len(ids) // words.dtype.itemsize)
-                parts.append(ids)
-                total += sizes[-1]
+                sizes.append(size + 1)
+                parts.append(ids[stop - size : stop].tobytes() + end)
+                total += size + 1
                 if total >= ROW_TOKENS:
                     yield batch_of([(part, seq, keys, sizes, b"".join(parts), total)], fields)
                     seq, keys, sizes, parts, total = seq + 1, [], [], [], 0
@@ -337,7 +389,7 @@ def write_token_files(
     empty table gives no file.
     """
     spark = prepared(docs.sparkSession)
-    ids_of = WordIds(tokenizer)
+    ids_of = WordIds.of_process(tokenizer)
     vocabulary, dtype = max(ids_of.tokenizer.get_vocab_size(), end_id + 1), ids_of.dtype
     rows = written(token_rows(docs, tokenizer, id_col, text_col, end_id), "ids")
     lengths = spark.sparkContext.broadcast(code_lengths(id_counts(rows, vocabulary, dtype)))

@@ -5,11 +5,12 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from flowspark.llm import common
+from flowspark.llm import common, token_files
 from flowspark.llm.html_blocks import TRAINING_PAGES, blocks_of, extract_text, fit, labelled_pages, main_text
 from flowspark.llm.mixing import mix, mix_report
 from flowspark.llm.near_copies import group_copies, keep_one, prefix_size
@@ -137,11 +138,28 @@ def test_lengths_are_limited_and_optimal():
     assert code_lengths(counts, 5).max() == 5 and sum(2.0 ** -code_lengths(counts, 5).astype(float)) == 1
 
 
-def test_words_are_encoded_as_the_whole_text_is():
+def test_words_are_encoded_as_the_whole_text_is(monkeypatch):
     ids, tokenizer = WordIds(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
     texts = ["It's <|endoftext|>x a<|endoftext|>", "İstanbul ΑΣ ΑΣ. ﬁ e\u0301 \u0301a a\u00a0b x\x1cy", "ª²½ ß ÿ Å × ÷ don'T 'S'll 12a3b—’s", "日本語 a\u200bb 😀", "", " \n", "'" * 50 + "s", "\x00 \x7f q", "x" * 3000]
-    for text in texts:
-        assert np.frombuffer(ids.encode(text.encode()), ids.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    texts += [None, "x" * 70 + "é" * 70, " ".join(f"w{k}" for k in range(500)), "a\x0bb\x0cc  a"]
+    want = [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+    # Again with all words known, with the memory full before each call, and with nothing to encode.
+    for remembered in (1 << 20, 1 << 20, 0, 0):
+        monkeypatch.setattr(token_files, "REMEMBERED_BYTES", remembered)
+        found, counts = ids.encode(pa.array(["left out", *texts], pa.string()).slice(1))
+        assert [part.tolist() for part in np.split(found, np.cumsum(counts)[:-1])] == want
+    assert all(len(part) == 0 for part in ids.encode(pa.array([], pa.string())))
+
+
+def test_chunks_keep_all_rows_in_order():
+    draw = random.Random(9)
+    texts = [None if draw.random() < 0.1 else "x" * draw.choice((0, 1, 5, 40)) for _ in range(200)]
+    rows = list(enumerate(texts))
+    batches = [pa.record_batch([pa.array([k for k, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], ["k", "t"]) for part in (rows[:1], rows[1:90], [], rows[90:])]
+    for size in (1, 30, 10**6):
+        chunks = list(common.text_chunks(iter(batches), 1, size))
+        assert [r for c in chunks for r in zip(*(x.to_pylist() for x in c.columns))] == rows
+        assert all(sum(len(t or "") for t in c.column(1).to_pylist()) <= size + 40 for c in chunks)
 
 
 def test_token_files_round_trip(spark):
