@@ -15,6 +15,9 @@ _MODULES = {
     "op8_warc": ("warc", "OP8_SQL"),
     "op9_decontaminate": ("decontaminate", "OP9_SQL"),
     "op10_pii": ("pii", None),
+    "op11_source_audit": ("source_audit", "OP11_SQL"),
+    "op12_centroids": ("centroids", "OP12_SQL"),
+    "op13_simhash": ("simhash", None),
 }
 
 QUERIES, CHECKS = {}, {}
