@@ -619,6 +619,13 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         fresh="SELECT 'anomaly_' || CAST(s_suppkey - s_suppkey % 3 AS VARCHAR) AS doc_id, max_by(s_name, s_suppkey) AS text, "
         "'no=' || CAST(max(s_suppkey) AS VARCHAR) AS meta FROM supplier GROUP BY 1",
     ),
+    "kb_snapshots": _with(
+        "SELECT 'anomaly_csv_logsc01' AS collection, doc_id, text, meta FROM adocs WHERE doc_id NOT IN (SELECT doc_id FROM fresh) "
+        "UNION ALL SELECT 'anomaly_csv_logsc01', doc_id, text, meta FROM fresh", "anomalies",
+        adocs=f"SELECT a.*, {_META} AS meta FROM ({_ANOMALY_DOCS.replace('dst_port,', 'dst_port, srcPort,')}) a",
+        fresh="SELECT 'anomaly_' || CAST(s_suppkey - s_suppkey % 3 AS VARCHAR) AS doc_id, max_by(s_name, s_suppkey) AS text, "
+        "'no=' || CAST(max(s_suppkey) AS VARCHAR) AS meta FROM supplier GROUP BY 1",
+    ),
     "header_scan": _with(
         "SELECT line_no, src_ip AS orig_h, dst_ip AS resp_h, CASE WHEN (line_no // 108) % 2 = 0 THEN proto END AS proto FROM flows", "flows"
     ),
@@ -650,6 +657,8 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         "flows", "anomalies", ipset=_IP_SET, echoes=_ECHOES,
     ),
     "ping_burst": _with(_BURSTS, "flows"),
+    "stream_ping_burst": _with(_BURSTS, "flows"),
+    "stream_intake": _with("SELECT * EXCLUDE (log_name, line_no) FROM flows", "flows"),
     "syn_many_to_one": _with("SELECT * FROM floods", "flows", **_SYN),
     # A scan has many ports; only floods report the port of their first row.
     "syn_one_to_many": _with("SELECT * EXCLUDE (first_port) FROM scans", "flows", **_SYN),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,11 +15,13 @@ from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores, verdicts
 from flowspark.plans import pipelines
-from flowspark.session import cut_lineage
+from flowspark.session import checkpoint_dir, cut_lineage
+from flowspark.sinks.snapshots import SnapshotTable
 from flowspark.sinks.tables import label_file_lines, with_parts
 from flowspark.sources import conn_log, driver_tables as tables
 from flowspark.sources import tables as readers
-from flowspark.streaming.flows import flood_window_counts
+from flowspark.streaming.bursts import stream_ping_bursts
+from flowspark.streaming.flows import flood_window_counts, land_batches, read_batches, run_available, without_repeats
 
 # Events are sparse (a month in all), so windows are hours where a capture has seconds.
 WINDOW = 12 * HOUR
@@ -126,8 +129,7 @@ def split_log_parts(spark, sf):
     )
 
 
-@query
-def kb_upsert(spark, sf):
+def _kb_rows(spark, sf):
     existing = documents.anomaly_docs(tables.anomalies(spark, sf)).select("collection", "doc_id", "text", "meta")
     new = tables.table(spark, sf, "supplier").select(
         F.lit(documents.ANOMALIES).alias("collection"),
@@ -136,7 +138,12 @@ def kb_upsert(spark, sf):
         F.create_map(F.lit("no"), F.col("s_suppkey").cast("string")).alias("meta"),
         "s_suppkey",
     )
-    rows = documents.upserted(existing, new, order="s_suppkey")
+    return existing, new
+
+
+@query
+def kb_upsert(spark, sf):
+    rows = documents.upserted(*_kb_rows(spark, sf), order="s_suppkey")
     return rows.select("collection", "doc_id", "text", _shown_map("meta"))
 
 
@@ -250,6 +257,55 @@ def ping_burst(spark, sf):
     return bursts.ping_burst(tables.flows(spark, sf), window_us=WINDOW)
 
 
+def _run_folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{os.urandom(6).hex()}"
+
+
+@query
+def stream_ping_burst(spark, sf):
+    """The same bursts from a stream of flow files in an order of their own; a last flow lets all windows close."""
+    folder = _run_folder(spark)
+    flows = tables.flows(spark, sf).filter("proto = 'icmp'").select("proto", "src_port", "dst_port", "dst_ip", "ts_us")
+    # Four files: times are dealt out by a hash, so each file goes back to the beginning.
+    flows.repartition(4, F.xxhash64("ts_us")).write.parquet(f"{folder}/in")
+    last = flows.agg((F.max("ts_us") + 200 * WINDOW).alias("ts_us"))
+    month = flows.agg(F.max("ts_us") - F.min("ts_us")).first()[0]
+    closing = last.select(F.lit("icmp").alias("proto"), F.lit(0).alias("src_port"), F.lit(8).alias("dst_port"), F.lit("closing").alias("dst_ip"), "ts_us")
+    for part in ("first", "second"):
+        if part == "second":
+            closing.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        found = stream_ping_bursts(arriving, window_us=WINDOW, delay_us=month or 0)
+        run_available(found, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema("dst_ip string, start_us bigint, end_us bigint, count bigint").parquet(f"{folder}/out")
+
+
+@query
+def stream_intake(spark, sf):
+    """Log files of which each comes twice, landed batch by batch; every flow is there once."""
+    folder = _run_folder(spark)
+    flows = tables.flows(spark, sf).withColumn("uid", F.col("line_no").cast("string"))
+    flows.select(conn_log.to_line(flows).alias("value")).repartition(4).write.text(f"{folder}/once")
+    for again in ("first", "second"):
+        spark.read.text(f"{folder}/once").write.mode("append").text(f"{folder}/in/{again}")
+    arriving = spark.readStream.option("maxFilesPerTrigger", 3).text(f"{folder}/in/*")
+    named = arriving.select(F.lit("all").alias("log_name"), F.lit(None).cast("bigint").alias("line_no"), "value")
+    land_batches(without_repeats(conn_log.parse_lines(named), "4000 days"), f"{folder}/out", f"{folder}/state")
+    return read_batches(spark, f"{folder}/out").drop("log_name", "line_no", "ts", "uid", "service", "raw", "batch", "day")
+
+
+@query
+def kb_snapshots(spark, sf):
+    """Anomaly documents, then suppliers put in their place, as two versions of a snapshot table."""
+    table = SnapshotTable(spark, f"{checkpoint_dir(spark)}/kb-{os.urandom(6).hex()}", buckets=8)
+    existing, new = _kb_rows(spark, sf)
+    table.upsert(existing.withColumn("place", F.lit(0)), "place")
+    table.upsert(new, "s_suppkey", mark=("suppliers", 1))
+    # The same rows once more are a repeat.
+    table.upsert(new.withColumn("text", F.lit("repeat")), "s_suppkey", mark=("suppliers", 1))
+    return table.read().select("collection", "doc_id", "text", _shown_map("meta"))
+
+
 @query
 def syn_many_to_one(spark, sf):
     found = bursts.syn_many_to_one(tables.flows(spark, sf), window_us=WINDOW)

@@ -1,7 +1,7 @@
 """A table of snapshots: bucket files, a manifest per version, one atomic rename per commit.
 
     path/data/<run>/bucket=<b>/*.parquet   files of a bucket, never changed
-    path/versions/00000007.json            version 7: the files of every bucket
+    path/versions/00000007                 version 7: the files of every bucket
 
 A writer merges only the buckets that its rows fall into, writes their new files
 and then renames a finished manifest to the next version's name. Readers take
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from flowspark.functions.scale import top_per_group
 from flowspark.session import cut_lineage
+from flowspark.sinks.commits import Commits, Taken
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,53 +63,27 @@ class SnapshotTable:
             raise ValueError(f"filter_bits must be a multiple of {_BITMAP_BITS}")
         self.spark, self.path, self.key = spark, path.rstrip("/"), list(key)
         self.buckets, self.indexed, self.filter_bits = buckets, indexed, filter_bits
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._hadoop.Path(self.path).getFileSystem(conf)
-        self._context = self._hadoop.FileContext.getFileContext(self._hadoop.Path(self.path).toUri(), conf)
+        self._versions = Commits(spark, f"{self.path}/versions")
+        self._data = Commits(spark, f"{self.path}/data")
 
     # --- versions -------------------------------------------------------------
 
-    def _place(self, *names: str):
-        return self._hadoop.Path("/".join([self.path, *names]))
-
     def versions(self) -> list[int]:
         """Committed versions, the newest last."""
-        folder = self._place("versions")
-        if not self._fs.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
-        return sorted(int(name.removesuffix(".json")) for name in names if name.endswith(".json"))
+        return sorted(map(int, self._versions.names()))
 
     def manifest(self, version: int | None = None) -> dict:
         """The newest manifest, or that of `version`; an empty one before the first commit."""
         versions = self.versions()
         if not versions:
             return {"version": 0, "key": self.key, "buckets": self.buckets, "schema": None, "files": {}, "filters": {}, "marks": {}}
-        stream = self._fs.open(self._place("versions", f"{versions[-1] if version is None else version:08d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self._versions.read(f"{versions[-1] if version is None else version:08d}"))
 
     def _commit(self, manifest: dict) -> None:
-        name = f"{manifest['version']:08d}.json"
-        unnamed, named = self._place("versions", f"{name}.{os.urandom(6).hex()}"), self._place("versions", name)
-        self._fs.mkdirs(self._place("versions"))
-        out = self._fs.create(unnamed, False)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
         try:
-            # One step of the file system, which refuses a name that is taken.
-            self._context.rename(unnamed, named, options)
-        except Exception as error:
-            self._fs.delete(unnamed, False)
-            if self._fs.exists(named):
-                raise Conflict(f"{self.path}: version {manifest['version']} belongs to another writer") from error
-            raise
+            self._versions.publish(f"{manifest['version']:08d}", json.dumps(manifest))
+        except Taken as error:
+            raise Conflict(f"{self.path}: version {manifest['version']} belongs to another writer") from error
 
     # --- reading --------------------------------------------------------------
 
@@ -194,7 +169,7 @@ class SnapshotTable:
         after = dict(manifest, version=manifest["version"] + 1, schema=schema.jsonValue(), files=dict(manifest["files"]), filters=dict(manifest["filters"]))
         after["marks"] = {**manifest["marks"], **({mark[0]: mark[1]} if mark else {})}
         for b in touched:
-            found = self._fs.listStatus(self._place("data", run, f"bucket={b}"))
+            found = self._data.fs.listStatus(self._data.path(run, f"bucket={b}"))
             names = [status.getPath().getName() for status in found]
             after["files"][str(b)] = [f"{run}/bucket={b}/{name}" for name in names if name.endswith(".parquet")]
         if self.indexed is not None and touched:
@@ -223,13 +198,13 @@ class SnapshotTable:
         versions = self.versions()[-keep:]
         named = {name.split("/")[0] for v in versions for names in self.manifest(v)["files"].values() for name in names}
         gone = 0
-        if self._fs.exists(self._place("data")):
-            for status in self._fs.listStatus(self._place("data")):
+        if self._data.fs.exists(self._data.path()):
+            for status in self._data.fs.listStatus(self._data.path()):
                 if status.getPath().getName() not in named:
-                    self._fs.delete(status.getPath(), True)
+                    self._data.fs.delete(status.getPath(), True)
                     gone += 1
         for v in set(self.versions()) - set(versions):
-            self._fs.delete(self._place("versions", f"{v:08d}.json"), False)
+            self._versions.delete(f"{v:08d}")
         return gone
 
 
