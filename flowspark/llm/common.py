@@ -18,8 +18,8 @@ from flowspark.session import checkpoint_dir, configure, cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Texts run to 100,000 characters and more, so batches hold few rows.
-ROWS_PER_BATCH = 500
+# Texts run to 100,000 characters and more, so batches to Python hold few rows and, where these are long, fewer.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 4 << 20
 
 # The words of every contract: runs of anything but ASCII white space. Splitting
 # UTF-8 bytes at white space gives the same words.
@@ -32,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     return spark
 
 
