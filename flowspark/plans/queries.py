@@ -14,6 +14,7 @@ from flowspark.functions.text import all_tokens, cap_text, extract_ips
 from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores, verdicts
+from flowspark.operators.vector_index import VectorIndex, recall_of
 from flowspark.plans import pipelines
 from flowspark.session import checkpoint_dir, cut_lineage
 from flowspark.sinks.snapshots import SnapshotTable
@@ -607,6 +608,17 @@ def vector_topk(spark, sf):
     return _shown(retrieval.vector_topk(*_vectors(spark, sf), k=6))
 
 
+@query
+def vector_topk_indexed(spark, sf):
+    """Neighbours through an index built for the purpose, held against the exact ones: how many queries, rows, and whether nine in ten are there."""
+    queries, kb = _vectors(spark, sf)
+    index = VectorIndex.build(kb, f"{checkpoint_dir(spark)}/index-{os.urandom(6).hex()}", k=6)
+    found = cut_lineage(index.search(queries, k=6), "indexed")
+    counts = found.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_rows"))
+    recall = recall_of(found, retrieval.vector_topk(queries, kb, k=6))
+    return counts.join(recall).select("n_queries", "n_rows", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def _shown(hits: DataFrame) -> DataFrame:
     return hits.withColumn("similarity", F.round("similarity", 6))
 
