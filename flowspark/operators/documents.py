@@ -12,6 +12,7 @@ from flowspark.functions import alert_text
 from flowspark.functions.scale import bucketed_row_number, hash_bucket, top_per_group
 from flowspark.functions.time import SECOND, display_time
 from flowspark.operators import bursts, profile
+from flowspark.session import cut_lineage
 
 # Collection names.
 ANOMALIES = "anomaly_csv_logsc01"
@@ -90,19 +91,33 @@ def unique_doc_ids(
     t0 < t1 < ..., the k-th free one is k plus the number of j with t_j - j <= k.
     Rows and runs of taken suffixes meet in buckets of numbers, so a base with
     any number of rows and runs is spread over tasks. `order` begins with a
-    number where one base id may have many rows.
+    number where one base id may have many rows. A base with one row that nobody
+    holds keeps its row as it is: one aggregation, a job of its own, tells these
+    from the others, and where there are no others nothing is numbered.
     """
     order = [order] if isinstance(order, str) else list(order)
+    repeated = new.groupBy(F.col(base).alias("_base")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_base")
+    held = existing.select(F.col("doc_id").alias("_base"))
+    busy = cut_lineage(repeated.unionByName(held.join(new.select(F.col(base).alias("_base")), "_base", "left_semi")).distinct(), "busy-ids")
+    if busy.isEmpty():
+        return new.withColumn("unique_id", F.col(base))
+    same = F.equal_null(F.col(base), F.col("_base"))
+    free = new.join(busy, same, "left_anti").withColumn("unique_id", F.col(base))
+    numbered = _numbered_ids(new.join(busy, same, "left_semi"), existing, new.select(F.col(base).alias("_base")).distinct(), base, order, bucket_width)
+    return free.unionByName(numbered)
+
+
+def _numbered_ids(new: DataFrame, existing: DataFrame, bases: DataFrame, base: str, order: list[str], bucket_width: int) -> DataFrame:
+    """`new` with its unique ids; `bases` are all base ids of the batch, those of rows not in `new` too."""
     cell = F.floor(F.col(order[0]) / bucket_width).cast("bigint") if dict(new.dtypes)[order[0]] != "string" else F.lit(0)
     numbered = bucketed_row_number(new, "_k", cell, order, [base]).withColumn("_k", F.col("_k") - 1)
-    bases = new.select(F.col(base).alias("_base")).distinct()
     # Numbers without leading zeros only: "x_01" is nobody's suffix form.
     taken = (
         existing.select(F.col("doc_id").alias("_base"), F.lit(0).cast("bigint").alias("_n"))
         .unionByName(_suffixes(existing.select("doc_id")))
         .unionByName(_suffixes(bases.select(F.col("_base").alias("doc_id"))))
         .distinct()
-        .join(bases, "_base", "left_semi")
+        .join(new.select(F.col(base).alias("_base")).distinct(), "_base", "left_semi")
     )
     # Runs of consecutive suffixes share t_j - j, so one row per run is left.
     ranked = bucketed_row_number(taken, "_j", F.floor(F.col("_n") / bucket_width).cast("bigint"), ["_n"], ["_base"])

@@ -135,9 +135,8 @@ def evidence_gate(cases: DataFrame, scored: DataFrame, threshold: float = THRESH
 
 
 def case_words(lines: DataFrame) -> DataFrame:
-    """(log_name, words): the distinct words of all lines of each log."""
-    words = lines.select("log_name", F.explode(tokens(F.col("raw"))).alias("word")).distinct()
-    return words.groupBy("log_name").agg(F.collect_list("word").alias("words"))
+    """(log_name, word): the distinct words of all lines of each log."""
+    return lines.select("log_name", F.explode(tokens(F.col("raw"))).alias("word")).distinct()
 
 
 def alert_sections(lines: DataFrame, max_chars: int = ALERT_CHARS) -> DataFrame:

@@ -231,14 +231,15 @@ def vector_mmr(
 def lexical_rerank(pairs: DataFrame, queries: DataFrame, doc_terms: DataFrame, top_k: int) -> DataFrame:
     """Best documents of each query by the summed weight of shared words.
 
-    Takes (query_id, doc_id), (query_id, query_tokens) and `term_weights`. The
-    long side, the query's words, comes in last and is gone again once a pair
-    is scored, within the task; ranking then needs no further shuffle.
+    Takes (query_id, doc_id), (query_id, token) and (doc_id, token, weight).
+    Words meet one by one, so no row holds all words of a query, and sums are
+    partial before their shuffle. A document that shares nothing has score 0.
     """
-    with_terms = pairs.join(doc_terms, "doc_id").join(never_broadcast(queries), "query_id")
-    shared = F.array_intersect(F.map_keys("terms"), "query_tokens")
-    score = F.aggregate(shared, F.lit(0.0), lambda acc, token: acc + F.col("terms")[token])
-    scored = with_terms.select(*pairs.columns, F.round(score, SUM_DIGITS).alias("score"))
+    same = (F.col("_q") == F.col("query_id")) & (F.col("_token") == F.col("token"))
+    asked = queries.select(F.col("query_id").alias("_q"), F.col("token").alias("_token")).distinct()
+    words = pairs.join(never_broadcast(doc_terms), "doc_id", "left").join(never_broadcast(asked), same, "left")
+    shared = F.sum(F.when(F.col("_q").isNotNull(), F.col("weight")))
+    scored = words.groupBy(*pairs.columns).agg(F.round(F.coalesce(shared, F.lit(0.0)), SUM_DIGITS).alias("score"))
     return top_per_group(scored, ["query_id"], [F.desc("score"), "doc_id"], top_k)
 
 
@@ -263,9 +264,8 @@ def _with_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def term_weights(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(doc_id, terms): each document's distinct words with their inverse document frequency."""
-    terms = F.map_from_entries(F.collect_list(F.struct("token", "weight")))
-    return _with_idf(_word_counts(docs, tokens), docs).groupBy("doc_id").agg(terms.alias("terms"))
+    """(doc_id, token, weight): each document's distinct words with their inverse document frequency."""
+    return _with_idf(_word_counts(docs, tokens), docs).select("doc_id", "token", "weight")
 
 
 def tfidf_terms(docs: DataFrame, tokens: Column) -> DataFrame:

@@ -94,9 +94,9 @@ def query_prompts(
 
 
 def ranked_anomalies(words: DataFrame, found: DataFrame, anomaly_docs: DataFrame, top_k: int = evidence.ANOMALY_DOCS) -> DataFrame:
-    """Best anomaly documents of each case by shared words; `words` is (log_name, words) over the case's whole text."""
+    """Best anomaly documents of each case by shared words; `words` is (log_name, word) over the case's whole text."""
     weights = retrieval.term_weights(anomaly_docs, tokens(F.col("text")))
-    queries = words.select(F.col("log_name").alias("query_id"), F.col("words").alias("query_tokens"))
+    queries = words.select(F.col("log_name").alias("query_id"), F.col("word").alias("token"))
     pairs = found.withColumnRenamed("log_name", "query_id")
     best = retrieval.lexical_rerank(pairs, queries, weights, top_k)
     return best.join(anomaly_docs.select("doc_id", "text"), "doc_id").select(

@@ -562,12 +562,14 @@ def _anomaly_docs(spark, sf):
 
 
 def _evidence(spark, sf):
-    return evidence.ip_evidence(evidence.case_ips(tables.flows(spark, sf)), _anomaly_docs(spark, sf))
+    """Addresses' evidence and the documents, both written once."""
+    docs = cut_lineage(_anomaly_docs(spark, sf).select("doc_id", "text", "meta"), "anomalies")
+    return evidence.ip_evidence(evidence.case_ips(tables.flows(spark, sf)), docs), docs
 
 
 @query
 def ip_evidence_join(spark, sf):
-    return _evidence(spark, sf)
+    return evidence.ip_evidence(evidence.case_ips(tables.flows(spark, sf)), _anomaly_docs(spark, sf))
 
 
 def _heuristics(spark, sf):
@@ -578,19 +580,17 @@ def _heuristics(spark, sf):
 
 @query
 def heuristic_evidence_join(spark, sf):
-    return evidence.heuristic_evidence(_evidence(spark, sf), _anomaly_docs(spark, sf), _heuristics(spark, sf))
+    return evidence.heuristic_evidence(*_evidence(spark, sf), _heuristics(spark, sf))
 
 
 @query
 def heuristic_token_join(spark, sf):
-    return evidence.heuristic_evidence(
-        _evidence(spark, sf), _anomaly_docs(spark, sf), _heuristics(spark, sf), by_token=True
-    )
+    return evidence.heuristic_evidence(*_evidence(spark, sf), _heuristics(spark, sf), by_token=True)
 
 
 @query
 def taxonomy_category_join(spark, sf):
-    return evidence.taxonomy_evidence(_evidence(spark, sf), _anomaly_docs(spark, sf), taxonomy.taxonomy_prefixes(spark))
+    return evidence.taxonomy_evidence(*_evidence(spark, sf), taxonomy.taxonomy_prefixes(spark))
 
 
 def _vectors(spark, sf):
@@ -663,7 +663,7 @@ def evidence_gate(spark, sf):
 @query
 def lexical_rerank(spark, sf):
     words = evidence.case_words(_raw_flows(spark, sf))
-    ranked = pipelines.ranked_anomalies(words, _evidence(spark, sf), _anomaly_docs(spark, sf))
+    ranked = pipelines.ranked_anomalies(words, *_evidence(spark, sf))
     return ranked.select("log_name", "doc_id", F.round("score", 6).alias("score"))
 
 
