@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,10 @@ def confusion_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count_if(~actual & said).alias("fp"),
         F.count_if(actual & ~said).alias("fn"),
     )
+    return _with_quality(counted)
+
+
+def _with_quality(counted: DataFrame) -> DataFrame:
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     sized = counted.withColumns(
         {
@@ -66,6 +71,43 @@ def confusion_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sized.withColumn("f1_score", _ratio(2 * precision * recall, precision + recall))
 
 
+def poisson_limits(bits: int = 32) -> list[int]:
+    """Upper ends of the draws of 0, 1, 2, ... events at mean 1, as whole numbers of `bits` bits."""
+    total, term, limits = 0.0, math.exp(-1), []
+    while int((total + term) * 2**bits) < 2**bits - 1:
+        total += term
+        limits.append(int(total * 2**bits))
+        term /= len(limits)
+    return limits
+
+
+def metric_intervals(
+    rows: DataFrame, keys: Sequence[str] = (), id_col: str = "log_name", replicates: int = 200, level: float = 0.95
+) -> DataFrame:
+    """Metrics of `confusion_metrics` with `_low` and `_high`: the middle `level` of their values over bootstrap replicates.
+
+    In replicate r a row counts as often as its draw says: Poisson with mean 1,
+    from the md5 of `id:r`. So one pass gives all replicates, whatever the
+    partitions, and a rerun gives the same; rows are summed within tasks, four
+    numbers per group and replicate leave one. Intervals need distinct ids.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("_r").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    limits = poisson_limits()
+    weight = F.size(F.filter(F.array(*[F.lit(limit) for limit in limits]), lambda limit: limit <= drawn))
+    actual, said = F.col("label").cast("boolean"), F.col("prediction").cast("boolean")
+    outcome = F.when(actual & said, "tp").when(~actual & ~said, "tn").when(~actual & said, "fp").when(actual & ~said, "fn")
+    each = rows.select(*keys, F.col(id_col), outcome.alias("_outcome")).filter("_outcome IS NOT NULL")
+    replicated = each.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight)
+    sums = replicated.groupBy(*keys, "_r").agg(*[F.sum(F.when(F.col("_outcome") == c, F.col("_w")).otherwise(0)).alias(c) for c in ("tp", "tn", "fp", "fn")])
+    tail = (1 - level) / 2
+    ends = [
+        F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in METRICS for name, q in (("low", tail), ("high", 1 - tail))
+    ]
+    spread = _with_quality(sums).groupBy(*keys).agg(*ends)
+    whole = confusion_metrics(rows, keys)
+    return join_groups(whole, spread, keys) if keys else whole.join(F.broadcast(spread))  # one row
+
+
 def roc_points(rows: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Cumulative true and false positives at each distinct score, highest first.
 

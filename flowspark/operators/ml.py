@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +22,57 @@ from flowspark.operators import metrics
 from flowspark.operators.profile import FEATURES
 from flowspark.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODELS = ("svm", "random_forest", "mlp")
 SEED = 42
+# Random cosines of the Gaussian kernel: its error falls with the root of their number.
+COSINES = 512
+
+
+class GaussianFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features: vectors whose products approximate exp(-gamma * squared distance).
+
+    The directions are drawn from the seed, so a saved stage is its parameters.
+    gamma 0 stands for 1 / (number of components), the usual width for scaled ones.
+    """
+
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel", typeConverter=TypeConverters.toFloat)
+    cosines = Param(Params._dummy(), "cosines", "number of features", typeConverter=TypeConverters.toInt)
+
+    def __init__(self, inputCol: str = "features", outputCol: str = "cosines", gamma: float = 0.0, cosines: int = COSINES, seed: int = SEED):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, gamma=float(gamma), cosines=cosines, seed=seed)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, cosines, seed = self.getOrDefault(self.gamma), self.getOrDefault(self.cosines), self.getSeed()
+
+        @F.pandas_udf("array<double>")
+        def mapped(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return vectors
+            return pd.Series(list(fourier_features(np.stack(vectors), gamma, cosines, seed)))
+
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(self.getInputCol()))))
+
+
+def fourier_features(vectors: np.ndarray, gamma: float, cosines: int, seed: int) -> np.ndarray:
+    draw = np.random.default_rng(seed)
+    width = vectors.shape[1]
+    directions = draw.normal(0.0, np.sqrt(2 * (gamma or 1 / width)), (width, cosines))
+    return np.sqrt(2 / cosines) * np.cos(vectors @ directions + draw.uniform(0, 2 * np.pi, cosines))
 
 
-def _preparation() -> list:
+def _preparation(columns: Sequence[str]) -> list:
     return [
-        VectorAssembler(inputCols=list(FEATURES), outputCol="_raw"),
+        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
     ]
 
 
 def classifier(model: str):
+    if model == "svm_rbf":
+        return LinearSVC(featuresCol="cosines", maxIter=100, regParam=0.001)
     if model == "svm":
         return LinearSVC(maxIter=50, regParam=0.01)
     if model == "random_forest":
@@ -49,9 +94,10 @@ def scaled_features(features: DataFrame) -> DataFrame:
     return features.join(F.broadcast(stats)).withColumns(scaled).select(*features.columns)  # stats is one row
 
 
-def train(dataset: DataFrame, model: str) -> PipelineModel:
-    """Fit a model on (log_name, label, thirty features)."""
-    return Pipeline(stages=[*_preparation(), classifier(model)]).fit(dataset)
+def train(dataset: DataFrame, model: str, columns: Sequence[str] = FEATURES) -> PipelineModel:
+    """Fit a model on (log_name, label, thirty features), or on other `columns` (the perceptron takes the thirty only)."""
+    mapped = [GaussianFeatures()] if model == "svm_rbf" else []
+    return Pipeline(stages=[*_preparation(columns), *mapped, classifier(model)]).fit(dataset)
 
 
 def predict(fitted: PipelineModel, features: DataFrame) -> DataFrame:
@@ -77,10 +123,10 @@ def held_out(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dataset.filter(bucket < 8), dataset.filter(bucket >= 8)
 
 
-def train_and_score(dataset: DataFrame, model: str, train_on_all: bool = False) -> DataFrame:
+def train_and_score(dataset: DataFrame, model: str, train_on_all: bool = False, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Test logs with label, prediction and score; `train_on_all` tests on the training logs."""
     training, test = (dataset, dataset) if train_on_all else held_out(dataset)
-    return metrics.join_predictions(test.select("log_name", "label"), predict(train(training, model), test))
+    return metrics.join_predictions(test.select("log_name", "label"), predict(train(training, model, columns), test))
 
 
 def compare(dataset: DataFrame, models: Iterable[str] = MODELS, train_on_all: bool = False) -> DataFrame:

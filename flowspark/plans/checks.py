@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from flowspark.plans.queries import LOG_THRESHOLD, WINDOW
 from flowspark.sources import driver_tables as tables
 
@@ -57,6 +59,8 @@ _PROMPT = (
     "%s\n"
 )
 
+_ALL_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{M}}\\p{{N}}_]+)*')"
+
 _SOURCES = {
     "flows": tables.flows_sql("duckdb"),
     "anomalies": tables.anomalies_sql("duckdb"),
@@ -593,6 +597,13 @@ FROM (SELECT doc_id, CASE WHEN length(text) <= 2500 THEN text
                                                             generate_subscripts(string_split(text, chr(10)), 1) AS i) l) u
                                          WHERE upto <= 2500), '') END AS t FROM documents) d"""
 
+_METRICS = ("accuracy", "precision", "recall", "f1_score")
+_INTERVAL_COLUMNS = ", ".join(f"{c}_{end}" for c in _METRICS for end in ("low", "high"))
+# Poisson draws of mean 1 from 32 bits: one for each value of the distribution function that is not above the draw.
+_POISSON = " + ".join(
+    f"CAST(u >= {int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32)} AS INT)" for k in range(12)
+)
+
 CHECKS: dict[str, str] = {
     "conn_log_parse": _with("SELECT * FROM flows", "flows"),
     "anomaly_ip_set": _with(_IP_SET, "anomalies"),
@@ -673,6 +684,10 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     ),
     "echo_count_by_dst": _with(f"SELECT dst_ip, count(*) AS echo_requests FROM flows WHERE {_ECHO_TYPE} GROUP BY dst_ip", "flows"),
     "flow_features": _with(f"SELECT log_name, {_rounded(*_FEATURES)} FROM features", "flows", features=_features()),
+    "flow_features_from_state": _with(
+        "SELECT log_name, " + ", ".join(f"true AS {x}" if x.startswith("unique") or x.endswith("diversity") else f"round({x}, 6) AS {x}" for x in _FEATURES)
+        + " FROM features", "flows", features=_features(),
+    ),
     "flow_features_default": _with(
         "SELECT c.log_name, " + ", ".join(f"round(coalesce({x}, 0), 6) AS {x}" for x in _FEATURES)
         + " FROM (SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name FROM documents) c LEFT JOIN features f ON c.log_name = f.log_name",
@@ -734,6 +749,18 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     "lexical_rerank": _with(
         "SELECT log_name, doc_id, round(score, 6) AS score FROM best", "flows", "anomalies", **_EVIDENCE_PARTS, whole_logs=_WHOLE_LOGS, best=_ranked("adocs", "evidence", 6)
     ),
+    "bm25_topk": _with(
+        "SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM scored) s WHERE rn <= 10",
+        tf=f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_ALL_WORDS.format('text')}) AS token FROM documents) t GROUP BY ALL",
+        lengths="SELECT doc_id, sum(tf)::DOUBLE AS length FROM tf GROUP BY doc_id",
+        one="SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, sum(length) AS w FROM lengths",
+        df="SELECT token, count(*)::DOUBLE AS df FROM tf GROUP BY token",
+        impact="SELECT tf.doc_id, tf.token, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE "
+        "/ (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + length * 0.75::DOUBLE * n / w)) * 10000)::BIGINT AS impact "
+        "FROM tf JOIN lengths USING (doc_id) JOIN df USING (token), one",
+        asked=f"SELECT DISTINCT item_id AS query_id, unnest({_ALL_WORDS.format('text')}) AS token FROM benchmark",
+        scored="SELECT query_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impact USING (token) GROUP BY ALL",
+    ),
     "tfidf_vectors": _with(
         "SELECT doc_id, count(*) AS n_terms, round(max(w / nullif(length, 0)), 6) AS max_weight, round(sum(w / nullif(length, 0)), 4) AS sum_weight "
         "FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length FROM weighted) l GROUP BY doc_id",
@@ -769,6 +796,16 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         f"SELECT tp, tn, fp, fn, total, {_rounded('accuracy', 'precision', 'recall', 'f1_score')} FROM q", "flows", "reports",
         state_labels=_STATE_LABEL, outcomes=_OUTCOMES, said="SELECT label, CAST(verdict AS INT) AS prediction FROM outcomes", q=_quality("said"),
     ),
+    "metric_intervals": _with(
+        f"SELECT q.tp, q.tn, q.fp, q.fn, q.total, {_rounded(*[f'q.{c}' for c in _METRICS])}, {_INTERVAL_COLUMNS} FROM q, spread", "flows", "reports",
+        state_labels=_STATE_LABEL, outcomes=_OUTCOMES, said="SELECT log_name, label, CAST(verdict AS INT) AS prediction FROM outcomes", q=_quality("said"),
+        drawn="SELECT said.*, r, CAST('0x' || substr(md5(log_name || ':' || CAST(r AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM said, range(1, 51) t(r) WHERE prediction IS NOT NULL",
+        weighted=f"SELECT r, label, prediction, {_POISSON} AS w FROM drawn",
+        # As many copies of a row as its weight.
+        copies="SELECT r, label, prediction FROM weighted, range(1, 13) k(n) WHERE n <= w",
+        by_replicate=_quality("copies", "r"),
+        spread="SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{end}" for c in _METRICS for end, q in (("low", 0.025), ("high", 0.975))) + " FROM by_replicate",
+    ),
     "roc_auc_binary": _with(
         "SELECT CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, round(auc, 6) AS auc FROM a", "flows", "reports",
         state_labels=_STATE_LABEL, outcomes=_OUTCOMES,
@@ -814,6 +851,13 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         "FROM state_labels, (VALUES ('svm'), ('random_forest'), ('mlp')) m(model) "
         "WHERE CAST('0x' || substr(md5(log_name), 1, 4) AS BIGINT) % 10 >= 8 GROUP BY model", "flows", state_labels=_STATE_LABEL,
     ),
+    "ml_quality": _with(
+        "SELECT model, n_train, n_test, true AS as_good_as_majority FROM (VALUES ('svm'), ('random_forest'), ('mlp'), ('svm_rbf')) m(model), "
+        "(SELECT count(*) FILTER (b < 8) AS n_train, count(*) FILTER (b >= 8) AS n_test FROM "
+        "(SELECT CAST('0x' || substr(md5(log_name), 1, 4) AS BIGINT) % 10 AS b FROM state_labels) x) n", "flows", state_labels=_STATE_LABEL,
+    ),
+    "ml_svm_rbf": "SELECT count(*) AS n_test, true AS beats_linear, true AS nine_in_ten FROM embeddings "
+    "WHERE CAST('0x' || substr(md5('p' || CAST(vec_id AS VARCHAR)), 1, 4) AS BIGINT) % 10 >= 8",
     "flood_window_counts": _with(
         "SELECT dst_ip, start_us, start_us + 43200000000 AS end_us, count(*) AS n FROM "
         "(SELECT dst_ip, (ts_us // 10800000000 - unnest(range(0, 4))) * 10800000000 AS start_us "

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions import alert_text, taxonomy
-from flowspark.functions.text import all_tokens, cap_text, extract_ips
+from flowspark.functions.text import all_tokens, cap_text, extract_ips, tokens
 from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
-from flowspark.operators import rule_match, rule_scores, verdicts
+from flowspark.operators import postings, rule_match, rule_scores, verdicts
 from flowspark.operators.vector_index import VectorIndex, recall_of
 from flowspark.plans import pipelines
 from flowspark.session import checkpoint_dir, cut_lineage
@@ -367,6 +367,22 @@ def flow_features(spark, sf):
     return profile.flow_features(tables.flows(spark, sf)).select("log_name", *_six(*profile.FEATURES))
 
 
+@query
+def flow_features_from_state(spark, sf):
+    """Features from daily states that arrive in halves; distinct counts are held against the exact ones."""
+    flows = tables.flows(spark, sf)
+    halves = [profile.daily_state(flows.filter(F.pmod("line_no", F.lit(2)) == k)) for k in (0, 1)]
+    state = cut_lineage(halves[0].unionByName(halves[1]), "daily-state")
+    exact = profile.flow_features(flows).select("log_name", *[F.col(c).alias(f"_{c}") for c in _SKETCHED])
+    near = {c: F.abs(F.col(c) - F.col(f"_{c}")) <= 0.1 * F.col(f"_{c}") for c in _SKETCHED}
+    whole = profile.flow_features_from_state(state).join(exact, "log_name").withColumns(near)
+    return whole.select("log_name", *[c if c in _SKETCHED else F.round(c, 6).alias(c) for c in profile.FEATURES])
+
+
+# Features that follow from sketches.
+_SKETCHED = ("unique_src_ips", "unique_dst_ips", "src_ip_diversity", "dst_ip_diversity", "unique_src_ports", "unique_dst_ports")
+
+
 @query
 def flow_features_default(spark, sf):
     cases = tables.table(spark, sf, "documents").select(
@@ -667,6 +683,16 @@ def lexical_rerank(spark, sf):
     return ranked.select("log_name", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query
+def bm25_topk(spark, sf):
+    """The ten best documents for each benchmark item by the words of its text."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    weights = cut_lineage(postings.impacts(docs, all_tokens(F.col("text"))), "impacts")
+    blocks = cut_lineage(postings.impact_blocks(weights), "blocks")
+    items = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("token"))
+    return postings.best_documents(items, weights, blocks, 10)
+
+
 @query
 def tfidf_vectors(spark, sf):
     docs = tables.table(spark, sf, "documents").select("doc_id", "text")
@@ -741,6 +767,12 @@ def confusion_metrics(spark, sf):
     return _rounded_quality(metrics.confusion_metrics(_report_predictions(spark, sf)))
 
 
+@query
+def metric_intervals(spark, sf):
+    rows = _report_predictions(spark, sf)
+    return _rounded_quality(metrics.metric_intervals(rows, replicates=50), *[f"{c}_{end}" for c in metrics.METRICS for end in ("low", "high")])
+
+
 @query
 def roc_auc_binary(spark, sf):
     rows = _report_predictions(spark, sf).filter(F.col("prediction").isNotNull())
@@ -855,6 +887,32 @@ def ml_held_out(spark, sf):
     )
 
 
+@query
+def ml_quality(spark, sf):
+    """Each model on the held-out logs: sizes, and whether it is at least as often right as the more frequent label."""
+    dataset = cut_lineage(_dataset(spark, sf), "dataset")
+    training, test = ml.held_out(dataset)
+    attacks = F.sum(F.col("label").cast("bigint"))
+    usual = test.agg(F.count(F.lit(1)).alias("n_test"), F.greatest(attacks, F.count(F.lit(1)) - attacks).alias("most"))
+    sizes = training.agg(F.count(F.lit(1)).alias("n_train")).join(usual)
+    rows = [ml.train_and_score(dataset, m).withColumn("model", F.lit(m)) for m in (*ml.MODELS, "svm_rbf")]
+    right = F.count_if(F.col("label").cast("int") == F.col("prediction")).alias("right")
+    found = reduce(DataFrame.unionByName, rows).groupBy("model").agg(right).join(F.broadcast(sizes))  # one row
+    return found.select("model", "n_train", "n_test", (F.col("right") >= F.col("most")).alias("as_good_as_majority"))
+
+
+@query
+def ml_svm_rbf(spark, sf):
+    """Points of the plane, labelled by their distance from the middle: what a Gaussian kernel parts and a plane cannot."""
+    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    points = tables.table(spark, sf, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("log_name"), x.alias("x"), y.alias("y"))
+    ring = cut_lineage(points.withColumn("label", (F.col("x") * F.col("x") + F.col("y") * F.col("y") > 0.02).cast("int")), "ring")
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    by_model = {m: ml.train_and_score(ring, m, columns=["x", "y"]).agg(F.count(F.lit(1)).alias("n_test"), right.alias(m)) for m in ("svm", "svm_rbf")}
+    both = by_model["svm"].join(by_model["svm_rbf"].drop("n_test"))
+    return both.select("n_test", (F.col("svm_rbf") > F.col("svm")).alias("beats_linear"), (F.col("svm_rbf") > 0.9).alias("nine_in_ten"))
+
+
 # --- streaming twin ----------------------------------------------------------------------------
 
 

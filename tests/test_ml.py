@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from flowspark.operators import ml
@@ -33,3 +34,33 @@ def test_comparison_has_one_row_per_model(dataset):
     assert [(r.model, r.total) for r in rows] == [("svm", 120)] and rows[0].auc > 0.95
     training, test = ml.held_out(dataset)
     assert training.count() + test.count() == 120 and test.count() > 5
+
+
+def test_gaussian_features_part_a_ring(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    points = draw.normal(size=(900, 2))
+    far = (points**2).sum(axis=1) > 1.3
+    rows = [(f"p{i}", int(f), float(x), float(y)) for i, ((x, y), f) in enumerate(zip(points, far))]
+    ring = spark.createDataFrame(rows, "log_name string, label int, x double, y double")
+    training, test = ml.held_out(ring)
+    right = {}
+    for model in ("svm", "svm_rbf"):
+        fitted = ml.train(training, model, ["x", "y"])
+        ml.save(fitted, str(tmp_path / model))
+        got = {r.log_name: r.prediction for r in ml.predict(ml.load(str(tmp_path / model)), test).collect()}
+        assert got == {r.log_name: r.prediction for r in ml.predict(fitted, test).collect()}
+        right[model] = np.mean([got[r.log_name] == r.label for r in test.collect()])
+    assert right["svm_rbf"] > 0.95 and right["svm_rbf"] > right["svm"] + 0.15
+
+
+def test_gaussian_features_approximate_the_kernel():
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(60, 30))
+    for gamma in (0.0, 0.02, 0.3):
+        distances = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+        exact = np.exp(-(gamma or 1 / 30) * distances)
+        errors = []
+        for cosines in (128, 8192):
+            mapped = ml.fourier_features(points, gamma, cosines, 42)
+            errors.append(np.abs(mapped @ mapped.T - exact).mean())
+        assert errors[1] < 0.02 and errors[1] < errors[0] / 4
