@@ -797,7 +797,7 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         state_labels=_STATE_LABEL, outcomes=_OUTCOMES, said="SELECT label, CAST(verdict AS INT) AS prediction FROM outcomes", q=_quality("said"),
     ),
     "metric_intervals": _with(
-        f"SELECT q.tp, q.tn, q.fp, q.fn, q.total, {_rounded(*[f'q.{c}' for c in _METRICS])}, {_INTERVAL_COLUMNS} FROM q, spread", "flows", "reports",
+        f"SELECT q.tp, q.tn, q.fp, q.fn, q.total, {", ".join(f"round(q.{c}, 6) AS {c}" for c in _METRICS)}, {_INTERVAL_COLUMNS} FROM q, spread", "flows", "reports",
         state_labels=_STATE_LABEL, outcomes=_OUTCOMES, said="SELECT log_name, label, CAST(verdict AS INT) AS prediction FROM outcomes", q=_quality("said"),
         drawn="SELECT said.*, r, CAST('0x' || substr(md5(log_name || ':' || CAST(r AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM said, range(1, 51) t(r) WHERE prediction IS NOT NULL",
         weighted=f"SELECT r, label, prediction, {_POISSON} AS w FROM drawn",
