@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowspark.functions.scale import never_broadcast, top_per_group
-from flowspark.functions.text import WORD
+from flowspark.functions.text import WORD, similarity_of
 from flowspark.operators.filters import metadata_filter
 
 # The few functions that run in Python workers travel with the job, so that the
@@ -305,7 +305,6 @@ def approximate_topk(queries: DataFrame, kb: DataFrame, k: int, max_distance: fl
     scored = pairs.select(
         F.col("datasetA.query_id").alias("query_id"),
         F.col("datasetB.doc_id").alias("doc_id"),
-        # Squared L2 distance of unit vectors to cosine.
-        F.round(1.0 - F.col("_distance") * F.col("_distance") / 2.0, SCORE_DIGITS).alias("similarity"),
+        F.round(similarity_of(F.col("_distance") * F.col("_distance")), SCORE_DIGITS).alias("similarity"),
     )
     return top_per_group(scored, ["query_id"], [F.desc("similarity"), "doc_id"], k)

@@ -606,6 +606,39 @@ _POISSON = " + ".join(
 
 CHECKS: dict[str, str] = {
     "conn_log_parse": _with("SELECT * FROM flows", "flows"),
+    "lenient_scan": _with(
+        "SELECT line_no, log_name, ts_us, src_ip, dst_ip, proto, duration, orig_bytes, resp_bytes, conn_state FROM flows WHERE line_no % 5 <> 0", "flows"
+    ),
+    "anomaly_file_scan": _with("SELECT row_number() OVER (ORDER BY row_no) - 1 AS row_no, * EXCLUDE (row_no) FROM anomalies", "anomalies"),
+    "rule_file_scan": _with("SELECT srcIP, srcPort, dstIP, dstPort, count(*) AS n FROM rules GROUP BY ALL", "rules"),
+    "report_file_scan": _with("SELECT log_name, text FROM reports", "flows", "reports"),
+    "report_sink": _with("SELECT log_name, text FROM reports", "flows", "reports"),
+    "metric_files": _with(
+        f"SELECT form, proto, tp, tn, fp, fn, total, {_rounded(*_METRICS)} FROM q, (VALUES ('csv'), ('json')) f(form)", "flows",
+        said="SELECT proto, conn_state = 'S0' AS label, CAST(dst_port = 80 AS INT) AS prediction FROM flows", q=_quality("said", "proto"),
+    ),
+    "result_file_scan": _with(
+        "SELECT 'rule_based' AS model_type, proto AS attack_type, round(count(*) FILTER (conn_state = 'S0') / CAST(count(*) AS DOUBLE), 6) AS accuracy, "
+        "count(*) FILTER (conn_state = 'S0') AS tp, count(*) FILTER (conn_state <> 'S0') AS tn, CAST(0 AS BIGINT) AS fp, CAST(1 AS BIGINT) AS fn, "
+        "count(*) AS total_samples FROM flows GROUP BY proto", "flows",
+    ),
+    "filtered_flow_file": _with(_WILDCARD, "flows", "rules"),
+    "kb_collection_read": _with(
+        "SELECT 'heuristic_info_txt4' AS collection, 'heuristic_' || code AS doc_id, count(*) AS n FROM (SELECT DISTINCT code, label FROM lines) d GROUP BY ALL",
+        texts=_HEURISTIC_TEXTS, lines=_HEURISTIC_LINES,
+    ),
+    "distance_similarity": "SELECT e.vec_id, round(1 - list_sum(list_transform(generate_series(1, len(e.embedding)), "
+    "lambda i: (e.embedding[i]::DOUBLE - f.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - f.embedding[i]::DOUBLE))) / 2, 5) AS similarity "
+    "FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) f",
+    "rule_override": _with(
+        "SELECT 'ping' AS rules, log_name, m >= 2 AS detected, m AS rules_matched FROM (SELECT log_name, CAST(icmp >= 30 AS INT) + CAST(icmp >= 0.2 * n AS INT) "
+        "+ CAST(span > 0 AND span <= 43200 AS INT) AS m FROM logs) p UNION ALL "
+        "SELECT 'syn', log_name, m >= 2, m FROM (SELECT log_name, CAST(s0 >= 12 AS INT) + CAST(tcp > 0 AND s0 >= 0.15 * tcp AS INT) "
+        "+ CAST(tcp / greatest(span, 1) >= 0.001 AS INT) AS m FROM logs) s", "flows",
+        logs="SELECT log_name, count(*) AS n, count(*) FILTER (proto = 'icmp') AS icmp, count(*) FILTER (proto = 'tcp') AS tcp, "
+        "count(*) FILTER (proto = 'tcp' AND conn_state = 'S0') AS s0, (max(ts_us) - min(ts_us)) / 1000000.0 AS span FROM flows GROUP BY log_name",
+    ),
+    "ml_saved_model": _with("SELECT DISTINCT log_name, true AS same FROM flows", "flows"),
     "anomaly_ip_set": _with(_IP_SET, "anomalies"),
     "heuristic_parse": _with(f"SELECT *, {_category('CAST(code AS INT)')} AS category FROM lines", texts=_HEURISTIC_TEXTS, lines=_HEURISTIC_LINES),
     "heuristic_docs": _with(

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions import alert_text, taxonomy
-from flowspark.functions.text import all_tokens, cap_text, extract_ips, tokens
+from flowspark.functions.text import all_tokens, cap_text, extract_ips, similarity_of, tokens
 from flowspark.functions.time import HOUR
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import postings, rule_match, rule_scores, verdicts
 from flowspark.operators.vector_index import VectorIndex, recall_of
 from flowspark.plans import pipelines
+from flowspark.schema import ANOMALIES, RULE_FIELDS
 from flowspark.session import checkpoint_dir, cut_lineage
+from flowspark.sinks import tables as sinks
 from flowspark.sinks.snapshots import SnapshotTable
 from flowspark.sinks.tables import label_file_lines, with_parts
 from flowspark.sources import conn_log, driver_tables as tables
@@ -191,6 +193,125 @@ def label_file_round_trip(spark, sf):
     )
 
 
+# --- files written and read back ---------------------------------------------------------------
+
+
+def _file(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+@query
+def lenient_scan(spark, sf):
+    """Lines of 12 to 21 fields, as older captures write them; every fifth one is too short even for that."""
+    lines = _line_table(tables.flows(spark, sf))
+    kept = F.when(F.col("line_no") % 5 == 0, F.lit(11)).otherwise(12 + F.col("line_no") % 10).cast("int")
+    short = lines.withColumn("value", F.array_join(F.slice(F.split("value", "\t"), F.lit(1), kept), "\t"))
+    parsed = conn_log.parse_lines(short, conn_log.MIN_FIELDS_LENIENT)
+    return parsed.select("line_no", "log_name", "ts_us", "src_ip", "dst_ip", "proto", "duration", "orig_bytes", "resp_bytes", "conn_state")
+
+
+@query
+def anomaly_file_scan(spark, sf):
+    """Anomaly records through a CSV file; ports are written with gaps, as numbers with a point."""
+    path, rows = _file(spark, "anomalies"), tables.anomalies(spark, sf)
+    names = [f.name for f in ANOMALIES]
+    port = {c: F.concat(F.col(c).cast("string"), F.lit(".0")) for c in ("srcPort", "dstPort")}
+    rows.coalesce(1).sortWithinPartitions("row_no").withColumns(port).select(*names).write.csv(path, header=True)
+    read = readers.read_anomalies(spark, path)
+    return read.select("row_no", *names)
+
+
+@query
+def rule_file_scan(spark, sf):
+    path, rows = _file(spark, "rules"), tables.rules(spark, sf)
+    port = {c: F.concat(F.col(c), F.lit(".0")) for c in ("srcPort", "dstPort")}
+    rows.withColumns(port).select(*RULE_FIELDS).write.csv(path, header=True)
+    return readers.read_rules(spark, path).groupBy(*RULE_FIELDS).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def report_file_scan(spark, sf):
+    """Reports as one text file each, read back by file name."""
+    path, rows = _file(spark, "reports"), tables.reports(spark, sf)
+    rows.select(F.col("log_name").alias("report"), "text").repartition("report").write.partitionBy("report").text(path)
+    read = spark.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "report=([^/]+)", 1).alias("log_name"), F.col("value").alias("text"))
+    # A written text ends in a line break.
+    return read.select("log_name", F.regexp_replace("text", "\n$", "").alias("text"))
+
+
+@query
+def report_sink(spark, sf):
+    path = _file(spark, "reports")
+    sinks.write_reports(tables.reports(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query
+def metric_files(spark, sf):
+    """Metrics per protocol as a CSV and as a JSON file."""
+    flows = tables.flows(spark, sf)
+    rows = flows.select("proto", (F.col("conn_state") == "S0").alias("label"), (F.col("dst_port") == 80).cast("int").alias("prediction"))
+    found = _rounded_quality(metrics.confusion_metrics(rows, ["proto"])).select("proto", "tp", "tn", "fp", "fn", "total", *metrics.METRICS)
+    found = cut_lineage(found, "metrics")
+    read = []
+    for form in ("csv", "json"):
+        path = _file(spark, "metrics")
+        sinks.write_metrics(found, path, form)
+        schema = found.schema
+        held = spark.read.csv(path, header=True, schema=schema) if form == "csv" else spark.read.json(path, schema=schema)
+        read.append(held.withColumn("form", F.lit(form)))
+    return read[0].unionByName(read[1])
+
+
+@query
+def result_file_scan(spark, sf):
+    """Result files as a run saves them, one JSON object each, with their confusion counts."""
+    counts = tables.flows(spark, sf).groupBy("proto").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("conn_state") == "S0").alias("s0"))
+    saved = counts.select(
+        F.lit("rule_based").alias("model_type"), F.col("proto").alias("attack_type"), (F.col("s0") / F.col("n")).alias("accuracy"),
+        F.struct(F.col("s0").alias("TP"), (F.col("n") - F.col("s0")).alias("TN"), F.lit(0).alias("FP"), F.lit(1).alias("FN")).alias("confusion_matrix"),
+        F.col("n").alias("total_samples"),
+    )
+    read = readers.read_metrics(spark, _one_file_each(spark, saved))
+    return read.select("model_type", "attack_type", F.round("accuracy", 6).alias("accuracy"), "tp", "tn", "fp", "fn", "total_samples")
+
+
+def _one_file_each(spark, rows: DataFrame) -> list[str]:
+    """A JSON file per row; a handful of rows."""
+    path = _file(spark, "results")
+    rows.select(F.col("attack_type").alias("run"), F.to_json(F.struct(*rows.columns)).alias("value")).repartition("run").write.partitionBy("run").text(path)
+    return [f"{path}/*"]
+
+
+@query
+def filtered_flow_file(spark, sf):
+    """Flows that a rule matches as tab-separated text with a header, read back."""
+    path, flows = _file(spark, "filtered"), tables.flows(spark, sf)
+    sinks.write_filtered(rule_match.matches_any_rule(flows, tables.rules(spark, sf)), path)
+    return spark.read.csv(path, sep="\t", header=True, schema=flows.schema).select(*_FLOW_ID, "src_port", "dst_port")
+
+
+@query
+def kb_collection_read(spark, sf):
+    """Two collections appended to the knowledge table, one of them read."""
+    path = _file(spark, "kb")
+    sinks.append_knowledge(_anomaly_docs(spark, sf).drop("embedding"), path)
+    parsed = documents.parse_heuristics(_heuristic_texts(spark, sf)).select("code", "label").distinct()
+    sinks.append_knowledge(documents.heuristic_docs(parsed).drop("embedding"), path)
+    one = readers.read_knowledge(spark, path, documents.HEURISTICS)
+    return one.groupBy("collection", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def distance_similarity(spark, sf):
+    """Cosine of each vector to the first one, from their squared distance."""
+    vectors = tables.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    first = vectors.filter("vec_id = 0").select(F.col("v").alias("w"))
+    apart = F.zip_with("v", "w", lambda a, b: (a - b) * (a - b))
+    distance = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x)
+    return vectors.join(F.broadcast(first)).select("vec_id", F.round(similarity_of(distance), 5).alias("similarity"))  # one row
+
+
 # --- filters -----------------------------------------------------------------------------------
 
 _FLOW_ID = ["line_no", "log_name", "ts_us", "src_ip", "dst_ip"]
@@ -836,6 +957,16 @@ def rule_ping_score(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("confidence", "icmp_ratio", "time_span")})
 
 
+@query
+def rule_override(spark, sf):
+    """Both rule scores under other thresholds."""
+    flows = tables.flows(spark, sf)
+    ping = rule_scores.ping_rule_score(flows, icmp_threshold=30, icmp_ratio=0.2, time_window=43_200)
+    syn = rule_scores.syn_rule_score(flows, s0_threshold=12, s0_ratio=0.15, syn_rate=0.001)
+    kept = ["log_name", "detected", "rules_matched"]
+    return ping.select(F.lit("ping").alias("rules"), *kept).unionByName(syn.select(F.lit("syn").alias("rules"), *kept))
+
+
 @query
 def rule_syn_score(spark, sf):
     found = rule_scores.syn_rule_score(tables.flows(spark, sf), s0_ratio=0.2)
@@ -902,6 +1033,17 @@ def ml_quality(spark, sf):
     return found.select("model", "n_train", "n_test", (F.col("right") >= F.col("most")).alias("as_good_as_majority"))
 
 
+@query
+def ml_saved_model(spark, sf):
+    """A model that was saved and loaded predicts what the fitted one does."""
+    dataset, path = cut_lineage(_dataset(spark, sf), "dataset"), _file(spark, "model")
+    fitted = ml.train(dataset, "svm")
+    ml.save(fitted, path)
+    again = ml.predict(ml.load(path), dataset).withColumnsRenamed({"prediction": "_p", "score": "_s"})
+    same = (F.col("prediction") == F.col("_p")) & (F.col("score") == F.col("_s"))
+    return ml.predict(fitted, dataset).join(again, "log_name").select("log_name", same.alias("same"))
+
+
 @query
 def ml_svm_rbf(spark, sf):
     """Points of the plane, labelled by their distance from the middle: what a Gaussian kernel parts and a plane cannot."""
