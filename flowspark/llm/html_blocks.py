@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from html import escape
@@ -46,80 +47,112 @@ _CLOSES_P = BLOCK_TAGS - {"br", "html", "body", "title", "li", "td", "th", "tr",
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open element: `fresh` are the features that it has and the elements around it have not."""
+
+    __slots__ = ("tag", "features", "fresh", "parent")
+
+    def __init__(self, tag: str, features: tuple[str, ...], fresh: tuple[str, ...], parent: Element | None):
+        self.tag, self.features, self.fresh, self.parent = tag, features, fresh, parent
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    element: Element | None
     linked: int
 
 
 class _Blocks(HTMLParser):
-    """Leaf blocks in page order, each with its open elements and the words of their class, id and role."""
+    """Leaf blocks in page order, each with its innermost element.
+
+    Open elements are linked to those around them and shared by their blocks,
+    and the places of the open ones are kept by name, so that a page of any
+    depth takes time and memory in proportion to its length.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.scope_places: list[int] = []
+        self.held: dict[str, int] = {}
         self.unseen = self.links = self.linked = 0
         self.parts: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            names = tuple(dict.fromkeys(n for _, words in self.open for n in words))
-            self.blocks.append(Block(text, tuple(t for t, _ in self.open), names, self.linked))
+            self.blocks.append(Block(text, self.open[-1] if self.open else None, self.linked))
         self.parts, self.linked = [], 0
 
+    def _place(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of one of the names, -1 if there is none."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self.flush()
         if self.unseen:
             self._close_unseen(tag)
-        if tag in EMPTY_TAGS or (tag == "head" and any(name == "head" for name, _ in self.open)):
+        if tag in EMPTY_TAGS or (tag == "head" and self.places.get("head")):
             return
         self._close_before(tag)
-        if tag in UNSEEN_TAGS:
-            self.unseen += 1
-        if tag == "a":
-            self.links += 1
         words: list[str] = []
         for name, value in attrs:
             if value and name in ("class", "id", "role", "itemprop", "aria-label"):
                 words += [w.lower() for w in _WORD.findall(value)]
             elif name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 words.append("hidden")
-        self.open.append((tag, tuple(words)))
+        self._push(tag, tuple(dict.fromkeys([f"in:{tag}", *(f"name:{word}" for word in words)])))
+
+    def _push(self, tag: str, features: tuple[str, ...]) -> None:
+        fresh = tuple(f for f in features if not self.held.get(f))
+        for f in features:
+            self.held[f] = self.held.get(f, 0) + 1
+        depth = len(self.open)
+        self.places.setdefault(tag, []).append(depth)
+        if tag in BLOCK_TAGS:
+            self.block_places.append(depth)
+        if tag in _SCOPES:
+            self.scope_places.append(depth)
+        self.unseen += tag in UNSEEN_TAGS
+        self.links += tag == "a"
+        # What is around an element does not change while it is open.
+        self.open.append(Element(tag, features, fresh, self.open[-1] if self.open else None))
 
     def _close_unseen(self, tag: str) -> None:
         """Ends an open `head`, `svg` or `math` in which the start tag cannot stand; `body` ends `head` whatever is open in it."""
-        ended, held = None, False
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name == "head":
-                if tag == "body" or (tag not in _HEAD_TAGS and (ended or len(self.open)) == depth + 1):
-                    ended = depth
-                break
-            if name in _FOREIGN and tag in _ENDS_FOREIGN and not held:
-                ended = depth
-            held = held or name in _HOLDS_HTML
+        head, ended = self._place(("head",)), None
+        if tag in _ENDS_FOREIGN:
+            # The outermost one inside the innermost element that holds html.
+            bound = max(head, self._place(_HOLDS_HTML))
+            inside = [places[at] for places in map(self.places.get, _FOREIGN) if places and (at := bisect_right(places, bound)) < len(places)]
+            ended = min(inside, default=None)
+        if head >= 0 and (tag == "body" or (tag not in _HEAD_TAGS and (ended or len(self.open)) == head + 1)):
+            ended = head
         if ended is not None:
             self._pop_to(ended)
 
     def _close_before(self, tag: str) -> None:
         ends = _CLOSED_BY_NEXT.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in ends:
-                self._pop_to(depth)
-                return
-            if name in _SCOPES:
-                return
+        depth = self._place(ends)
+        if depth >= 0 and depth > (self.scope_places[-1] if self.scope_places else -1):
+            self._pop_to(depth)
 
     def _pop_to(self, depth: int) -> None:
-        for name, _ in self.open[depth:]:
-            self.unseen -= name in UNSEEN_TAGS
-            self.links -= name == "a"
+        for element in reversed(self.open[depth:]):
+            for f in element.features:
+                self.held[f] -= 1
+            self.places[element.tag].pop()
+            if element.tag in BLOCK_TAGS:
+                self.block_places.pop()
+            if element.tag in _SCOPES:
+                self.scope_places.pop()
+            self.unseen -= element.tag in UNSEEN_TAGS
+            self.links -= element.tag == "a"
         del self.open[depth:]
 
     def handle_startendtag(self, tag, attrs):
@@ -128,7 +161,7 @@ class _Blocks(HTMLParser):
             self._close_unseen(tag)
             before = len(self.open)
         # Elsewhere in html the slash means nothing.
-        empty = tag in UNSEEN_TAGS or any(name in _FOREIGN for name, _ in self.open)
+        empty = tag in UNSEEN_TAGS or self._place(_FOREIGN) >= 0
         self.handle_starttag(tag, attrs)
         if empty and len(self.open) > before:
             self._pop_to(before)
@@ -136,16 +169,14 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._pop_to(depth)
-                return
-            # An inline end tag does not close the blocks around it; what shows no text ends with all that is open in it.
-            if tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS and self.open[depth][0] in BLOCK_TAGS:
-                return
+        depth = self._place((tag,))
+        # An inline end tag does not close the blocks around it; what shows no text ends with all that is open in it.
+        inline = tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS
+        if depth >= 0 and not (inline and self.block_places and self.block_places[-1] > depth):
+            self._pop_to(depth)
 
     def handle_data(self, data):
-        if self.unseen and self.open[-1][0] == "head" and data.strip():
+        if self.unseen and self.open[-1].tag == "head" and data.strip():
             self._pop_to(len(self.open) - 1)
         if not self.unseen:
             self.parts.append(data)
@@ -164,13 +195,13 @@ def blocks_of(html: str | None) -> list[Block]:
 # --- features ---------------------------------------------------------------
 
 
-def structure_features(tags: Sequence[str], names: Sequence[str]) -> tuple[str, ...]:
-    return (
-        "bias",
-        "own:" + (tags[-1] if tags else ""),
-        *(f"in:{t}" for t in dict.fromkeys(tags)),
-        *(f"name:{n}" for n in names),
-    )
+def structure_features(element: Element | None) -> list[str]:
+    """What the elements around a block say: each feature once, however often it occurs."""
+    found = ["bias", "own:" + (element.tag if element else "")]
+    while element:
+        found += element.fresh
+        element = element.parent
+    return found
 
 
 def text_features(block: Block) -> tuple[str, ...]:
@@ -193,13 +224,18 @@ class Model:
     moves: list[list[float]] = field(default_factory=lambda: [[0.0, 0.0], [0.0, 0.0]])
 
     def emissions(self, blocks: Sequence[Block]) -> list[float]:
-        known: dict[tuple, float] = {}
+        # Sums from the outermost element inwards, each element once.
+        known: dict[Element | None, float] = {None: self.weights.get("bias", 0.0)}
         out = []
         for block in blocks:
-            place = (block.tags, block.names)
-            if place not in known:
-                known[place] = sum(self.weights.get(f, 0.0) for f in structure_features(*place))
-            out.append(known[place] + sum(self.weights.get(f, 0.0) for f in text_features(block)))
+            chain, element = [], block.element
+            while element not in known:
+                chain.append(element)
+                element = element.parent
+            for inner in reversed(chain):
+                known[inner] = known[inner.parent] + sum(self.weights.get(f, 0.0) for f in inner.fresh)
+            own = self.weights.get("own:" + (block.element.tag if block.element else ""), 0.0)
+            out.append(known[block.element] + own + sum(self.weights.get(f, 0.0) for f in text_features(block)))
         return out
 
     def decode(self, blocks: Sequence[Block]) -> list[int]:
@@ -266,7 +302,7 @@ def fit(pages: Iterable[tuple[str, str]], rounds: int = 6, rate: float = 0.4, de
             labels.append(int(hit))
             at += hit
         if blocks:
-            features = [structure_features(b.tags, b.names) + text_features(b) for b in blocks]
+            features = [(*structure_features(b.element), *text_features(b)) for b in blocks]
             examples.append((features, labels))
     model, order, sums = Model(), random.Random(seed), {}
 
