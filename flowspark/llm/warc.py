@@ -12,6 +12,7 @@ import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -128,13 +129,13 @@ def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_pa
     )
 
 
-def sort_key(page_id: str | None, url: str | None, sha1: str) -> tuple:
-    """Orders as Spark does: NULL first, numbers by value, text by code point."""
-    number = page_id is not None and page_id.lstrip("-").isdigit()
-    return page_id is not None, (int(page_id), "") if number else (0, page_id or ""), url is not None, url or "", sha1
+def sort_key(page_id: str | None, url: str | None, sha1: str, numeric: bool) -> tuple:
+    """Orders as Spark does: NULL first, ids by value if their column is `numeric`, text by code point."""
+    held = Decimal(page_id or 0) if numeric else page_id or ""
+    return page_id is not None, held, url is not None, url or "", sha1
 
 
-def range_begins(keys: DataFrame, range_bytes: int) -> list[tuple]:
+def range_begins(keys: DataFrame, range_bytes: int, numeric: bool) -> list[tuple]:
     """The first key of each range but the first, from (page_id, url, _sha1, size); at most MOST_RANGES of them."""
     parts = written(range_sorted(keys, KEY), "keys")
     before = sizes_before(parts, "_part", "size", "_before")
@@ -145,7 +146,7 @@ def range_begins(keys: DataFrame, range_bytes: int) -> list[tuple]:
     width = max(range_bytes, -(-whole // MOST_RANGES))
     named = [F.col("page_id").cast("string").alias("id"), "url", "_sha1"]
     firsts = placed.groupBy(F.floor(F.col("_at") / width).alias("range")).agg(F.min_by(F.struct(*named), F.col("_at")).alias("key"))
-    return sorted(sort_key(*r["key"]) for r in firsts.filter("range > 0").collect())
+    return sorted(sort_key(*r["key"], numeric) for r in firsts.filter("range > 0").collect())
 
 
 class ArchiveFile:
@@ -214,11 +215,12 @@ def write_warc(
     first = written(responses(pages, id_col, url_col, html_col, min_payload), "responses")
     payload = F.coalesce(html_col, F.lit(""))
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha1(payload).alias("_sha1"), payload.alias("html"))
-    begins = spark.sparkContext.broadcast(range_begins(named.select(*KEY, F.octet_length("html").alias("size")), range_bytes))
+    numeric = dict(named.dtypes)["page_id"] != "string"
+    begins = spark.sparkContext.broadcast(range_begins(named.select(*KEY, F.octet_length("html").alias("size")), range_bytes, numeric))
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series, urls: pd.Series, digests: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(begins.value, sort_key(*key)) for key in zip(ids, urls, digests)], dtype="int32")
+        return pd.Series([bisect.bisect_right(begins.value, sort_key(*key, numeric)) for key in zip(ids, urls, digests)], dtype="int32")
 
     # A whole number would become a float, and so lose digits, where ids are missing.
     ranges = range_of(F.col("page_id").cast("string"), "url", "_sha1").alias("range")
@@ -253,9 +255,9 @@ def write_warc(
             yield done()
 
     segments = written(ordered.mapInArrow(write, segment), "segments")
-    # A row per segment: ranges are bounded, and further segments are as large as a file.
+    # Both sides have a row per segment, and Spark picks the join.
     sums = segments.withColumn("_at", F.struct("range", "number"))
-    starts = sums.join(F.broadcast(sizes_before(sums, "_at", "bytes", "_before")), "_at").select("range", "number", "temporary", "_before", "sizes")
+    starts = sums.join(sizes_before(sums, "_at", "bytes", "_before"), "_at").select("range", "number", "temporary", "_before", "sizes")
     piece = "file bigint, range int, number int, temporary string, begin bigint, bytes bigint, records bigint"
     piece_fields = arrow_schema(pages, piece)
 
