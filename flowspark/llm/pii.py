@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from flowspark.llm.common import map_rows, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "birth", "passport", "account")
 
 # Fixed expressions. A look-behind or a possessive repeat keeps them linear on
 # texts that are one long run of digits; the matches are those of the plain forms.
@@ -26,18 +26,27 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_DATE = re.compile(r"(?<![0-9./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([./])([0-9]{1,2})\5([0-9]{4}))(?![0-9/-]|\.[0-9])")
+_PASSPORT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9.-])[0-9]{6,12}(?![A-Za-z0-9-]|\.[0-9])")
 
-# What a confirmed span is worth, what a word of its context adds, what it must reach.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+# What a confirmed span is worth, what a word of its context adds, what it must reach. Kinds without a checksum
+# are worth too little without one: context decides them.
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "birth": 0.3, "passport": 0.3, "account": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "@"),
+    "email": ("mail", "email", "e-mail", "contact"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "call", "tel", "telephone", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social security"),
+    "birth": ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "né", "née", "naissance", "nacido", "nacida", "nacimiento"),
+    "passport": ("passport", "reisepass", "passeport", "pasaporte"),
+    "account": ("account", "acct", "konto", "kontonummer", "compte", "cuenta"),
 }
 CONTEXT_BONUS, CONTEXT_CHARS, MIN_SCORE = 0.2, 40, 0.5
+# Whole words only: neither "hotel" nor "recipe" is a word of a context.
+_CONTEXT = {kind: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)") for kind, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -102,12 +111,42 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield found.span()
 
 
-_PROPOSE = {"email": emails, "ip": addresses, "card": cards, "phone": phones, "iban": accounts, "ssn": ssns}
+def births(text: str) -> Iterator[tuple[int, int]]:
+    """Dates that are in the calendar, of this or the last century; day and month in either order."""
+    for found in _DATE.finditer(text):
+        year, *parts = map(int, (found[1], found[2], found[3]) if found[1] else (found[7], found[4], found[6]))
+        if 1900 <= year <= 2099 and 1 <= min(parts) and min(parts) <= 12 and max(parts) <= 31 and (not found[1] or parts[0] <= 12):
+            yield found.span()
+
+
+def _matches(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (found.span() for found in pattern.finditer(text))
+
+
+_PROPOSE = {
+    "email": emails,
+    "ip": addresses,
+    "card": cards,
+    "phone": phones,
+    "iban": accounts,
+    "ssn": ssns,
+    "birth": births,
+    "passport": _matches(_PASSPORT),
+    "account": _matches(_ACCOUNT),
+}
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    before, behind = text[max(0, start - CONTEXT_CHARS) : start].lower(), text[end : end + CONTEXT_CHARS].lower()
-    return round(SCORES[kind] + CONTEXT_BONUS * any(word in before or word in behind for word in CONTEXT[kind]), 2)
+    """The kind's worth, and more if a whole word of its context lies within CONTEXT_CHARS on either side."""
+    low, high = max(0, start - CONTEXT_CHARS), end + CONTEXT_CHARS
+    # A character more tells whether a word goes on beyond the context.
+    before, behind = text[max(0, low - 1) : start].lower(), text[end : high + 1].lower()
+    near = _found(_CONTEXT[kind], before, low > 0, False) or _found(_CONTEXT[kind], behind, False, len(text) > high)
+    return round(SCORES[kind] + CONTEXT_BONUS * near, 2)
+
+
+def _found(words: re.Pattern, text: str, skips_first: bool, skips_last: bool) -> bool:
+    return any(f.start() >= skips_first and f.end() <= len(text) - skips_last for f in words.finditer(text))
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -155,4 +194,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         count_of("spans", kind).alias(f"n_{kind}")
         for kind in BASE_KINDS
     ]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
