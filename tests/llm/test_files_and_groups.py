@@ -1,8 +1,10 @@
 """Near copies, mixing, token files, archives, URL filter, main text, and the pipeline."""
 
+import itertools
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from flowspark.llm import common, token_files
-from flowspark.llm.html_blocks import TRAINING_PAGES, blocks_of, extract_text, fit, labelled_pages, main_text
+from flowspark.llm.html_blocks import TRAINING_PAGES, Model, _expectations, blocks_of, extract_text, fit, labelled_pages, main_text
 from flowspark.llm.mixing import mix, mix_report
 from flowspark.llm.near_copies import group_copies, keep_one, prefix_size
 from flowspark.llm.quality_lines import judge
@@ -207,6 +209,15 @@ def test_archives_of_repeated_rows_and_of_nothing(spark):
     assert none.count() == 0 and read_warc(none).count() == 0
 
 
+def test_archives_of_text_ids_are_in_the_order_of_text(spark):
+    ids = ["²", "--5", "-1", "10", "9", "é", "", None, "a b", "1e5", "\u0660"] + [f"id{k}" for k in range(60)]
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 40) for k in ids], "page_id string, url string, html string").repartition(4)
+    archive = write_warc(pages, file_bytes=1_000, range_bytes=2_000)
+    files = [r.file for r in archive.select("file").orderBy("file").collect()]
+    found = [r.page_id for f in files for r in read_warc(archive.filter(common.F.col("file") == f), "string").collect()]
+    assert found == sorted(ids, key=lambda k: (k is not None, k or "")) and len(files) > 2
+
+
 def test_archives_roll_by_compressed_size_by_default(spark):
     """Files of about 16 MiB though ranges hold 1 MiB of html; nothing else is left in the folder."""
     pages = spark.range(0, 400, 1, 8).selectExpr("id page_id", "'u' url", "array_join(transform(sequence(1, 2500), k -> sha2(concat(id, '-', k), 256)), '') html")
@@ -325,6 +336,50 @@ def test_unseen_elements_end_where_html_ends_them(html, want):
     assert [b.text for b in blocks_of(html)] == want
 
 
+def test_pages_of_any_depth_take_time_in_proportion(model):
+    """A megabyte of elements that nobody closes, and of end tags that close nothing."""
+    pages = ["<font>x<br>" * 91_000, "<b>" * 333_000 + "x", "<b><p>x" * 100_000, "<b>" * 160_000 + "</i>" * 160_000, "<svg>" + "<g>" * 300_000 + "<p>x"]
+    pages.append("<p>" + "<b>" * 160_000 + "<div>x" * 80_000)
+    began = time.process_time()
+    for page in pages:
+        assert len(page) > 690_000 and isinstance(main_text(page, model), str)
+    assert time.process_time() - began < 120
+    assert len(blocks_of(pages[0])) == 91_000 and [b.text for b in blocks_of(pages[1])] == ["x"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sums_over_labellings_against_all_of_them(seed):
+    """Viterbi and forward-backward of short chains against every labelling, ties included."""
+    draw = random.Random(seed)
+    for n in range(1, 7):
+        pick = (lambda: draw.choice([-1.0, 0.0, 1.0])) if seed % 2 else (lambda: draw.gauss(0, 2))
+        emitted, moves = [pick() for _ in range(n)], [[pick() for _ in range(2)] for _ in range(2)]
+
+        def total(labels):
+            return sum(e * y for e, y in zip(emitted, labels)) + sum(moves[a][b] for a, b in zip(labels, labels[1:]))
+
+        class Fixed(Model):
+            def emissions(self, blocks):
+                return emitted
+
+        every = list(itertools.product((0, 1), repeat=n))
+        found = Fixed(moves=moves).decode([None] * n)
+        best = max(map(total, every))
+        assert abs(total(found) - best) < 1e-12
+        # Of equally likely labels the last one is 0 where it can be, then the one before it.
+        equal = [labels for labels in every if total(labels) > best - 1e-12]
+        assert tuple(found)[::-1] == min(labels[::-1] for labels in equal)
+        ones, pairs = _expectations(emitted, moves)
+        weights = {labels: math.exp(total(labels)) for labels in every}
+        whole = sum(weights.values())
+        for k in range(n):
+            assert abs(ones[k] - sum(w for y, w in weights.items() if y[k]) / whole) < 1e-9
+        for a in (0, 1):
+            for b in (0, 1):
+                moved = sum(w * sum((y[k], y[k + 1]) == (a, b) for k in range(n - 1)) for y, w in weights.items()) / whole
+                assert abs(pairs[a][b] - moved) < 1e-9
+
+
 def test_pages_without_an_end_of_head(spark, model):
     page = "<!DOCTYPE html><html><head><title>t</title>{}<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A title</h1><p>Many words <svg/>in here, again.</article>"
     pages = spark.createDataFrame([(1, "u", page.format("")), (2, "u", page.format("</head>"))], "page_id bigint, url string, html string")

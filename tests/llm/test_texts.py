@@ -139,6 +139,28 @@ def test_context_counts_on_both_sides():
         assert [(k, points) for k, _, _, points in spans(text)] == [("ssn", 0.5)]
     assert [s[3] for s in spans("1.2.3.4 is the server")] == [0.8] and [s[3] for s in spans("1.2.3.4 is it")] == [0.6]
     assert spans("078-05-1120" + " " * 37 + "ssn") and not spans("078-05-1120" + " " * 38 + "ssn")
+    assert spans("ssn" + " " * 37 + "078-05-1120") and not spans("ssn" + " " * 38 + "078-05-1120")
+
+
+def test_context_is_whole_words():
+    for text in ("lessn 078-05-1120", "078-05-1120 ssns", "ssn_1 078-05-1120", "078-05-1120" + " " * 37 + "ssnx", "xssn" + " " * 37 + "078-05-1120"):
+        assert spans(text) == []
+    assert [s[3] for s in spans("hotel +49 30 1234567 8")] == [0.6] and [s[3] for s in spans("Tel: +49 30 1234567 8")] == [0.8]
+    assert [s[3] for s in spans("recipe 1.2.3.4")] == [0.6] and [s[3] for s in spans("(IP) 1.2.3.4")] == [0.8]
+
+
+def test_context_decides_kinds_without_a_checksum():
+    def kinds(text):
+        return [(k, text[a:b]) for k, a, b, _ in spans(text) if k in ("birth", "passport", "account")]
+
+    assert kinds("Born on 1984-02-29 in X") == [("birth", "1984-02-29")] and kinds("released on 1984-02-29") == []
+    assert kinds("geboren am 3.11.1970.") == [("birth", "3.11.1970")] and kinds("DOB 11/30/1999") == [("birth", "11/30/1999")]
+    assert kinds("née le 32/11/1970") == kinds("born 13/13/1970") == kinds("born 1970-13-01") == kinds("born 1.2.1870") == kinds("born 1/2.1970") == []
+    assert kinds("passport no. C0123456") == [("passport", "C0123456")] and kinds("part no. C0123456") == kinds("passport XC0123456Z") == []
+    assert kinds("account 12345678") == [("account", "12345678")] and kinds("order 12345678") == kinds("accounting 12345678") == []
+    assert kinds("account 1234567890123") == kinds("account 123456-7") == []
+    long = "1" * 300_000 + " account " + "A1" * 100_000 + "1/1/" * 50_000
+    assert kinds(long) == []
 
 
 def test_personal_data_query(spark):
