@@ -50,6 +50,25 @@ def bucketed_row_number(
     )
 
 
+def bucketed_running_sum(df: DataFrame, name: str, value: Column, bucket: Column, order: Sequence[Column | str], keys: Sequence[str] = ()) -> DataFrame:
+    """`df` with `name`: the sum of `value` over all earlier rows of `keys`, its own row left out.
+
+    As `bucketed_row_number`: a task sees one bucket, and one number per bucket is
+    summed per key. `bucket` must not decrease along `order`, which is total.
+    """
+    cells = [*keys, "_bucket"]
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*cells).agg(F.sum("_value").alias("_size")).select(*cells, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum("_value").over(inside), F.lit(0))
+    return join_groups(rows.withColumn("_local", local), offsets, cells).select(
+        *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name)
+    )
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on `keys`, NULL matching NULL as in grouping; other column names must differ."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

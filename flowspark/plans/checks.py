@@ -650,6 +650,8 @@ CHECKS: dict[str, str] = {
     "label_map_parse": """
 SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name, quality = 1 AS label, CAST(NULL AS VARCHAR) AS error FROM labels
 UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable' FROM labels""",
+    "label_object_split": "SELECT concat('conn_log_part_', CAST(doc_id AS VARCHAR)) AS log_name, quality = 1 AS label, 'a \"}{\" b' AS type, "
+    "CAST(toxic AS INTEGER) AS packet_count FROM labels",
     "split_log_parts": _with(
         "SELECT log_name, part, 'conn_log_part_' || CAST(part AS VARCHAR) AS part_name, count(*) AS n, min(ts_us) AS min_ts_us, "
         "max(ts_us) AS max_ts_us FROM (SELECT log_name, ts_us, (row_number() OVER (PARTITION BY log_name ORDER BY line_no) - 1) // 108 + 1 AS part "

@@ -193,6 +193,29 @@ def label_file_round_trip(spark, sf):
     )
 
 
+@query
+def label_object_split(spark, sf):
+    """All labels in one file that is one JSON object, read by many tasks."""
+    path = f"{checkpoint_dir(spark)}/labels-{os.urandom(6).hex()}"
+    entry = F.concat(
+        F.lit('"conn_log_part_'), F.col("doc_id").cast("string"), F.lit('.log": {"ping_flood_detected": '), F.when(F.col("quality") == 1, "true").otherwise("false"),
+        F.lit(', "flood_details": {"many_to_one": [{"type": "a \\"}{\\" b", "packet_count": '), F.col("toxic").cast("string"), F.lit("}]}}"),
+    )
+    labels = tables.table(spark, sf, "labels").select("doc_id", entry.alias("entry"))
+    ends = labels.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    lines = labels.join(F.broadcast(ends)).select(  # one row
+        "doc_id", F.concat(F.when(F.col("doc_id") == F.col("first"), "{").otherwise(""), "entry", F.when(F.col("doc_id") == F.col("last"), "}").otherwise(",")).alias("value")
+    )
+    lines.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    entries = readers.read_label_entries(spark, path, split=True)
+    return entries.select(
+        "log_name",
+        readers.label_of(F.col("entry"), "ping_flood").alias("label"),
+        F.col("entry.flood_details.many_to_one")[0]["type"].alias("type"),
+        F.col("entry.flood_details.many_to_one")[0]["packet_count"].alias("packet_count"),
+    )
+
+
 # --- files written and read back ---------------------------------------------------------------
 
 

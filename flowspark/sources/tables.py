@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions.scale import bucketed_row_number
+from flowspark.functions.scale import bucketed_row_number, bucketed_running_sum
 from flowspark.functions.text import stem
 from flowspark.schema import ANOMALIES, LABEL_FILE, METRICS_FILE, RULES
 from flowspark.sources.conn_log import line_position
 
-ROWS_PER_CELL = 1 << 24
+ROWS_PER_CELL, BYTES_PER_CELL = 1 << 24, 4 << 20
 
 
 def read_anomalies(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -75,12 +75,59 @@ def parse_label_map(texts: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_label_entries(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+def split_object(spark: SparkSession, path: str, bytes_per_cell: int = BYTES_PER_CELL) -> DataFrame:
+    """(file, value): the top-level entries of files that are one JSON object each, every one as an object of its own.
+
+    The text is cut at closing braces, so Spark deals out byte ranges of one
+    file to many tasks. Each piece tells how its quotes and braces move on from
+    either state, inside or outside a string; running sums over the pieces then
+    give the state and the depth that each begins with, and an entry ends where
+    the depth is back at the object's own. Entries that are no objects come
+    together with the next one that is. No task sees more than an entry or a
+    cell of `bytes_per_cell`.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), line_position().alias("at"), F.col("value").alias("text")
+    )
+    # Behind the last brace there is white space at most.
+    plain = F.regexp_replace("text", r"(?s)\\.", "")
+    parts = F.split(plain, '"', -1)
+
+    def opened(outside_at: int) -> Column:
+        """Braces and brackets opened and not closed in the pieces of text outside strings, the cut brace left out."""
+        outside = F.array_join(F.filter(parts, lambda _, k: k % 2 == outside_at), "")
+        up, down = F.translate(outside, "{[", ""), F.translate(outside, "]", "")
+        return (F.length(down) - F.length(up)).cast("bigint")
+
+    cell = F.floor(F.col("at") / bytes_per_cell).cast("bigint")
+    keys, order = ["file"], ["at"]
+    quotes = (F.size(parts) - 1).cast("bigint")
+    moves = pieces.select("file", "at", "text", quotes.alias("quotes"), opened(0).alias("from_outside"), opened(1).alias("from_inside"))
+    placed = bucketed_running_sum(moves, "quotes_before", F.col("quotes"), cell, order, keys)
+    inside, ends_inside = F.col("quotes_before") % 2 == 1, (F.col("quotes_before") + F.col("quotes")) % 2 == 1
+    closing = F.when(ends_inside, 0).otherwise(1)
+    change = F.when(inside, F.col("from_inside")).otherwise(F.col("from_outside")) - closing
+    deep = bucketed_running_sum(placed.select("file", "at", "text", (~ends_inside).alias("closes"), change.alias("change")), "depth", F.col("change"), cell, order, keys)
+    after = F.col("depth") + F.col("change")
+    ended = deep.select("file", "at", "text", (F.col("closes") & (after <= 1)).alias("ends"), (F.col("closes") & (after == 1)).alias("whole"))
+    numbered = bucketed_running_sum(ended, "entry", F.col("ends").cast("bigint"), cell, order, keys)
+    # The cut took a brace from the end of every piece; that of the whole object's end is not the entry's.
+    piece = F.struct("at", F.when(F.col("ends") & ~F.col("whole"), F.col("text")).otherwise(F.concat("text", F.lit("}"))).alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "")
+    whole = numbered.groupBy("file", "entry").agg(text.alias("text"), F.bool_or("ends").alias("ended"))
+    content = F.regexp_replace("text", r"^\s*[{,]", "")
+    return whole.filter("ended").filter(F.trim(content, F.lit(" \t\r\n")) != "").select("file", F.concat(F.lit("{"), content, F.lit("}")).alias("value"))
+
+
+def read_label_entries(spark: SparkSession, path: str, per_line: bool = False, split: bool = False) -> DataFrame:
     """(log_name, entry) of label files.
 
-    A file is one JSON object, on as many lines as it likes; `per_line=True` is
-    for files with one object per line, which many tasks read.
+    A file is one JSON object, on as many lines as it likes, and one task reads
+    it; `split=True` lets many tasks read one. `per_line=True` is for files with
+    one object per line, which many tasks read anyway.
     """
+    if split:
+        return parse_label_map(split_object(spark, path))
     return parse_label_map(spark.read.text(path, wholetext=not per_line))
 
 

@@ -265,3 +265,36 @@ def test_stream_counts_and_late_rows(spark, tmp_path):
     put("d.log", 900)
     got = {(r.window_start.second, r.n) for r in spark.read.parquet(out).collect()}
     assert got == {(0, 3)}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_object_is_read_by_many_tasks(spark, tmp_path, indent):
+    """Rows of a file that is one object, cut anywhere: braces, quotes and backslashes in strings, entries that are no objects."""
+    held = {}
+    for k in range(900):
+        held[f"log_{k}.log"] = {
+            "ping_flood_detected": k % 3 == 0,
+            "num_floods": k,
+            "flood_details": {"many_to_one": [{"type": 'a"}{\\\\"' + "}" * (k % 4), "unique_src_ips": ["}", "[", "\\"]}] * (k % 3), "one_to_many": []},
+            "error": "é{\\" if k % 7 == 0 else None,
+        }
+        if k % 100 == 50:
+            held[f"odd_{k}.log"] = None
+    folder = tmp_path / "labels"
+    folder.mkdir()
+    for name, part in (("a.json", held), ("empty.json", {}), ("one.json", {"single.log": {"num_floods": 1}}), ("last.json", {"x.log": {"num_floods": 2}, "y.log": None})):
+        (folder / name).write_text(json.dumps(part, indent=indent, ensure_ascii=False) + "\n")
+    whole = tables.read_label_entries(spark, str(folder))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        pieces = tables.split_object(spark, str(folder), bytes_per_cell=5_000)
+        assert spark.read.option("lineSep", "}").text(str(folder / "a.json")).rdd.getNumPartitions() > 5
+        split = tables.parse_label_map(pieces)
+        key = lambda r: r[0]
+        shown = lambda df: sorted(((r.log_name, r.entry.asDict(True) if r.entry else None) for r in df.collect()), key=key)
+        assert shown(split) == shown(whole) and split.count() == 900 + 9 + 1 + 2
+        # Each object of a file is an entry of its own.
+        assert pieces.filter(F.col("file").endswith("a.json")).count() == 900
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
