@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 
 import pytest
 
@@ -125,6 +127,17 @@ def test_personal_data_against_plain(spark):
         assert got == plain.personal(text), text[:200]
 
 
+def test_texts_made_of_matches_take_time_in_proportion(spark):
+    """A megabyte of hashes, in seconds; before it, numbers of matches around the size of a block."""
+    rows = [(n, "é 0123456789abcdef " * n) for n in (1, 63, 64, 65, 128, 129, 4_097)] + [(60_000, "0123456789abcdef " * 60_000), (7, "token=" + "a" * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.time()
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "hex"] for r in find_secrets(docs).collect()}
+    assert time.time() - began < 60
+    for n, text in rows:
+        assert found[n] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
+
+
 def test_added_kinds_are_confirmed():
     assert luhn("4111111111111111") and not luhn("4111111111111112") and mod97("DE89370400440532013000")
     kinds = [(k, score) for k, _, _, score in spans(EDGES[10])]
