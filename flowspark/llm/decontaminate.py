@@ -19,6 +19,8 @@ from flowspark.llm.common import arrow_schema, batch_of, prepared, table, writte
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
+# Pairs of a place and a window that are compared at once.
+PAIRS_AT_ONCE = 1 << 19
 SHINGLE = 3
 # Items are joined in slices of about so many bytes of text: that bounds each broadcast.
 SLICE_BYTES = 8_000_000
@@ -119,23 +121,31 @@ class Index:
             if not len(places):
                 continue
             counts = np.searchsorted(keys, keys[first], "right") - first
-            total = int(counts.sum())
-            # Each place with each entry of its key.
-            at = np.repeat(places, counts)
-            entry = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-            row, begin = rows[entry], at - offsets[entry]
-            length = self.lengths[row]
-            fits = (begin >= 0) & (begin + length <= len(ids))
-            row, begin, length = row[fits], begin[fits], length[fits]
-            for k in range(self.window):
-                inside = k < length
-                same = ~inside | (ids[np.minimum(begin + k, len(ids) - 1)] == self.words[row, k])
-                row, begin, length = row[same], begin[same], length[same]
-            ranges.extend(zip(begin.tolist(), (begin + length).tolist()))
-            for r in np.unique(row).tolist():
-                items.update(self.items[r])
+            # A place with each entry of its key, PAIRS_AT_ONCE or those of one place at a time.
+            upto = np.cumsum(counts)
+            cuts = np.unique(np.searchsorted(upto, np.arange(PAIRS_AT_ONCE, int(upto[-1]), PAIRS_AT_ONCE), "left") + 1)
+            for part in np.split(np.arange(len(places)), cuts):
+                if len(part):
+                    found = self._fitting(ids, places[part], first[part], counts[part], rows, offsets)
+                    ranges.extend(found[0])
+                    for r in found[1]:
+                        items.update(self.items[r])
         return ranges, items
 
+    def _fitting(self, ids, places, first, counts, rows, offsets) -> tuple[list[tuple[int, int]], list[int]]:
+        """(begin, end) of the windows that stand at the places where their entries put them, and the windows' numbers."""
+        at = np.repeat(places, counts)
+        entry = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+        row, begin = rows[entry], at - offsets[entry]
+        length = self.lengths[row]
+        fits = (begin >= 0) & (begin + length <= len(ids))
+        row, begin, length = row[fits], begin[fits], length[fits]
+        for k in range(self.window):
+            inside = k < length
+            same = ~inside | (ids[np.minimum(begin + k, len(ids) - 1)] == self.words[row, k])
+            row, begin, length = row[same], begin[same], length[same]
+        return list(zip(begin.tolist(), (begin + length).tolist())), np.unique(row).tolist()
+
 
 def covered(ranges: list[tuple[int, int]]) -> int:
     """How many positions the ranges cover together."""

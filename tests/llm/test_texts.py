@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import pytest
 
-from flowspark.llm.decontaminate import find_passages, without_passages
+from flowspark.llm import decontaminate
+from flowspark.llm.decontaminate import Index, covered, find_passages, without_passages
 from flowspark.llm.pii import emails, find_pii, luhn, mod97, op10_pii, spans
 from flowspark.llm.quality_lines import clean_lines, judge, kept_documents, repeated_words
 from flowspark.llm.secret_scan import RULES, Rule, find_secrets, trigram_query
@@ -232,6 +234,25 @@ def test_one_slice_is_held_at_a_time(spark, monkeypatch):
     assert len(most) > 4 and max(most) == 1 and not held
 
 
+def test_many_items_under_one_shingle_are_compared_in_pieces(monkeypatch):
+    """2,000 items that begin alike against a text of that beginning: the same hits whatever is compared at once, in bounded memory."""
+    items = [(f"i{k}", f"a b c d e f g h i x{k}".encode()) for k in range(2_000)]
+    index = Index(items, 10, {})
+    text = (b"a b c d e f g h i " * 300 + b"a b c d e f g h i x7 a b c d e f g h i x1999 q").split()
+    found = set()
+    for pairs in (1 << 19, 1 << 12, 1):
+        monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", pairs)
+        ranges, hit = index.hits(text)
+        assert hit == {"i7", "i1999"} and covered(ranges) == 20
+        found.add(tuple(sorted(ranges)))
+    assert len(found) == 1
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 1 << 19)
+    tracemalloc.start()
+    index.hits(b"a b c d e f g h i ".split() * 3_300)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+
+
 def test_passages_of_nothing(docs, nothing, spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     none = hashlib.sha256(b"").hexdigest()
