@@ -215,8 +215,9 @@ def syn_alert_docs(alerts: DataFrame) -> DataFrame:
 def upserted(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """`existing` with the rows of `new` put in place of those with the same id.
 
-    Of several new rows with one id the last one wins: by `order`, or by its
-    place in `new`.
+    Of several new rows with one id the last one wins: by the column `order`,
+    which is not stored. Without one it is the last in `new`'s own plan, which
+    only a table that was read and not shuffled keeps.
     """
     key = ["collection", "doc_id"]
     placed = new.withColumn("_order", F.monotonically_increasing_id() if order is None else F.col(order))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowspark.functions.scale import top_per_group
 from flowspark.functions.text import cap_lines, extract_ips, tokens
@@ -146,8 +147,26 @@ def alert_sections(lines: DataFrame, max_chars: int = ALERT_CHARS) -> DataFrame:
     return capped.groupBy("log_name").agg(F.array_join(F.transform(parts, lambda p: p["raw"]), "\n").alias("alerts"))
 
 
-def _section(evidence: DataFrame, text: str, name: str) -> DataFrame:
-    """Texts of a case as one section, best first where they have a score, else by their alphabet."""
+def within_budget(evidence: DataFrame, max_chars: int, text: str = "text", key: str = "log_name") -> DataFrame:
+    """The best distinct texts of each case that fit into `max_chars` together, a line break between two.
+
+    Best first: by `score` where there is one, then by the text; the first text
+    that does not fit ends the case. A text takes at least a character and its
+    line break, so the best `max_chars` texts decide it: each task passes on as
+    many per case at most, and the running sum sees no more, however much
+    evidence a case has.
+    """
+    best = evidence.groupBy(key, text).agg((F.max("score") if "score" in evidence.columns else F.lit(0.0)).alias("score"))
+    order = [F.desc("score"), F.col(text)]
+    head = top_per_group(best.filter(F.length(text) > 0), [key], order, max_chars // 2 + 1)
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return head.withColumn("_upto", F.sum(F.length(text) + 1).over(upto)).filter(F.col("_upto") - 1 <= max_chars).drop("_upto")
+
+
+def _section(evidence: DataFrame, text: str, name: str, max_chars: int | None = None) -> DataFrame:
+    """Texts of a case as one section, best first where they have a score, else by their alphabet; None holds all of them."""
+    if max_chars is not None:
+        evidence = within_budget(evidence, max_chars, text)
     score = -F.col("score") if "score" in evidence.columns else F.lit(0.0)
     best = evidence.groupBy("log_name", text).agg(F.min(score).alias("_order"))
     parts = F.array_sort(F.collect_list(F.struct("_order", text)))
@@ -155,12 +174,21 @@ def _section(evidence: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def case_prompts(
-    alerts: DataFrame, anomaly_docs: DataFrame, heuristic_docs: DataFrame, attack: str = "SYN flood", template: str = PROMPT
+    alerts: DataFrame,
+    anomaly_docs: DataFrame,
+    heuristic_docs: DataFrame,
+    attack: str = "SYN flood",
+    template: str = PROMPT,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """One prompt per case from its alert section and its ranked evidence (log_name, text)."""
+    """One prompt per case from its alert section and its ranked evidence (log_name, text).
+
+    With `max_chars` each of both evidence sections holds the best texts that
+    fit; without, all of a case's evidence comes into one row.
+    """
     return (
-        alerts.join(_section(anomaly_docs, "text", "_anomalies"), "log_name", "left")
-        .join(_section(heuristic_docs, "text", "_heuristics"), "log_name", "left")
+        alerts.join(_section(anomaly_docs, "text", "_anomalies", max_chars), "log_name", "left")
+        .join(_section(heuristic_docs, "text", "_heuristics", max_chars), "log_name", "left")
         .select(
             "log_name",
             F.format_string(

@@ -83,7 +83,11 @@ def classifier(model: str):
 
 
 def scaled_features(features: DataFrame) -> DataFrame:
-    """Features with mean 0 and variance 1 over all logs (sample variance); constants become 0."""
+    """Features with mean 0 and variance 1 over all logs (sample variance); constants become 0.
+
+    The features are written first, so the flows behind them are read once.
+    """
+    features = cut_lineage(features, "features")
     stats = features.agg(
         *[F.avg(c).alias(f"_m_{c}") for c in FEATURES], *[F.stddev_samp(c).alias(f"_s_{c}") for c in FEATURES]
     )

@@ -59,11 +59,13 @@ def _merged(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
 
 
 def _fitting(wanted: list, metas) -> np.ndarray | None:
-    """Which document meets which query's filter; None if no query has one."""
+    """Which document meets which query's filter, each distinct filter tried once; None if no query has one."""
     if not any(wanted):
         return None
+    filters = [tuple(sorted(dict(w).items())) if w else () for w in wanted]
     plain = [dict(m) if m is not None else {} for m in metas]
-    return np.array([[all(m.get(a) == b for a, b in (dict(w) if w else {}).items()) for m in plain] for w in wanted])
+    fits = {f: np.array([all(m.get(a) == b for a, b in f) for m in plain], bool) for f in set(filters)}
+    return np.stack([fits[f] for f in filters])
 
 
 def _hits(best: tuple, queries: np.ndarray) -> pd.DataFrame:

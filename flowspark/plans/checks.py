@@ -796,6 +796,12 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
         asked=f"SELECT DISTINCT item_id AS query_id, unnest({_ALL_WORDS.format('text')}) AS token FROM benchmark",
         scored="SELECT query_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impact USING (token) GROUP BY ALL",
     ),
+    "evidence_within_budget": _with(
+        "SELECT log_name, text, score FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY log_name ORDER BY score DESC, text) AS upto FROM texts) t WHERE upto - 1 <= 300",
+        "flows", "anomalies", **_EVIDENCE_PARTS,
+        texts="SELECT e.log_name, a.text, max(CAST(h.heuristic AS DOUBLE)) AS score FROM evidence e JOIN adocs a ON a.doc_id = e.doc_id "
+        "JOIN anomalies h ON a.doc_id = 'anomaly_' || CAST(h.row_no AS VARCHAR) GROUP BY ALL",
+    ),
     "tfidf_vectors": _with(
         "SELECT doc_id, count(*) AS n_terms, round(max(w / nullif(length, 0)), 6) AS max_weight, round(sum(w / nullif(length, 0)), 4) AS sum_weight "
         "FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length FROM weighted) l GROUP BY doc_id",

@@ -32,8 +32,10 @@ def knowledge_rows(anomalies: DataFrame, heuristics: DataFrame, groups: DataFram
     )
 
 
-def prompts(flows: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, prefixes: DataFrame, proto: str = "tcp") -> DataFrame:
-    """Log to prompt: one prompt per case with its lines and all its evidence.
+def prompts(
+    flows: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, prefixes: DataFrame, proto: str = "tcp", max_chars: int | None = None
+) -> DataFrame:
+    """Log to prompt: one prompt per case with its lines and all its evidence, or as much as `max_chars` a section hold.
 
     `flows` needs `raw`; `heuristics` is (code, text). Evidence is found once
     and carried as ids and codes; texts come in last.
@@ -47,7 +49,7 @@ def prompts(flows: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, pr
     )
     taxonomy = evidence.taxonomy_evidence(found, anomaly_docs, prefixes).select("log_name", F.col("entry").alias("text"))
     attack = "SYN flood" if proto == "tcp" else "ping flood"
-    return evidence.case_prompts(evidence.alert_sections(lines), records, context.unionByName(taxonomy), attack)
+    return evidence.case_prompts(evidence.alert_sections(lines), records, context.unionByName(taxonomy), attack, max_chars=max_chars)
 
 
 def query_prompts(
@@ -58,6 +60,8 @@ def query_prompts(
     fetch_k: int | None = None,
     threshold: float = retrieval.THRESHOLD,
     attack: str = "SYN flood",
+    anomalies_kept: int = evidence.ANOMALY_DOCS,
+    heuristics_kept: int = evidence.HEURISTIC_DOCS,
 ) -> DataFrame:
     """Question to prompt or abstention: (case_id, abstain, prompt) of (case_id, text, vector).
 
@@ -65,7 +69,9 @@ def query_prompts(
     applied before the search among `anomaly_docs` (doc_id, text, meta, vector);
     of the `fetch_k` nearest, k diverse ones stay, and of these the documents
     that name an address and are similar enough. The gate decides; heuristics
-    are those of the documents' codes; both sections are in rank order.
+    are those of the documents' codes. Both are ranked anew by the words they
+    share with the question, and the best `anomalies_kept` and `heuristics_kept`
+    make the sections, in rank order.
     """
     cases = cut_lineage(cases.select("case_id", "text", "vector"), "cases")
     asked = cases.select(
@@ -81,11 +87,10 @@ def query_prompts(
     scored = cut_lineage(hits.select("case_id", "doc_id", "similarity", named.alias("names_ip"), "text", "meta"), "scored")
     gate = evidence.evidence_gate(asked, scored, threshold)
     kept = scored.filter(F.col("names_ip") & (F.col("similarity") >= threshold))
-    records = kept.select(F.col("case_id").alias("log_name"), "text", F.col("similarity").alias("score"))
     known = heuristics.select(F.col("code").cast("string").alias("code"), F.col("text").alias("heuristic_text"))
-    context = kept.join(known, F.col("meta.heuristic") == F.col("code")).select(
-        F.col("case_id").alias("log_name"), F.col("heuristic_text").alias("text"), F.col("similarity").alias("score")
-    )
+    coded = kept.join(known, F.col("meta.heuristic") == F.col("code"))
+    records = _reranked(cases, kept.select("case_id", F.col("doc_id").alias("doc_id"), "text"), anomalies_kept)
+    context = _reranked(cases, coded.select("case_id", F.col("code").alias("doc_id"), F.col("heuristic_text").alias("text")), heuristics_kept)
     alerts = cases.select(F.col("case_id").alias("log_name"), cap_text(F.col("text"), evidence.ALERT_CHARS).alias("alerts"))
     made = evidence.case_prompts(alerts, records, context, attack).withColumnRenamed("log_name", "case_id")
     return gate.join(made, "case_id").select(
@@ -93,6 +98,17 @@ def query_prompts(
     )
 
 
+def _reranked(cases: DataFrame, found: DataFrame, top_k: int) -> DataFrame:
+    """(log_name, text, score): the `top_k` texts of each case that share most with its question, by weighted words."""
+    found = cut_lineage(found.distinct(), "found")
+    words = cases.select(F.col("case_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("token"))
+    texts = found.select("doc_id", "text").distinct()
+    best = retrieval.lexical_rerank(
+        found.select(F.col("case_id").alias("query_id"), "doc_id").distinct(), words, retrieval.term_weights(texts, tokens(F.col("text"))), top_k
+    )
+    return best.join(texts, "doc_id").select(F.col("query_id").alias("log_name"), "text", "score")
+
+
 def ranked_anomalies(words: DataFrame, found: DataFrame, anomaly_docs: DataFrame, top_k: int = evidence.ANOMALY_DOCS) -> DataFrame:
     """Best anomaly documents of each case by shared words; `words` is (log_name, word) over the case's whole text."""
     weights = retrieval.term_weights(anomaly_docs, tokens(F.col("text")))

@@ -856,6 +856,26 @@ def case_prompts(spark, sf):
     return prompts
 
 
+@query
+def evidence_within_budget(spark, sf):
+    """The anomaly texts of each log that fit into 300 characters, those with the largest heuristic code first."""
+    found, docs = _evidence(spark, sf)
+    texts = docs.select("doc_id", "text", F.col("meta.heuristic").cast("double").alias("score"))
+    return evidence.within_budget(found.join(texts, "doc_id"), 300).select("log_name", "text", "score")
+
+
+@query
+def query_prompts(spark, sf):
+    """Documents as questions, with their vectors; anomalies answer with vectors of their own."""
+    vectors = tables.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    cases = tables.table(spark, sf, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").cast("string").alias("case_id"), "text", "vector")
+    docs = _anomaly_docs(spark, sf).drop("embedding")
+    number = F.regexp_extract("doc_id", "([0-9]+)$", 1).cast("bigint")
+    answers = docs.withColumn("_n", number).join(vectors, F.col("_n") == F.col("vec_id")).select("doc_id", "text", "meta", "vector")
+    made = pipelines.query_prompts(cases, answers, _heuristics(spark, sf))
+    return made.select("case_id", "abstain", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def kb_alert_rows(spark, sf):
     rows = pipelines.alert_rows(tables.flows(spark, sf), WINDOW, WINDOW)

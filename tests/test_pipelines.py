@@ -1,5 +1,7 @@
 """End-to-end jobs on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from flowspark.functions.taxonomy import taxonomy_groups, taxonomy_prefixes
@@ -85,4 +87,46 @@ def test_question_to_prompt_or_abstention(spark):
     assert [got[k].abstain for k in ("q1", "q2", "q3")] == [False, True, True]
     prompt = got["q1"].prompt
     assert prompt.index("first record") < prompt.index("second record") and "other port" not in prompt and "far" not in prompt
+    # The question's own words choose among the documents that were found.
+    asked = cases.withColumn("text", F.concat("text", F.lit(" What is the second one?")))
+    one = {r.case_id: r.prompt for r in pipelines.query_prompts(asked, docs, heuristics, anomalies_kept=1, heuristics_kept=1).collect()}["q1"]
+    assert "second record" in one and "first record" not in one and ("ten" in one) != ("twenty" in one)
     assert prompt.index("ten") < prompt.index("twenty") and "UNDECIDABLE" in got["q2"].prompt and "2.2.2.2" in got["q3"].prompt
+
+
+def test_evidence_fits_its_budget(spark):
+    draw = random.Random(7)
+    # One case holds a third of all evidence; texts repeat; some cases have none that fits.
+    rows = [("hot" if k % 3 == 0 else f"log{k % 9}", f"{'x' * draw.randint(0, 30)}{k % 50}", float(k % 5)) for k in range(3_000)]
+    rows += [("long", "y" * 400, 1.0), ("long", "z", 0.5), ("null", None, 1.0), ("empty", "", 1.0)]
+    df = spark.createDataFrame(rows, "log_name string, text string, score double").repartition(6)
+
+    def plain(budget, scored):
+        out = set()
+        for case in {r[0] for r in rows}:
+            best = {}
+            for c, t, s in rows:
+                if c == case and t:
+                    best[t] = max(best.get(t, 0.0), s if scored else 0.0)
+            room = budget + 1
+            for text in sorted(best, key=lambda t: (-best[t], t)):
+                room -= len(text) + 1
+                if room < 0:
+                    break
+                out.add((case, text))
+        return out
+
+    for budget in (1, 40, 300, 5_000):
+        for scored in (True, False):
+            given = df if scored else df.drop("score")
+            found = evidence.within_budget(given, budget).select("log_name", "text").collect()
+            assert len(found) == len(set(map(tuple, found))) and set(map(tuple, found)) == plain(budget, scored)
+    # The rows are pruned to the budget before they are shuffled by case.
+    plan = evidence.within_budget(df, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    alerts = spark.createDataFrame([("hot", "a"), ("long", "b")], "log_name string, alerts string")
+    none = df.limit(0)
+    made = {r.log_name: r.prompt for r in evidence.case_prompts(alerts, df, none, template="%s|%s|%s|%s", max_chars=60).collect()}
+    assert all(len(p.split("|")[2]) <= 60 for p in made.values()) and made["long"].split("|")[2] == evidence.NO_ANOMALIES
+    whole = {r.log_name: r.prompt for r in evidence.case_prompts(alerts, df, none, template="%s|%s|%s|%s").collect()}
+    assert len(whole["hot"].split("|")[2]) > 1_000
