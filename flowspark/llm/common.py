@@ -46,6 +46,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"llm-{name}-{os.urandom(6).hex()}")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of `df` has it (in any case of its letters)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def map_rows(
     df: DataFrame, columns: Sequence[str], function: Callable[..., Iterable[tuple]], schema: str
 ) -> DataFrame:

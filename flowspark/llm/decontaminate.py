@@ -18,10 +18,9 @@ from flowspark.llm.common import arrow_schema, batch_of, prepared, table, writte
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 3
 # Pairs of a place and a window that are compared at once.
 PAIRS_AT_ONCE = 1 << 19
-SHINGLE = 3
 # Items are joined in slices of about so many bytes of text: that bounds each broadcast.
 SLICE_BYTES = 8_000_000
 
@@ -329,7 +328,12 @@ def without_passages(
     window: int = WINDOW,
     slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no window of an item."""
+    """The rows of `docs`, all columns, that hold no window of an item.
+
+    A NULL or empty text holds none and stays, as do all rows where there are no
+    items; NULL items are left out; repeated rows stay or go together; columns
+    of any name pass through; an empty table gives no rows.
+    """
     prepared(docs.sparkSession)
     source = _source(items, item_col, item_text)
     count = _slice_count(source, slice_bytes)

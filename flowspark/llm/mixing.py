@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.scale import join_groups
-from flowspark.llm.common import ranked, table, word_count, written
+from flowspark.llm.common import free_names, ranked, table, word_count, written
 
 WEIGHTS = (3, 1, 2)
 # All targets together, as a multiple of all sizes; the most of one source, as a multiple of its size.
@@ -89,14 +89,20 @@ def mix_report(
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **shares
 ) -> DataFrame:
-    """The mixture itself: each row of `docs`, all its columns, as often as the rates say."""
+    """The mixture itself: each row of `docs`, all its columns, as often as the rates say.
+
+    A NULL source is a source of its own; a NULL or empty text has no words and
+    follows its source's rate; a source without words is left out. The draw
+    depends on seed, id (NULL as '') and text, so rows that are equal in these
+    come equally often, and reruns agree. Columns of any name pass through; an
+    empty table gives no rows.
+    """
+    source, size, target, copy = free_names(docs, "_mix_source", "_mix_size", "_mix_target", "_mix_copy")
     sized = written(_sized(docs, id_col, text_col, source_col, seed), "sizes")
-    targets = written(source_targets(sized, **shares), "targets").withColumnsRenamed(
-        {"source": "_mix_source", "source_size": "_mix_size", "target": "_mix_target"}
-    )
-    joined = docs.join(targets, F.equal_null(F.col(source_col), F.col("_mix_source")))
-    times = copies(word_count(text_col), F.col("_mix_size"), F.col("_mix_target"), draw(F.col(id_col), F.col(text_col), seed))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    targets = written(source_targets(sized, **shares), "targets").withColumnsRenamed({"source": source, "source_size": size, "target": target})
+    joined = docs.join(targets, F.equal_null(F.col(source_col), F.col(source)))
+    times = copies(word_count(text_col), F.col(size), F.col(target), draw(F.col(id_col), F.col(text_col), seed))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

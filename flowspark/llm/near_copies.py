@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import arrow_schema, batch_of, prepared, table, written
+from flowspark.llm.common import arrow_schema, batch_of, free_names, prepared, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -471,19 +471,23 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all their columns, that stay when each component keeps its row with the smallest id.
 
-    Rows without words all stay. Of repeated rows of the smallest id one stays.
+    Rows without words (NULL and empty texts too) all stay. Of repeated rows of
+    the smallest id one stays; of different texts under one id the one with the
+    smaller md5. A NULL id is kept only where all of a component are NULL.
+    Columns of any name pass through; an empty table gives no rows.
     """
     rows = written(group_rows(docs, id_col, text_col, width, percent), "groups")
+    kept_id, kept_text = free_names(docs, "_kept_id", "_kept_text")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "text_md5")
     kept = rows.filter("n > 0").groupBy("component").agg(F.min(order).alias("_keep"))
-    names = written(kept.select(F.col("_keep.id").alias("_kept_id"), F.col("_keep.text_md5").alias("_kept_text")), "kept")
+    names = written(kept.select(F.col("_keep.id").alias(kept_id), F.col("_keep.text_md5").alias(kept_text)), "kept")
     text = F.coalesce(text_col, F.lit(""))
     wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
-    same = F.equal_null(F.col(id_col), F.col("_kept_id")) & (F.md5(text) == F.col("_kept_text"))
+    same = F.equal_null(F.col(id_col), F.col(kept_id)) & (F.md5(text) == F.col(kept_text))
     stay = docs.filter(~wordless).join(names, same, "left_semi")
     repeated = written(
         rows.filter("n > 0").groupBy("id", "text_md5").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(
-            F.col("id").alias("_kept_id"), F.col("text_md5").alias("_kept_text")
+            F.col("id").alias(kept_id), F.col("text_md5").alias(kept_text)
         ),
         "repeated",
     )

@@ -150,7 +150,9 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def kept_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The rows of `docs` that are kept, all columns, with the cleaned text and its size in `size_col` if there is one.
 
-    Rejected rows go; the texts of the others lose their failing lines.
+    Rejected rows go; the texts of the others lose their failing lines. A NULL,
+    empty or wordless text is rejected; repeated rows are judged alike; columns
+    of any name pass through; an empty table gives no rows.
     """
     fields = pa.schema([(f.name, f.type) for f in arrow_schema_of(docs)])
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None

@@ -128,7 +128,11 @@ def text_key(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, text_col: str, trigrams: Sequence[str]) -> DataFrame:
-    """The inverted index (trigram, text_key) over whole texts, for the trigrams that queries ask for."""
+    """The inverted index (trigram, text_key) over whole texts, for the trigrams that queries ask for.
+
+    Each pair once, however many rows have the text; NULL and empty texts have
+    none; an empty table or no trigrams give no rows.
+    """
     lowered = docs.select(text_key(F.col(text_col)).alias("text_key"), F.lower(text_col).alias("_low"))
     present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]))
     return lowered.select("text_key", F.explode(present).alias("trigram")).dropDuplicates()

@@ -427,7 +427,12 @@ def write_token_files(
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document in the files."""
+    """(id, start, n_tokens, ids_crc32) of every document in the files.
+
+    Repeated and NULL ids come as they were written, a NULL or empty text as its
+    end id alone; a file that is not whole raises a ValueError; an empty
+    manifest gives no rows.
+    """
     schema = f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint"
     fields = arrow_schema(manifest, schema)
 

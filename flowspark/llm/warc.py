@@ -313,7 +313,12 @@ def write_warc(
 
 
 def read_warc(manifest: DataFrame, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:
-    """The records of all files of the manifest; the digest of each response is computed again from its block."""
+    """The records of all files of the manifest; the digest of each response is computed again from its block.
+
+    A missing id or url is NULL, an empty payload has 0 bytes, a revisit has the
+    digest and size of what it revisits; a damaged record raises a ValueError;
+    an empty manifest gives no rows.
+    """
     schema = (
         f"page_id {id_type}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}"
         + ", payload binary" * with_payload

@@ -119,6 +119,16 @@ def test_mixing(spark):
 # --- token files ----------------------------------------------------------------------
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_mix_source", "_MIX_size", "_mix_target", "_mix_copy", "_kept_id", "_kept_text", "shingle", "class", "source_size", "target"]
+    rows = [(k, f"some words of text number {k % 3} and more of them here", f"s{k % 2}") for k in range(12)] + [(99, None, None), (98, "", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({n: common.F.lit(n) for n in names})
+    plainly = docs.select("doc_id", "text", "source")
+    for whole, few in ((mix(docs), mix(plainly)), (keep_one(docs), keep_one(plainly))):
+        assert whole.columns == docs.columns and of(whole, ["doc_id"]) == of(few, ["doc_id"])
+        assert whole.filter(" OR ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0 < whole.count()
+
+
 def test_codes_and_blocks():
     draw = np.random.default_rng(1)
     for n, vocabulary in ((0, 4), (1, 3), (7, 1), (500, 40), (150_000, 30_000)):
