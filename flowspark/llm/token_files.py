@@ -106,11 +106,12 @@ class WordIds:
     def _places(self, keys: pa.Array, find: Callable[[str], list[int]]) -> np.ndarray:
         """Where each of the distinct keys is remembered, new ones after `find`."""
         places = pc.index_in(keys, value_set=self.keys)
-        new = keys.filter(places.is_null())
+        unknown = places.is_null()
+        new = keys.filter(unknown)
         found = [find(key) for key in new.to_pylist()]
         places = places.fill_null(0).to_numpy().astype(np.int64)
         if found:
-            places[~np.asarray(pc.is_in(keys, value_set=self.keys))] = len(self.keys) + np.arange(len(found))
+            places[np.asarray(unknown)] = len(self.keys) + np.arange(len(found))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype, sizes.sum())])
             self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum(sizes)])
