@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH, PERCENT = 3, 90
 # A bitmap's 64-bit words; classes per leaf, of one group and of several.
 BITMAP_WORDS, LEAF, MIXED_LEAF = 64, 16, 2
-# A table of 2^RARITY_BITS bytes says how common a shingle is; its slices are added up so many tasks at a time.
-RARITY_BITS, SLICE_BITS, COUNTS_AT_ONCE = 24, 20, 64
+# Shingles that a task counts at a time; a table of 2^RARITY_BITS bytes says how common a shingle is.
+COUNTED_AT_ONCE, RARITY_BITS, SLICE_BITS = 4_000_000, 24, 20
 CACHED_WORDS, CACHED_WORD_BYTES = 100_000, 64
 
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,58 +81,61 @@ def bitmap(shingles: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
 
 
 def rarity_table(docs: DataFrame, text_col: str, width: int) -> bytes:
-    """A byte per slot of shingle hashes: the binary logarithm of the number of times shingles there were seen.
+    """A byte per slot of shingle hashes: the binary logarithm of how often shingles there were seen repeatedly.
 
     It only orders the shingles, so any table gives the same links; a good one
-    keeps shared passages out of prefixes. Every task counts all shingles of its
-    documents into one array of a fixed size, each shingle once a document, and
-    the arrays are added up in a tree, so the table covers the whole corpus
-    however it is parted.
+    keeps shared passages out of prefixes. Each task counts its own documents
+    and passes on what occurs twice; the table's size is fixed.
     """
-    schema = "part bigint, slice int, counts binary"
-    fields = arrow_schema(docs, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, part = _WordHashes(), np.zeros(1 << RARITY_BITS, np.uint8), 0
+        hashes, seen, held, size = _WordHashes(), set(), [], 0
+
+        def repeated():
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            again, times = np.unique(values[1:][values[1:] == values[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(times.astype(np.int64) + 1)], ["shingle", "n"])
+
         for batch in batches:
             for text in pc.cast(batch.column(0), pa.binary()).to_pylist():
-                slots = (shingle_set(text, width, hashes) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
-                seen = counts[slots]
-                counts[slots] = seen + (seen < 255)
-            if len(batch):
-                part = batch.column(1)[-1].as_py()
-        for number, slice_ in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
-            if slice_.any():
-                yield batch_of([(part, number, zlib.compress(slice_.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1))], fields)
-
-    def added(rows):
+                found = shingle_set(text, width, hashes)
+                print_ = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
+                if print_ in seen:
+                    continue
+                seen.add(print_)
+                held.append(found)
+                size += len(found)
+                if size >= COUNTED_AT_ONCE:
+                    yield repeated()
+                    seen, size = set(), 0
+        if held:
+            yield repeated()
+
+    counted = docs.select(text_col).mapInArrow(count, "shingle bigint, n bigint")
+    slot = F.shiftrightunsigned("shingle", 64 - RARITY_BITS).cast("int")
+    slots = (
+        counted.groupBy("shingle")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(slot.alias("slot"))
+        .agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level"))
+    )
+    slices = slots.withColumn("slice", F.shiftright("slot", SLICE_BITS)).groupBy("slice")
+
+    def fill(key, rows):
         import pandas as pd
 
-        total = np.zeros(1 << SLICE_BITS, np.int64)
-        for data in rows["counts"]:
-            total += _unpacked_counts(data)
-        packed = zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "slice": [rows["slice"].iloc[0]], "counts": [packed]})
-
-    counted = docs.select(text_col, F.spark_partition_id().cast("bigint").alias("_part")).mapInArrow(count, schema)
-    counted = written(counted, "counts")
-    most = counted.agg(F.max("part")).first()[0] or 0
-    while most:
-        above = counted.withColumn("part", F.floor(F.col("part") / COUNTS_AT_ONCE).cast("bigint"))
-        counted = written(above.groupBy("slice", "part").applyInPandas(added, schema), "counts")
-        most //= COUNTS_AT_ONCE
+        levels = np.zeros(1 << SLICE_BITS, np.uint8)
+        levels[rows["slot"].to_numpy() & ((1 << SLICE_BITS) - 1)] = np.minimum(rows["level"], 63)
+        return pd.DataFrame({"slice": [key[0]], "levels": [levels.tobytes()]})
+
     whole = bytearray(1 << RARITY_BITS)
-    for row in counted.toLocalIterator():
-        levels = np.log2(np.maximum(_unpacked_counts(bytes(row["counts"])), 1)).astype(np.uint8)
-        whole[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = levels.tobytes()
+    for row in slices.applyInPandas(fill, "slice int, levels binary").toLocalIterator():
+        whole[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = row["levels"]
     return bytes(whole)
 
 
-def _unpacked_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
 # --- documents, classes, prefixes -------------------------------------------------
 
 
