@@ -20,6 +20,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Where the session keeps the name of its run, and of its temporary folder where none is set.
+RUN, LOCAL = "flowspark.run", "flowspark.local"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -53,18 +56,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="flowspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get(LOCAL, None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="flowspark-")
+        # The setting itself cannot be given to a running session.
+        spark.conf.set(LOCAL, folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this session's intermediates, below the shared one; a new one after `drop_run`."""
+    name = spark.conf.get(RUN, None)
+    if not name:
+        name = f"run-{os.urandom(6).hex()}"
+        spark.conf.set(RUN, name)
+    return os.path.join(checkpoint_dir(spark), name)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all intermediates that this session has written; tables read from them end with them.
+
+    For the end of a job, when its results are written elsewhere. What other
+    sessions wrote, and files that a sink was given a path for, stay.
+    """
+    if spark.conf.get(RUN, None):
+        place = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        spark.conf.unset(RUN)
+
+
 def cut_lineage(df, name: str):
-    """Write `df` to the shared folder and read it back.
+    """Write `df` to the run's folder and read it back.
 
     Used where one expensive result feeds several branches: a lost executor
     then costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    path = os.path.join(run_folder(spark), f"{name}-{os.urandom(6).hex()}")
     df.write.parquet(path)
     return spark.read.parquet(path)
