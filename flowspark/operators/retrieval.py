@@ -143,7 +143,7 @@ def _sides(queries: DataFrame, kb: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vector_topk(
-    queries: DataFrame, kb: DataFrame, k: int = TOP_K, rows_per_block: int = ROWS_PER_BLOCK, few: int = FEW_QUERIES
+    queries: DataFrame, kb: DataFrame, k: int = TOP_K, rows_per_block: int = ROWS_PER_BLOCK, few: int = FEW_QUERIES, index=None
 ) -> DataFrame:
     """Exact k nearest documents of each query by cosine.
 
@@ -152,7 +152,13 @@ def vector_topk(
     queries are counted and broadcast: documents stay in place and a task passes
     on k rows per query. Of more queries, both sides are cut into blocks of a
     bounded size and every pair of blocks meets in one task. Rows are the same.
+    Where all pairs are too many, a `VectorIndex` of `kb` as `index` looks into
+    a few lists per query and finds most neighbours; it takes no filters.
     """
+    if index is not None:
+        if "wanted" in queries.columns:
+            raise ValueError("an index knows no filters")
+        return index.search(queries, k)
     asked, docs = _sides(queries, kb)
     count = queries.count()
     if count <= few:

@@ -89,5 +89,9 @@ def test_index_finds_most_neighbours_in_few_lists(spark, tmp_path, monkeypatch):
     one = again._probed(queries.limit(1), 2)
     assert one.select("list").distinct().count() == 2
     assert again.search(queries.limit(0), k=5).count() == 0
+    asked = queries.limit(3)
+    assert sorted(retrieval.vector_topk(asked, kb, k=2, index=again).collect()) == sorted(again.search(asked, k=2).collect())
+    with pytest.raises(ValueError):
+        retrieval.vector_topk(asked.withColumn("wanted", F.lit(None)), kb, k=2, index=again)
     with pytest.raises(ValueError):
         vector_index.VectorIndex.build(odd, str(tmp_path / "nothing"))
