@@ -895,7 +895,7 @@ UNION ALL SELECT concat('broken_', CAST(doc_id AS VARCHAR)), false, 'unreadable'
     "ml_quality": _with(
         "SELECT model, n_train, n_test, true AS as_good_as_majority FROM (VALUES ('svm'), ('random_forest'), ('mlp'), ('svm_rbf')) m(model), "
         "(SELECT count(*) FILTER (b < 8) AS n_train, count(*) FILTER (b >= 8) AS n_test FROM "
-        "(SELECT CAST('0x' || substr(md5(log_name), 1, 4) AS BIGINT) % 10 AS b FROM state_labels) x) n", "flows", state_labels=_STATE_LABEL,
+        "(SELECT CAST('0x' || substr(md5(name), 1, 4) AS BIGINT) % 10 AS b FROM (SELECT DISTINCT log_name || '_' || dst_ip AS name FROM flows) c) x) n", "flows",
     ),
     "ml_svm_rbf": "SELECT count(*) AS n_test, true AS beats_linear, true AS nine_in_ten FROM embeddings "
     "WHERE CAST('0x' || substr(md5('p' || CAST(vec_id AS VARCHAR)), 1, 4) AS BIGINT) % 10 >= 8",

@@ -1063,8 +1063,8 @@ def ml_held_out(spark, sf):
 
 @query
 def ml_quality(spark, sf):
-    """Each model on held-out logs with more half-open flows than usual: sizes, and whether it is at least as often right as the more frequent label."""
-    features = profile.flow_features(tables.flows(spark, sf))
+    """Each model on held-out cases (a log and a target) with more half-open flows than usual: sizes, and whether it is at least as often right as the more frequent label."""
+    features = profile.flow_features(_fine_cases(tables.flows(spark, sf)))
     dataset = cut_lineage(features.withColumn("label", (F.col("s0_ratio") > 1 / 6).cast("int")), "dataset")
     training, test = ml.held_out(dataset)
     attacks = F.sum(F.col("label").cast("bigint"))
