@@ -1,7 +1,9 @@
 """Helpers that split hot groups give the same answer as the plain form."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowspark.functions.scale import bucketed_row_number, top_per_group, within_size
@@ -139,3 +141,36 @@ def test_auc_in_ranges(spark):
     assert got["one"] == 0.0
     overall = metrics.roc_auc(df.filter("k = 'm'")).collect()[0]
     assert overall.auc == got["m"]
+
+
+def test_topk_of_copies_ties_and_filters_is_that_of_all_pairs(spark):
+    draw = np.random.default_rng(8)
+    vectors = np.round(draw.normal(size=(60, 4)), 1)
+    # A third are copies of one vector, some differ from it by less than single precision tells.
+    vectors[::3] = vectors[0]
+    vectors[3:30:9] += 1e-9 * draw.normal(size=(3, 4))
+    rows = [(f"d{i}", v.tolist(), {"label": str(i % 3)}) for i, v in enumerate(vectors)] + [("nan", [math.nan] * 4, {"label": "0"}), ("zero", [0.0] * 4, None)]
+    kb = spark.createDataFrame(rows, "doc_id string, vector array<double>, meta map<string,string>").repartition(3)
+    queries = kb.filter("doc_id <> 'nan'").select(F.col("doc_id").alias("query_id"), "vector", F.expr("if(doc_id like '%1', map('label', '1'), null)").alias("wanted"))
+    unit = {d: np.array(v) / (np.linalg.norm(v) or 1.0) for d, v, _ in rows}
+    labels = {d: (m or {}).get("label") for d, _, m in rows}
+    for filtered in (False, True):
+        want = set()
+        for q in unit.keys() - {"nan"}:
+            fits = [d for d in unit if d != "nan" and not (filtered and q.endswith("1") and labels[d] != "1")]
+            scores = {d: round(float(unit[q] @ unit[d]), 9) for d in fits}
+            want |= {(q, s) for s in sorted(scores.values(), reverse=True)[:5]}
+        asked = queries if filtered else queries.drop("wanted")
+        for few in (100, 0):
+            found = retrieval.vector_topk(asked, kb, 5, rows_per_block=25, few=few).collect()
+            assert {(r.query_id, round(r.similarity, 9)) for r in found} == want and len(found) == 61 * 5
+            if not filtered:
+                copies = sorted(r.doc_id for r in found if r.query_id == "d15")
+                assert copies == sorted(d for d in unit if round(float(unit[d] @ unit["d15"]), 12) == 1)[:5]
+
+
+def test_block_pairs_are_not_merged_into_few_tasks(spark):
+    kb = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(40)], "doc_id string, vector array<double>")
+    found = retrieval.vector_topk(kb.withColumnRenamed("doc_id", "query_id"), kb, 2, rows_per_block=10, few=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and found.count() == 80
