@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowspark.functions.scale import top_per_group
+from flowspark.functions.scale import never_broadcast, top_per_group
 from flowspark.functions.text import cap_lines, extract_ips, tokens
 from flowspark.operators.retrieval import THRESHOLD
+from flowspark.session import cut_lineage
 
 # Passages after reranking, and the length of the alert section.
 ANOMALY_DOCS = 6
 HEURISTIC_DOCS = 5
 ALERT_CHARS = 2500
+# Cases or documents of one address that meet in a cell, pairs of a task, and tasks at most.
+CELL, PAIRS_PER_TASK, MOST_TASKS = 2_000, 2_000_000, 10_000
 
 # What a section says when it is empty.
 NO_ANOMALIES = "No anomaly data found."
@@ -40,6 +43,33 @@ def text_ips(cases: DataFrame, key: str = "case_id", text: str = "text") -> Data
     return cases.select(key, F.explode(extract_ips(F.col(text))).alias("ip")).distinct()
 
 
+def address_index(anomaly_docs: DataFrame) -> DataFrame:
+    """Distinct (doc_id, ip): the addresses of each anomaly document."""
+    named = F.explode(F.array(F.col("meta.srcIP"), F.col("meta.dstIP")))
+    return anomaly_docs.select("doc_id", named.alias("ip")).filter(F.col("ip") != "unknown").distinct()
+
+
+def _met(ips: DataFrame, index: DataFrame, case: list[str]) -> DataFrame:
+    """`ips` joined with the documents of each address, its pairs dealt evenly.
+
+    Pairs are counted by address first. Where they are many, cases and documents
+    of an address are cut into cells of at most `CELL` by `CELL`, and the number
+    of tasks follows from the pairs, as both sides are small in bytes.
+    """
+    sizes = ips.groupBy("ip").agg(F.count(F.lit(1)).alias("_cases")).join(index.groupBy("ip").agg(F.count(F.lit(1)).alias("_docs")), "ip")
+    sizes = cut_lineage(sizes, "address-sizes")
+    pairs = sizes.agg(F.sum(F.col("_cases") * F.col("_docs"))).first()[0] or 0
+    if pairs <= PAIRS_PER_TASK:
+        return ips.join(index, "ip")
+    parts = sizes.select("ip", F.ceil(F.col("_cases") / CELL).cast("int").alias("_as"), F.ceil(F.col("_docs") / CELL).cast("int").alias("_bs"))
+    tasks = min(MOST_TASKS, int(pairs // PAIRS_PER_TASK) + 1)
+    cell = ["ip", "_a", "_b"]
+    left = ips.join(parts, "ip").withColumn("_a", F.pmod(F.xxhash64(*case), "_as").cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1)))
+    right = index.join(parts, "ip").withColumn("_b", F.pmod(F.xxhash64("doc_id"), "_bs").cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_as") - 1)))
+    left, right = left.drop("_as", "_bs").repartition(tasks, *cell), right.drop("_as", "_bs").repartition(tasks, *cell)
+    return never_broadcast(left).join(never_broadcast(right), cell).drop("_a", "_b")
+
+
 def ip_evidence(ips: DataFrame, anomaly_docs: DataFrame, k: int | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Anomaly documents that name one of a case's addresses, whole tokens only.
 
@@ -47,10 +77,9 @@ def ip_evidence(ips: DataFrame, anomaly_docs: DataFrame, k: int | None = None, s
     documents. With `k` and `scores` (case columns..., doc_id, similarity) it
     brings the `k` most similar ones to the case.
     """
-    named = F.explode(F.array(F.col("meta.srcIP"), F.col("meta.dstIP")))
-    index = anomaly_docs.select("doc_id", named.alias("ip")).filter(F.col("ip") != "unknown").distinct()
+    index = address_index(anomaly_docs)
     case = [c for c in ips.columns if c != "ip"]
-    found = ips.join(index, "ip")
+    found = _met(ips, index, case)
     if k is not None:
         if scores is None:
             raise ValueError("the best k documents of an address need scores")
@@ -64,27 +93,40 @@ def heuristic_evidence(evidence: DataFrame, anomaly_docs: DataFrame, heuristics:
 
     `by_token=True` takes every three- or four-digit number in the anomaly text
     for a code instead, ports and address parts included; two-digit codes are
-    then never found.
+    then never found. `evidence` is (case columns..., doc_id), or (case
+    columns..., ip) for all documents of the case's addresses.
     """
     if by_token:
         coded = anomaly_docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CODE_TOKEN), F.lit(0))).alias("code"))
     else:
         coded = anomaly_docs.select("doc_id", F.col("meta.heuristic").alias("code"))
-    known = heuristics.select(F.col("code").cast("string").alias("code"), F.col("text").alias("heuristic_text"))
-    case = [c for c in evidence.columns if c != "doc_id"]
-    # Codes per document first: a few, whatever the number of cases that cite it.
-    per_doc = coded.distinct().join(known, "code")
-    return evidence.join(per_doc, "doc_id").select(*case, "code", "heuristic_text").distinct()
+    known = heuristics.select(F.col("code").cast("string").alias("code"), F.col("text").alias("heuristic_text")).distinct()
+    # Codes that are known first: a few, whatever the number of documents and cases; texts come in last.
+    codes = coded.distinct().join(known.select("code").distinct(), "code", "left_semi")
+    cited = _known_of(evidence, anomaly_docs, codes)
+    return cited.join(known, "code").select(*[c for c in cited.columns if c != "code"], "code", "heuristic_text")
 
 
 def taxonomy_evidence(evidence: DataFrame, anomaly_docs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Taxonomy category of the case's anomalies (39 fixed prefixes, broadcast)."""
+    """Taxonomy category of the case's anomalies (39 fixed prefixes, broadcast); `evidence` as in `heuristic_evidence`."""
     entry = F.format_string("Category: %s\nPrefix: %s", "category", "taxonomy")
     per_doc = anomaly_docs.select("doc_id", F.col("meta.taxonomy").alias("taxonomy")).join(
         F.broadcast(prefixes), "taxonomy"
     )
-    case = [c for c in evidence.columns if c != "doc_id"]
-    return evidence.join(per_doc, "doc_id").select(*case, "taxonomy", "category", entry.alias("entry")).distinct()
+    cited = _known_of(evidence, anomaly_docs, per_doc.select("doc_id", "taxonomy", "category").distinct())
+    return cited.withColumn("entry", entry)
+
+
+def _known_of(evidence: DataFrame, anomaly_docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct (case columns..., facts) of (doc_id, facts...) over a case's documents.
+
+    Where a case is given by its addresses, each address has its distinct facts
+    before it meets the cases, so pairs of a case and a document are not made.
+    """
+    key = "ip" if "ip" in evidence.columns else "doc_id"
+    if key == "ip":
+        facts = address_index(anomaly_docs).join(facts, "doc_id").drop("doc_id").distinct()
+    return evidence.join(facts, key).drop(key).distinct()
 
 
 def _filters_text(filters: Column) -> Column:
@@ -156,11 +198,32 @@ def within_budget(evidence: DataFrame, max_chars: int, text: str = "text", key:
     many per case at most, and the running sum sees no more, however much
     evidence a case has.
     """
+    fits = F.col("_upto") - 1 <= max_chars
+    return _by_budget(evidence, max_chars, text, key).filter(fits).drop("_upto")
+
+
+def _by_budget(evidence: DataFrame, max_chars: int, text: str, key: str) -> DataFrame:
+    """The best distinct texts of each `key`, more than fit, with `_upto`: the characters up to their end, a line break after each."""
     best = evidence.groupBy(key, text).agg((F.max("score") if "score" in evidence.columns else F.lit(0.0)).alias("score"))
     order = [F.desc("score"), F.col(text)]
-    head = top_per_group(best.filter(F.length(text) > 0), [key], order, max_chars // 2 + 1)
+    head = top_per_group(best.filter(F.length(text) > 0), [key], order, max_chars // 2 + 2)
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return head.withColumn("_upto", F.sum(F.length(text) + 1).over(upto)).filter(F.col("_upto") - 1 <= max_chars).drop("_upto")
+    return head.withColumn("_upto", F.sum(F.length(text) + 1).over(upto))
+
+
+def texts_of_addresses(ips: DataFrame, anomaly_docs: DataFrame, texts: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(case columns..., text, score) for the (doc_id, text[, score]) of the documents of a case's addresses.
+
+    With `max_chars` as many as `within_budget` needs to choose those that fit
+    for the case: each address brings its best texts that fit and the first one
+    that does not, as a text that is not among these ends no case and is in none.
+    """
+    by_ip = address_index(anomaly_docs).join(texts, "doc_id").drop("doc_id")
+    case = [c for c in ips.columns if c != "ip"]
+    if max_chars is None:
+        return _met(ips, by_ip.withColumnRenamed("text", "doc_id"), case).drop("ip").withColumnRenamed("doc_id", "text")
+    first = _by_budget(by_ip, max_chars, "text", "ip").filter(F.col("_upto") - F.length("text") - 2 <= max_chars).drop("_upto")
+    return ips.join(first, "ip").drop("ip")
 
 
 def _section(evidence: DataFrame, text: str, name: str, max_chars: int | None = None) -> DataFrame:

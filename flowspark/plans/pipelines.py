@@ -10,6 +10,7 @@ from flowspark.functions.text import cap_text, extract_ips, tokens
 from flowspark.functions.time import SECOND
 from flowspark.operators import bursts, documents, evidence, filters, labelling, metrics, ml, profile, retrieval
 from flowspark.operators import rule_match, rule_scores
+from flowspark.operators.address_rank import best_by_address
 from flowspark.session import cut_lineage
 
 # Fixed value: cases per batch.
@@ -37,17 +38,17 @@ def prompts(
 ) -> DataFrame:
     """Log to prompt: one prompt per case with its lines and all its evidence, or as much as `max_chars` a section hold.
 
-    `flows` needs `raw`; `heuristics` is (code, text). Evidence is found once
-    and carried as ids and codes; texts come in last.
+    `flows` needs `raw`; `heuristics` is (code, text). Texts and codes are
+    found by address, so a case meets them once, without ids of documents between.
     """
     lines = cut_lineage(filters.protocol_or_all(flows, proto).select("log_name", "line_no", "raw", "src_ip", "dst_ip"), "lines")
     anomaly_docs = cut_lineage(anomaly_docs.select("doc_id", "text", "meta"), "anomalies")
-    found = cut_lineage(evidence.ip_evidence(evidence.case_ips(lines), anomaly_docs), "evidence")
-    records = found.join(anomaly_docs.select("doc_id", "text"), "doc_id").select("log_name", "text")
-    context = evidence.heuristic_evidence(found, anomaly_docs, heuristics).select(
+    ips = cut_lineage(evidence.case_ips(lines), "addresses")
+    records = evidence.texts_of_addresses(ips, anomaly_docs, anomaly_docs.select("doc_id", "text"), max_chars)
+    context = evidence.heuristic_evidence(ips, anomaly_docs, heuristics).select(
         "log_name", F.col("heuristic_text").alias("text")
     )
-    taxonomy = evidence.taxonomy_evidence(found, anomaly_docs, prefixes).select("log_name", F.col("entry").alias("text"))
+    taxonomy = evidence.taxonomy_evidence(ips, anomaly_docs, prefixes).select("log_name", F.col("entry").alias("text"))
     attack = "SYN flood" if proto == "tcp" else "ping flood"
     return evidence.case_prompts(evidence.alert_sections(lines), records, context.unionByName(taxonomy), attack, max_chars=max_chars)
 
@@ -120,6 +121,12 @@ def ranked_anomalies(words: DataFrame, found: DataFrame, anomaly_docs: DataFrame
     )
 
 
+def anomalies_by_address(words: DataFrame, ips: DataFrame, anomaly_docs: DataFrame, top_k: int = evidence.ANOMALY_DOCS) -> DataFrame:
+    """`ranked_anomalies` over all documents of a case's addresses (log_name, ip), without the pairs; (log_name, doc_id, score)."""
+    weights = retrieval.term_weights(anomaly_docs, tokens(F.col("text")))
+    return best_by_address(ips, words, evidence.address_index(anomaly_docs), weights, top_k)
+
+
 def case_batches(cases: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """(log_name, batch): cases in batches of `size`, numbered from 1, in a fixed even order."""
     numbered = bucketed_row_number(cases.select("log_name"), "_rn", hash_bucket("log_name"), ["log_name"])
