@@ -43,3 +43,13 @@ def test_best_by_address_is_that_of_all_pairs(held, common_words, common_pairs):
     want = lexical_rerank(pairs, queries, weights, 4).select("query_id", "doc_id", F.round("score", 6))
     found = best_by_address(ips, words, evidence.address_index(docs), weights, 4, common_words, common_pairs)
     assert _rows(found.select("log_name", "doc_id", F.round("score", 6))) == _rows(want)
+
+
+@pytest.mark.parametrize("budget", [1, 6, 7, 20, 21, 60, 1_000])
+def test_budget_by_address_is_that_of_all_pairs(held, budget):
+    ips, _, docs = held
+    texts = docs.select("doc_id", F.regexp_replace("text", "w1? ?", "").alias("text"), F.col("meta.heuristic").cast("double").alias("score"))
+    want = evidence.within_budget(evidence.ip_evidence(ips, docs).join(texts, "doc_id"), budget)
+    found = evidence.within_budget(evidence.texts_of_addresses(ips, docs, texts, budget), budget)
+    shown = ["log_name", "text", "score"]
+    assert _rows(found.select(shown)) == _rows(want.select(shown))
