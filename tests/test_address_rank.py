@@ -53,3 +53,12 @@ def test_budget_by_address_is_that_of_all_pairs(held, budget):
     found = evidence.within_budget(evidence.texts_of_addresses(ips, docs, texts, budget), budget)
     shown = ["log_name", "text", "score"]
     assert _rows(found.select(shown)) == _rows(want.select(shown))
+
+
+@pytest.mark.parametrize("by_token", [False, True])
+def test_heuristics_by_address_are_those_of_all_pairs(held, spark, by_token):
+    ips, _, docs = held
+    heuristics = spark.createDataFrame([(c, f"text {c % 7}") for c in range(100, 128)] + [(100, "second")], "code int, text string")
+    want = evidence.heuristic_evidence(evidence.ip_evidence(ips, docs), docs, heuristics, by_token)
+    found = evidence.heuristic_evidence(ips, docs, heuristics, by_token)
+    assert found.columns == want.columns and _rows(found) == _rows(want)
