@@ -62,3 +62,11 @@ def test_heuristics_by_address_are_those_of_all_pairs(held, spark, by_token):
     want = evidence.heuristic_evidence(evidence.ip_evidence(ips, docs), docs, heuristics, by_token)
     found = evidence.heuristic_evidence(ips, docs, heuristics, by_token)
     assert found.columns == want.columns and _rows(found) == _rows(want)
+
+
+def test_taxonomy_by_address_is_that_of_all_pairs(held, spark):
+    ips, _, docs = held
+    prefixes = spark.createDataFrame([("DoS", "DoS"), ("ptmp", "MultiPoints"), ("DoS", "again")], "taxonomy string, category string")
+    want = evidence.taxonomy_evidence(evidence.ip_evidence(ips, docs), docs, prefixes)
+    found = evidence.taxonomy_evidence(ips, docs, prefixes)
+    assert found.columns == want.columns and _rows(found) == _rows(want)
