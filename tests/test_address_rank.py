@@ -70,3 +70,14 @@ def test_taxonomy_by_address_is_that_of_all_pairs(held, spark):
     want = evidence.taxonomy_evidence(evidence.ip_evidence(ips, docs), docs, prefixes)
     found = evidence.taxonomy_evidence(ips, docs, prefixes)
     assert found.columns == want.columns and _rows(found) == _rows(want)
+
+
+def test_pairs_of_a_hot_address_are_dealt_in_cells(held, monkeypatch):
+    ips, _, docs = held
+    want = _rows(evidence.ip_evidence(ips, docs))
+    monkeypatch.setattr(evidence, "CELL", 5)
+    monkeypatch.setattr(evidence, "PAIRS_PER_TASK", 100)
+    found = evidence.ip_evidence(ips, docs)
+    assert _rows(found) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
