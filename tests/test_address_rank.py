@@ -81,3 +81,11 @@ def test_pairs_of_a_hot_address_are_dealt_in_cells(held, monkeypatch):
     assert _rows(found) == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_texts_by_address_are_those_of_all_pairs(held):
+    ips, _, docs = held
+    texts = docs.select("doc_id", "text")
+    want = evidence.ip_evidence(ips, docs).join(texts, "doc_id").select("log_name", "text").distinct()
+    found = evidence.texts_of_addresses(ips, docs, texts).distinct()
+    assert found.columns == want.columns and _rows(found) == _rows(want)
