@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowspark.functions.scale import join_groups
+from flowspark.session import cut_lineage
 
 METRICS = ("accuracy", "precision", "recall", "f1_score")
 SCORE_BUCKETS = 256
@@ -113,7 +114,7 @@ def roc_points(rows: DataFrame, keys: Sequence[str] = (), score: str = "score")
 
     Equal scores form one point. Scores are cut into ranges of about equal size
     per group, so the running sums go over one range per task and only range
-    totals are summed per group.
+    totals are summed per group. Ranges are written once.
     """
     keys = list(keys)
     label = F.col("label").cast("int")
@@ -131,6 +132,8 @@ def roc_points(rows: DataFrame, keys: Sequence[str] = (), score: str = "score")
     ranged = (join_groups(groups, cuts, keys) if keys else groups.join(F.broadcast(cuts))).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))
     )
+    # Both branches below must see the same ranges, and cuts of many scores differ from one evaluation to the next.
+    ranged = cut_lineage(ranged.drop("_cuts"), "score-ranges")
     cells = [*keys, "_range"]
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (

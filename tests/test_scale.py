@@ -174,3 +174,14 @@ def test_block_pairs_are_not_merged_into_few_tasks(spark):
     found = retrieval.vector_topk(kb.withColumnRenamed("doc_id", "query_id"), kb, 2, rows_per_block=10, few=0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and found.count() == 80
+
+
+def test_roc_points_of_more_scores_than_a_sketch_holds(spark):
+    rows = spark.range(0, 300_000, 1, 16).select((F.col("id") % 3 == 0).alias("label"), (F.xxhash64("id") / 2**40).alias("score"), F.lit("k").alias("k"))
+    points = metrics.roc_points(rows, ["k"])
+    # Approximate cuts are found once, not again by each branch.
+    assert "percentile_approx" not in points._jdf.queryExecution().optimizedPlan().toString()
+    found = points.select("score", "tp", "fp").toPandas().sort_values("score", ascending=False)
+    plain = rows.toPandas().sort_values("score", ascending=False)
+    assert (found["tp"].to_numpy() == plain["label"].cumsum().to_numpy()).all()
+    assert (found["fp"].to_numpy() == (~plain["label"]).cumsum().to_numpy()).all()
