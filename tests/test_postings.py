@@ -95,3 +95,19 @@ def test_index_finds_most_neighbours_in_few_lists(spark, tmp_path, monkeypatch):
         retrieval.vector_topk(asked.withColumn("wanted", F.lit(None)), kb, k=2, index=again)
     with pytest.raises(ValueError):
         vector_index.VectorIndex.build(odd, str(tmp_path / "nothing"))
+
+
+def test_few_documents_are_scored_in_full_and_asked_words_alone_give_the_same(spark):
+    draw = random.Random(9)
+    vocabulary, weights = [f"w{i}" for i in range(60)], [1 / (1 + i) for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(vocabulary, weights, k=draw.randint(1, 40)))) for i in range(600)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(f"q{i}", w) for i in range(20) for w in set(draw.choices(vocabulary, weights, k=6))], "query_id string, token string")
+    every = postings.impacts(docs, all_tokens(F.col("text")))
+    some = postings.impacts(docs, all_tokens(F.col("text")), only=asked)
+    assert 0 < some.count() < every.count() and some.exceptAll(every).count() == 0
+    blocks = postings.impact_blocks(every, 4)
+    found = sorted(map(tuple, postings.best_documents(asked, every, blocks, 3).collect()))
+    assert found == sorted(map(tuple, postings.best_documents(asked, some, postings.impact_blocks(some, 4), 3).collect()))
+    # Documents that share a word with an opened block are many, those that can be among the best few.
+    opened = postings._opened(asked, blocks, 3).select("query_id", F.explode("docs").alias("doc_id")).distinct().count()
+    assert len(found) <= postings._candidates(asked, blocks, 3).count() < 0.6 * opened
