@@ -34,6 +34,8 @@ TRAINING_ROWS, CALIBRATION_QUERIES, MOST_LISTS = 50_000, 200, 4096
 # Wanted recall on the training vectors, and how many candidates per wanted neighbour are ranked exactly.
 RECALL, SHORTLIST = 0.95, 8
 SEGMENT_ROWS, QUERY_ROWS, QUERIES_PER_STEP = 50_000, 10_000, 256
+# Scores of a step at most, and tasks of a search.
+SCORES_PER_STEP, MOST_TASKS = 4_000_000, 4_000
 
 
 def lists_for(rows: int) -> int:
@@ -73,6 +75,21 @@ def _needed_probes(vectors: np.ndarray, centroids: np.ndarray, k: int, recall: f
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
 
+def _lookup(numbers: dict, key: str):
+    return F.element_at(F.create_map(*[F.lit(int(v)) for pair in numbers.items() for v in pair]), F.col(key))
+
+
+def _groups(segments: dict, sizes: dict) -> dict[int, int]:
+    """Group of each list: neighbours in number share one up to `SEGMENT_ROWS` vectors, a list of several segments has its own."""
+    group, rows, out = 0, 0, {}
+    for at in sorted(segments, key=int):
+        size = sizes.get(at, SEGMENT_ROWS) if segments[at] == 1 else SEGMENT_ROWS
+        if rows and rows + size > SEGMENT_ROWS:
+            group, rows = group + 1, 0
+        out[int(at)], rows = group, rows + size
+    return out
+
+
 class VectorIndex:
     """An index in a folder; `build` makes it, `VectorIndex(spark, path)` opens it."""
 
@@ -81,6 +98,7 @@ class VectorIndex:
         entry = json.loads(Commits(spark, f"{self.path}/index").read("index"))
         self.centroids, self.step = np.array(entry["centroids"]), np.array(entry["step"])
         self.probes, self.folder, self.segments = entry["probes"], entry["folder"], entry["segments"]
+        self.groups = _groups(self.segments, entry.get("sizes", {}))
 
     @classmethod
     def build(
@@ -123,6 +141,7 @@ class VectorIndex:
         folder = f"lists-{os.urandom(6).hex()}"
         placed.repartition("list", "segment").sortWithinPartitions("list", "segment").write.partitionBy("list").parquet(f"{path}/{folder}")
         entry = {"centroids": centroids.tolist(), "step": step.tolist(), "probes": probes, "folder": folder, "segments": segments}
+        entry["sizes"] = {str(at): n for at, n in sizes.items()}
         Commits(spark, f"{path}/index").publish("index", json.dumps(entry))
         return cls(spark, path)
 
@@ -143,6 +162,28 @@ class VectorIndex:
         cut = F.element_at(F.create_map(*[F.lit(int(v)) for pair in self.segments.items() for v in pair]), F.col("list"))
         return probed.withColumn("segment", F.explode(F.sequence(F.lit(0), cut - 1)))
 
+    def _by_group(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(query_id, vector, lists, group, segment): each query once per group of lists and segment, with its lists there."""
+        held, group_of = self.spark.sparkContext.broadcast(self.centroids), self.groups
+
+        def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    unit, rows = _unit(frame["vector"]), []
+                    nearest = np.argsort(-(unit @ held.value.T), axis=1, kind="stable")[:, :probes]
+                    for query, vector, lists in zip(frame["query_id"], unit, nearest):
+                        by_group: dict[int, list[int]] = {}
+                        for at in lists.tolist():
+                            if at in group_of:
+                                by_group.setdefault(group_of[at], []).append(at)
+                        rows += [(query, vector, some, group) for group, some in by_group.items()]
+                    yield pd.DataFrame(rows, columns=["query_id", "vector", "lists", "group"])
+
+        asked = queries.select(F.col("query_id").cast("string"), "vector").filter(F.exists("vector", lambda x: x != 0))
+        probed = asked.mapInPandas(probe, "query_id string, vector array<double>, lists array<int>, group int")
+        cut = _lookup({self.groups[int(at)]: n for at, n in self.segments.items()}, "group")
+        return probed.withColumn("segment", F.explode(F.sequence(F.lit(0), cut - 1)))
+
     def search(self, queries: DataFrame, k: int = TOP_K, probes: int | None = None, shortlist: int = SHORTLIST) -> DataFrame:
         """(query_id, doc_id, similarity): k near neighbours by cosine, most of the nearest ones.
 
@@ -151,34 +192,49 @@ class VectorIndex:
         vector finds nothing. Equal similarities are ranked by the smaller id.
         """
         wanted = shortlist * k
-        probed = cut_lineage(self._probed(queries, min(probes or self.probes, len(self.centroids))), "probed")
-        sizes = probed.groupBy("list").agg(F.count_distinct("query_id").alias("n"))
-        # At most one number per list.
-        asked = {row["list"]: max(1, -(-row["n"] // QUERY_ROWS)) for row in sizes.collect()}
-        lists = self.spark.read.parquet(f"{self.path}/{self.folder}").filter(F.col("list").isin(sorted(asked)))
+        probed = cut_lineage(self._by_group(queries, min(probes or self.probes, len(self.centroids))), "probed")
+        # At most one number per group of lists.
+        asked = {row["group"]: max(1, -(-row["n"] // QUERY_ROWS)) for row in probed.filter("segment = 0").groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not asked:
             return self.spark.createDataFrame([], "query_id string, doc_id string, similarity double")
-        parts = F.element_at(F.create_map(*[F.lit(v) for pair in asked.items() for v in pair]), F.col("list"))
+        lists = self.spark.read.parquet(f"{self.path}/{self.folder}").filter(F.col("list").isin(sorted(at for at, g in self.groups.items() if g in asked)))
+        parts = _lookup(asked, "group")
         left = probed.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int"))
-        right = lists.select("doc_id", "code", "list", "segment").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        right = lists.select("doc_id", "code", "list", "segment").withColumn("group", _lookup(self.groups, "list"))
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         held = self.spark.sparkContext.broadcast((self.centroids, self.step))
 
         def find(key, asked_, docs: pd.DataFrame) -> pd.DataFrame:
             found = [pd.DataFrame({"query_id": [], "doc_id": [], "list": [], "near": []}).astype({"query_id": str, "doc_id": str, "list": "int32", "near": float})]
             if len(asked_) and len(docs):
                 centres, width = held.value
+                docs = docs.sort_values("list", kind="stable")
+                ids, at_list = docs["doc_id"].to_numpy(dtype=object), docs["list"].to_numpy()
                 codes = np.frombuffer(b"".join(docs["code"]), np.int8).reshape(len(docs), -1)
-                near = (centres[key[0]] + codes * width).astype(np.float32)
-                ids, queries_ = docs["doc_id"].to_numpy(), np.stack(asked_["vector"]).astype(np.float32)
-                names = asked_["query_id"].to_numpy()
-                for at in range(0, len(queries_), QUERIES_PER_STEP):
-                    scores = queries_[at : at + QUERIES_PER_STEP] @ near.T
+                near = (centres[at_list] + codes * width).astype(np.float32)
+                numbers, starts = np.unique(at_list, return_index=True)
+                bounds = list(zip(numbers, starts, [*starts[1:], len(docs)]))
+                names, step = asked_["query_id"].to_numpy(dtype=object), max(1, min(QUERIES_PER_STEP, SCORES_PER_STEP // len(docs)))
+                for at in range(0, len(asked_), step):
+                    part = asked_.iloc[at : at + step]
+                    vectors, wants = np.stack(part["vector"]).astype(np.float32), np.zeros((len(part), len(centres)), bool)
+                    for row, some in enumerate(part["lists"]):
+                        wants[row, some] = True
+                    scores = np.full((len(part), len(docs)), -np.inf, np.float32)
+                    for number, start, end in bounds:
+                        rows = np.flatnonzero(wants[:, number])
+                        scores[rows, start:end] = vectors[rows] @ near[start:end].T
                     best = np.argpartition(-scores, min(wanted, scores.shape[1]) - 1, axis=1)[:, :wanted]
-                    rows = np.repeat(np.arange(len(scores)), best.shape[1])
-                    found.append(pd.DataFrame({"query_id": names[at + rows], "doc_id": ids[best.ravel()], "list": key[0], "near": np.take_along_axis(scores, best, axis=1).ravel()}))
+                    rows, best = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
+                    kept = scores[rows, best] > -np.inf
+                    rows, best = rows[kept], best[kept]
+                    found.append(pd.DataFrame({"query_id": names[at + rows], "doc_id": ids[best], "list": at_list[best], "near": scores[rows, best].astype(float)}))
             return pd.concat(found)
 
-        cell = ["list", "segment", "part"]
+        cell = ["group", "segment", "part"]
+        # A given number of tasks, as cells are small in bytes and long in time.
+        tasks = min(MOST_TASKS, 4 * sum(asked.values()) * max(self.segments.values()))
+        left, right = left.repartition(tasks, *cell), right.repartition(tasks, *cell)
         per_cell = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(find, "query_id string, doc_id string, list int, near double")
         short = top_per_group(per_cell, ["query_id"], [F.desc("near"), "doc_id"], wanted)
         return self._ranked(queries, short, lists, k)

@@ -111,3 +111,12 @@ def test_few_documents_are_scored_in_full_and_asked_words_alone_give_the_same(sp
     # Documents that share a word with an opened block are many, those that can be among the best few.
     opened = postings._opened(asked, blocks, 3).select("query_id", F.explode("docs").alias("doc_id")).distinct().count()
     assert len(found) <= postings._candidates(asked, blocks, 3).count() < 0.6 * opened
+
+
+def test_a_query_is_sent_once_per_group_of_lists(spark, tmp_path):
+    kb = _vectors(spark, 600)
+    index = vector_index.VectorIndex.build(kb, str(tmp_path / "index"), lists=20, k=5)
+    queries = kb.limit(50).withColumnRenamed("doc_id", "query_id")
+    sent = index._by_group(queries, 12).collect()
+    assert len(sent) == 50 and all(len(set(r.lists)) == 12 for r in sent)
+    assert vector_index._groups({"0": 1, "2": 3, "5": 1, "7": 1, "8": 1}, {"0": 9, "2": 120_000, "5": 30_000, "7": 20_000, "8": 1}) == {0: 0, 2: 1, 5: 2, 7: 2, 8: 3}
