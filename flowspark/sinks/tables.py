@@ -120,3 +120,19 @@ def write_metrics(metrics: DataFrame, path: str, form: str = "csv") -> None:
     """Metric rows (a handful) as one CSV or JSON file."""
     writer = metrics.coalesce(1).write.mode("overwrite")
     writer.csv(path, header=True) if form == "csv" else writer.json(path)
+
+
+# Report files that one task writes.
+FILES_PER_TASK = 250
+
+
+def write_report_files(reports: DataFrame, path: str) -> None:
+    """Reports (log_name, text) as one text file each, in a folder `report=<log_name>` below the new folder `path`.
+
+    The number of tasks follows from the files, as their bytes are few; tasks
+    put files in their place themselves, where else the driver moves them one
+    by one in the end. So `path` is whole only when the call has returned.
+    """
+    tasks = -(-reports.count() // FILES_PER_TASK) or 1
+    rows = reports.select(F.col("log_name").alias("report"), "text").repartition(tasks, "report")
+    rows.write.partitionBy("report").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)

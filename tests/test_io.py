@@ -298,3 +298,12 @@ def test_one_object_is_read_by_many_tasks(spark, tmp_path, indent):
         assert pieces.filter(F.col("file").endswith("a.json")).count() == 900
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_report_files_are_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILES_PER_TASK", 4)
+    reports = spark.createDataFrame([(f"log{i}", f"text {i}\nmore") for i in range(40)], "log_name string, text string")
+    sinks.write_report_files(reports, str(tmp_path / "reports"))
+    files = list((tmp_path / "reports").glob("report=*/part-*"))
+    assert len(files) == 40 and len({f.name[:10] for f in files}) > 4
+    sinks.write_report_files(reports.limit(0), str(tmp_path / "none"))
