@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 
 from flowspark.operators import ml
 from flowspark.operators.profile import FEATURES
@@ -64,3 +65,10 @@ def test_gaussian_features_approximate_the_kernel():
             mapped = ml.fourier_features(points, gamma, cosines, 42)
             errors.append(np.abs(mapped @ mapped.T - exact).mean())
         assert errors[1] < 0.02 and errors[1] < errors[0] / 4
+
+
+def test_forest_keeps_each_rows_nodes_and_its_trees(dataset):
+    kept = ml.train(dataset, "random_forest").stages[-1]
+    assert kept.getCacheNodeIds()
+    plain = Pipeline(stages=[*ml._preparation(FEATURES), ml.classifier("random_forest").setCacheNodeIds(False)]).fit(dataset).stages[-1]
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
