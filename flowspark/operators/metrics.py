@@ -177,8 +177,12 @@ def roc_auc(rows: DataFrame, keys: Sequence[str] = (), score: str = "score") ->
 
 
 def evaluate(rows: DataFrame, keys: Sequence[str] = (), score: str | None = "score") -> DataFrame:
-    """Confusion metrics with AUC; without a score column the prediction itself is the score."""
-    scored = rows.withColumn("_score", F.col(score or "prediction").cast("double"))
+    """Confusion metrics with AUC; without a score column the prediction itself is the score.
+
+    The rows are written first: three branches read them, and a model's rows cost a prediction each.
+    """
+    scored = rows.select(*keys, "label", "prediction", F.col(score or "prediction").cast("double").alias("_score"))
+    scored = cut_lineage(scored, "scored")
     quality = confusion_metrics(scored, keys)
     auc = roc_auc(scored.filter(F.col("prediction").isNotNull()), keys, "_score")
     if not keys:

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
-from flowspark.operators import ml
+from flowspark.operators import metrics, ml
 from flowspark.operators.profile import FEATURES
 
 
@@ -72,3 +73,16 @@ def test_forest_keeps_each_rows_nodes_and_its_trees(dataset):
     assert kept.getCacheNodeIds()
     plain = Pipeline(stages=[*ml._preparation(FEATURES), ml.classifier("random_forest").setCacheNodeIds(False)]).fit(dataset).stages[-1]
     assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
+
+
+def test_a_models_rows_are_predicted_once(spark, dataset):
+    predicted = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def said(score):
+        predicted.add(1)
+        return int(score > 0.5)
+
+    rows = dataset.select("label", said("s0_ratio").alias("prediction"), F.col("s0_ratio").alias("score"), F.lit("m").alias("model"))
+    found = metrics.evaluate(rows, ["model"]).collect()
+    assert (found[0].model, found[0].total) == ("m", 120) and predicted.value == 120
