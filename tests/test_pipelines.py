@@ -1,7 +1,9 @@
 """End-to-end jobs on small tables."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions.taxonomy import taxonomy_groups, taxonomy_prefixes
@@ -68,6 +70,23 @@ def test_text_vectors_find_near_texts(spark):
     assert all(abs(r.l - 1) < 1e-9 for r in lengths.collect())
 
 
+def test_words_are_counted_where_their_text_is(spark, monkeypatch):
+    texts = {1: "a a b", 2: "b c. c.c c", 3: "", 4: None, None: "b a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(retrieval, "BYTES_PER_TASK", 1)
+    terms = retrieval.tfidf_terms(docs, all_tokens(F.col("text")))
+    idf = {"a": math.log(6 / 3), "b": math.log(6 / 4), "c": math.log(6 / 2), "c.c": math.log(6 / 2)}
+    raw = {1: {"a": 2, "b": 1}, 2: {"b": 1, "c": 2, "c.c": 1}, None: {"a": 1, "b": 1}}
+    wanted = {}
+    for doc, counts in raw.items():
+        length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items()))
+        wanted |= {(doc, w): n * idf[w] / length for w, n in counts.items()}
+    assert {(r.doc_id, r.token): r.weight for r in terms.collect()} == pytest.approx(wanted)
+    # Counted rows are read, not split again, and never sorted to find their weights.
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_question_to_prompt_or_abstention(spark):
     docs = spark.createDataFrame(
         [
