@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -28,6 +29,8 @@ MODELS = ("svm", "random_forest", "mlp")
 SEED = 42
 # Random cosines of the Gaussian kernel: its error falls with the root of their number.
 COSINES = 512
+# Models that are fitted at the same time. A fit is hundreds of short steps; more of them would hold more rows at once.
+FITS = 2
 
 
 class GaussianFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -135,9 +138,22 @@ def train_and_score(dataset: DataFrame, model: str, train_on_all: bool = False,
     return metrics.join_predictions(test.select("log_name", "label"), predict(train(training, model, columns), test))
 
 
+def train_and_score_each(dataset: DataFrame, models: Iterable[str] = MODELS, train_on_all: bool = False) -> DataFrame:
+    """`train_and_score` of every model, with the column `model`.
+
+    Between the steps of a fit the executors wait for the driver, so one fit's
+    steps run in another's pauses; the models are those of single fits.
+    """
+    models = list(models)
+    # Each thread has its own copy of the job's properties.
+    fits = [inheritable_thread_target(dataset.sparkSession)(partial(train_and_score, dataset, m, train_on_all)) for m in models]
+    with ThreadPool(FITS) as pool:
+        scored = pool.map(lambda fit: fit(), fits, chunksize=1)
+    return reduce(DataFrame.unionByName, [rows.withColumn("model", F.lit(m)) for m, rows in zip(models, scored)])
+
+
 def compare(dataset: DataFrame, models: Iterable[str] = MODELS, train_on_all: bool = False) -> DataFrame:
     """Metrics of every model, one row each."""
     # One row per log, read by each step of each model.
     dataset = cut_lineage(dataset, "dataset")
-    scored = [train_and_score(dataset, m, train_on_all).withColumn("model", F.lit(m)) for m in models]
-    return metrics.evaluate(reduce(DataFrame.unionByName, scored), ["model"])
+    return metrics.evaluate(train_and_score_each(dataset, models, train_on_all), ["model"])

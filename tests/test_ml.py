@@ -1,6 +1,7 @@
 """Classifiers: training, scoring, saving."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -86,3 +87,21 @@ def test_a_models_rows_are_predicted_once(spark, dataset):
     rows = dataset.select("label", said("s0_ratio").alias("prediction"), F.col("s0_ratio").alias("score"), F.lit("m").alias("model"))
     found = metrics.evaluate(rows, ["model"]).collect()
     assert (found[0].model, found[0].total) == ("m", 120) and predicted.value == 120
+
+
+def test_models_are_fitted_side_by_side(dataset, monkeypatch):
+    dataset, whole = dataset.coalesce(1), ml.classifier
+    monkeypatch.setattr(ml, "classifier", lambda m: whole(m).setMaxIter(3))
+    wanted = {m: {tuple(r) for r in ml.train_and_score(dataset, m).collect()} for m in ("svm", "mlp")}
+    train, both = ml.train, threading.Barrier(2, timeout=60)
+
+    def waits(*args):
+        both.wait()
+        return train(*args)
+
+    monkeypatch.setattr(ml, "train", waits)
+    rows = []
+    monkeypatch.setattr(metrics, "evaluate", lambda scored, keys: rows.extend(scored.collect()))
+    ml.compare(dataset, ("svm", "mlp"))
+    for model, own in wanted.items():
+        assert {(r.log_name, r.label, r.prediction, r.score) for r in rows if r.model == model} == own
