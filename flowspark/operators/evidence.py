@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowspark.functions.scale import never_broadcast, top_per_group
+from flowspark.functions.scale import join_groups, never_broadcast, top_per_group
 from flowspark.functions.text import cap_lines, extract_ips, tokens
 from flowspark.operators.retrieval import THRESHOLD
 from flowspark.session import cut_lineage
@@ -79,15 +79,47 @@ def ip_evidence(ips: DataFrame, anomaly_docs: DataFrame, k: int | None = None, s
     """
     index = address_index(anomaly_docs)
     case = [c for c in ips.columns if c != "ip"]
-    found = _met(ips, index, case)
-    if k is not None:
-        if scores is None:
-            raise ValueError("the best k documents of an address need scores")
-        ranked = found.join(scores, [*case, "doc_id"])
-        found = top_per_group(ranked, [*case, "ip"], [F.desc("similarity"), "doc_id"], k)
+    if k is None:
+        return _pairs(ips, index, case)
+    if scores is None:
+        raise ValueError("the best k documents of an address need scores")
+    ranked = _met(ips, index, case).join(scores, [*case, "doc_id"])
+    found = top_per_group(ranked, [*case, "ip"], [F.desc("similarity"), "doc_id"], k)
     return found.select(*case, "doc_id").distinct()
 
 
+def _pairs(ips: DataFrame, index: DataFrame, case: list[str]) -> DataFrame:
+    """Distinct (case columns..., doc_id) of `ips` and the documents of each address, pairs not shuffled.
+
+    A document of one known address meets each case once. One of two meets a
+    case at the address that more cases have, and at its rarer one only cases
+    without that: these are told by the pairs of addresses that a case has
+    whole, few, as the rarer address finds them. Only ids that stand for three
+    known addresses or more are made distinct pair by pair.
+    """
+    ips = ips.select(*case, "ip")
+    known = index.join(ips.groupBy("ip").agg(F.count(F.lit(1)).alias("_cases")), "ip")
+    by_id = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_places"), F.max(F.struct("_cases", "ip")).alias("_most"))
+    several = by_id.filter(F.col("_places") > 1)
+    other = F.when((F.col("_places") == 2) & (F.col("ip") != F.col("_most.ip")), F.col("_most.ip"))
+    placed = join_groups(known.select("doc_id", "ip"), several, ["doc_id"], "left").select("doc_id", "ip", "_places", other.alias("_other"))
+    placed = cut_lineage(placed, "places")
+
+    rarer = cut_lineage(placed.filter(F.col("_other").isNotNull()).select("ip", "_other").distinct(), "address-pairs")
+    others = ips.join(rarer.select(F.col("_other").alias("ip")).distinct(), "ip", "left_semi").withColumnRenamed("ip", "_other")
+    both = join_groups(ips.join(rarer, "ip"), others, [*case, "_other"])
+    held = both.groupBy(*case, "ip").agg(F.collect_set("_other").alias("_held"))
+    cases = ips.withColumn("_held", F.lit(None).cast("array<string>")).unionByName(held).groupBy(*case, "ip").agg(F.max("_held").alias("_held"))
+    cases = cut_lineage(cases, "cases-held")
+    once = placed.filter(F.coalesce("_places", F.lit(1)) <= 2).drop("_places")
+    again = F.coalesce(F.array_contains("_held", F.col("_other")), F.lit(False))
+    found = _met(cases, once, case).filter(~again).select(*case, "doc_id")
+    many = placed.filter(F.col("_places") > 2).select("doc_id", "ip")
+    if many.isEmpty():
+        return found
+    return found.unionByName(_met(ips, many, case).select(*case, "doc_id").distinct())
+
+
 def heuristic_evidence(evidence: DataFrame, anomaly_docs: DataFrame, heuristics: DataFrame, by_token: bool = False) -> DataFrame:
     """Heuristics behind a case's anomalies, by the anomaly's code.
 

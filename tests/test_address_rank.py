@@ -89,3 +89,44 @@ def test_texts_by_address_are_those_of_all_pairs(held):
     want = evidence.ip_evidence(ips, docs).join(texts, "doc_id").select("log_name", "text").distinct()
     found = evidence.texts_of_addresses(ips, docs, texts).distinct()
     assert found.columns == want.columns and _rows(found) == _rows(want)
+
+
+def _odd(spark):
+    """Rows that come twice, names, ids and texts that are null, ids that stand for several documents, addresses that only one side has."""
+    draw = random.Random(11)
+    ips = [(draw.choice([None, *(f"log{c}" for c in range(12))]), draw.choice([None, *(f"ip{i}" for i in range(10))])) for _ in range(90)]
+    docs = []
+    for d in range(150):
+        a, b = (f"ip{min(draw.randrange(14), draw.randrange(14))}" for _ in range(2))
+        name = None if d % 29 == 0 else f"d{d % 9}" if d % 5 == 0 else f"d{d}"
+        docs.append((name, draw.choice([None, "", "two\nlines", f"Text {d % 40} über", f"text {d}"]), {"srcIP": a, "dstIP": b if d % 3 else "unknown"}))
+    docs += docs[:20]
+    ips += [("bare", "ip50"), ("null", "ip40")]
+    docs += [("null", None, {"srcIP": "ip40", "dstIP": "unknown"})]
+    return (
+        spark.createDataFrame(ips, "log_name string, ip string").repartition(3),
+        spark.createDataFrame(docs, "doc_id string, text string, meta map<string,string>").repartition(3),
+    )
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [False, True])
+def test_pairs_come_once_where_ids_and_addresses_repeat(spark, monkeypatch, cells):
+    if cells:
+        monkeypatch.setattr(evidence, "CELL", 3)
+        monkeypatch.setattr(evidence, "PAIRS_PER_TASK", 20)
+    ips, docs = _odd(spark)
+    places = {(r.doc_id, ip) for r in docs.collect() for ip in (r.meta["srcIP"], r.meta["dstIP"]) if ip != "unknown"}
+    want = {(r.log_name, doc_id) for r in ips.collect() for doc_id, ip in places if r.ip == ip}
+    found = [tuple(r) for r in evidence.ip_evidence(ips, docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_pairs_are_not_shuffled_to_be_distinct(held):
+    ips, _, docs = held
+    assert evidence.ip_evidence(ips, docs).count() > 1_000
+    plan = _plan(evidence.ip_evidence(ips, docs))
+    assert "Join" in plan and "Aggregate" not in plan
