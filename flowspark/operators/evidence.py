@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from flowspark.functions.scale import join_groups, never_broadcast, top_per_group
 from flowspark.functions.text import cap_lines, extract_ips, tokens
+from flowspark.operators.address_texts import add_sections
 from flowspark.operators.retrieval import THRESHOLD
 from flowspark.session import cut_lineage
 
@@ -243,18 +244,23 @@ def _by_budget(evidence: DataFrame, max_chars: int, text: str, key: str) -> Data
     return head.withColumn("_upto", F.sum(F.length(text) + 1).over(upto))
 
 
-def texts_of_addresses(ips: DataFrame, anomaly_docs: DataFrame, texts: DataFrame, max_chars: int | None = None) -> DataFrame:
+def texts_of_addresses(
+    ips: DataFrame, anomaly_docs: DataFrame, texts: DataFrame, max_chars: int | None = None, by_ip: bool = False
+) -> DataFrame:
     """(case columns..., text, score) for the (doc_id, text[, score]) of the documents of a case's addresses.
 
-    With `max_chars` as many as `within_budget` needs to choose those that fit
+    With `by_ip` they stay (ip, text[, score]), for `case_prompts` to put
+    together. With `max_chars` as many as `within_budget` needs to choose those that fit
     for the case: each address brings its best texts that fit and the first one
     that does not, as a text that is not among these ends no case and is in none.
     """
-    by_ip = address_index(anomaly_docs).join(texts, "doc_id").drop("doc_id")
+    named = address_index(anomaly_docs).join(texts, "doc_id").drop("doc_id")
+    if by_ip:
+        return named
     case = [c for c in ips.columns if c != "ip"]
     if max_chars is None:
-        return _met(ips, by_ip.withColumnRenamed("text", "doc_id"), case).drop("ip").withColumnRenamed("doc_id", "text")
-    first = _by_budget(by_ip, max_chars, "text", "ip").filter(F.col("_upto") - F.length("text") - 2 <= max_chars).drop("_upto")
+        return _met(ips, named.withColumnRenamed("text", "doc_id"), case).drop("ip").withColumnRenamed("doc_id", "text")
+    first = _by_budget(named, max_chars, "text", "ip").filter(F.col("_upto") - F.length("text") - 2 <= max_chars).drop("_upto")
     return ips.join(first, "ip").drop("ip")
 
 
@@ -275,23 +281,29 @@ def case_prompts(
     attack: str = "SYN flood",
     template: str = PROMPT,
     max_chars: int | None = None,
+    ips: DataFrame | None = None,
 ) -> DataFrame:
     """One prompt per case from its alert section and its ranked evidence (log_name, text).
 
     With `max_chars` each of both evidence sections holds the best texts that
-    fit; without, all of a case's evidence comes into one row.
+    fit; without, all of a case's evidence comes into one row. With `ips`
+    (log_name, ip) the anomaly texts are (ip, text), and a case has all those
+    of its addresses: they come in last, so that sections are not shuffled.
     """
-    return (
-        alerts.join(_section(anomaly_docs, "text", "_anomalies", max_chars), "log_name", "left")
-        .join(_section(heuristic_docs, "text", "_heuristics", max_chars), "log_name", "left")
-        .select(
-            "log_name",
-            F.format_string(
-                template,
-                F.lit(attack),
-                "alerts",
-                F.coalesce("_anomalies", F.lit(NO_ANOMALIES)),
-                F.coalesce("_heuristics", F.lit(NO_HEURISTICS)),
-            ).alias("prompt"),
-        )
+    if ips is not None and (max_chars is not None or "score" in anomaly_docs.columns):
+        raise ValueError("texts by address have neither a budget nor a score")
+    made = alerts.select("log_name", "alerts").join(_section(heuristic_docs, "text", "_heuristics", max_chars), "log_name", "left")
+    if ips is None:
+        made = made.join(_section(anomaly_docs, "text", "_anomalies", max_chars), "log_name", "left")
+    else:
+        made = add_sections(made, ips, anomaly_docs, "_anomalies")
+    return made.select(
+        "log_name",
+        F.format_string(
+            template,
+            F.lit(attack),
+            "alerts",
+            F.coalesce("_anomalies", F.lit(NO_ANOMALIES)),
+            F.coalesce("_heuristics", F.lit(NO_HEURISTICS)),
+        ).alias("prompt"),
     )

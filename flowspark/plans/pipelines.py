@@ -44,13 +44,15 @@ def prompts(
     lines = cut_lineage(filters.protocol_or_all(flows, proto).select("log_name", "line_no", "raw", "src_ip", "dst_ip"), "lines")
     anomaly_docs = cut_lineage(anomaly_docs.select("doc_id", "text", "meta"), "anomalies")
     ips = cut_lineage(evidence.case_ips(lines), "addresses")
-    records = evidence.texts_of_addresses(ips, anomaly_docs, anomaly_docs.select("doc_id", "text"), max_chars)
+    whole = max_chars is None
+    records = evidence.texts_of_addresses(ips, anomaly_docs, anomaly_docs.select("doc_id", "text"), max_chars, by_ip=whole)
     context = evidence.heuristic_evidence(ips, anomaly_docs, heuristics).select(
         "log_name", F.col("heuristic_text").alias("text")
     )
     taxonomy = evidence.taxonomy_evidence(ips, anomaly_docs, prefixes).select("log_name", F.col("entry").alias("text"))
     attack = "SYN flood" if proto == "tcp" else "ping flood"
-    return evidence.case_prompts(evidence.alert_sections(lines), records, context.unionByName(taxonomy), attack, max_chars=max_chars)
+    alerts = evidence.alert_sections(lines)
+    return evidence.case_prompts(alerts, records, context.unionByName(taxonomy), attack, max_chars=max_chars, ips=ips if whole else None)
 
 
 def query_prompts(

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions.text import tokens
-from flowspark.operators import evidence
+from flowspark.operators import address_texts, evidence
 from flowspark.operators.address_rank import best_by_address
+from flowspark.plans import pipelines
 from flowspark.operators.retrieval import lexical_rerank, term_weights
 
 
@@ -130,3 +131,41 @@ def test_pairs_are_not_shuffled_to_be_distinct(held):
     assert evidence.ip_evidence(ips, docs).count() > 1_000
     plan = _plan(evidence.ip_evidence(ips, docs))
     assert "Join" in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("group_chars", [4_000, 1 << 20])
+def test_sections_by_address_are_those_of_all_pairs(spark, monkeypatch, group_chars):
+    for name, value in (("PACKED", 64), ("SENT", 100)):
+        monkeypatch.setattr(address_texts, name, value)
+    ips, docs = _odd(spark)
+    texts = docs.select("doc_id", "text")
+    pairs = evidence.texts_of_addresses(ips, docs, texts)
+    cases = ips.select("log_name").distinct().unionByName(spark.createDataFrame([("bare",), ("nowhere",)], "log_name string"))
+    want = cases.join(evidence._section(pairs, "text", "_anomalies"), "log_name", "left")
+    found = evidence.add_sections(cases, ips, evidence.texts_of_addresses(ips, docs, texts, by_ip=True), "_anomalies", group_chars)
+    rows = lambda df: sorted(map(repr, df.select("log_name", "_anomalies").collect()))
+    assert rows(found) == rows(want)
+    by_name = {r.log_name: r._anomalies for r in found.collect()}
+    assert by_name["null"] == "" and by_name["bare"] is None and by_name["nowhere"] is None and by_name[None] is None
+    # Nothing is found: no case has a section.
+    none = evidence.add_sections(cases, ips, evidence.texts_of_addresses(ips, docs.limit(0), texts, by_ip=True), "_anomalies")
+    assert none.count() == cases.count() and none.filter("_anomalies IS NOT NULL").isEmpty()
+
+
+def test_prompts_are_made_without_pairs_of_a_case_and_a_text(held, spark):
+    ips, _, docs = held
+    flows = ips.select("log_name", F.lit(1).alias("line_no"), F.concat(F.lit("line of "), "ip").alias("raw"), F.col("ip").alias("src_ip"), F.lit("ip1").alias("dst_ip"), F.lit("tcp").alias("proto"))
+    heuristics = spark.createDataFrame([(100, "ten"), (102, "twelve")], "code int, text string")
+    prefixes = spark.createDataFrame([("DoS", "DoS")], "taxonomy string, category string")
+    made = pipelines.prompts(flows, docs, heuristics, prefixes)
+    # Sections of texts leave the task that makes them as rows of the result.
+    plan = _plan(made)
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan[: plan.index("MapInArrow")]
+    both = evidence.case_ips(flows)
+    want = {}
+    for log, text in evidence.ip_evidence(both, docs).join(docs, "doc_id").select("log_name", "text").distinct().collect():
+        want.setdefault(log, []).append(text)
+    got = {r.log_name: r.prompt for r in made.collect()}
+    assert len(got) == flows.select("log_name").distinct().count()
+    for log, prompt in got.items():
+        assert prompt.split("Anomaly records:\n")[1].split("\n\nHeuristics and taxonomy:")[0] == "\n".join(sorted(want[log]))
